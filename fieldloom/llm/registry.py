@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from ..ship import shipped
-from . import op8_lines
+from . import op2_warc, op7_packing, op8_lines
 
 _QUERIES = {
+    "op2_warc": op2_warc.op2_warc,
+    "op7_packing": op7_packing.op7_packing,
     "op8_line_dedup": op8_lines.op8_line_dedup,
 }
 QUERIES = {name: shipped(query) for name, query in _QUERIES.items()}
 ORACLE_SQL = {
+    "op2_warc": op2_warc.ORACLE,
     "op8_line_dedup": op8_lines.ORACLE,
 }
