@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from ..ship import shipped
-from . import op2_warc, op6_license, op7_packing, op8_lines
+from . import op2_warc, op6_license, op7_packing, op8_lines, op9_langid
 
 _QUERIES = {
     "op2_warc": op2_warc.op2_warc,
     "op6_license_scan": op6_license.op6_license_scan,
     "op7_packing": op7_packing.op7_packing,
     "op8_line_dedup": op8_lines.op8_line_dedup,
+    "op9_langid": op9_langid.op9_langid,
+    "langid_pages": op9_langid.langid_pages,
 }
 QUERIES = {name: shipped(query) for name, query in _QUERIES.items()}
 ORACLE_SQL = {
