@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from ..ship import shipped
-from . import op2_warc, op6_license, op7_packing, op8_lines, op9_langid
+from . import op2_warc, op4_decontam, op6_license, op7_packing, op8_lines, op9_langid
 
 _QUERIES = {
     "op2_warc": op2_warc.op2_warc,
+    "op4_decontam": op4_decontam.op4_decontam,
     "op6_license_scan": op6_license.op6_license_scan,
     "op7_packing": op7_packing.op7_packing,
     "op8_line_dedup": op8_lines.op8_line_dedup,
