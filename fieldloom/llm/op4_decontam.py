@@ -5,8 +5,8 @@ entry's score for its own text, so that scores run from 0 to 1 and one threshold
 windows of PASSAGE words, half overlapping, over whole documents.
 
 Weak-AND with block maxima, in two steps that leave out only what can't reach the threshold:
-  * in bulk, for all passages of a block of text: an entry's lightest terms, as long as they sum to less than the
-    threshold, can't qualify it alone; only the postings of its other (essential) terms are added up, and a passage
+  * in bulk, for all passages of a block of text: an entry's lightest terms, as long as they sum to no more than LIGHT of
+    the threshold, can't qualify it alone; only the postings of its other (essential) terms are added up, and a passage
     whose every sum plus the entry's lighter rest stays below the threshold is done;
   * for the others, the cursor search: postings in entry order, in blocks with their maximum, pivot by the terms'
     maxima, blocks skipped by theirs.
@@ -39,6 +39,8 @@ K1, B = 1.2, 0.75
 ENTRY_WORDS, PASSAGE = 48, 128
 THRESHOLD, MIN_QUESTION, MIN_ANSWER = 0.5, 0.5, 0.5
 BLOCK = 32
+#: Share of the threshold that an entry's inessential terms may sum to: less means longer bulk sums, fewer searches.
+LIGHT = 0.4
 GROUP_TERMS = 2_000_000
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
 
@@ -114,7 +116,7 @@ def _index(items, entries, idf, mean, threshold) -> Index:
         light = 0.0
         for t, x in sorted(((t, x / own) for t, x in w.items()), key=lambda tx: (tx[1], tx[0])):
             by_term[t].append((e, x))
-            if light + x < threshold * (1 - 1e-9):
+            if light + x < threshold * LIGHT:
                 light += x
             else:
                 essential[t].append((e, x))

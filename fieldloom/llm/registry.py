@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from ..ship import shipped
-from . import op2_warc, op4_decontam, op6_license, op7_packing, op8_lines, op9_langid
+from . import op1_minhash, op2_warc, op4_decontam, op6_license, op7_packing, op8_lines, op9_langid
 
 _QUERIES = {
+    "op1_minhash": op1_minhash.op1_minhash,
     "op2_warc": op2_warc.op2_warc,
     "op4_decontam": op4_decontam.op4_decontam,
     "op6_license_scan": op6_license.op6_license_scan,
