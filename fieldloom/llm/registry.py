@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from ..ship import shipped
-from . import op1_minhash, op2_warc, op4_decontam, op6_license, op7_packing, op8_lines, op9_langid
+from . import op1_minhash, op2_warc, op3_vptree, op4_decontam, op6_license, op7_packing, op8_lines, op9_langid
 
 _QUERIES = {
     "op1_minhash": op1_minhash.op1_minhash,
     "op2_warc": op2_warc.op2_warc,
+    "op3_vptree": op3_vptree.op3_vptree,
     "op4_decontam": op4_decontam.op4_decontam,
     "op6_license_scan": op6_license.op6_license_scan,
     "op7_packing": op7_packing.op7_packing,
@@ -18,5 +19,6 @@ _QUERIES = {
 QUERIES = {name: shipped(query) for name, query in _QUERIES.items()}
 ORACLE_SQL = {
     "op2_warc": op2_warc.ORACLE,
+    "op3_vptree": op3_vptree.ORACLE,
     "op8_line_dedup": op8_lines.ORACLE,
 }
