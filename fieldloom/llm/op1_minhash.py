@@ -262,8 +262,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` with the first document of each group; columns as they are.  Rows with a null doc_id stay."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__id"], "left_anti")
+    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return semi.without(docs, state.keep(gone, "near-gone"))
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import state
+from . import semi, state
 from . import textblocks as tb
 
 SAMPLE_ROWS = 8000
@@ -188,8 +188,8 @@ def from_pages(pages: DataFrame) -> DataFrame:
 
 def keep_known(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``docs`` without the documents that no language explains; columns as they are."""
-    rejected = posteriors(from_documents(docs), sample_rows).where(~F.col("kept")).select(F.col("id").alias("__id")).distinct()
-    return docs.join(rejected, docs["doc_id"].cast("long") == rejected["__id"], "left_anti")
+    rejected = posteriors(from_documents(docs), sample_rows).where(~F.col("kept") & F.col("id").isNotNull()).select("id").distinct()
+    return semi.without(docs, state.keep(rejected, "langid-rejected"))
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

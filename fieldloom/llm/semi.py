@@ -43,3 +43,16 @@ def might_hold(ids: DataFrame, expected: int):
         return pd.Series(known & twice.Twice(held.value, bits).test(keys))
 
     return test
+
+
+def without(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows whose ``column`` is in ``ids`` (one long column, kept in the shared folder); a null stays.
+    Only rows that the filter takes for members shuffle."""
+    name = ids.columns[0]
+    might = might_hold(ids, ids.count())
+    key, names = docs[column].cast("long"), docs.columns
+    asked = docs.withColumn("__maybe", might(key))
+    maybe = asked.where("__maybe").drop("__maybe")
+    gone = ids.select(F.col(name).alias("__gone"))
+    checked = maybe.join(gone, maybe[column].cast("long") == gone["__gone"], "left_anti").select(*names)
+    return asked.where("not __maybe").select(*names).unionAll(checked)
