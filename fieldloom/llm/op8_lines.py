@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import state, twice
 from . import textblocks as tb
-from . import twice
 
 MIN_CODE_POINTS = 10
 
@@ -83,9 +83,10 @@ def first_holders(docs: DataFrame, min_code_points: int = MIN_CODE_POINTS) -> Da
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], pa.int64()), pa.array([k for _, k in out], pa.binary())], names=["doc_id", "key"])
 
-    rows = held.mapInArrow(suspects, "doc_id long, key binary")
+    rows = state.keep(held.mapInArrow(suspects, "doc_id long, key binary"), "line-suspects")  # read twice
     firsts = rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    return rows.join(firsts.select("key", "first"), "key").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
+    firsts = state.keep(firsts.select("key", "first"), "line-firsts")  # so that the join deals out both sides, and a hot key can be split
+    return rows.join(firsts, "key").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
 
 
 def _with_drops(docs: DataFrame, min_code_points: int) -> DataFrame:
