@@ -11,9 +11,10 @@ larger ones (mergeable), and equal registers are as likely as the sets are simil
    with the hub only.  Pairs are judged by the joint likelihood of similarity given the set sizes and how many registers
    are larger, smaller and equal; those that 0.75 would fit far worse than the best fit are dropped, the rest are
    verified on the full sets.  Verified links give components.
-4. A bucket whose members aren't all in one component by then is searched in full: its classes' sketches are compared
-   in blocks of bounded size, between components only, and what the likelihood leaves is verified and joined in.
-   Only such pairs are rows; no stage emits all pairs of a group.
+4. A bucket whose members aren't all in one component by then is searched in full, in blocks of bounded size: a first
+   pass over the sketches finds the classes that may have a link to another component (each pair in the first band that
+   it shares); a second gets their full sets and verifies the likeliest pairs first, between what isn't connected yet.
+   Its rows are links of a forest; no stage emits all pairs of a group.
 
 Defined results.  Null or empty text, or no words: empty set, linked with nothing.  Fewer than 5 words: the sequence is
 the one shingle.  Null doc_id: the row is returned with its set size, component and kept null.  Rows that share a doc_id
@@ -36,11 +37,10 @@ from . import textblocks as tb
 WORDS, PERCENT = 5, 75
 M, BASE, RATE, LEVELS = 128, 1.001, 20.0, 65534
 ROWS = 4
-#: Half the squared standard deviations by which a similarity of PERCENT must be off for a pair to be dropped; and by
-#: which it must be exceeded for a pair to count as sure.
-DROP, SURE = 12.5, 18.0
-#: Classes in a block of a bucket that is searched in full.
-BLOCK = 2048
+#: Half the squared standard deviations by which a similarity of PERCENT must be off for a pair to be dropped.
+DROP = 12.5
+#: Classes, and shingles, in a block of a bucket that is searched in full.
+BLOCK, BLOCK_SHINGLES = 2048, 1_000_000
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(7))
 _XOR = _rng.integers(0, 2**63, M, dtype=np.uint64) * U(2)
@@ -96,7 +96,7 @@ def _band_batches(batches) -> Iterator[pa.RecordBatch]:
         h = np.broadcast_to(np.arange(1, M // ROWS + 1, dtype=np.uint64) * U(0xD6E8FEB86659FD93), groups.shape[:2]).copy()
         for j in range(ROWS):
             h = tb.mix(h + groups[:, :, j] * U(0x9FB21C651E98DF25) + U(j))
-        yield pa.RecordBatch.from_arrays([batch.column(0), tb.list_array(np.full(len(r), M // ROWS), tb.as_long(h.reshape(-1)), pa.int64())], names=["rep", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), tb.list_array(np.full(len(r), M // ROWS), tb.as_long(h.reshape(-1)), pa.int64()), batch.column(2)], names=["rep", "keys", "n"])
 
 
 def _fit(x: np.ndarray) -> np.ndarray:
@@ -110,7 +110,7 @@ def _log_likelihood(j, u, v, more, less, same):
 
 
 def judge(na, nb, more, less, same, limit: float = PERCENT / 100) -> tuple[np.ndarray, np.ndarray]:
-    """Which pairs may reach the limit, and which surely do; by the likelihood of the similarity over a grid."""
+    """Which pairs may reach the limit, and the likeliest similarity of each, over a grid."""
     na, nb = np.asarray(na, float), np.asarray(nb, float)
     more, less, same = (np.asarray(x, float) for x in (more, less, same))
     u, v = na / (na + nb), nb / (na + nb)
@@ -121,9 +121,8 @@ def judge(na, nb, more, less, same, limit: float = PERCENT / 100) -> tuple[np.nd
         x = _log_likelihood(top * share, u, v, more, less, same)
         better = x > best
         best, where = np.where(better, x, best), np.where(better, top * share, where)
-    fits = top >= limit - 1e-12
     gap = np.maximum(best, at_limit) - at_limit
-    return fits & ((where >= limit) | (gap <= DROP)), fits & (where >= limit) & (gap >= SURE)
+    return (top >= limit - 1e-12) & ((where >= limit) | (gap <= DROP)), where
 
 
 def _counts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,12 +144,39 @@ def _least_same() -> int:
     return int(M * p - np.sqrt(2 * DROP * M * p * (1 - p)) - 2)
 
 
-def search_group(reps, comps, left, sizes, regs) -> list[tuple[int, int]]:
-    """Pairs of classes of different components that may be links; of classes that are surely linked, a forest.
-
-    left: None to search all pairs, else a mask: only pairs between True and False are searched."""
-    order = np.arange(len(reps))
-    root = {c: c for c in set(comps.tolist())}
+def plausible(band, comps, side, sizes, regs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j) of a group's classes that may be links between components, likeliest first, and how likely similar.
+
+    side: None to search all pairs, else only pairs between True and False.  A pair is looked at in the group of the
+    first band that it shares."""
+    left, right, order = [], [], np.arange(len(comps))
+    floor = _least_same()
+    for i in range(len(comps) - 1):
+        ok = (comps[i + 1 :] != comps[i]) & (sizes[i + 1 :] * 100 >= sizes[i] * PERCENT) & (sizes[i] * 100 >= sizes[i + 1 :] * PERCENT)
+        if side is not None:
+            ok &= side[i + 1 :] != side[i]
+        others = order[i + 1 :][ok]
+        if len(others):
+            others = others[(regs[others] == regs[i]).sum(axis=1) >= floor]
+            left.append(np.full(len(others), i))
+            right.append(others)
+    if not left:
+        return order[:0], order[:0], np.zeros(0)
+    left, right = np.concatenate(left), np.concatenate(right)
+    shared = (regs[left].reshape(-1, M // ROWS, ROWS) == regs[right].reshape(-1, M // ROWS, ROWS)).all(axis=2)
+    first = shared.argmax(axis=1) == band
+    left, right = left[first], right[first]
+    if not len(left):
+        return left, right, np.zeros(0)
+    may, how = judge(sizes[left], sizes[right], *_counts(regs[left], regs[right]))
+    left, right, how = left[may], right[may], how[may]
+    likely = np.argsort(-how, kind="stable")
+    return left[likely], right[likely], how[likely]
+
+
+def forest(pairs, comps, sets) -> list[tuple[int, int]]:
+    """The verified pairs that connect what the components and earlier pairs leave apart."""
+    root = {int(c): int(c) for c in comps}
 
     def find(x):
         while root[x] != x:
@@ -158,63 +184,95 @@ def search_group(reps, comps, left, sizes, regs) -> list[tuple[int, int]]:
             x = root[x]
         return x
 
-    out, unsure, floor = [], [], _least_same()
-    for i in order:
-        others = np.flatnonzero((order > i) & (comps != comps[i]) & (sizes * 100 >= sizes[i] * PERCENT) & (sizes[i] * 100 >= sizes * PERCENT) & (True if left is None else left != left[i]))
-        if not len(others):
-            continue
-        same = (regs[others] == regs[i]).sum(axis=1)
-        others = others[same >= floor]
-        if not len(others):
+    out = []
+    for i, j in zip(*(x.tolist() for x in pairs), strict=True):
+        a, b = find(int(comps[i])), find(int(comps[j]))
+        if a == b:
             continue
-        may, sure = judge(np.full(len(others), sizes[i]), sizes[others], *_counts(regs[i], regs[others]))
-        for j in others[sure].tolist():
-            a, b = find(int(comps[i])), find(int(comps[j]))
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                out.append((int(reps[i]), int(reps[j])))
-        unsure += [(int(i), j) for j in others[may & ~sure].tolist()]
-    return out + [(int(reps[i]), int(reps[j])) for i, j in unsure if find(int(comps[i])) != find(int(comps[j]))]
-
+        x, y = sets[i], sets[j]
+        at = np.searchsorted(y, x)
+        common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+        if common * 100 >= (len(x) + len(y) - common) * PERCENT:
+            root[max(a, b)] = min(a, b)
+            out.append((i, j))
+    return out
 
-def _search_batches(batches) -> Iterator[pa.RecordBatch]:
-    """Rows (key, i, j, block, rep, comp, n, regs) sorted by key, i, j: one group after another."""
-
-    def result(rows) -> pa.RecordBatch | None:
-        (_, i, j), block = rows[0][:3], np.array([r[3] for r in rows])
-        got = search_group(np.array([r[4] for r in rows]), np.array([r[5] for r in rows]), None if i == j else block == i, np.array([r[6] for r in rows]), np.frombuffer(b"".join(r[7] for r in rows), np.uint16).reshape(-1, M))
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], names=["a", "b"]) if got else None
 
+def _groups(batches, keys: int) -> Iterator[list[tuple]]:
+    """Rows sorted by their first ``keys`` columns, one group after another."""
     held: list[tuple] = []
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and held[0][:3] != row[:3]:
-                if (out := result(held)) is not None:
-                    yield out
+            if held and held[0][:keys] != row[:keys]:
+                yield held
                 held = []
             held.append(row)
-    if held and (out := result(held)) is not None:
-        yield out
+    if held:
+        yield held
+
+
+def _group_arrays(rows: list[tuple]):
+    """key, i, j, band, block, rep, comp, n, regs .. -> band, comps, side, sizes, registers."""
+    i, j, band = rows[0][1:4]
+    side = None if i == j else np.array([r[4] for r in rows]) == i
+    return band, np.array([r[6] for r in rows]), side, np.array([r[7] for r in rows]), np.frombuffer(b"".join(r[8] for r in rows), np.uint16).reshape(-1, M)
+
+
+def _taking_part(batches) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    for rows in _groups(batches, 3):
+        left, right, _ = plausible(*_group_arrays(rows))
+        if len(left):
+            part = [rows[x] for x in np.unique(np.concatenate((left, right))).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names=["key", "i", "j", "band", "block", "rep", "comp", "n", "regs"])
+
+
+def _verify_groups(batches) -> Iterator[pa.RecordBatch]:
+    for rows in _groups(batches, 3):
+        band, comps, side, sizes, regs = _group_arrays(rows)
+        left, right, _ = plausible(band, comps, side, sizes, regs)
+        got = forest((left, right), comps, [np.frombuffer(r[9], np.uint64) for r in rows])
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array([rows[x][5] for x, _ in got], pa.int64()), pa.array([rows[y][5] for _, y in got], pa.int64())], names=["a", "b"])
 
 
 def _set_batches(batches) -> Iterator[pa.RecordBatch]:
+    """Sorted shingle hashes of each document, as they are and as a list."""
     for batch in batches:
         for block in tb.blocks(batch.column(1)):
             rows, keys = shingles(block)
             n = np.bincount(rows, minlength=block.rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, block.rows), tb.list_array(n, tb.as_long(keys), pa.int64())], names=["id", "members"])
+            cut = np.concatenate(([0], np.cumsum(n)))
+            raw = [keys[cut[i] : cut[i + 1]].tobytes() for i in range(block.rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, block.rows), pa.array(raw, pa.binary())], names=["id", "members"])
+
+
+def _sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, members: the full sets of the documents in ``ids`` (id)."""
+    ids = state.keep(ids.distinct(), "near-ids")
+    might = semi.might_hold(ids, ids.count())
+    found = docs.where(might(F.col("doc_id"))).mapInArrow(_set_batches, "id long, members binary").join(ids, "id", "left_semi")
+    return state.keep(found.dropDuplicates(["id"]), "near-sets")
+
+
+def _check_batches(batches) -> Iterator[pa.RecordBatch]:
+    """a, b and their sets -> the pairs that are links."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            at = np.searchsorted(y, x)
+            common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+            keep.append(common * 100 >= (len(x) + len(y) - common) * PERCENT)
+        yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    ids = state.keep(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct(), "near-ids")
-    might = semi.might_hold(ids, ids.count())
-    sets = docs.where(might(F.col("doc_id"))).mapInArrow(_set_batches, "id long, members array<long>").join(ids, "id", "left_semi")
-    sets = state.keep(sets, "near-sets")
+    sets = _sets(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))), docs)
     sa, sb = sets.select(F.col("id").alias("a"), F.col("members").alias("sa")), sets.select(F.col("id").alias("b"), F.col("members").alias("sb"))
-    both = pairs.join(sa, "a").join(sb, "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return state.keep(both.withColumn("common", common).where(F.col("common") * 100 >= (F.size("sa") + F.size("sb") - F.col("common")) * PERCENT).select("a", "b").distinct(), "near-links")
+    both = pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb")
+    return state.keep(both.mapInArrow(_check_batches, "a long, b long"), "near-links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -224,9 +282,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = sketch.where("doc_id is not null and n > 0")
     classes = state.keep(known.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")), "near-classes")
 
-    bands = state.keep(classes.select("rep", "regs").mapInArrow(_band_batches, "rep long, keys array<long>"), "near-bands").select("rep", F.explode("keys").alias("key"))
-    buckets = state.keep(bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-buckets")
-    members = state.keep(bands.join(buckets, "key"), "near-members")
+    bands = state.keep(classes.select("rep", "regs", "n").mapInArrow(_band_batches, "rep long, keys array<long>, n long"), "near-bands").select("rep", "n", F.posexplode("keys").alias("band", "key"))
+    buckets = state.keep(bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")).where("size > 1"), "near-buckets")
+    members = state.keep(bands.join(buckets, "key").select("key", "band", "size", "total", "rep"), "near-members")
 
     degree = members.groupBy("rep").agg(F.sum("size").alias("degree"))
     hubs = state.keep(members.join(degree, "rep").groupBy("key").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("hub")), "near-hubs")
@@ -241,18 +299,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component = state.keep(component, "near-components")
 
     # buckets of three and more whose members are not in one component: searched in full
-    placed = members.where("size > 2").join(component, F.col("rep") == F.col("node"), "left").select("key", "size", "rep", F.coalesce("component", "rep").alias("comp"))
+    placed = members.where("size > 2").join(component, F.col("rep") == F.col("node"), "left").select("key", "band", "size", "total", "rep", F.coalesce("component", "rep").alias("comp"))
     placed = state.keep(placed, "near-placed")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    open_ = placed.join(mixed, "key", "left_semi").withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    open_ = open_.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp").join(classes.select("rep", "n", "regs"), "rep")
-    found = open_.select("key", "i", "j", "block", "rep", "comp", "n", "regs").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_search_batches, "a long, b long")
-    more = state.keep(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-more")
-    if more.count():
-        links = _verified(more, docs).unionAll(component.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")))
-        component = components.connected(links)
+    mixed = state.keep(placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "near-mixed")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
+    open_ = placed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    open_ = open_.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "block", "rep", "comp").join(classes.select("rep", "n", "regs"), "rep")
+    columns = ["key", "i", "j", "band", "block", "rep", "comp", "n", "regs"]
+    open_ = state.keep(open_.select(*columns), "near-open")
+    tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, open_.count() // 4000)
+    part = open_.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_taking_part, "key long, i int, j int, band int, block int, rep long, comp long, n long, regs binary")
+    part = state.keep(part, "near-part")
+    n_part = part.count()
+    if n_part:
+        sets = _sets(part.select(F.col("rep").alias("id")), docs)
+        whole = part.join(sets, F.col("rep") == F.col("id")).select(*columns, "members")
+        tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, n_part // 2000)
+        links = whole.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_verify_groups, "a long, b long")
+        component = components.connected(links.unionAll(component.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
     labels = state.keep(classes.select("print", "rep").join(component, F.col("rep") == F.col("node"), "left").select("print", F.coalesce("component", "rep").alias("component")), "near-labels")
     out = sketch.select("doc_id", "n", "print").join(labels, "print", "left")
