@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans import catalog
+from .plans import queries_scalar as _scalar  # noqa: F401  (registers)
+from .ship import shipped
+
+QUERIES: dict = {name: shipped(fn) for name, fn in catalog.QUERIES.items()}
+ORACLE_SQL: dict = catalog.ORACLE_SQL
