@@ -27,6 +27,8 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(folder, name)
                     out.write(full, os.path.relpath(full, os.path.dirname(_ROOT)))
     sc.addPyFile(path)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default: whole texts in 10,000s are too much for a worker
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     _done.add(sc.applicationId)
 
 
