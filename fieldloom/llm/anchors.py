@@ -18,7 +18,6 @@ A window meets all its equals, since they have the same anchor and it belongs to
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
@@ -69,22 +68,28 @@ def recurring(docs: DataFrame, anchors: Anchors, expected: int, across: bool) ->
     ``anchors`` gives, for a column of texts, blocks with the rows, positions and hashes of their anchors.
     across: only anchors of two or more documents recur; else also those of one document that occur twice in it."""
 
+    spark = docs.sparkSession
+
     def keys(batch):
-        for _, _, _, h in anchors(batch.column(0)):
-            yield h
+        for _, rows, _, h in anchors(batch.column(0)):
+            yield tb.distinct_in_rows(rows, h)[1] if across else h
 
-    filter_ = docs.sparkSession.sparkContext.broadcast(twice.build(docs.select("text"), keys, expected))
+    filter_ = spark.sparkContext.broadcast(twice.build(docs.select("text"), keys, expected))
+    state.release(spark)
 
     def suspects(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
             for block, rows, pos, h in anchors(batch.column(1)):
                 hit = np.flatnonzero(filter_.value.test(h))
-                yield pa.RecordBatch.from_arrays([pa.array(tb.as_long(h[hit])), pa.array(ids[block.lo + rows[hit]], pa.int64()), pa.array(pos[hit], pa.int32())], names=["h", "doc", "pos"])
+                n = np.bincount(rows[hit], minlength=block.rows)
+                some = np.flatnonzero(n)
+                lists = (tb.list_array(n[some], x[hit], k) for x, k in ((tb.as_long(h), pa.int64()), (pos, pa.int32())))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, block.rows).take(pa.array(some)), *lists], names=["doc", "h", "pos"])
 
-    rows = state.keep(docs.select("doc", "text").mapInArrow(suspects, "h long, doc long, pos int"), "anchors")
+    lists = state.keep(docs.select("doc", "text").mapInArrow(suspects, "doc long, h array<long>, pos array<int>"), "anchors")
+    rows = lists.select("doc", F.explode(F.arrays_zip("h", "pos")).alias("a")).select("doc", "a.h", "a.pos")
     seen = rows.groupBy("h").agg(F.min("doc").alias("owner"), F.max("doc").alias("top"), F.count(F.lit(1)).alias("n"))
-    seen = state.keep(seen.where("owner < top" if across else "n > 1").select("h", "owner", "n"), "recurring")
+    found = seen = state.keep(seen.where("owner < top" if across else "n > 1").select("h", "owner", "n"), "recurring")
     total = seen.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-int(total) // (SHARD_ANCHORS // 2)))
     heavy = seen.groupBy("owner").agg(F.sum("n").alias("load")).where(F.col("load") > SHARD_ANCHORS)
@@ -94,62 +99,65 @@ def recurring(docs: DataFrame, anchors: Anchors, expected: int, across: bool) ->
         F.lit(1 << 40) + F.pmod(F.xxhash64("owner", F.pmod(F.col("h"), parts)), F.lit(1 << 40))
     )
     seen = seen.join(heavy, "owner", "left").select("h", shard.alias("shard"))
-    return rows.join(seen, "h").groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("pos", "shard"))).alias("at"))
-
-
-def spans(at: list[tuple[int, int]], k: int, window: int, length: int) -> Iterator[tuple[int, int, int]]:
-    """Pieces (shard, begin, end) of a row of ``length`` items that hold all windows around its anchors, by shard."""
-    by_shard: dict[int, list[list[int]]] = defaultdict(list)
-    for pos, shard in at:
-        lo, hi = max(0, pos + k - window), min(pos, length - window)
-        if lo > hi:
-            continue
-        held = by_shard[shard]
-        if held and lo <= held[-1][1] + 1:
-            held[-1][1] = max(hi, held[-1][1])
-        else:
-            held.append([lo, hi])
-    for shard, held in by_shard.items():
-        for lo, hi in held:
-            yield shard, lo, hi + window
+    at = state.keep(rows.join(seen, "h").groupBy("doc").agg(F.collect_list(F.struct("pos", "shard")).alias("at")), "anchor-lists")
+    del rows, heavy, seen
+    state.release(spark, lists, found)
+    return at
+
+
+def spans(row: np.ndarray, pos: np.ndarray, shard: np.ndarray, k: int, window: int, length: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pieces (row, shard, begin, end) that hold all windows around the anchors (row, pos, shard) of rows of ``length``
+    items, merged within a row and shard."""
+    lo, hi = np.maximum(0, pos + k - window), np.minimum(pos, length[row] - window)
+    fits = hi >= lo
+    row, shard, lo, hi = row[fits], shard[fits], lo[fits], hi[fits]
+    order = np.lexsort((hi, lo, shard, row))
+    row, shard, lo, hi = row[order], shard[order], lo[order], hi[order]
+    if not len(row):
+        return row, shard, lo, hi
+    new = np.concatenate(([True], (row[1:] != row[:-1]) | (shard[1:] != shard[:-1]) | (lo[1:] > hi[:-1] + 1)))
+    start = np.flatnonzero(new)
+    last = np.concatenate((start[1:], [len(row)])) - 1  # hi grows with lo within a row
+    return row[start], shard[start], lo[start], hi[last] + window
 
 
 def fingerprint(text: bytes) -> int:
     return int.from_bytes(blake2b(text, digest_size=8).digest(), "little", signed=True)
 
 
-def pieces(docs: DataFrame, at: DataFrame, cut: Callable[[bytes, list[tuple[int, int]]], Iterator[tuple[int, int, bytes, bytes]]]) -> DataFrame:
+def pieces(docs: DataFrame, at: DataFrame, cut: Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[int, int, int, bytes, bytes]]]) -> DataFrame:
     """shard, piece (digest of its content), doc, mark (of the text), begin, content, note; kept in the shared folder.
 
-    ``cut`` gives for a text and its anchors: shard, begin, content, note (a function of the content)."""
-    at = state.keep(at, "anchor-lists")
+    ``cut`` gives for some texts and their anchors (row, pos, shard): row, shard, begin, content, note (a function of the
+    content)."""
     might = semi.might_hold(at.select("doc"), at.count())
     schema = pa.schema([("shard", pa.int64()), ("piece", pa.binary()), ("doc", pa.int64()), ("mark", pa.int64()), ("begin", pa.int32()), ("content", pa.binary()), ("note", pa.binary())])
 
     def run(batches):
-        for batch in batches:
-            out, size = [], 0
-            for i in range(batch.num_rows):
-                text = (batch.column(1)[i].as_py() or "").encode("utf-8")
-                doc, mark = batch.column(0)[i].as_py(), fingerprint(text)
-                for shard, begin, content, note in cut(text, [(x["pos"], x["shard"]) for x in batch.column(2)[i].as_py()]):
-                    out.append((shard, blake2b(content, digest_size=16).digest(), doc, mark, begin, content, note))
-                    size += len(content)
-                if size > 1 << 23:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 256):
+                batch = whole.slice(first, 256)
+                texts = [(t.as_py() or "").encode("utf-8") for t in batch.column(1)]
+                docs_, marks = batch.column(0).to_pylist(), [fingerprint(t) for t in texts]
+                pos, shard = batch.column(2), batch.column(3)
+                row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(pos.offsets)))
+                out = [(s, blake2b(content, digest_size=16).digest(), docs_[r], marks[r], begin, content, note) for r, s, begin, content, note in cut(texts, row, np.asarray(pos.flatten()).astype(np.int64), np.asarray(shard.flatten()))]
+                if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-                    out, size = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    joined = docs.select("doc", "text").where(might(F.col("doc"))).join(at, "doc").select("doc", "text", "at")
-    return state.keep(joined.mapInArrow(run, "shard long, piece binary, doc long, mark long, begin int, content binary, note binary"), "pieces")
+    joined = docs.select("doc", "text").where(might.column(F.col("doc"))).join(at, "doc").select("doc", "text", F.col("at.pos").alias("pos"), F.col("at.shard").alias("shard"))
+    cut_up = state.keep(joined.mapInArrow(run, "shard long, piece binary, doc long, mark long, begin int, content binary, note binary"), "pieces")
+    del joined
+    state.release(docs.sparkSession, at)
+    return cut_up
 
 
 def by_shard(found: DataFrame, solve: Callable[[list[tuple[int, int, bytes, bytes]]], Iterator[tuple[int, int, int, int]]], least: str) -> DataFrame:
     """Shows each shard's distinct pieces to ``solve`` and joins its answers to the documents that hold the pieces.
 
     solve: pieces as (smallest doc, count, content, note) -> (index of the piece, lo, hi, value): items lo .. hi - 1.
-    least: a condition on doc, first (the piece's smallest document), count and value.  Result: doc, mark, lo, hi."""
+    least: a condition on doc, first (the piece's smallest document), count and value.  Result, kept: doc, ranges: [(mark,
+    lo, hi)]; ``found`` is removed."""
     distinct = found.groupBy("shard", "piece").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("count"), F.first("content").alias("content"), F.first("note").alias("note"))
 
     def run(batches):
@@ -174,19 +182,31 @@ def by_shard(found: DataFrame, solve: Callable[[list[tuple[int, int, bytes, byte
 
     dealt = distinct.select("shard", "piece", "first", "count", "content", "note").repartition("shard").sortWithinPartitions("shard")
     answers = state.keep(dealt.mapInArrow(run, "shard long, piece binary, first long, count long, lo int, hi int, value long"), "answers")
+    del distinct, dealt
+    state.release(found.sparkSession)
     places = found.select("shard", "piece", "doc", "mark", "begin").join(answers, ["shard", "piece"]).where(least)
-    return places.select("doc", "mark", (F.col("begin") + F.col("lo")).alias("lo"), (F.col("begin") + F.col("hi")).alias("hi"))
+    ranges = F.struct("mark", (F.col("begin") + F.col("lo")).alias("lo"), (F.col("begin") + F.col("hi")).alias("hi"))
+    held = state.keep(places.groupBy("doc").agg(F.collect_set(ranges).alias("ranges")), "ranges")
+    del places
+    state.release(found.sparkSession, found, answers)
+    return held
 
 
-def with_ranges(docs: DataFrame, ranges: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """Applies ``run`` to batches of docs (doc, doc_id, text, ranges: [(mark, lo, hi)] or null).  Only the texts of documents
+def with_ranges(docs: DataFrame, held: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """Applies ``run`` to batches of docs (doc_id, text, ranges: what ``held`` (doc, ranges) has of the document, or null).  Only the texts of documents
     that have ranges shuffle."""
-    held = state.keep(ranges.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("mark", "lo", "hi"))).alias("ranges")), "ranges")
     might = semi.might_hold(held.select("doc"), held.count())
-    asked = docs.select("doc", "doc_id", "text").withColumn("maybe", might(F.col("doc")))
-    touched = asked.where("maybe").drop("maybe").join(held, "doc", "left").select("doc_id", "text", "ranges")
-    others = asked.where("not maybe").select("doc_id", "text", F.lit(None).cast("array<struct<mark:bigint,lo:int,hi:int>>").alias("ranges"))
-    return touched.mapInArrow(run, schema).unionAll(others.mapInArrow(run, schema))
+    touched = docs.select("doc", "doc_id", "text").where(might.column(F.col("doc"))).join(held, "doc", "left").select("doc_id", "text", "ranges")
+
+    def others(batches):
+        def clean():
+            for batch in batches:
+                rest = batch.filter(pa.array(~might.test(batch.column(0))))
+                yield pa.RecordBatch.from_arrays([rest.column(1), rest.column(2), pa.nulls(rest.num_rows)], names=["doc_id", "text", "ranges"])
+
+        return run(clean())
+
+    return touched.mapInArrow(run, schema).unionAll(docs.select("doc", "doc_id", "text").mapInArrow(others, schema))
 
 
 def covered(text: bytes, ranges, length: int) -> np.ndarray | None:

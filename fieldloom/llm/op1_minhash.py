@@ -251,7 +251,11 @@ def _sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
     """id, members: the full sets of the documents in ``ids`` (id)."""
     ids = state.keep(ids.distinct(), "near-ids")
     might = semi.might_hold(ids, ids.count())
-    found = docs.where(might(F.col("doc_id"))).mapInArrow(_set_batches, "id long, members binary").join(ids, "id", "left_semi")
+
+    def asked(batches):
+        return _set_batches(b.filter(pa.array(might.test(b.column(0)))) for b in batches)
+
+    found = docs.mapInArrow(asked, "id long, members binary").join(ids, "id", "left_semi")
     return state.keep(found.dropDuplicates(["id"]), "near-sets")
 
 

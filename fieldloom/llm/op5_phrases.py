@@ -38,14 +38,18 @@ def _anchors(column: pa.Array):
         yield block, row, at - first[row], h[at]
 
 
-def _cut(text: bytes, at: list[tuple[int, int]]) -> Iterator[tuple[int, int, bytes, bytes]]:
+def _cut(texts: list[bytes], row: np.ndarray, pos: np.ndarray, shard: np.ndarray) -> Iterator[tuple[int, int, int, bytes, bytes]]:
     """Pieces as words joined by single spaces; the note holds where in the piece phrases stand."""
-    words = text.split()
-    places = np.array([p for p, _ in at])
-    for shard, begin, end in anchors.spans(at, PHRASE, WINDOW, len(words)):
+    split = [t.split() for t in texts]
+    length = np.array([len(w) for w in split])
+    order = np.lexsort((pos, row))
+    row, pos, shard = row[order], pos[order], shard[order]
+    begin_of = np.searchsorted(row, np.arange(len(texts) + 1))
+    for r, s, begin, end in zip(*(x.tolist() for x in anchors.spans(row, pos, shard, PHRASE, WINDOW, length)), strict=True):
         # phrases whose windows are in the piece: the same for equal pieces, as windows choose them
-        inside = places[(places >= begin) & (places + PHRASE <= end)] - begin
-        yield shard, begin, b" ".join(words[begin:end]), inside.astype("<u4").tobytes()
+        places = pos[begin_of[r] : begin_of[r + 1]]
+        inside = places[np.searchsorted(places, begin) : np.searchsorted(places, end - PHRASE, side="right")] - begin
+        yield r, s, begin, b" ".join(split[r][begin:end]), inside.astype("<u4").tobytes()
 
 
 def _ranks(ids: np.ndarray, ends: np.ndarray, window: int) -> np.ndarray:
@@ -121,7 +125,7 @@ def _prepared(docs: DataFrame) -> DataFrame:
 
 
 def removable(docs: DataFrame) -> DataFrame:
-    """docs (doc, doc_id, text) -> doc, mark, lo, hi: word ranges of recurring windows."""
+    """docs (doc, doc_id, text) -> doc, ranges: [(mark, lo, hi)], words of recurring windows."""
     size = docs.select(F.sum(F.length("text"))).first()[0] or 0
     at = anchors.recurring(docs, _anchors, size // 80 + 1, across=False)
     return anchors.by_shard(anchors.pieces(docs, at, _cut), solve, "value = 1")

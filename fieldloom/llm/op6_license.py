@@ -150,7 +150,7 @@ def method_labels(docs: DataFrame, templates=license_texts.TEMPLATES, k: int = K
                 out.append(found)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["doc_id", "found"])
 
-    candidates = docs.where(might(F.col("doc_id"))).join(spans, "doc_id")
+    candidates = docs.where(might.column(F.col("doc_id"))).join(spans, "doc_id")
     return candidates.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, found array<struct<label string, first long, last long, cover double>>")
 
 

@@ -5,12 +5,10 @@ shuffle.  False positives only cost a little shuffle: callers join exactly after
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
@@ -19,8 +17,28 @@ from . import twice
 MAX_BITS = 1 << 28
 
 
-def might_hold(ids: DataFrame, expected: int):
-    """A column function: False only for ids that ``ids`` (one long column) doesn't hold.  Null ids give False."""
+class Maybe:
+    """Tests ids against a broadcast filter: False only for ids that it doesn't hold.  Null ids give False."""
+
+    def __init__(self, held, bits: int):
+        self.held, self.bits = held, bits
+
+    def test(self, ids: pa.Array) -> np.ndarray:
+        """In an Arrow function that sees the ids anyway: needs no Python worker of its own."""
+        known = np.asarray(ids.is_valid())
+        keys = tb.mix(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+        return known & twice.Twice(self.held.value, self.bits).test(keys)
+
+    def column(self, ids: Column) -> Column:
+        @F.arrow_udf("boolean")
+        def might(column: pa.Array) -> pa.Array:
+            return pa.array(self.test(column))
+
+        return might(ids.cast("long"))
+
+
+def might_hold(ids: DataFrame, expected: int) -> Maybe:
+    """A filter over ``ids`` (one long column)."""
     bits = int(min(MAX_BITS, max(1 << 16, 1 << (max(1, expected) * 12 - 1).bit_length())))
     n_bytes = bits // 8
 
@@ -29,20 +47,12 @@ def might_hold(ids: DataFrame, expected: int):
         for batch in batches:
             keys = tb.mix(batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
             twice._set(bitmap, np.unique(np.concatenate(twice.probes(keys, bits))))
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bitmap, 1)], pa.binary())], names=["bits"])
+        yield pa.RecordBatch.from_arrays([pa.array([twice._packed(bitmap)], pa.binary())], names=["bits"])
 
     whole = np.zeros(n_bytes, np.uint8)
     for row in ids.coalesce(64).mapInArrow(scan, "bits binary").toLocalIterator():
-        whole |= np.frombuffer(zlib.decompress(row.bits), np.uint8)
-    held = ids.sparkSession.sparkContext.broadcast(whole)
-
-    @F.pandas_udf("boolean")
-    def test(column: pd.Series) -> pd.Series:
-        known = column.notna().to_numpy()
-        keys = tb.mix(column.fillna(0).to_numpy().astype(np.int64).view(np.uint64))
-        return pd.Series(known & twice.Twice(held.value, bits).test(keys))
-
-    return test
+        whole |= np.frombuffer(twice._unpacked(row.bits), np.uint8)
+    return Maybe(ids.sparkSession.sparkContext.broadcast(whole), bits)
 
 
 def without(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
@@ -51,7 +61,7 @@ def without(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFram
     name = ids.columns[0]
     might = might_hold(ids, ids.count())
     key, names = docs[column].cast("long"), docs.columns
-    asked = docs.withColumn("__maybe", might(key))
+    asked = docs.withColumn("__maybe", might.column(key))
     maybe = asked.where("__maybe").drop("__maybe")
     gone = ids.select(F.col(name).alias("__gone"))
     checked = maybe.join(gone, maybe[column].cast("long") == gone["__gone"], "left_anti").select(*names)

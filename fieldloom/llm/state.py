@@ -7,6 +7,7 @@ recomputation.  The setting is read from the session; only where it is unset (lo
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,15 +33,16 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._kept_at = path
+    return kept
 
 
-def drop(spark: SparkSession, df: DataFrame) -> None:
-    """Removes a table made by ``keep`` that nothing reads any more."""
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Removes kept tables that nothing will read again, and lets Spark remove the shuffle files of finished steps, which
+    it does when the driver finds their plans to be garbage."""
+    for table in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._kept_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def rows_of(spark: SparkSession, df: DataFrame) -> int:
-    return df.count()
+    gc.collect()
+    spark._jvm.System.gc()

@@ -9,11 +9,11 @@ the filter lets more through and the operators, which confirm exactly, only shuf
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +23,14 @@ _SEGMENT_BYTES = 1 << 20
 U = np.uint64
 
 
+def _packed(bitmap: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(bitmap)
+
+
+def _unpacked(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def bits_for(keys: int) -> int:
     want = max(1, int(keys)) * BITS_PER_KEY
     return int(min(MAX_BITS, max(MIN_BITS, 1 << (want - 1).bit_length())))
@@ -87,7 +95,7 @@ def build(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray
             one, two = once[k : k + step], twice[k : k + step]
             if one.any():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k // step], pa.int32()), pa.array([zlib.compress(one, 1)], pa.binary()), pa.array([zlib.compress(two, 1)], pa.binary())],
+                    [pa.array([k // step], pa.int32()), pa.array([_packed(one)], pa.binary()), pa.array([_packed(two)], pa.binary())],
                     names=["segment", "once", "twice"],
                 )
 
@@ -95,18 +103,18 @@ def build(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray
         held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             for k, one, two in zip(*(batch.column(i) for i in range(3)), strict=True):
-                one, two = (np.frombuffer(zlib.decompress(x.as_py()), np.uint8) for x in (one, two))
+                one, two = (np.frombuffer(_unpacked(x.as_py()), np.uint8) for x in (one, two))
                 if (h := held.get(k.as_py())) is None:
                     held[k.as_py()] = [one.copy(), two.copy()]
                 else:
                     h[1] |= two | (h[0] & one)
                     h[0] |= one
         for k, (_, two) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(two, 1)], pa.binary())], names=["segment", "twice"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_packed(two)], pa.binary())], names=["segment", "twice"])
 
     parts = df.mapInArrow(scan, "segment int, once binary, twice binary")
     merged = parts.repartition(max(1, min(64, n_bytes // step)), F.col("segment")).mapInArrow(merge, "segment int, twice binary")
     whole = np.zeros(n_bytes, np.uint8)
     for row in merged.toLocalIterator():  # at most MAX_BITS bits in all
-        whole[row.segment * step : (row.segment + 1) * step] = np.frombuffer(zlib.decompress(row.twice), np.uint8)
+        whole[row.segment * step : (row.segment + 1) * step] = np.frombuffer(_unpacked(row.twice), np.uint8)
     return Twice(whole, bits)
