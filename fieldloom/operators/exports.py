@@ -109,7 +109,8 @@ def colour_index(value: Column, low: Column, high: Column, entries: int = 1000,
 def csv_rows(table: DataFrame, width: int, keys: list[str]) -> DataFrame:
     """A map as text lines: keys, y, line; a comma after every value, NaN for no data."""
     cells = table.groupBy(*keys, "y").agg(F.map_from_entries(F.collect_list(F.struct(F.col("x").cast("int").alias("x"), F.col("value")))).alias("m"))
-    text = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda x: F.coalesce(F.format_string("%.6f", F.element_at("m", x)), F.lit("NaN")))
+    value = lambda x: F.element_at("m", x)
+    text = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda x: F.when(value(x).isNotNull(), F.format_string("%.6f", value(x))).otherwise(F.lit("NaN")))
     return cells.select(*keys, "y", F.concat(F.concat_ws(",", text), F.lit(",")).alias("line"))
 
 

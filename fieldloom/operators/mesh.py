@@ -78,7 +78,7 @@ def stencil_table(points: DataFrame, kind: str, coefficients: int, step: float)
         shift = [0.0] * coefficients
         for axis, sign in steps:
             shift[axis] += sign * step
-        probes.append(F.transform(F.col("deformation"), lambda v, k, shift=shift: v + F.get(F.array(*[F.lit(x) for x in shift]), k)))
+        probes.append(F.zip_with("deformation", F.array(*[F.lit(x) for x in shift]), lambda v, d: v + d))
     return points.select(*[c for c in points.columns if c != "deformation"], F.posexplode(F.array(*probes)).alias("probe", "deformation"))
 
 
