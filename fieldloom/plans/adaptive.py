@@ -5,73 +5,66 @@ One Arrow group a region: the mesh of a region is small, and its refinement is a
 from __future__ import annotations
 
 import math
+from collections import deque
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-JUMP, SHORTEST = 0.25, 2.0
+JUMP, SHORTEST, NEAREST = 0.25, 2.0, 0.25
 
 
-def _split(a, b, value):
-    """The new vertex of an edge: nearer to where the field changes, a quarter from the steeper end."""
-    (ax, ay), (bx, by) = a, b
-    ga, gb = _steepness(a, value), _steepness(b, value)
-    ratio = ga / (ga + gb) if ga + gb > 0 else 0.5
-    t = 1 - ratio if 0.25 <= ratio <= 0.75 else 0.25 if ratio > 0.75 else 0.75
-    return (math.floor(ax + (bx - ax) * t + 0.5), math.floor(ay + (by - ay) * t + 0.5))
+def _pixel(p) -> tuple[int, int]:
+    return math.floor(p[0] + 0.5), math.floor(p[1] + 0.5)
 
 
 def _steepness(p, value) -> float:
-    here = value(p)
-    total = 0.0
-    for dx, dy in ((1, 0), (0, 1)):
-        there = value((p[0] + dx, p[1] + dy))
+    """How much the field changes at a vertex: dx to the right, dy downwards; what is missing doesn't change."""
+    (x, y), total = _pixel(p), 0.0
+    here = value((x, y))
+    for axis, there in enumerate((value((x + 1, y)), value((x, y + 1)))):
         if here is not None and there is not None:
-            total += (there[0] - here[0]) ** 2 + (there[1] - here[1]) ** 2
-    return math.sqrt(total)
+            total += abs(here[axis] - there[axis])
+    return total
 
 
-def refined(points: list[tuple[int, int]], columns: int, value) -> list[tuple[int, int]]:
-    """points: a grid row by row.  value: (x, y) -> (dx, dy) or None."""
-    rows = len(points) // columns if columns else 0
-    seen = dict.fromkeys(points)
-    todo = []
+def _between(a, b, value):
+    """The vertex that cuts an edge: the mean of its ends weighted by their steepness, or, if one end is much steeper or
+    neither is steep, a quarter from the second end."""
+    u, v = _steepness(a, value), _steepness(b, value)
+    share = u / (u + v) if u + v > 0 else 0.0
+    share = share if NEAREST <= share <= 1 - NEAREST else NEAREST
+    return tuple(p * share + q * (1 - share) for p, q in zip(a, b, strict=True))
+
+
+def _differs(a, b, value) -> bool:
+    u, v = value(_pixel(a)), value(_pixel(b))
+    return u is not None and v is not None and math.dist(u, v) > JUMP
+
+
+def refined(points: list[tuple[float, float]], columns: int, value) -> list[tuple[float, float]]:
+    """points: a grid row by row, value: (x, y) -> (dx, dy) or None.  A triangle in which the field jumps is cut on every edge
+    that is long enough; triangles cut their edges by themselves, so a shared edge may be cut twice."""
+    out, rows = list(points), len(points) // columns if columns else 0
+    todo: deque = deque()
     for j in range(rows - 1):
         for i in range(columns - 1):
             a, b, c, d = (points[(j + y) * columns + i + x] for y in (0, 1) for x in (0, 1))
-            todo += [(a, b, c), (b, d, c)]
-    done = set()
+            todo += [(a, b, c), (b, c, d)]
     while todo:
-        tri = todo.pop()
-        (x0, y0), (x1, y1), (x2, y2) = tri
-        if frozenset(tri) in done or (x1 - x0) * (y2 - y0) == (x2 - x0) * (y1 - y0):  # seen, or without area
+        tri = todo.popleft()
+        if not any(_differs(tri[i], tri[j], value) for i, j in ((0, 1), (0, 2), (1, 2))):
             continue
-        done.add(frozenset(tri))
-        cut = {}
-        for k in range(3):
-            p, q = tri[k], tri[(k + 1) % 3]
-            u, v = value(p), value(q)
-            if u is None or v is None or math.dist(p, q) < SHORTEST or math.dist(u, v) <= JUMP:
-                continue
-            lo, hi = min(p, q), max(p, q)
-            m = _split(lo, hi, value)
-            if m not in (p, q):
-                cut[k] = m
-                seen.setdefault(m)
-        if len(cut) == 3:
-            m0, m1, m2 = cut[0], cut[1], cut[2]
-            todo += [(tri[0], m0, m2), (m0, tri[1], m1), (m2, m1, tri[2]), (m0, m1, m2)]
-        elif len(cut) == 2:
-            (k0, m0), (k1, m1) = sorted(cut.items())
-            if (k0, k1) == (0, 2):
-                k0, m0, k1, m1 = k1, m1, k0, m0
-            shared, before, after = tri[k1], tri[k0], tri[(k1 + 1) % 3]
-            todo += [(m0, shared, m1), (before, m0, m1), (before, m1, after)]
-        elif len(cut) == 1:
-            (k, m), = cut.items()
-            todo += [(tri[k], m, tri[(k + 2) % 3]), (m, tri[(k + 1) % 3], tri[(k + 2) % 3])]
-    return list(seen)
+        cuts = {(i, j): _between(tri[i], tri[j], value) for i, j in ((0, 1), (1, 2), (0, 2)) if math.dist(tri[i], tri[j]) >= SHORTEST}
+        out += cuts.values()
+        if len(cuts) == 1:  # two halves
+            (((i, j), m),) = cuts.items()
+            todo += [(tri[3 - i - j], tri[i], m), (tri[3 - i - j], tri[j], m)]
+        else:  # the corners between two cut edges, and what is left in the middle of three
+            todo += [(tri[k], *[m for e, m in cuts.items() if k in e]) for k in range(3) if sum(k in e for e in cuts) == 2]
+            if len(cuts) == 3:
+                todo.append(tuple(cuts.values()))
+    return out
 
 
 def refine(rois: DataFrame, previous: DataFrame | None, spacing: int, width: int, height: int) -> DataFrame:
