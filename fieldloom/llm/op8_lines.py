@@ -90,8 +90,11 @@ def first_holders(docs: DataFrame, min_code_points: int = MIN_CODE_POINTS) -> Da
 
 
 def _with_drops(docs: DataFrame, min_code_points: int) -> DataFrame:
-    drops = first_holders(docs, min_code_points).select(F.col("doc_id").alias("__doc"), F.col("drop").alias("__drop"))
-    return docs.join(drops.hint("shuffle_hash"), docs["doc_id"].cast("long") == drops["__doc"], "left").drop("__doc")
+    """``docs`` with one more column, the keys that the row loses (null: none), whatever its columns are called."""
+    names = docs.columns
+    doc, drop = state.free_name("__doc", names), state.free_name("__drop", names)
+    drops = first_holders(docs, min_code_points).select(F.col("doc_id").alias(doc), F.col("drop").alias(drop))
+    return docs.join(drops.hint("shuffle_hash"), docs["doc_id"].cast("long") == drops[doc], "left").select(*[docs[c] for c in names], drops[drop])
 
 
 def _kept(batch, text_at: int, drop_at: int, min_code_points: int):
@@ -114,7 +117,7 @@ def _kept(batch, text_at: int, drop_at: int, min_code_points: int):
 
 def line_digest(docs: DataFrame, min_code_points: int = MIN_CODE_POINTS) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of every row of ``docs``."""
-    joined = _with_drops(docs.select("doc_id", F.col("text").cast("string").alias("text")), min_code_points).select("doc_id", "text", "__drop")
+    joined = _with_drops(docs.select("doc_id", F.col("text").cast("string").alias("text")), min_code_points)
 
     def digest(batches):
         for batch in batches:
@@ -130,7 +133,7 @@ def line_digest(docs: DataFrame, min_code_points: int = MIN_CODE_POINTS) -> Data
 def dedup_lines(docs: DataFrame, min_code_points: int = MIN_CODE_POINTS) -> DataFrame:
     """``docs`` with the dropped lines gone from ``text``; the other columns as they are (a null text stays null)."""
     names = docs.columns
-    joined = _with_drops(docs, min_code_points).select(*names, "__drop")
+    joined = _with_drops(docs, min_code_points)
     text_at = names.index("text")
 
     def rewrite(batches):

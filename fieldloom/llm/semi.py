@@ -11,8 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import state, twice
 from . import textblocks as tb
-from . import twice
 
 MAX_BITS = 1 << 28
 
@@ -61,8 +61,9 @@ def without(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFram
     name = ids.columns[0]
     might = might_hold(ids, ids.count())
     key, names = docs[column].cast("long"), docs.columns
-    asked = docs.withColumn("__maybe", might.column(key))
-    maybe = asked.where("__maybe").drop("__maybe")
-    gone = ids.select(F.col(name).alias("__gone"))
-    checked = maybe.join(gone, maybe[column].cast("long") == gone["__gone"], "left_anti").select(*names)
-    return asked.where("not __maybe").select(*names).unionAll(checked)
+    maybe_name, gone_name = state.free_name("__maybe", names), state.free_name("__gone", names)
+    asked = docs.withColumn(maybe_name, might.column(key))
+    maybe = asked.where(F.col(maybe_name)).select(*names)
+    gone = ids.select(F.col(name).alias(gone_name))
+    checked = maybe.join(gone, maybe[column].cast("long") == gone[gone_name], "left_anti").select(*names)
+    return asked.where(~F.col(maybe_name)).select(*names).unionAll(checked)

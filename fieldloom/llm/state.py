@@ -28,6 +28,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/fieldloom/{name}-{uuid.uuid4().hex}"
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores added until no column has it (names differ by more than case)."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts lineage and outlives executors."""
     spark = df.sparkSession
