@@ -30,7 +30,7 @@ from . import semi, state, twice
 from . import textblocks as tb
 
 #: Anchors (of about a dozen items of text) in a shard; an owner with more is split.
-SHARD_ANCHORS = 60_000
+SHARD_ANCHORS = 30_000
 
 
 def _sliding(x: np.ndarray, width: int, better: Callable) -> np.ndarray:
