@@ -10,7 +10,7 @@ from ..operators import correlate, exports, fields, lookups, mesh, statistics
 from ..sources.tables import field, frame_a, frame_b, r6, table, votes
 from . import solvers
 from .catalog import query
-from .queries_scalar import _rois
+from .queries_scalar import _blur_sql, _rois
 
 # --- the mesh of the whole frame: half size 3, spacing 8 ---------------------------------------------------------
 
@@ -778,7 +778,7 @@ def snk_config(spark, sf_dir):
     return config.config_lines(z.withColumn("region", F.lit("0;0;9;9")))
 
 
-@query("win_gauss", None)
+@query("win_gauss", _blur_sql(7), "a")
 def win_gauss(spark, sf_dir):
     from ..functions import sampling
 

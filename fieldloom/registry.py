@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .plans import catalog
 from .plans import queries_fields as _fields  # noqa: F401  (registers)
+from .plans import queries_more as _more  # noqa: F401  (registers)
 from .plans import queries_scalar as _scalar  # noqa: F401  (registers)
 from .ship import shipped
 
