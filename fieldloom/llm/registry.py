@@ -20,8 +20,10 @@ _QUERIES = {
 }
 QUERIES = {name: shipped(query) for name, query in _QUERIES.items()}
 ORACLE_SQL = {
+    "op1_minhash": op1_minhash.ORACLE,
     "op2_warc": op2_warc.ORACLE,
     "op3_vptree": op3_vptree.ORACLE,
     "op5_phrases": op5_phrases.ORACLE,
+    "op10_suffix": op10_suffix.ORACLE,
     "op8_line_dedup": op8_lines.ORACLE,
 }
