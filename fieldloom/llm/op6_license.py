@@ -14,6 +14,7 @@ share a doc_id share the method's labels.  An empty table gives an empty table.
 from __future__ import annotations
 
 import difflib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -103,7 +104,9 @@ def _votes(docs: DataFrame, templates, k: int) -> DataFrame:
 
 def _spans(votes: DataFrame, sizes: list[int], k: int, merge: int, min_cover: float) -> DataFrame:
     """doc_id, spans: [(template, low, high)] whose merged diagonals might cover enough of the template."""
-    need = F.element_at(F.array(*[F.lit(max(1, int(min_cover * n) - 2 * k)) for n in sizes]), F.col("template") + 1)
+    # a word that differs spoils k grams at most, so a span that covers enough has at least so many votes
+    least = [max(1, math.floor(n * (1 - k * (1 - min_cover))) - (k - 1)) for n in sizes]
+    need = F.element_at(F.array(*map(F.lit, least)), F.col("template") + 1)
     by_doc = votes.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("template", "diagonal", "votes", "low", "high"))).alias("d"))  # bounded by the document's words
 
     # fold neighbouring diagonals of a template into runs

@@ -9,8 +9,8 @@ Evidence of one document (or page):
 The extra class ``und`` (no language) spreads letters evenly.  The posterior is their normalised product; a document is
 rejected if ``und`` wins, that is, if its text looks less like any known language than like letters drawn at random.
 
-The trigram models are fitted on at most about SAMPLE_ROWS labelled rows, chosen by hash of the id; everything else
-covers all rows.  Counts shuffle after partial aggregation; a host with a third of all rows is one row a task, and its
+The trigram models are fitted on at most about SAMPLE_ROWS labelled rows, chosen by hash of the id, for the languages that
+at least one labelled row in a thousand declares; everything else covers all rows.  Counts shuffle after partial aggregation; a host with a third of all rows is one row a task, and its
 join back is one that Spark can split.
 
 Defined results.  Null or empty text, or text without letters: the likelihoods are equal, so the other evidence decides;

@@ -203,9 +203,11 @@ def test_licences(spark):
 
     mit = license_texts.TEMPLATES[3][1]
     changed = mit.replace("free of charge", "at no charge whatsoever").replace("merge, ", "")
-    docs = [(1, "x " + mit + " y MIT License"), (2, "some " + changed), (3, "mit  LICENSE; apache-license GENERAL public license mit license"), (4, None), (5, ""), (6, "license mit"), (7, "word " * 500), (None, "MIT License"), (8, "a €mit license"), (9, "permission is hereby granted"), (3, "mit  LICENSE; apache-license GENERAL public license mit license")]
+    every_sixth = " ".join("zz%d" % i if i % 6 == 5 else w for i, w in enumerate(mit.split()))
+    docs = [(1, "x " + mit + " y MIT License"), (2, "some " + changed), (10, every_sixth), (3, "mit  LICENSE; apache-license GENERAL public license mit license"), (4, None), (5, ""), (6, "license mit"), (7, "word " * 500), (None, "MIT License"), (8, "a €mit license"), (9, "permission is hereby granted"), (3, "mit  LICENSE; apache-license GENERAL public license mit license")]
     got = {r.doc_id: r for r in op6_license.scan(cases.documents(spark, docs).withColumn("labels", F.lit("clash"))).collect()}
     assert (got[1].base_labels, got[1].labels, got[1].n_base) == ("mit", "mit", 1) and got[1].score == 1.0
+    assert got[10].labels == "mit"
     assert (got[2].n_base, got[2].base_labels, got[2].labels) == (0, "", "mit") and 0.8 <= got[2].score < 1
     assert (got[3].n_words, got[3].n_base, got[3].first_word, got[3].last_word, got[3].labels) == (9, 4, 0, 7, "apache,gpl,mit")
     for d in (4, 5):
