@@ -20,7 +20,6 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = f"{LOCAL_FALLBACK}/{spark.sparkContext.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
