@@ -39,7 +39,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts lineage and outlives executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     kept = spark.read.schema(df.schema).parquet(path)
     kept._kept_at = path
     return kept
