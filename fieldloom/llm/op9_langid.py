@@ -9,8 +9,11 @@ Evidence of one document (or page):
 The extra class ``und`` (no language) spreads letters evenly.  The posterior is their normalised product; a document is
 rejected if ``und`` wins, that is, if its text looks less like any known language than like letters drawn at random.
 
-The trigram models are fitted on at most about SAMPLE_ROWS labelled rows, chosen by hash of the id, for the languages that
-at least one labelled row in a thousand declares; everything else covers all rows.  Counts shuffle after partial aggregation; a host with a third of all rows is one row a task, and its
+Every declared language has a trigram model.  The models are fitted on a sample of labelled rows, chosen by hash of the id:
+about SAMPLE_ROWS as they come, and of rare languages an equal share of as many again, LEAST_ROWS at least; everything else
+covers all rows.  The DENSE commonest languages are columns of a table, the others lists of the trigrams they hold, so that
+the models grow with the sampled text.  A model is sound if it explains its own sampled rows, each trigram left out once,
+better than ``und`` does; ``und`` can't reject a document whose declared language has no sound model.  Counts shuffle after partial aggregation; a host with a third of all rows is one row a task, and its
 join back is one that Spark can split.
 
 Defined results.  Null or empty text, or text without letters: the likelihoods are equal, so the other evidence decides;
@@ -20,6 +23,8 @@ the same rules.  Repeated rows are judged alike.  An empty table gives an empty
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +34,8 @@ from . import semi, state
 from . import textblocks as tb
 
 SAMPLE_ROWS = 8000
-MAX_LANGUAGES = 64
+LEAST_ROWS = 16
+DENSE = 64
 TEMPER, KAPPA, ALPHA, UND_PRIOR = 0.25, 20.0, 0.5, 1e-6
 NO_LANGUAGE = "und"
 
@@ -54,45 +60,89 @@ def _trigrams(block: tb.Block) -> tuple[np.ndarray, np.ndarray]:
     return (left[at] * _N + code[at]) * _N + right[at], np.searchsorted(block.offs, at, side="right") - 1
 
 
-def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages, and log P(trigram | language) as a float32 table, from about ``sample_rows`` labelled rows."""
+@dataclass
+class Model:
+    """log P(trigram | language): a float32 table for the commonest languages, for the others only the trigrams they hold."""
+
+    dense: list[int]  # languages of the table's columns
+    table: np.ndarray
+    sparse: list[int]  # the other languages
+    starts: np.ndarray  # by trigram (CSR)
+    column: np.ndarray  # place in sparse
+    gain: np.ndarray  # over the language's base
+    base: np.ndarray  # of a trigram that the language doesn't hold
+
+    def scores(self, gram: np.ndarray, cut: np.ndarray) -> np.ndarray:
+        """Log likelihoods by row (grams cut[r] .. cut[r+1]-1) and language."""
+        rows = len(cut) - 1
+        out = np.zeros((rows, len(self.dense) + len(self.sparse)))
+        total = np.zeros((len(gram) + 1, len(self.dense)))
+        total[1:] = np.cumsum(self.table[gram], axis=0, dtype=np.float64)
+        out[:, self.dense] = total[cut[1:]] - total[cut[:-1]]
+        if self.sparse:
+            n = self.starts[gram + 1] - self.starts[gram]
+            at = np.repeat(self.starts[gram] - np.concatenate(([0], np.cumsum(n)[:-1])).astype(np.int64), n) + np.arange(int(n.sum()))
+            row = np.repeat(np.repeat(np.arange(rows), np.diff(cut)), n)
+            gain = np.bincount(row * len(self.sparse) + self.column[at], weights=self.gain[at], minlength=rows * len(self.sparse))
+            out[:, self.sparse] = gain.reshape(rows, -1) + np.diff(cut)[:, None] * self.base
+        return out
+
+
+def _model(lang: np.ndarray, gram: np.ndarray, n: np.ndarray, common: list[int]) -> tuple[Model, np.ndarray]:
+    """Model of counted trigrams; ``common``: languages, the commonest first.  Also which languages' models are sound."""
+    k, a = len(common), ALPHA / 10
+    held = np.bincount(lang, weights=n, minlength=k)
+    base = np.log(a / (held + a * _N**3))
+    once_less = np.log((n - 1 + a) / (held[lang] - 1 + a * _N**3))
+    sound = np.bincount(lang, weights=n * once_less, minlength=k) > _UND * held
+    dense, sparse = sorted(common[:DENSE]), sorted(common[DENSE:])
+    place = np.zeros(k, np.int64)
+    place[dense], place[sparse] = np.arange(len(dense)), np.arange(len(sparse))
+    inside = np.isin(lang, dense)
+    table = np.tile(base[dense].astype(np.float32), (_N**3, 1))
+    table[gram[inside], place[lang[inside]]] = np.log((n[inside] + a) / (held[lang[inside]] + a * _N**3))
+    lang, gram, n = lang[~inside], gram[~inside], n[~inside]
+    order = np.argsort(gram, kind="stable")
+    starts = np.concatenate(([0], np.cumsum(np.bincount(gram, minlength=_N**3)))) if sparse else np.zeros(0, np.int64)
+    return Model(dense, table, sparse, starts, place[lang[order]], np.log((n[order] + a) / a), base[sparse]), sound
+
+
+def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], Model | None, list[str]]:
+    """All declared languages, their model, and those whose model is sound."""
     spark = docs.sparkSession
     labelled = docs.where("declared is not null and declared != ''")
-    counts = labelled.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(MAX_LANGUAGES).collect()
-    total = sum(r["count"] for r in counts)
-    names = sorted(r["declared"] for r in counts if r["count"] * 1000 >= total)
-    if not names:
-        return [], np.zeros((_N**3, 0), np.float32)
-    share = min(1.0, sample_rows / total)
-    sample = labelled.where((F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))) & F.col("declared").isin(names)).select("declared", "text")
+    counts = labelled.groupBy("declared").count().orderBy(F.desc("count"), "declared").collect()
+    if not counts:
+        return [], None, []
+    names = sorted(r["declared"] for r in counts)
     index = {x: i for i, x in enumerate(names)}
+    least = max(LEAST_ROWS, sample_rows // len(names))
+    share = sample_rows / sum(r["count"] for r in counts)
+    limits = [(r["declared"], index[r["declared"]], int(min(1.0, max(share, least / r["count"])) * (1 << 30))) for r in counts]
+    limits = spark.createDataFrame(limits, "l_ string, lang int, below long")
+    sample = labelled.join(F.broadcast(limits), F.col("declared") == F.col("l_")).where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.col("below")).select("lang", "text")
 
     def count(batches):
-        table = np.zeros((len(names), _N**3), np.int64)
         for batch in batches:
-            label = np.array([index[x] for x in batch.column(0).to_pylist()], np.int64)
+            label = batch.column(0).to_numpy()
             for block in tb.blocks(batch.column(1)):
                 gram, row = _trigrams(block)
-                key, n = np.unique(label[block.lo + row] * _N**3 + gram, return_counts=True)
-                table.reshape(-1)[key] += n
-        lang, gram = np.nonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(gram, pa.int32()), pa.array(table[lang, gram], pa.int64())], names=["lang", "gram", "n"])
+                key, n = np.unique(label[block.lo + row] * np.int64(_N**3) + gram, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key // _N**3, pa.int32()), pa.array(key % _N**3, pa.int32()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
     seen = sample.mapInArrow(count, "lang int, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    table = np.zeros((_N**3, len(names)))
-    for r in seen.toLocalIterator():  # at most MAX_LANGUAGES * _N**3 numbers, whatever the corpus
-        table[r.gram, r.lang] = r.n
-    table += ALPHA / 10
-    return names, np.log(table / table.sum(axis=0)).astype(np.float32)
+    lang, gram, n = np.array([tuple(r) for r in seen.toLocalIterator()], np.int64).reshape(-1, 3).T  # at most the sample's trigrams
+    model, sound = _model(lang, gram, n, [index[r["declared"]] for r in counts])
+    return names, model, [x for x, good in zip(names, sound, strict=True) if good]
 
 
 #: log probability of a trigram whose bytes are drawn evenly from letters and one separator.
 _UND = -3 * np.log(27.0)
 
 
-def text_scores(docs: DataFrame, names: list[str], table: np.ndarray) -> DataFrame:
+def text_scores(docs: DataFrame, names: list[str], fitted: Model) -> DataFrame:
     """Everything but the text, with ll: log likelihood by language and, last, by no language."""
-    held = docs.sparkSession.sparkContext.broadcast(table)
+    held = docs.sparkSession.sparkContext.broadcast(fitted)
     k = len(names)
 
     def run(batches):
@@ -101,11 +151,8 @@ def text_scores(docs: DataFrame, names: list[str], table: np.ndarray) -> DataFra
             parts = []
             for block in tb.blocks(batch.column(1)):
                 gram, row = _trigrams(block)
-                total = np.zeros((len(gram) + 1, k + 1))
-                total[1:, :k] = np.cumsum(model[gram], axis=0, dtype=np.float64)
-                total[1:, k] = _UND * np.arange(1, len(gram) + 1)
                 cut = np.searchsorted(row, np.arange(block.rows + 1))
-                parts.append(total[cut[1:]] - total[cut[:-1]])
+                parts.append(np.column_stack((model.scores(gram, cut), _UND * np.diff(cut))))
             ll = np.concatenate(parts) if parts else np.zeros((0, k + 1))
             lists = tb.list_array(np.full(len(ll), k + 1), ll.reshape(-1), pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), lists], names=["id", "declared", "host", "suffix", "ll"])
@@ -130,11 +177,11 @@ def _sums(df: DataFrame, by: list[str], k: int) -> DataFrame:
 def posteriors(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """docs (id, text, declared, host, suffix) -> id, declared, language, posterior, kept."""
     spark = docs.sparkSession
-    names, table = fit(docs, sample_rows)
+    names, model, sound = fit(docs, sample_rows)
     if not names:
         return docs.select("id", "declared", F.lit(NO_LANGUAGE).alias("language"), F.lit(1.0).alias("posterior"), F.lit(False).alias("kept"))
     k = len(names)
-    scores = state.keep(_soft(text_scores(docs, names, table), names), "langid-scores")
+    scores = state.keep(_soft(text_scores(docs, names, model), names), "langid-scores")
 
     globe = np.array([float(x or 0) for x in _sums(scores, [], k).first()]) + 1.0
     globe /= globe.sum()
@@ -153,13 +200,14 @@ def posteriors(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     host = hosts.select(F.col("host").alias("h_"), F.col("suffix").alias("hs_"), F.array(*[(F.col(f"s{i}") + KAPPA * F.col("up")[i]) / (n + KAPPA) for i in range(k)]).alias("p_host"))
     host = state.keep(host, "langid-hosts")  # so that the join below deals out both sides, and a hot host can be split
 
-    joined = scores.join(F.broadcast(state.keep(declared, "langid-declared")) if kinds <= 10000 else declared, F.col("declared") == F.col("d_"), "left")
+    joined = scores.join(F.broadcast(state.keep(declared, "langid-declared")) if kinds * k <= 640000 else declared, F.col("declared") == F.col("d_"), "left")
     joined = joined.join(host, (F.col("host") == F.col("h_")) & F.col("suffix").eqNullSafe(F.col("hs_")), "left")
     zero = F.array(*[F.lit(0.0)] * k)
     joined = joined.withColumn("log_declared", F.coalesce("log_declared", zero)).withColumn("prior", F.coalesce("p_host", base))
+    judged = F.col("declared").isNull() | F.col("declared").isin("", *sound)
     logs = F.array(
         *[F.col("ll")[i] * TEMPER + F.col("log_declared")[i] + F.log(F.col("prior")[i]) for i in range(k)],
-        F.col("ll")[k] * TEMPER + F.array_max("log_declared") + F.lit(float(np.log(UND_PRIOR))),
+        F.when(judged, F.col("ll")[k] * TEMPER + F.array_max("log_declared") + F.lit(float(np.log(UND_PRIOR)))).otherwise(float("-inf")),
     )
     joined = joined.withColumn("lp", logs).withColumn("top", F.array_max("lp"))
     best = F.array_position("lp", F.col("top"))

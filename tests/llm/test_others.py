@@ -315,6 +315,24 @@ def test_rejection_and_missing_evidence(spark):
     assert op9_langid.posteriors(op9_langid.from_documents(cases.documents(spark, []))).collect() == []
 
 
+def test_rare_languages(spark):
+    """One row in thousands, in a script no other row has: it is that language, and the table's other rows don't matter."""
+    russian = "река течёт через старый город и люди вечером гуляют по её берегам пока не стемнеет"
+    rows = [*langs(0, 2500), (9000, " ".join([russian] * 4), "ru", "h0.com", 400), (9001, "γη " * 300, "el", None, 900)]
+    got = {r.id: r for r in op9_langid.posteriors(op9_langid.from_documents(cases.documents(spark, rows)), 300).collect()}
+    assert got[9000].language == "ru" and got[9000].kept and got[9001].language == "el" and got[9001].kept
+    assert {9000, 9001} <= {r.doc_id for r in op9_langid.keep_known(cases.documents(spark, rows), 300).collect()}
+
+
+def test_more_languages_than_the_table_holds(spark, monkeypatch):
+    rows = langs() + [(5000 + 10 * i + j, " ".join(["".join(chr(0x400 + 8 * i + (j * 7 + m * m) % 8) for m in range(5))] * 30), "x%d" % i, None, 180) for i in range(12) for j in range(4)]
+    docs = op9_langid.from_documents(cases.documents(spark, rows))
+    whole = {r.id: (r.language, r.kept, round(r.posterior, 4)) for r in op9_langid.posteriors(docs).collect()}
+    monkeypatch.setattr(op9_langid, "DENSE", 2)
+    assert {r.id: (r.language, r.kept, round(r.posterior, 4)) for r in op9_langid.posteriors(docs).collect()} == whole
+    assert all(kept for _, kept, _ in whole.values()) and {x for i, (x, _, _) in whole.items() if i >= 5000} == {"x%d" % i for i in range(12)}
+
+
 def test_page_evidence(spark):
     rows = [(i, f"https://w{i % 3}.example.{s.rsplit('.')[-1]}/p?q", f"<HTML class='a' lang='{x}-X'><script>var the = 1</script><p>{t}</p><!-- {SAID['en']} --></html>") for i, t, x, s, _ in langs(2, 90)]
     rows += [(500, None, None), (501, "no address", "<html><p>" + SAID["de"])]
