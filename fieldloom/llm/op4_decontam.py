@@ -10,8 +10,8 @@ Weak-AND with block maxima, in two steps that leave out only what can't reach th
     whose every sum plus the entry's lighter rest stays below the threshold is done;
   * for the others, the cursor search: postings in entry order, in blocks with their maximum, pivot by the terms'
     maxima, blocks skipped by theirs.
-Retrieved entries are verified: the shares of the item's question trigrams and answer bigrams in the document around
-the passage.  Documents never shuffle.  The index is broadcast in groups of at most GROUP_TERMS postings each; a
+Every retrieved passage and entry is verified: the shares of the item's question trigrams and answer bigrams in the
+document around the passage.  A document's score for an item is the best among the passages that pass.  Documents never shuffle.  The index is broadcast in groups of at most GROUP_TERMS postings each; a
 benchmark beyond that takes another scan per group, not a larger broadcast.
 
 Defined results.  Null or empty text: no passage.  Items without words take no part.  Null doc_id: judged, id null.
@@ -200,7 +200,7 @@ def _passages(first: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def find_in_block(index: Index, buf: np.ndarray, offs: np.ndarray, threshold: float, min_question: float, min_answer: float, passage: int = PASSAGE, verify: bool = True) -> Iterator[tuple[int, int, float, float, float, int]]:
-    """Leaks of a block: row, item_id, score, question and answer overlap, first word; the best passage of each."""
+    """Leaks of a block: row, item_id, score, question and answer overlap, first word; of each, the best passage that passes."""
     if not len(index.vocabulary):
         return
     lower = tb.LOWER[buf]
@@ -230,24 +230,26 @@ def find_in_block(index: Index, buf: np.ndarray, offs: np.ndarray, threshold: fl
     keys, inverse = np.unique(key, return_inverse=True)
     total = np.bincount(inverse, weights=weights[where], minlength=len(keys)) + index.rest[keys % len(index.rest)]
     alive = np.unique(keys[total >= threshold - 1e-9] // len(index.rest))
-    best: dict[tuple[int, int], tuple] = {}
+    found: dict[tuple[int, int], dict[tuple[int, int], float]] = defaultdict(dict)  # row and item -> passages and their score
     for q in alive.tolist():
         terms = np.unique(term[lo[q] : hi[q]][known[lo[q] : hi[q]]]).tolist()
         for entry, score in block_max_wand(index, terms, threshold):
-            k = (int(row[q]), index.entry_item[entry])
-            if k not in best or best[k][0] < score:
-                best[k] = (score, int(lo[q]), int(hi[q]))
-    raw = lower.tobytes() if best else b""
-    for (r, i), (score, x, y) in sorted(best.items()):
+            at = found[int(row[q]), index.entry_item[entry]]
+            where = (int(lo[q]), int(hi[q]))
+            at[where] = max(at.get(where, 0.0), score)
+    raw = lower.tobytes() if found else b""
+    for (r, i), places in sorted(found.items()):
         item_id, text = index.items[i]
         question, answer = question_and_answer(text)
         reach = len(question) + len(answer)
-        x0, y0 = max(int(first[r]), x - reach), min(int(first[r + 1]), y + reach)
-        near = [raw[s[j] : e[j]].decode("utf-8") for j in range(x0, y0)]
-        share = lambda w, n: (lambda g, d: len(g & d) / len(g) if g else 0.0)(_grams(w, n), _grams(near, min(n, len(w))))  # noqa: B023, E731
-        q_share, a_share = share(question, 3), share(answer, 2)
-        if not verify or q_share >= min_question and a_share >= min_answer:
-            yield r, item_id, score, q_share, a_share, x - int(first[r])
+        share = lambda w, n, near: (lambda g: len(g & _grams(near, min(n, len(w)))) / len(g) if g else 0.0)(_grams(w, n))
+        for (x, y), score in sorted(places.items(), key=lambda at: (-at[1], at[0])):  # the best that passes
+            x0, y0 = max(int(first[r]), x - reach), min(int(first[r + 1]), y + reach)
+            near = [raw[s[j] : e[j]].decode("utf-8") for j in range(x0, y0)]
+            q_share, a_share = share(question, 3, near), share(answer, 2, near)
+            if not verify or q_share >= min_question and a_share >= min_answer:
+                yield r, item_id, score, q_share, a_share, x - int(first[r])
+                break
 
 
 def _items(benchmark: DataFrame) -> list[tuple[int, str]]:

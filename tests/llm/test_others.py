@@ -165,6 +165,19 @@ def test_leaks(spark):
     assert sorted((r.doc_id for r in clean.collect()), key=repr) == sorted((d for d, _ in docs if d is not None and not 100 <= d <= 120), key=repr)
 
 
+def test_whole_copy_after_a_quoted_question(spark):
+    """The passage with the best score holds no answer; the copy far behind it counts."""
+    items, _ = benchmark_and_documents()
+    say = lambda n: " ".join("zq%d" % (i % 89) for i in range(n))
+    question = " ".join(items[20][1].split(" ")[:100])  # two of the item's entries, without its answer
+    edited = items[0][1].replace(items[0][1].split(" ")[3], "other")  # scores less than the question it follows
+    docs = [(1, f"{question} {say(900)} {items[20][1]}"), (2, f"{question} {say(900)}"), (3, f"{items[0][1].rsplit('.', 2)[0]} {say(900)} {edited} {say(50)}")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in op4_decontam.leaks(cases.documents(spark, docs), bench).collect()}
+    assert set(got) == {(1, 20), (3, 0)} and all(r.first_word > 500 for r in got.values())
+    assert [r.doc_id for r in op4_decontam.decontaminate(cases.documents(spark, docs), bench).collect()] == [2]
+
+
 def test_index_groups_agree(spark, monkeypatch):
     items, docs = benchmark_and_documents()
     bench = spark.createDataFrame(items, "item_id long, text string")
