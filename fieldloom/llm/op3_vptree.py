@@ -11,7 +11,8 @@ Equal vectors of a shard are one point of its tree with their smallest k + 1 ids
 so a vector that a third of the rows share costs no more than another.
 
 Defined results.  Vectors that are null, empty, zero or hold null or non-finite components take no part, as query or as
-candidate.  Only vectors of equal length meet.  Null ids take no part.  Ties go to the smaller id.  Rows that repeat an
+candidate.  Only vectors of equal length meet.  Null ids take no part.  Ties, that is cosines equal in
+DECIMALS decimals, go to the smaller id, however many tie.  Rows that repeat an
 id and vector are one candidate.  An empty table gives no rows.  Extra columns are ignored.
 """
 
@@ -31,6 +32,9 @@ from . import state
 SHARD_ROWS, QUERY_ROWS, LEAF = 8192, 1024, 256
 K, FACTOR = 5, 1.0
 _SLACK = 1e-7  # of distances near zero, where the square root of a rounding error counts
+#: Cosines that are equal in so many decimals tie; _TIE covers them and rounding errors, as squared chord.
+DECIMALS, _TIE = 12, 1e-11
+PAIRS = 50_000  # scored at a time
 
 
 @dataclass
@@ -75,14 +79,27 @@ def build_tree(ids: np.ndarray, vectors: np.ndarray, k: int = K, leaf: int = LEA
 
 
 class Search:
-    """A block of queries in one tree: keeps each query's nearest points found so far."""
+    """A block of queries in one tree: keeps each query's nearest distances so far, and every point not beyond the last of them or tied with it."""
 
     def __init__(self, tree: Tree, unit: np.ndarray, keep: int, factor: float):
         self.tree, self.unit, self.factor = tree, unit, factor
         self.far = np.full((len(unit), keep), np.inf)
-        self.point = np.full((len(unit), keep), -1)
+        self.near: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # query, point, distance
         self.scanned = 0
 
+    def reach(self, active: np.ndarray) -> np.ndarray:
+        return np.sqrt(self.far[active, -1] ** 2 + _TIE)
+
+    def candidates(self) -> tuple[np.ndarray, np.ndarray]:
+        """Queries, ascending, and their points: all that may be among the nearest, however many tie."""
+        if not self.near:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        q, p, d = (np.concatenate(c) for c in zip(*self.near, strict=True))
+        within = d <= self.reach(q)
+        q, p = q[within], p[within]
+        order = np.argsort(q, kind="stable")
+        return q[order], p[order]
+
     def run(self) -> Search:
         if self.tree.nodes:
             self._visit(0, np.arange(len(self.unit)))
@@ -93,13 +110,11 @@ class Search:
         if len(n) == 2:
             lo, hi = n
             self.scanned += len(active) * (hi - lo)
-            d = np.concatenate((self.far[active], _chord(self.unit[active], self.tree.unit[lo:hi])), axis=1)
-            p = np.concatenate((self.point[active], np.broadcast_to(np.arange(lo, hi), (len(active), hi - lo))), axis=1)
+            d = _chord(self.unit[active], self.tree.unit[lo:hi])
             keep = self.far.shape[1]
-            at = np.argpartition(d, keep - 1, axis=1)[:, :keep]
-            d, p = np.take_along_axis(d, at, 1), np.take_along_axis(p, at, 1)
-            order = np.argsort(d, axis=1, kind="stable")
-            self.far[active], self.point[active] = np.take_along_axis(d, order, 1), np.take_along_axis(p, order, 1)
+            self.far[active] = np.sort(np.partition(np.concatenate((self.far[active], d), axis=1), keep - 1, axis=1)[:, :keep], axis=1)
+            i, j = np.nonzero(d <= self.reach(active)[:, None])
+            self.near.append((active[i], lo + j, d[i, j]))
             return
         d = _chord(self.unit[active], n[2][None, :])[:, 0]
         bounds = [np.maximum(0.0, np.maximum(d - h[2], h[1] - d)) for h in (n[3], n[4])]
@@ -107,7 +122,7 @@ class Search:
         for turn in (0, 1):  # first the half that is nearer to each query, then the other
             for half in (0, 1):
                 mine = (nearer == half) if turn == 0 else (nearer != half)
-                go = mine & (bounds[half] <= self.factor * self.far[active, -1] + _SLACK)
+                go = mine & (bounds[half] <= self.factor * self.reach(active) + _SLACK)
                 if go.any():
                     self._visit(n[3 + half][0], active[go])
 
@@ -116,18 +131,22 @@ def search(tree: Tree, query_ids: np.ndarray, queries: np.ndarray, k: int = K, f
     """(query id, id, cosine) of each query's k nearest in the tree, itself not counted."""
     queries = np.ascontiguousarray(queries, dtype=np.float64)
     norm = np.sqrt((queries * queries).sum(axis=1))
-    keep = min(k + 3, max(1, len(tree.vectors)))  # some more, as the exact scores may order close ones otherwise
-    found = Search(tree, queries / norm[:, None], keep, factor).run()
-    q, c = np.nonzero(found.point >= 0)
-    p = found.point[q, c]
-    v = tree.vectors[p]
-    score = (queries[q] * v).sum(axis=1) / (norm[q] * np.sqrt((v * v).sum(axis=1)))
-    out, at = [], 0
+    keep = min(k + 1, max(1, len(tree.vectors)))  # one more, as a point may hold nothing but the query
+    q, p = Search(tree, queries / norm[:, None], keep, factor).run().candidates()
+    score = np.zeros(len(q))
+    for a in range(0, len(q), PAIRS):
+        part, v = q[a : a + PAIRS], tree.vectors[p[a : a + PAIRS]]
+        score[a : a + PAIRS] = (queries[part] * v).sum(axis=1) / (norm[part] * np.sqrt((v * v).sum(axis=1)))
+    # of each query, the k + 1 first points by score, then smallest id: later ones come after k other ids
+    first = np.array([x[0] for x in tree.ids], np.int64)
+    order = np.lexsort((first[p], -np.round(score, DECIMALS), q))
+    q, p, score = q[order], p[order], score[order]
+    out = []
     cut = np.searchsorted(q, np.arange(len(queries) + 1))
     for i in range(len(queries)):
         me = int(query_ids[i])
-        near = sorted((-float(score[j]), x) for j in range(cut[i], cut[i + 1]) for x in tree.ids[p[j]] if x != me)
-        out += [(me, x, -s) for s, x in near[:k]]
+        near = sorted((-float(np.round(score[j], DECIMALS)), x, float(score[j])) for j in range(cut[i], min(cut[i] + k + 1, cut[i + 1])) for x in tree.ids[p[j]] if x != me)
+        out += [(me, x, s) for _, x, s in near[:k]]
     return out
 
 
@@ -179,10 +198,11 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K, factor: float = FAC
                 ids, vectors = pickle.loads(block.as_py())
                 got = search(pickle.loads(tree.as_py()), ids, vectors, k, factor)
                 if got:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
+                    columns = [pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(np.round(columns[2].to_numpy(), DECIMALS))], names=["query_id", "vec_id", "score", "near"])
 
-    found = cells.select("tree", "queries").mapInArrow(run, "query_id long, vec_id long, score double").distinct()
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
+    found = cells.select("tree", "queries").mapInArrow(run, "query_id long, vec_id long, score double, near double").distinct()
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")).cast("int")
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -133,6 +133,17 @@ def test_smaller_factors_prune_more():
     assert len(exact & near) / len(exact) >= 0.9
 
 
+@pytest.mark.parametrize("shard_rows", [10000, 30])
+def test_many_ties_go_to_the_smaller_id(spark, shard_rows):
+    scaled = [(i, [0.1 * (i + 1), 0.3 * (i + 1), 0.7 * (i + 1)]) for i in range(199, -1, -1)]  # one direction, all different
+    hot = [(1000 + i, [float(i == j) for j in range(30)]) for i in range(30)]  # all at cosine 0
+    df = spark.createDataFrame(scaled + hot, "vec_id long, embedding array<double>")
+    v = op3_vptree._valid(df, "vec_id", "embedding")
+    got = op3_vptree.nearest(v, v.where("id % 50 = 0"), shard_rows=shard_rows, leaf=16).orderBy("query_id", "rank").collect()
+    want = {q: [i for i in range(6) if i != q][:5] for q in (0, 50, 100, 150)} | {1000: list(range(1001, 1006))}
+    assert {q: [r.vec_id for r in got if r.query_id == q] for q in want} == want
+
+
 def test_few_or_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<double>")
     v = op3_vptree._valid(df, "vec_id", "embedding")
