@@ -14,7 +14,8 @@ Every retrieved passage and entry is verified: the shares of the item's question
 document around the passage.  A document's score for an item is the best among the passages that pass.  Documents never shuffle.  The index is broadcast in groups of at most GROUP_TERMS postings each; a
 benchmark beyond that takes another scan per group, not a larger broadcast.
 
-Defined results.  Null or empty text: no passage.  Items without words take no part.  Null doc_id: judged, id null.
+Defined results.  Null or empty text: no passage.  Items without words take no part; items
+without an id do, with a null id.  Null doc_id: judged, id null.
 Repeated rows are judged each.  An empty table on either side gives no leak.  Other columns are carried by
 ``decontaminate`` as they are, whatever their names.
 """
@@ -257,27 +258,30 @@ def _items(benchmark: DataFrame) -> list[tuple[int, str]]:
     size = benchmark.select(F.count(F.lit(1)), F.sum(F.length(F.col("text").cast("string")))).first()
     if (size[1] or 0) > 1 << 30:
         raise ValueError("more than 1 GB of benchmark text: give it in parts")
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").orderBy("item_id", "text").collect()
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").orderBy("item_id", "text").collect()
     return [(r.item_id, r.text) for r in rows]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, min_question: float = MIN_QUESTION, min_answer: float = MIN_ANSWER) -> DataFrame:
     """One row a document and item that it holds: see SCHEMA."""
     spark = docs.sparkSession
-    indexes = [spark.sparkContext.broadcast(i) for i in build_indexes(_items(benchmark), threshold)]
+    items = _items(benchmark)
+    ids = spark.sparkContext.broadcast([i for i, _ in items])
+    indexes = [spark.sparkContext.broadcast(i) for i in build_indexes([(n, text) for n, (_, text) in enumerate(items)], threshold)]
+    numbered = SCHEMA + ", item long"  # an item's number, as ids may be null
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
 
     def run(held):
         def scan(batches):
             for batch in batches:
                 out = []
                 for block in tb.blocks(batch.column(1)):
-                    out += [(batch.column(0)[block.lo + r].as_py(), *more) for r, *more in find_in_block(held.value, block.buf, block.offs, threshold, min_question, min_answer)]
+                    out += [(batch.column(0)[block.lo + r].as_py(), ids.value[item], *more, item) for r, item, *more in find_in_block(held.value, block.buf, block.offs, threshold, min_question, min_answer)]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in numbered.split(", ")])
 
-        return docs.mapInArrow(scan, SCHEMA)
+        return docs.mapInArrow(scan, numbered)
 
     if not indexes:
         return spark.createDataFrame([], SCHEMA)
@@ -286,8 +290,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, m
         found = found.unionAll(run(held))
     if len(indexes) > 1:  # an item whose entries are in two groups
         best = F.max_by(F.struct(*[F.col(c.split()[0]) for c in SCHEMA.split(", ")]), F.struct("score", -F.col("first_word")))
-        found = found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("b.*")
-    return found
+        found = found.groupBy("doc_id", "item").agg(best.alias("b")).select("b.*")
+    return found.select(*[c.split()[0] for c in SCHEMA.split(", ")])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, min_question: float = MIN_QUESTION, min_answer: float = MIN_ANSWER) -> DataFrame:

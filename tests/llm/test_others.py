@@ -189,6 +189,19 @@ def test_whole_copy_after_a_quoted_question(spark):
     assert [r.doc_id for r in op4_decontam.decontaminate(cases.documents(spark, docs), bench).collect()] == [2]
 
 
+def test_items_without_an_id(spark, monkeypatch):
+    items, docs = benchmark_and_documents()
+    items += [(None, items[20][1][::-1])]  # two, one of several entries
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    held = [(700, f"{docs[1][1]} {items[-1][1]} {items[-2][1]}"), (701, docs[2][1])]
+    whole = cases.table(op4_decontam.leaks(cases.documents(spark, held), bench))
+    assert [r[:2] for r in whole] == [(700, None)] * 2
+    assert [r.doc_id for r in op4_decontam.decontaminate(cases.documents(spark, held), bench).collect()] == [701]
+    build = op4_decontam.build_indexes
+    monkeypatch.setattr(op4_decontam, "build_indexes", lambda i, t: build(i, t, 60))
+    assert cases.table(op4_decontam.leaks(cases.documents(spark, held), bench)) == whole
+
+
 def test_index_groups_agree(spark, monkeypatch):
     items, docs = benchmark_and_documents()
     bench = spark.createDataFrame(items, "item_id long, text string")
