@@ -2,33 +2,26 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import mesh
+from ..shared import fresh_path
 from ..sources import config
 from ..sources.tables import field, table
 from .catalog import query
 
 
-def _scratch(spark, name: str) -> str:
-    """A fresh folder where all executors can write."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
-    return f"{shared.rstrip('/')}/fieldloom/{name}-{uuid.uuid4().hex}"
-
-
 @query("snk_binary", " SELECT round, count(*) AS cells FROM field GROUP BY round", "votes field")
 def snk_binary(spark, sf_dir):
     """A task's results as a Parquet snapshot, and what it holds."""
-    path = _scratch(spark, "task")
+    path = fresh_path(spark, "task")
     config.save_task(field(spark, sf_dir), path)
     return config.load_task(spark, path).groupBy("round").agg(F.count(F.lit(1)).alias("cells"))
 
 
 @query("src_binary", " SELECT round, x, y, dx, dy, q FROM field WHERE round = 2", "votes field")
 def src_binary(spark, sf_dir):
-    path = _scratch(spark, "task")
+    path = fresh_path(spark, "task")
     config.save_task(field(spark, sf_dir), path)
     return config.load_task(spark, path).where("round = 2")
 
