@@ -1,8 +1,10 @@
 """Connected components of an edge table, without gathering anything on the driver.
 
 Alternating large-star and small-star steps: every node's neighbours are linked to the smallest of them, until the
-edges no longer change; then each node is linked straight to its component's smallest node.  Minima are aggregated
-before they shuffle, and the join that spreads them is one that Spark can split where a node has very many edges."""
+edges no longer change; then each node is linked straight to its component's smallest node.  Each round shortens a path
+to a fraction, and edges always get smaller or fewer, so it ends however long the paths are.  Minima are aggregated
+before they shuffle, and the join that spreads them is one that Spark can split where a node has very many edges.  A
+round's table is removed when the next is written."""
 
 from __future__ import annotations
 
@@ -11,8 +13,6 @@ from pyspark.sql import functions as F
 
 from . import state
 
-MAX_ROUNDS = 60
-
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.select(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
@@ -32,17 +32,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def connected(links: DataFrame) -> DataFrame:
-    """links (a, b), in any order and repeated at will -> node, component (its smallest node) for all linked nodes."""
-    edges = state.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
-    before = _mark(edges)
-    for _ in range(MAX_ROUNDS):
-        if not before[0]:
-            break
-        edges = state.keep(_star(_star(edges, True), False), "edges")
-        after = _mark(edges)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    """links (a, b), in any order and repeated at will -> node, component (its smallest node) for all linked nodes; kept."""
+    spark = links.sparkSession
+    with state.steps(spark) as outlives:
+        edges = state.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
+        before = _mark(edges)
+        while before[0]:
+            following = state.keep(_star(_star(edges, True), False), "edges")
+            state.release(spark, edges)
+            edges, after = following, _mark(following)
+            if after == before:
+                break
+            before = after
+        nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        found = state.keep(nodes, "components")
+        outlives(found)
+    return found

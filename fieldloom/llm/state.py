@@ -1,30 +1,24 @@
-"""Where the operators of this subpackage keep intermediate tables.
+"""Intermediate tables of the operators of this subpackage, and who removes them.
 
-Intermediate results are written as Parquet to the folder that the cluster names in
-``spark.checkpoint.dir`` (all executors reach it), so that a lost executor costs a re-read and not a
-recomputation.  The setting is read from the session; only where it is unset (local tests) is a folder chosen here.
+A step's result is written as Parquet to the folder that the cluster names in ``spark.checkpoint.dir`` (all executors reach
+it), so that a lost executor costs a re-read and not a recomputation; the step's shuffle files go when it is written.  Tables
+kept within ``steps`` are removed at its end, but for those that the caller's result still reads; these belong to the
+``steps`` around it, or stay until the shared folder is emptied.
 """
 
 from __future__ import annotations
 
-import gc
-import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-LOCAL_FALLBACK = "/tmp/checkpoints"
+from ..shared import fresh_path, remove
 
+__all__ = ["free_name", "fresh_path", "keep", "release", "steps"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder as a URI or path, without a trailing slash."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"{LOCAL_FALLBACK}/{spark.sparkContext.applicationId}"
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/fieldloom/{name}-{uuid.uuid4().hex}"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_open: list[list[str]] = []
 
 
 def free_name(name: str, taken: list[str]) -> str:
@@ -35,21 +29,63 @@ def free_name(name: str, taken: list[str]) -> str:
     return name
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """While a table is written: its plan is run once, so nothing will ask for its shuffle files again."""
+    before = spark.conf.get(_CLEANUP, None)
+    if before is None:  # a Spark that doesn't know the setting removes them with its own garbage
+        yield
+        return
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts lineage and outlives executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path, compression="zstd")
+    owned(path)
+    with _shuffles_removed(spark):
+        df.write.parquet(path, compression="zstd")
     kept = spark.read.schema(df.schema).parquet(path)
     kept._kept_at = path
     return kept
 
 
+def owned(path: str) -> str:
+    """The innermost ``steps`` removes ``path``."""
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
 def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Removes kept tables that nothing will read again, and lets Spark remove the shuffle files of finished steps, which
-    it does when the driver finds their plans to be garbage."""
+    """Removes kept tables that nothing will read again."""
     for table in tables:
-        path = spark._jvm.org.apache.hadoop.fs.Path(table._kept_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    spark._jvm.System.gc()
+        for held in _open:
+            if table._kept_at in held:
+                held.remove(table._kept_at)
+        remove(spark, table._kept_at)
+
+
+@contextmanager
+def steps(spark: SparkSession) -> Iterator[Callable[..., None]]:
+    """Removes what is kept within, when it ends.  Yields a function that names the tables, or paths, that outlive it."""
+    mine: list[str] = []
+    left: set[str] = set()
+    _open.append(mine)
+    try:
+        yield lambda *tables: left.update(t if isinstance(t, str) else t._kept_at for t in tables)
+    except BaseException:
+        left.clear()
+        raise
+    finally:
+        _open.pop()
+        for path in mine:
+            if path not in left:
+                remove(spark, path)
+            elif _open:
+                _open[-1].append(path)

@@ -73,10 +73,40 @@ def test_hot_owner_is_split_by_anchor(spark, monkeypatch):
         assert cases.table(operator(cases.documents(spark, rows))) == sorted(plain(rows), key=repr)
 
 
-def test_search_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(op1_minhash, "BLOCK", 5)
-    rows = cases.noisy(10, 30)
-    assert cases.table(op1_minhash.near_duplicates(cases.documents(spark, rows))) == sorted(cases.near_result(rows), key=repr)
+def test_search_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(op1_minhash, "LEFT", (2, 3))
+    monkeypatch.setattr(op1_minhash, "RIGHT", (3, 5))
+    monkeypatch.setattr(op1_minhash, "PAIRS", 7)
+    for seed in (10, 11):
+        rows = cases.noisy(seed, 30)
+        assert cases.table(op1_minhash.near_duplicates(cases.documents(spark, rows))) == sorted(cases.near_result(rows), key=repr)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_rows_of_one_id_with_different_texts(spark, seed):
+    rnd = random.Random(seed)
+    rows = [(rnd.randrange(25), t) for _, t in cases.noisy(20 + seed, 40)] + [(3, None), (3, "some other text"), (77, ""), (77, "one two"), (None, "one two")]
+    for operator, plain in DIGESTS:
+        assert cases.table(operator(cases.documents(spark, rows).repartition(3))) == sorted(plain(rows), key=repr)
+
+
+def test_steps_remove_what_nothing_reads(spark):
+    import os
+
+    from fieldloom import shared
+    from fieldloom.llm import state
+
+    there = lambda df: os.path.exists(df._kept_at)
+    with state.steps(spark) as outer:
+        with state.steps(spark) as inner:
+            a, b, c = (state.keep(spark.range(3), x) for x in "abc")
+            inner(a, b)
+        assert there(a) and there(b) and not there(c)
+        outer(a)
+    assert there(a) and not there(b) and a.count() == 3
+    state.release(spark, a)
+    assert not there(a)
+    assert shared.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
 
 def test_components(spark):
