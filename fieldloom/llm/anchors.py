@@ -7,18 +7,21 @@ Both substring operators ask which windows of a fixed length occur at another pl
 2. A once-seen and a twice-seen Bloom filter over all anchors (``twice``) leaves those that may recur; only they shuffle
    (hash, document, position) and are confirmed to recur.
 3. A recurring anchor's owner is the smallest document that holds it, so what copies share goes to one group: groups are
-   dealt to shards by owner.  An owner with more than SHARD_ANCHORS of them is split further by anchor, down to one
-   anchor a shard; equal pieces of text are counted before they meet, so one passage in a third of all documents is one
-   piece with a count.
-4. Documents send to each shard the pieces around their recurring anchors, wide enough for all windows that have them.
-   What a shard says of a piece goes back to the documents that hold the piece.
-
-A window meets all its equals, since they have the same anchor and it belongs to one shard.
+   dealt to shards by owner.  An owner with more than SHARD_ANCHORS of them is split further by anchor; equal pieces of
+   text are counted before they meet, so one passage in a third of all documents is one piece with a count.
+4. An anchor that stands in more than HOT_PLACES places between many different texts would still bring as many different
+   pieces to one shard.  Its windows are dealt out one by one: those that recur, by the hash of the window, are pieces of
+   their own, and what surrounds them stays behind.  A shard's different pieces are then as many as its windows.
+5. Documents send to each shard the pieces around their recurring anchors, wide enough for all windows that have them.
+   What a shard says of a piece goes back to the documents that hold the piece.  A task writes a piece's text once.
+
+A window meets all its equals, since they have the same anchor and it belongs to one shard, or has a piece of its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -29,8 +32,16 @@ from pyspark.sql import functions as F
 from . import semi, state, twice
 from . import textblocks as tb
 
-#: Anchors (of about a dozen items of text) in a shard; an owner with more is split.
-SHARD_ANCHORS = 30_000
+#: Anchors (of about a dozen items of text) of one owner in a shard; an owner with more is split.
+SHARD_ANCHORS = 8_000
+#: Anchors, or windows dealt one by one, in a shard on average.
+SHARD_MEAN = 2_000
+#: An anchor at more places than this, of more than HOT_KINDS of 64 kinds of surroundings, is dealt out by window.
+HOT_PLACES, HOT_KINDS = 1_000, 60
+#: Shards from this number on hold windows dealt one by one.
+WINDOW_SHARDS = 1 << 41
+#: Digests of pieces whose text a task remembers to have written.
+REMEMBERED = 100_000
 
 
 def _sliding(x: np.ndarray, width: int, better: Callable) -> np.ndarray:
@@ -44,78 +55,127 @@ def _sliding(x: np.ndarray, width: int, better: Callable) -> np.ndarray:
     return better(x[:n], x[width - have : width - have + n]) if have < width else x[:n]
 
 
-def minimizers(h: np.ndarray, first: np.ndarray, k: int, window: int) -> np.ndarray:
-    """Positions that are the anchor of some window.  h: the k-grams' hashes; first: rows' first items."""
+def least_hashes(h: np.ndarray, first: np.ndarray, k: int, window: int) -> np.ndarray:
+    """For each item: the smallest k-gram hash of the window that begins there; 0 where none fits in the row.  h: the k-grams'
+    hashes; first: rows' first items."""
     n, width = int(first[-1]), window - k + 1
     least = _sliding(h, width, np.minimum)[: max(0, n - window + 1)]
+    last = np.repeat(first[1:], np.diff(first))[: len(least)]  # where each item's row ends
+    return np.where(np.arange(window, window + len(least)) <= last, least, np.uint64(0))
+
+
+def minimizers(h: np.ndarray, first: np.ndarray, k: int, window: int) -> np.ndarray:
+    """Positions that are the anchor of some window."""
+    width, least = window - k + 1, least_hashes(h, first, k, window)
     if not len(least):
         return np.zeros(0, np.int64)
-    last = np.repeat(first[1:], np.diff(first))[: len(least)]  # where each item's row ends
-    inside = np.arange(window, window + len(least)) <= last
-    least = np.where(inside, least, np.uint64(0))
     padded = np.zeros(len(least) + 2 * (width - 1), np.uint64)
     padded[width - 1 : width - 1 + len(least)] = least
     most = _sliding(padded, width, np.maximum)
     return np.flatnonzero((most == h[: len(most)]) & (most > 0))
 
 
-Anchors = Callable[[pa.Array], Iterator[tuple[tb.Block, np.ndarray, np.ndarray, np.ndarray]]]
+def surroundings(h: np.ndarray, first: np.ndarray, row: np.ndarray, at: np.ndarray, k: int, window: int) -> np.ndarray:
+    """One of 64 bits for each anchor: the same for equal text around it, as far as its windows reach."""
+    lo, hi, reach = first[row], first[row + 1] - k, window - k
+    kind = np.zeros(len(at), np.uint64)
+    for step in (-reach, -(reach // 2), reach // 2, reach):
+        kind = tb.mix(kind + h[np.clip(at + step, lo, hi)])
+    return np.left_shift(np.uint64(1), kind & np.uint64(63))
 
 
-def recurring(docs: DataFrame, anchors: Anchors, expected: int, across: bool) -> DataFrame:
-    """docs (doc, text) -> doc, at: [(pos, shard)] of its recurring anchors.
+#: A column of texts -> blocks, each with its rows' first items, the k-gram hashes, and a function that hashes the windows
+#: that begin at given items.
+Grams = Callable[[pa.Array], Iterator[tuple[tb.Block, np.ndarray, np.ndarray, Callable[[np.ndarray], np.ndarray]]]]
 
-    ``anchors`` gives, for a column of texts, blocks with the rows, positions and hashes of their anchors.
-    across: only anchors of two or more documents recur; else also those of one document that occur twice in it."""
 
+def recurring(docs: DataFrame, grams: Grams, k: int, window: int, expected: int, across: bool) -> DataFrame:
+    """docs (doc, text) -> doc, at: [(pos, shard)] of its recurring anchors, and of the windows that are dealt one by one.
+
+    across: only anchors of two or more documents recur; else also those of one document that occur twice in it."""
     spark = docs.sparkSession
 
+    def anchors(column):
+        for block, first, h, keys_at in grams(column):
+            at = minimizers(h, first, k, window)
+            yield block, first, np.searchsorted(first, at, side="right") - 1, at, h, keys_at
+
     def keys(batch):
-        for _, rows, _, h in anchors(batch.column(0)):
-            yield tb.distinct_in_rows(rows, h)[1] if across else h
+        for _, _, rows, at, h, _ in anchors(batch.column(0)):
+            yield tb.distinct_in_rows(rows, h[at])[1] if across else h[at]
 
-    filter_ = spark.sparkContext.broadcast(twice.build(docs.select("text"), keys, expected))
-    state.release(spark)
+    listed = "doc long, h array<long>, pos array<int>, kind array<long>"
 
-    def suspects(batches):
-        for batch in batches:
-            for block, rows, pos, h in anchors(batch.column(1)):
-                hit = np.flatnonzero(filter_.value.test(h))
-                n = np.bincount(rows[hit], minlength=block.rows)
-                some = np.flatnonzero(n)
-                lists = (tb.list_array(n[some], x[hit], k) for x, k in ((tb.as_long(h), pa.int64()), (pos, pa.int32())))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, block.rows).take(pa.array(some)), *lists], names=["doc", "h", "pos"])
-
-    lists = state.keep(docs.select("doc", "text").mapInArrow(suspects, "doc long, h array<long>, pos array<int>"), "anchors")
-    rows = lists.select("doc", F.explode(F.arrays_zip("h", "pos")).alias("a")).select("doc", "a.h", "a.pos")
-    seen = rows.groupBy("h").agg(F.min("doc").alias("owner"), F.max("doc").alias("top"), F.count(F.lit(1)).alias("n"))
-    found = seen = state.keep(seen.where("owner < top" if across else "n > 1").select("h", "owner", "n"), "recurring")
-    total = seen.agg(F.sum("n")).first()[0] or 0
-    shards = max(1, -(-int(total) // (SHARD_ANCHORS // 2)))
-    heavy = seen.groupBy("owner").agg(F.sum("n").alias("load")).where(F.col("load") > SHARD_ANCHORS)
-    parts = F.ceil(F.col("load") / SHARD_ANCHORS)
-    # hot owners: shards of their own, numbered beyond the others
-    shard = F.when(F.col("load").isNull(), F.pmod(F.xxhash64("owner"), F.lit(shards))).otherwise(
-        F.lit(1 << 40) + F.pmod(F.xxhash64("owner", F.pmod(F.col("h"), parts)), F.lit(1 << 40))
-    )
-    seen = seen.join(heavy, "owner", "left").select("h", shard.alias("shard"))
-    at = state.keep(rows.join(seen, "h").groupBy("doc").agg(F.collect_list(F.struct("pos", "shard")).alias("at")), "anchor-lists")
-    del rows, heavy, seen
-    state.release(spark, lists, found)
+    def lists_of(ids, block, rows, columns) -> pa.RecordBatch:
+        n = np.bincount(rows, minlength=block.rows)
+        some = np.flatnonzero(n)
+        lists = [tb.list_array(n[some], x, t) for x, t in columns]
+        return pa.RecordBatch.from_arrays([ids.slice(block.lo, block.rows).take(pa.array(some)), *lists], names=["doc", "h", "pos", "kind"][: 1 + len(lists)])
+
+    def suspects(filter_):
+        def run(batches):
+            for batch in batches:
+                for block, first, rows, at, h, _ in anchors(batch.column(1)):
+                    hit = np.flatnonzero(filter_.value.test(h[at]))
+                    rows, at = rows[hit], at[hit]
+                    kind = surroundings(h, first, rows, at, k, window)
+                    yield lists_of(batch.column(0), block, rows, [(tb.as_long(h[at]), pa.int64()), (at - first[rows], pa.int32()), (tb.as_long(kind), pa.int64())])
+
+        return docs.select("doc", "text").mapInArrow(run, listed)
+
+    again = "owner < top" if across else "n > 1"
+    with state.steps(spark) as outlives:
+        filters = (twice.build(docs.select("text"), keys, expected, share) for share in twice.shares(expected))
+        lists = reduce(DataFrame.unionAll, [state.keep(suspects(spark.sparkContext.broadcast(f)), "anchors") for f in filters])
+        rows = lists.select("doc", F.explode(F.arrays_zip("h", "pos", "kind")).alias("a")).select("doc", "a.h", "a.pos", "a.kind")
+        seen = rows.groupBy("h").agg(F.min("doc").alias("owner"), F.max("doc").alias("top"), F.count(F.lit(1)).alias("n"), F.bit_or("kind").alias("kinds"))
+        hot = (F.col("n") > HOT_PLACES) & (F.bit_count("kinds") >= HOT_KINDS)
+        seen = state.keep(seen.where(again).select("h", "owner", "n", hot.alias("hot")), "recurring")
+        total, n_hot = seen.agg(F.sum(F.when(~F.col("hot"), F.col("n"))), F.count_if("hot")).first()
+        calm = seen.where(~F.col("hot"))
+        shards = max(1, -(-int(total or 0) // SHARD_MEAN))
+        heavy = calm.groupBy("owner").agg(F.sum("n").alias("load")).where(F.col("load") > SHARD_ANCHORS)
+        parts = F.ceil(F.col("load") / SHARD_ANCHORS)
+        # owners of many: shards of their own, numbered beyond the others
+        shard = F.when(F.col("load").isNull(), F.pmod(F.xxhash64("owner"), F.lit(shards))).otherwise(
+            F.lit(1 << 40) + F.pmod(F.xxhash64("owner", F.pmod(F.col("h"), parts)), F.lit(1 << 40))
+        )
+        places = rows.select("doc", "h", "pos").join(calm.join(heavy, "owner", "left").select("h", shard.alias("shard")), "h").select("doc", "pos", "shard")
+        if n_hot:
+            might = semi.might_hold(seen.where("hot").select("h"), n_hot)
+
+            def windows(batches):
+                for batch in batches:
+                    for block, first, h, keys_at in grams(batch.column(1)):
+                        least = least_hashes(h, first, k, window)
+                        at = np.flatnonzero(least > 0)
+                        at = at[might.test_keys(least[at])]
+                        rows = np.searchsorted(first, at, side="right") - 1
+                        yield lists_of(batch.column(0), block, rows, [(tb.as_long(keys_at(at)), pa.int64()), (at - first[rows], pa.int32())])
+
+            own = state.keep(docs.select("doc", "text").mapInArrow(windows, "doc long, h array<long>, pos array<int>"), "windows")
+            own = own.select("doc", F.explode(F.arrays_zip("h", "pos")).alias("a")).select("doc", "a.h", "a.pos")
+            found = own.groupBy("h").agg(F.min("doc").alias("owner"), F.max("doc").alias("top"), F.count(F.lit(1)).alias("n")).where(again).select("h")
+            found = state.keep(found, "window-keys")
+            shard = F.lit(WINDOW_SHARDS) + F.pmod(F.xxhash64("h"), F.lit(max(1, -(-found.count() // SHARD_MEAN))))
+            places = places.unionAll(own.join(found.select("h", shard.alias("shard")), "h").select("doc", "pos", "shard"))
+        at = state.keep(places.groupBy("doc").agg(F.collect_list(F.struct("pos", "shard")).alias("at")), "anchor-lists")
+        outlives(at)
     return at
 
 
 def spans(row: np.ndarray, pos: np.ndarray, shard: np.ndarray, k: int, window: int, length: np.ndarray) -> tuple[np.ndarray, ...]:
     """Pieces (row, shard, begin, end) that hold all windows around the anchors (row, pos, shard) of rows of ``length``
-    items, merged within a row and shard."""
-    lo, hi = np.maximum(0, pos + k - window), np.minimum(pos, length[row] - window)
+    items, merged within a row and shard; of a window that is dealt by itself, the window."""
+    alone = shard >= WINDOW_SHARDS
+    lo, hi = np.where(alone, pos, np.maximum(0, pos + k - window)), np.minimum(pos, length[row] - window)
     fits = hi >= lo
     row, shard, lo, hi = row[fits], shard[fits], lo[fits], hi[fits]
     order = np.lexsort((hi, lo, shard, row))
     row, shard, lo, hi = row[order], shard[order], lo[order], hi[order]
     if not len(row):
         return row, shard, lo, hi
-    new = np.concatenate(([True], (row[1:] != row[:-1]) | (shard[1:] != shard[:-1]) | (lo[1:] > hi[:-1] + 1)))
+    new = np.concatenate(([True], (row[1:] != row[:-1]) | (shard[1:] != shard[:-1]) | (lo[1:] > hi[:-1] + 1))) | (shard >= WINDOW_SHARDS)
     start = np.flatnonzero(new)
     last = np.concatenate((start[1:], [len(row)])) - 1  # hi grows with lo within a row
     return row[start], shard[start], lo[start], hi[last] + window
@@ -126,7 +186,8 @@ def fingerprint(text: bytes) -> int:
 
 
 def pieces(docs: DataFrame, at: DataFrame, cut: Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[int, int, int, bytes, bytes]]]) -> DataFrame:
-    """shard, piece (digest of its content), doc, mark (of the text), begin, content, note; kept in the shared folder.
+    """shard, piece (digest of its content), doc, mark (of the text), begin, content, note; kept in the shared folder, ``at``
+    is removed.  Content and note are null where the task has lately written the same piece.
 
     ``cut`` gives for some texts and their anchors (row, pos, shard): row, shard, begin, content, note (a function of the
     content)."""
@@ -134,6 +195,17 @@ def pieces(docs: DataFrame, at: DataFrame, cut: Callable[[list[bytes], np.ndarra
     schema = pa.schema([("shard", pa.int64()), ("piece", pa.binary()), ("doc", pa.int64()), ("mark", pa.int64()), ("begin", pa.int32()), ("content", pa.binary()), ("note", pa.binary())])
 
     def run(batches):
+        written: set[tuple[int, bytes]] = set()
+
+        def piece(shard, content, note):
+            digest = blake2b(content, digest_size=16).digest()
+            if (shard, digest) in written:
+                return digest, None, None
+            if len(written) >= REMEMBERED:
+                written.clear()
+            written.add((shard, digest))
+            return digest, content, note
+
         for whole in batches:
             for first in range(0, whole.num_rows, 256):
                 batch = whole.slice(first, 256)
@@ -141,13 +213,13 @@ def pieces(docs: DataFrame, at: DataFrame, cut: Callable[[list[bytes], np.ndarra
                 docs_, marks = batch.column(0).to_pylist(), [fingerprint(t) for t in texts]
                 pos, shard = batch.column(2), batch.column(3)
                 row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(pos.offsets)))
-                out = [(s, blake2b(content, digest_size=16).digest(), docs_[r], marks[r], begin, content, note) for r, s, begin, content, note in cut(texts, row, np.asarray(pos.flatten()).astype(np.int64), np.asarray(shard.flatten()))]
+                cuts = cut(texts, row, np.asarray(pos.flatten()).astype(np.int64), np.asarray(shard.flatten()))
+                out = [(s, digest, docs_[r], marks[r], begin, text, more) for r, s, begin, content, note in cuts for digest, text, more in [piece(s, content, note)]]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     joined = docs.select("doc", "text").where(might.column(F.col("doc"))).join(at, "doc").select("doc", "text", F.col("at.pos").alias("pos"), F.col("at.shard").alias("shard"))
     cut_up = state.keep(joined.mapInArrow(run, "shard long, piece binary, doc long, mark long, begin int, content binary, note binary"), "pieces")
-    del joined
     state.release(docs.sparkSession, at)
     return cut_up
 
@@ -158,7 +230,7 @@ def by_shard(found: DataFrame, solve: Callable[[list[tuple[int, int, bytes, byte
     solve: pieces as (smallest doc, count, content, note) -> (index of the piece, lo, hi, value): items lo .. hi - 1.
     least: a condition on doc, first (the piece's smallest document), count and value.  Result, kept: doc, ranges: [(mark,
     lo, hi)]; ``found`` is removed."""
-    distinct = found.groupBy("shard", "piece").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("count"), F.first("content").alias("content"), F.first("note").alias("note"))
+    distinct = found.groupBy("shard", "piece").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("count"), F.first("content", ignorenulls=True).alias("content"), F.first("note", ignorenulls=True).alias("note"))
 
     def run(batches):
         def answer(rows):
@@ -182,12 +254,9 @@ def by_shard(found: DataFrame, solve: Callable[[list[tuple[int, int, bytes, byte
 
     dealt = distinct.select("shard", "piece", "first", "count", "content", "note").repartition("shard").sortWithinPartitions("shard")
     answers = state.keep(dealt.mapInArrow(run, "shard long, piece binary, first long, count long, lo int, hi int, value long"), "answers")
-    del distinct, dealt
-    state.release(found.sparkSession)
     places = found.select("shard", "piece", "doc", "mark", "begin").join(answers, ["shard", "piece"]).where(least)
     ranges = F.struct("mark", (F.col("begin") + F.col("lo")).alias("lo"), (F.col("begin") + F.col("hi")).alias("hi"))
     held = state.keep(places.groupBy("doc").agg(F.collect_set(ranges).alias("ranges")), "ranges")
-    del places
     state.release(found.sparkSession, found, answers)
     return held
 

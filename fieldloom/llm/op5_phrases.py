@@ -7,7 +7,8 @@ every occurrence; the windows that hold an occurrence are compared exactly, by r
 of recurring windows are removed, at every place; windows are judged on the input.
 
 Defined results.  Null or empty text: no words; the digest of nothing.  Null doc_id: the text takes part, id null.
-Repeated rows are two places of the same words.  An empty table gives an empty table.  Extra columns are ignored.
+Repeated rows, and rows that share a doc_id, are places of their own; each is returned with its own counts.  A text of any
+length is held by one task at a time.  An empty table gives an empty table.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,13 +30,11 @@ from . import textblocks as tb
 WINDOW, PHRASE = 35, 8
 
 
-def _anchors(column: pa.Array):
+def _grams(column: pa.Array):
     for block in tb.blocks(column):
         s, e, first = tb.tokens(block.buf, block.offs, tb.WORD_BYTE)
-        h = tb.gram_hashes(tb.range_hashes(block.buf, s, e), PHRASE)
-        at = anchors.minimizers(h, first, PHRASE, WINDOW)
-        row = np.searchsorted(first, at, side="right") - 1
-        yield block, row, at - first[row], h[at]
+        words = tb.range_hashes(block.buf, s, e)
+        yield block, first, tb.gram_hashes(words, PHRASE), lambda at, words=words: tb.gram_hashes(words, WINDOW)[at]
 
 
 def _cut(texts: list[bytes], row: np.ndarray, pos: np.ndarray, shard: np.ndarray) -> Iterator[tuple[int, int, int, bytes, bytes]]:
@@ -44,12 +43,14 @@ def _cut(texts: list[bytes], row: np.ndarray, pos: np.ndarray, shard: np.ndarray
     length = np.array([len(w) for w in split])
     order = np.lexsort((pos, row))
     row, pos, shard = row[order], pos[order], shard[order]
-    begin_of = np.searchsorted(row, np.arange(len(texts) + 1))
+    phrase = np.flatnonzero(shard < anchors.WINDOW_SHARDS)
+    places, begin_of = pos[phrase], np.searchsorted(row[phrase], np.arange(len(texts) + 1))
+    alone = np.zeros(1, "<u4").tobytes()  # a window by itself: its first phrase
     for r, s, begin, end in zip(*(x.tolist() for x in anchors.spans(row, pos, shard, PHRASE, WINDOW, length)), strict=True):
         # phrases whose windows are in the piece: the same for equal pieces, as windows choose them
-        places = pos[begin_of[r] : begin_of[r + 1]]
-        inside = places[np.searchsorted(places, begin) : np.searchsorted(places, end - PHRASE, side="right")] - begin
-        yield r, s, begin, b" ".join(split[r][begin:end]), inside.astype("<u4").tobytes()
+        own = places[begin_of[r] : begin_of[r + 1]]
+        note = alone if s >= anchors.WINDOW_SHARDS else (own[np.searchsorted(own, begin) : np.searchsorted(own, end - PHRASE, side="right")] - begin).astype("<u4").tobytes()
+        yield r, s, begin, b" ".join(split[r][begin:end]), note
 
 
 def _ranks(ids: np.ndarray, ends: np.ndarray, window: int) -> np.ndarray:
@@ -127,7 +128,7 @@ def _prepared(docs: DataFrame) -> DataFrame:
 def removable(docs: DataFrame) -> DataFrame:
     """docs (doc, doc_id, text) -> doc, ranges: [(mark, lo, hi)], words of recurring windows."""
     size = docs.select(F.sum(F.length("text"))).first()[0] or 0
-    at = anchors.recurring(docs, _anchors, size // 80 + 1, across=False)
+    at = anchors.recurring(docs, _grams, PHRASE, WINDOW, size // 80 + 1, across=False)
     return anchors.by_shard(anchors.pieces(docs, at, _cut), solve, "value = 1")
 
 

@@ -13,6 +13,7 @@ Other columns are carried by ``dedup_lines`` as they are, whatever their names.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -71,19 +72,22 @@ def first_holders(docs: DataFrame, min_code_points: int = MIN_CODE_POINTS) -> Da
         for _, _, _, _, row, h in _hashed(batch.column(0), min_code_points):
             yield tb.distinct_in_rows(row, h)[1]
 
-    filter_ = held.sparkSession.sparkContext.broadcast(twice.build(held.select("text"), distinct_keys, n_lines or 1))
-
-    def suspects(batches):
-        seen = filter_.value
-        for batch in batches:
-            for block, lower, (_, _, _, s, e), at, row, h in _hashed(batch.column(1), min_code_points):
-                hit = np.flatnonzero(seen.test(h))
-                rows, whole, ids = row[hit], lower.tobytes(), batch.column(0).slice(block.lo, block.rows).to_numpy(zero_copy_only=False)
-                out = list({(int(ids[r]), hashlib.sha256(whole[s[i] : e[i]]).digest()) for r, i in zip(rows.tolist(), at[hit].tolist(), strict=True)})
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], pa.int64()), pa.array([k for _, k in out], pa.binary())], names=["doc_id", "key"])
-
-    rows = state.keep(held.mapInArrow(suspects, "doc_id long, key binary"), "line-suspects")  # read twice
+    def suspects(filter_):
+        def run(batches):
+            seen = filter_.value
+            for batch in batches:
+                for block, lower, (_, _, _, s, e), at, row, h in _hashed(batch.column(1), min_code_points):
+                    hit = np.flatnonzero(seen.test(h))
+                    rows, whole, ids = row[hit], lower.tobytes(), batch.column(0).slice(block.lo, block.rows).to_numpy(zero_copy_only=False)
+                    out = list({(int(ids[r]), hashlib.sha256(whole[s[i] : e[i]]).digest()) for r, i in zip(rows.tolist(), at[hit].tolist(), strict=True)})
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], pa.int64()), pa.array([k for _, k in out], pa.binary())], names=["doc_id", "key"])
+
+        return held.mapInArrow(run, "doc_id long, key binary")
+
+    spark = held.sparkSession
+    filters = (twice.build(held.select("text"), distinct_keys, n_lines or 1, share) for share in twice.shares(n_lines or 1))
+    rows = reduce(DataFrame.unionAll, [state.keep(suspects(spark.sparkContext.broadcast(f)), "line-suspects") for f in filters])  # read twice
     firsts = rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     firsts = state.keep(firsts.select("key", "first"), "line-firsts")  # so that the join deals out both sides, and a hot key can be split
     return rows.join(firsts, "key").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("key").alias("drop"))

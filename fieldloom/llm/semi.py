@@ -1,7 +1,8 @@
 """Reducing documents to those whose id a table names, before their texts shuffle.
 
-A Bloom filter of fixed upper size over the ids goes to the executors; rows that can't match are left out of the
-shuffle.  False positives only cost a little shuffle: callers join exactly afterwards."""
+A Bloom filter over the ids goes to the executors; rows that can't match are left out of the shuffle.  It has twelve bits an
+id, MAX_BITS at most (some 90 million ids): beyond that more rows take part in the shuffle, and callers, who join exactly
+afterwards, get the same result."""
 
 from __future__ import annotations
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from . import state, twice
 from . import textblocks as tb
 
-MAX_BITS = 1 << 28
+MAX_BITS = 1 << 30
 
 
 class Maybe:
@@ -29,6 +30,10 @@ class Maybe:
         keys = tb.mix(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
         return known & twice.Twice(self.held.value, self.bits).test(keys)
 
+    def test_keys(self, keys: np.ndarray) -> np.ndarray:
+        """Of unsigned keys: the ids' bits."""
+        return twice.Twice(self.held.value, self.bits).test(tb.mix(keys))
+
     def column(self, ids: Column) -> Column:
         @F.arrow_udf("boolean")
         def might(column: pa.Array) -> pa.Array:
@@ -40,19 +45,11 @@ class Maybe:
 def might_hold(ids: DataFrame, expected: int) -> Maybe:
     """A filter over ``ids`` (one long column)."""
     bits = int(min(MAX_BITS, max(1 << 16, 1 << (max(1, expected) * 12 - 1).bit_length())))
-    n_bytes = bits // 8
-
-    def scan(batches):
-        bitmap = np.zeros(n_bytes, np.uint8)
-        for batch in batches:
-            keys = tb.mix(batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-            twice._set(bitmap, np.unique(np.concatenate(twice.probes(keys, bits))))
-        yield pa.RecordBatch.from_arrays([pa.array([twice._packed(bitmap)], pa.binary())], names=["bits"])
-
-    whole = np.zeros(n_bytes, np.uint8)
-    for row in ids.coalesce(64).mapInArrow(scan, "bits binary").toLocalIterator():
-        whole |= np.frombuffer(twice._unpacked(row.bits), np.uint8)
-    return Maybe(ids.sparkSession.sparkContext.broadcast(whole), bits)
+
+    def keys(batch):
+        return tb.mix(batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+
+    return Maybe(ids.sparkSession.sparkContext.broadcast(twice.build_once(ids, keys, bits)), bits)
 
 
 def without(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:

@@ -2,14 +2,19 @@
 
 A task keeps two bitmaps: a bit of the first is set by a key's first hit, a bit of the second by a second hit.
 Merging two pairs is associative: once = a|b, twice = ta|tb|(a&b).  A key that two documents hold thus has all
-its bits in the twice filter, wherever the documents are read; other keys get there only by collisions.  The
-bitmaps have a fixed upper size, so what tasks send and what is broadcast is bounded; on inputs beyond that size
-the filter lets more through and the operators, which confirm exactly, only shuffle more.
+its bits in the twice filter, wherever the documents are read; other keys get there only by collisions: with two probes and
+BITS_PER_KEY bits a key, at most 5 % of those that are held once.
+
+A filter has MAX_BITS bits at most, which bounds what a task holds, sends and gets.  More keys than that serves are dealt to
+``shares`` of the key space, each with filters and a scan of its own, so the rate of false suspects stays the same at every
+size; a cluster with more memory a core raises MAX_BITS and scans less often.  Bitmaps are built in BUILDERS tasks a core at
+most, as each sends its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +25,7 @@ from pyspark.sql import functions as F
 #: Bits of each filter: MIN_BITS .. MAX_BITS, about BITS_PER_KEY for each expected key.
 MIN_BITS, MAX_BITS, BITS_PER_KEY = 1 << 20, 1 << 29, 8
 _SEGMENT_BYTES = 1 << 20
+BUILDERS = 4
 U = np.uint64
 
 
@@ -36,6 +42,23 @@ def bits_for(keys: int) -> int:
     return int(min(MAX_BITS, max(MIN_BITS, 1 << (want - 1).bit_length())))
 
 
+@dataclass(frozen=True)
+class Share:
+    """One of ``of`` parts of the key space."""
+
+    part: int = 0
+    of: int = 1
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * U(0xD6E8FEB86659FD93)) >> U(40)) % U(self.of) == U(self.part)
+
+
+def shares(expected_keys: int) -> list[Share]:
+    """As many as it takes for each to fit its filter."""
+    n = max(1, -(-int(expected_keys) * BITS_PER_KEY // MAX_BITS))
+    return [Share(k, n) for k in range(n)]
+
+
 def probes(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     m = U(bits - 1)
     return keys & m, (keys >> U(32)) & m if bits <= 1 << 32 else (keys * U(0x9E3779B97F4A7C15)) & m
@@ -57,15 +80,15 @@ def _has(bitmap: np.ndarray, bits: np.ndarray) -> np.ndarray:
 class Twice:
     """What executors ask: might this key be held by two documents?"""
 
-    def __init__(self, bitmap: np.ndarray, bits: int):
-        self.bitmap, self.bits = bitmap, bits
-
-    def __contains__(self, _):
-        raise TypeError("use test()")
+    def __init__(self, bitmap: np.ndarray, bits: int, share: Share = Share()):
+        self.bitmap, self.bits, self.share = bitmap, bits, share
 
     def test(self, keys: np.ndarray) -> np.ndarray:
+        """False for keys of other shares, too."""
         a, b = probes(keys, self.bits)
         found = _has(self.bitmap, a)
+        if self.share.of > 1:
+            found &= self.share.has(keys)
         at = np.flatnonzero(found)
         found[at] = _has(self.bitmap, b[at])
         return found
@@ -80,41 +103,65 @@ def insert(once: np.ndarray, twice: np.ndarray, keys: np.ndarray, bits: int) ->
     _set(once, hit)
 
 
-def build(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], expected_keys: int) -> Twice:
-    """Scans ``df`` once; ``keys_of`` gives, for a batch, arrays of keys distinct within each document."""
-    bits = bits_for(expected_keys)
-    n_bytes = bits // 8
+def _segments(bitmaps: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The bitmaps' parts that hold anything: segment, data (one bitmap's part after the other)."""
+    n_bytes = len(bitmaps[0])
     step = min(_SEGMENT_BYTES, n_bytes)
+    for k in range(0, n_bytes, step):
+        if bitmaps[0][k : k + step].any():
+            yield pa.RecordBatch.from_arrays([pa.array([k // step], pa.int32()), pa.array([_packed(np.concatenate([b[k : k + step] for b in bitmaps]))], pa.binary())], names=["segment", "data"])
+
+
+def merged(df: DataFrame, scan: Callable, n_bytes: int, merge: Callable[[np.ndarray, np.ndarray], None]) -> np.ndarray:
+    """``scan`` gives batches of _segments for batches of ``df``; parts of the same segment are merged into the first by
+    ``merge`` (rows: bitmaps), and the last bitmap of all segments comes back as one."""
+    step = min(_SEGMENT_BYTES, n_bytes)
+    spark = df.sparkSession
+
+    def together(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(_unpacked(data), np.uint8).reshape(-1, step)
+                if k in held:
+                    merge(held[k], part)
+                else:
+                    held[k] = part.copy()
+        for k, part in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_packed(part[-1])], pa.binary())], names=["segment", "data"])
+
+    parts = df.coalesce(max(64, BUILDERS * spark.sparkContext.defaultParallelism)).mapInArrow(scan, "segment int, data binary")
+    whole = np.zeros(n_bytes, np.uint8)
+    for row in parts.repartition(max(1, min(64, n_bytes // step)), F.col("segment")).mapInArrow(together, "segment int, data binary").toLocalIterator():  # n_bytes in all
+        whole[row.segment * step : (row.segment + 1) * step] = np.frombuffer(_unpacked(row.data), np.uint8)
+    return whole
+
+
+def build(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], expected_keys: int, share: Share = Share()) -> Twice:
+    """Scans ``df`` once; ``keys_of`` gives, for a batch, arrays of keys distinct within each document."""
+    bits = bits_for(-(-expected_keys // share.of))
 
     def scan(batches):
-        once, twice = np.zeros(n_bytes, np.uint8), np.zeros(n_bytes, np.uint8)
+        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for batch in batches:
             for keys in keys_of(batch):
-                insert(once, twice, keys, bits)
-        for k in range(0, n_bytes, step):
-            one, two = once[k : k + step], twice[k : k + step]
-            if one.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k // step], pa.int32()), pa.array([_packed(one)], pa.binary()), pa.array([_packed(two)], pa.binary())],
-                    names=["segment", "once", "twice"],
-                )
-
-    def merge(batches):
-        held: dict[int, list[np.ndarray]] = {}
+                insert(once, twice, keys[share.has(keys)] if share.of > 1 else keys, bits)
+        yield from _segments([once, twice])
+
+    def merge(held: np.ndarray, more: np.ndarray) -> None:
+        held[1] |= more[1] | (held[0] & more[0])
+        held[0] |= more[0]
+
+    return Twice(merged(df, scan, bits // 8, merge), bits, share)
+
+
+def build_once(df: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> np.ndarray:
+    """The bitmap of a plain Bloom filter of ``bits`` bits over the keys of ``df``."""
+
+    def scan(batches):
+        bitmap = np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            for k, one, two in zip(*(batch.column(i) for i in range(3)), strict=True):
-                one, two = (np.frombuffer(_unpacked(x.as_py()), np.uint8) for x in (one, two))
-                if (h := held.get(k.as_py())) is None:
-                    held[k.as_py()] = [one.copy(), two.copy()]
-                else:
-                    h[1] |= two | (h[0] & one)
-                    h[0] |= one
-        for k, (_, two) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_packed(two)], pa.binary())], names=["segment", "twice"])
+            _set(bitmap, np.unique(np.concatenate(probes(keys_of(batch), bits))))
+        yield from _segments([bitmap])
 
-    parts = df.mapInArrow(scan, "segment int, once binary, twice binary")
-    merged = parts.repartition(max(1, min(64, n_bytes // step)), F.col("segment")).mapInArrow(merge, "segment int, twice binary")
-    whole = np.zeros(n_bytes, np.uint8)
-    for row in merged.toLocalIterator():  # at most MAX_BITS bits in all
-        whole[row.segment * step : (row.segment + 1) * step] = np.frombuffer(_unpacked(row.twice), np.uint8)
-    return Twice(whole, bits)
+    return merged(df, scan, bits // 8, lambda held, more: np.bitwise_or(held, more, out=held))

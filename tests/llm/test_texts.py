@@ -73,6 +73,44 @@ def test_hot_owner_is_split_by_anchor(spark, monkeypatch):
         assert cases.table(operator(cases.documents(spark, rows))) == sorted(plain(rows), key=repr)
 
 
+def _around_one_passage(n: int) -> list[tuple[int, str]]:
+    """Texts around one passage of 60 words; some share more than that with another text."""
+    rnd = random.Random(n)
+    passage = " ".join("p%d" % i for i in range(60))
+    more = [" ".join("q%d_%d" % (k, i) for i in range(30)) for k in range(5)]
+    say = lambda: " ".join("%06x" % rnd.randrange(1 << 24) for _ in range(40))
+    return [(i, f"{say()} {passage} {rnd.choice(more) if rnd.random() < 0.2 else ''} {say()}") for i in range(n)]
+
+
+def test_hot_anchors_are_dealt_by_window(spark, monkeypatch):
+    from fieldloom.llm import anchors
+
+    monkeypatch.setattr(anchors, "HOT_PLACES", 3)
+    monkeypatch.setattr(anchors, "HOT_KINDS", 2)
+    monkeypatch.setattr(anchors, "SHARD_MEAN", 40)
+    for rows in (cases.noisy(12, 40), _around_one_passage(80)):
+        for operator, plain in ((op5_phrases.phrase_digest, cases.phrases_result), (op10_suffix.suffix_digest, cases.suffix_result)):
+            assert cases.table(operator(cases.documents(spark, rows).repartition(4))) == sorted(plain(rows), key=repr)
+
+
+def test_one_passage_in_all_texts_is_no_large_shard(spark, monkeypatch):
+    """Texts around one passage bring as many different surroundings; no shard gathers them."""
+    from fieldloom.llm import anchors
+
+    shards, by_shard = [], anchors.by_shard
+
+    def counted(found, solve, least):
+        shards.append(max(r.n for r in found.groupBy("shard").agg(F.count_distinct("piece").alias("n")).collect()))
+        return by_shard(found, solve, least)
+
+    monkeypatch.setattr(anchors, "by_shard", counted)
+    monkeypatch.setattr(anchors, "SHARD_MEAN", 100)
+    rows = _around_one_passage(1500)
+    for operator, plain in ((op5_phrases.phrase_digest, cases.phrases_result), (op10_suffix.suffix_digest, cases.suffix_result)):
+        assert cases.table(operator(cases.documents(spark, rows).repartition(4))) == sorted(plain(rows), key=repr)
+    assert max(shards) <= anchors.HOT_PLACES, shards
+
+
 def test_search_in_cells(spark, monkeypatch):
     monkeypatch.setattr(op1_minhash, "LEFT", (2, 3))
     monkeypatch.setattr(op1_minhash, "RIGHT", (3, 5))
@@ -146,6 +184,16 @@ def test_twice_filter_misses_nothing():
     assert seen.test(keys[100:3100]).mean() < 0.1
 
 
+def test_shares_of_the_key_space(spark, monkeypatch):
+    """More keys than a filter serves: several filters, the same results."""
+    monkeypatch.setattr(twice, "MIN_BITS", 1 << 12)
+    monkeypatch.setattr(twice, "MAX_BITS", 1 << 12)
+    assert len(twice.shares(3 << 9)) == 3 and len(twice.shares(1)) == 1
+    rows = cases.noisy(14, 40)
+    for operator, plain in DIGESTS[:3]:
+        assert cases.table(operator(cases.documents(spark, rows).repartition(3))) == sorted(plain(rows), key=repr)
+
+
 def test_rows_left_out_by_id(spark):
     from fieldloom.llm import state
 
