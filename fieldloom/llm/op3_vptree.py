@@ -1,12 +1,14 @@
 """Nearest neighbours by vantage-point trees, one a shard.
 
-Rows are dealt to shards of about SHARD_ROWS by hash; every row is indexed.  A shard's tree splits at the median of the
+Rows are dealt to shards of about SHARD_ROWS rows, or SHARD_BYTES if that is less, by hash; every row is indexed.  A shard's tree splits at the median of the
 distances to a vantage point and keeps, for each half, the least and largest of them.  Cosine is searched as the chord
 between unit vectors, a metric, so a half whose distance range lies further from the query's own distance than the k-th
 neighbour found so far can hold nothing nearer.  ``factor`` relaxes that test: a half is entered if its bound is at most
 factor times the k-th distance.  Factor one is exact search; smaller factors enter fewer halves.
 
-Queries are packed in blocks; each block meets each shard once, in a task of its own, whose answer is k rows a query.
+Queries are packed in blocks; each block meets each shard once.  A shard's blocks are dealt to as many groups as leave
+BLOCKS of them in each, and a group is one row of the join that brings shard and blocks together, so a task's work is
+bounded however many queries there are, and the number of tasks is Spark's.  A block's answer is k rows a query.
 Equal vectors of a shard are one point of its tree with their smallest k + 1 ids, which are all that can be asked for;
 so a vector that a third of the rows share costs no more than another.
 
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from . import state
 
 SHARD_ROWS, QUERY_ROWS, LEAF = 8192, 1024, 256
+SHARD_BYTES, QUERY_BYTES, BLOCKS = 16 << 20, 2 << 20, 8
 K, FACTOR = 5, 1.0
 _SLACK = 1e-7  # of distances near zero, where the square root of a rounding error counts
 #: Cosines that are equal in so many decimals tie; _TIE covers them and rounding errors, as squared chord.
@@ -162,12 +165,17 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
+def _parts(rows: DataFrame, most: int, most_bytes: int):
+    """For each row: into how many parts the rows of its length are dealt.  A row a length comes to the driver."""
+    counts = sorted((r.dim, r["count"]) for r in rows.groupBy("dim").count().collect())
+    if not counts:
+        return F.lit(1)
+    return F.element_at(F.create_map(*[F.lit(x) for d, n in counts for x in (d, -(-n // max(1, min(most, most_bytes // (8 * d)))))]), F.col("dim"))
+
+
 def build_index(rows: DataFrame, shard_rows: int = SHARD_ROWS, k: int = K, leaf: int = LEAF) -> DataFrame:
     """rows (id, v, dim) -> one row a shard: dim, shard, tree."""
-    counts = {r.dim: r["count"] for r in rows.groupBy("dim").count().collect()}
-    shards = F.create_map(*[x for d, n in sorted(counts.items()) for x in (F.lit(d), F.lit(-(-n // shard_rows)))]) if counts else None
-    n_shards = F.element_at(shards, F.col("dim")) if counts else F.lit(1)
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), n_shards).cast("int"))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), _parts(rows, shard_rows, SHARD_BYTES)).cast("int"))
 
     def make(table: pa.Table) -> pa.Table:
         dim, shard = table.column("dim")[0].as_py(), table.column("shard")[0].as_py()
@@ -180,28 +188,31 @@ def build_index(rows: DataFrame, shard_rows: int = SHARD_ROWS, k: int = K, leaf:
 def nearest(rows: DataFrame, queries: DataFrame, k: int = K, factor: float = FACTOR, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS, leaf: int = LEAF) -> DataFrame:
     """rows, queries (id, v, dim) -> query_id, rank, vec_id, score."""
     index = build_index(rows, shard_rows, k, leaf)
-    n_blocks = max(1, -(-queries.count() // query_rows))
 
     def pack(table: pa.Table) -> pa.Table:
         dim = table.column("dim")[0].as_py()
         data = pickle.dumps((table.column("id").to_numpy(), _matrix(table.column("v"), dim)))
         return pa.table({"dim": pa.array([dim], pa.int32()), "block": pa.array([table.column("block")[0].as_py()], pa.int32()), "queries": pa.array([data], pa.binary())})
 
-    packed = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")).groupBy("dim", "block").applyInArrow(pack, "dim int, block int, queries binary")
-    cells = packed.join(index.select("dim", "shard"), "dim")  # a row for each block and shard: the stated queries against all rows
-    n_cells = max(1, n_blocks * max(1, index.count()))
-    cells = cells.repartition(n_cells, "shard", "block").join(index.hint("merge"), ["dim", "shard"])
+    parts = _parts(queries, query_rows, QUERY_BYTES)
+    packed = queries.withColumn("block", F.pmod(F.xxhash64("id"), parts).cast("int")).groupBy("dim", "block").applyInArrow(pack, "dim int, block int, queries binary")
+    packed = state.keep(packed, "vp-queries")
+    groups = packed.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / BLOCKS).cast("int").alias("groups"))
+    # a row for each block and shard: the stated queries against all rows
+    cells = packed.join(groups, "dim").withColumn("group", F.col("block") % F.col("groups")).join(index.select("dim", "shard"), "dim").select("dim", "shard", "group", "queries")
+    trees = index.join(groups, "dim").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select("dim", "shard", "group", "tree")
+    cells = cells.join(trees.hint("merge"), ["dim", "shard", "group"])
 
     def run(batches):
         for batch in batches:
             for tree, block in zip(batch.column(0), batch.column(1), strict=True):
                 ids, vectors = pickle.loads(block.as_py())
-                got = search(pickle.loads(tree.as_py()), ids, vectors, k, factor)
+                got = sorted(set(search(pickle.loads(tree.as_py()), ids, vectors, k, factor)))  # an id's rows are in one block
                 if got:
                     columns = [pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)]
                     yield pa.RecordBatch.from_arrays([*columns, pa.array(np.round(columns[2].to_numpy(), DECIMALS))], names=["query_id", "vec_id", "score", "near"])
 
-    found = cells.select("tree", "queries").mapInArrow(run, "query_id long, vec_id long, score double, near double").distinct()
+    found = cells.select("tree", "queries").mapInArrow(run, "query_id long, vec_id long, score double, near double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")).cast("int")
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -133,6 +133,19 @@ def test_smaller_factors_prune_more():
     assert len(exact & near) / len(exact) >= 0.9
 
 
+def test_a_shard_has_few_blocks_a_task(spark, monkeypatch):
+    """One exchange brings trees and blocks together; sizes follow the length of the vectors."""
+    monkeypatch.setattr(op3_vptree, "BLOCKS", 2)
+    monkeypatch.setattr(op3_vptree, "SHARD_BYTES", 8 * 6 * 100)
+    df, rows = vectors(spark)
+    df = df.withColumn("dim", F.lit("clash")).withColumn("id", F.lit("clash")).withColumn("shard", F.lit(0))
+    valid = op3_vptree._valid(df, "vec_id", "embedding")
+    got = op3_vptree.nearest(valid, valid.where("id % 50 = 0"), query_rows=2, leaf=8)
+    assert [(r.query_id, r["rank"], r.vec_id, round(r.score, 12)) for r in got.orderBy("query_id", "rank").collect()] == plain_neighbours(rows)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(dim" in plan and "group" in plan and "REPARTITION" not in plan
+
+
 @pytest.mark.parametrize("shard_rows", [10000, 30])
 def test_many_ties_go_to_the_smaller_id(spark, shard_rows):
     scaled = [(i, [0.1 * (i + 1), 0.3 * (i + 1), 0.7 * (i + 1)]) for i in range(199, -1, -1)]  # one direction, all different
