@@ -385,10 +385,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             more = whole.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_verify_groups, "a long, b long")
             component = components.connected(more.unionAll(component.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
-        linked = component.join(classes.select("cls", "print", "rep"), F.col("node") == F.col("cls"))
+        linked = component.join(classes.select("cls", "rep"), F.col("node") == F.col("cls")).select("component", "cls", "rep")
         least = linked.groupBy("component").agg(F.min("rep").alias("least"))
-        labels = classes.select("cls", "print", "rep").join(component, F.col("cls") == F.col("node"), "left").join(least, "component", "left")
-        labels = state.keep(labels.select("print", F.coalesce("least", "rep").alias("component")), "near-labels")
+        # a sort-merge join: Spark can split a component of very many classes
+        named = linked.select("component", "cls").join(least.hint("merge"), "component").select("cls", "least")
+        labels = classes.select("cls", "print", "rep").join(named, "cls", "left").select("print", F.coalesce("least", "rep").alias("component"))
+        labels = state.keep(labels, "near-labels")
         # rows without words whose id also has a text
         empty = sketch.where("doc_id is not null and n = 0").select("doc_id").distinct()
         by_id = known.select("doc_id", "print").join(empty, "doc_id", "left_semi").join(labels, "print").groupBy("doc_id").agg(F.min("component").alias("component"))

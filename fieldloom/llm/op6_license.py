@@ -2,13 +2,19 @@
 
 Every rolling word k-gram hash of every document is joined, in Spark, to the positions of that k-gram in the licence
 templates (a fixed list, a few hundred rows, so the broadcast has a proven bound).  A hit at document word p and
-template word q votes for the diagonal p - q; votes are summed by document, template and diagonal, diagonals that
-differ by at most MERGE words (insertions, deletions) are merged, and spans with enough votes are verified against
-the document's own words, aligned by longest common subsequences.  Places of the base phrases are counted exactly in
-the same scan.
-
-Defined results.  Null or empty text: no words, no labels ('' and score 0).  Null doc_id: base labels only.  Rows that
-share a doc_id share the method's labels.  An empty table gives an empty table.  Extra columns are ignored.
+template word q votes for the diagonal p - q; votes are summed by document, template and diagonal.  Insertions and
+deletions move a copy from one diagonal to others near it, so neighbouring diagonals are merged: votes are summed over
+stretches as wide as the template is long, one beginning every half of that.  A copy whose insertions come to half its
+length at most lies in one stretch with all its votes.  Stretches with enough votes are verified against the document's
+own words, by an order-keeping alignment: MIN_COVER of the template's words must stand there, and be MIN_DENSITY of the
+words from the first to the last of them.  Places of the base phrases are counted exactly in the same scan.
+
+A stretch spans twice the template's words at most, and all steps are grouped sums, so work grows with the words of a
+document however long it is.
+
+Defined results.  Null or empty text: no words, no labels ('' and score 0).  Null doc_id: judged like others, id null.
+Rows that share a doc_id are judged each by its own text; repeated rows have equal results.  An empty table gives an empty
+table.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +31,8 @@ from . import license_texts, semi, state
 from . import textblocks as tb
 
 K = 3
-#: Diagonals at most this far apart are one span; a span needs MIN_COVER of its template's words to match.
-MERGE, MIN_COVER = 4, 0.8
+#: Share of the template's words that must match, and share that these must be of the words they span.
+MIN_COVER, MIN_DENSITY = 0.8, 2 / 3
 
 
 def words(text: bytes) -> list[bytes]:
@@ -52,15 +58,15 @@ def _scan(column: pa.Array):
 
 
 def base_places(docs: DataFrame, phrases=license_texts.PHRASES) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels of every row."""
+    """docs (key, doc_id, text) -> key, doc_id, n_words, n_base, first_word, last_word, base_labels of every row."""
     wanted = [(phrase.encode().split(b" "), label) for phrase, label in phrases]
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string())])
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string())])
 
     def run(batches):
         last = {w[-1]: _word_hash(w[-1]) for w, _ in wanted}
         for batch in batches:
             n_words, places = [], {}
-            for block, buf, s, e, first, h in _scan(batch.column(1)):
+            for block, buf, s, e, first, h in _scan(batch.column(2)):
                 n_words.append(np.diff(first))
                 row = tb.row_of(first, len(s))
                 raw = None
@@ -76,13 +82,13 @@ def base_places(docs: DataFrame, phrases=license_texts.PHRASES) -> DataFrame:
             lo = [min(places[i])[0] if i in places else None for i in range(batch.num_rows)]
             hi = [max(places[i])[0] if i in places else None for i in range(batch.num_rows)]
             labels = [",".join(sorted({x for _, x in places.get(i, ())})) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(count, pa.int64()), pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(labels, pa.string())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count, pa.int64()), pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(labels, pa.string())], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string")
+    return docs.select("key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string")
 
 
 def _votes(docs: DataFrame, templates, k: int) -> DataFrame:
-    """doc_id, template, diagonal, votes, low, high (document words of the votes)."""
+    """key, doc_id, template, diagonal, votes, low, high (document words of the votes)."""
     spark = docs.sparkSession
     rows = []
     for t, ws in enumerate(_template_words(templates)):
@@ -92,76 +98,80 @@ def _votes(docs: DataFrame, templates, k: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for block, _, s, _, first, h in _scan(batch.column(1)):
+            for block, _, s, _, first, h in _scan(batch.column(2)):
                 g = tb.as_long(tb.gram_hashes(h, k))
                 n = np.maximum(np.diff(first) - (k - 1), 0)
                 at = np.repeat(first[:-1] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, block.rows).cast(pa.int64()), tb.list_array(n, g[at], pa.int64())], names=["doc_id", "grams"])
-
-    hits = docs.where("doc_id is not null").mapInArrow(run, "doc_id long, grams array<long>").select("doc_id", F.posexplode("grams").alias("p", "h")).join(grams, "h")
-    return hits.groupBy("doc_id", "template", (F.col("p") - F.col("q")).alias("diagonal")).agg(F.count(F.lit(1)).alias("votes"), F.min("p").alias("low"), F.max("p").alias("high"))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(block.lo, block.rows) for i in (0, 1)), tb.list_array(n, g[at], pa.int64())], names=["key", "doc_id", "grams"])
 
+    hits = docs.select("key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, grams array<long>").select("key", "doc_id", F.posexplode("grams").alias("p", "h")).join(grams, "h")
+    return hits.groupBy("key", "doc_id", "template", (F.col("p") - F.col("q")).alias("diagonal")).agg(F.count(F.lit(1)).alias("votes"), F.min("p").alias("low"), F.max("p").alias("high"))
 
-def _spans(votes: DataFrame, sizes: list[int], k: int, merge: int, min_cover: float) -> DataFrame:
-    """doc_id, spans: [(template, low, high)] whose merged diagonals might cover enough of the template."""
-    # a word that differs spoils k grams at most, so a span that covers enough has at least so many votes
-    least = [max(1, math.floor(n * (1 - k * (1 - min_cover))) - (k - 1)) for n in sizes]
-    need = F.element_at(F.array(*map(F.lit, least)), F.col("template") + 1)
-    by_doc = votes.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("template", "diagonal", "votes", "low", "high"))).alias("d"))  # bounded by the document's words
 
-    # fold neighbouring diagonals of a template into runs
-    start = F.expr("cast(array() as array<struct<template:int,diagonal:int,votes:bigint,low:int,high:int>>)")
+def _least_votes(n: int, k: int, min_cover: float) -> int:
+    """A word that differs spoils k grams at most, so a copy that covers enough of n words has at least so many votes."""
+    return max(1, math.floor(n * (1 - k * (1 - min_cover))) - (k - 1))
 
-    def fold(acc, x):
-        last = F.element_at(acc, -1)
-        near = (F.size(acc) > 0) & (last["template"] == x["template"]) & (x["diagonal"] - last["diagonal"] <= merge)
-        joined = F.struct(x["template"].alias("template"), x["diagonal"].alias("diagonal"), (last["votes"] + x["votes"]).alias("votes"), F.least(last["low"], x["low"]).alias("low"), F.greatest(last["high"], x["high"]).alias("high"))
-        return F.when(near, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(x)))
 
-    runs = by_doc.select("doc_id", F.explode(F.aggregate("d", start, lambda a, x: F.when(F.size(a) == 0, F.array(x)).otherwise(fold(a, x)))).alias("r"))
-    runs = runs.select("doc_id", "r.*").where(F.col("votes") >= need)
-    return runs.groupBy("doc_id").agg(F.collect_list(F.struct("template", "low", "high")).alias("spans"))
+def _spans(votes: DataFrame, sizes: list[int], k: int, min_cover: float) -> DataFrame:
+    """key, doc_id, spans: [(template, low, high)] of the stretches of diagonals that might cover enough of the template."""
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("template") + 1)
+    half = of([max(1, n // 2) for n in sizes])
+    last = F.floor(F.col("diagonal") / half)
+    stretches = votes.withColumn("stretch", F.explode(F.array(last - 1, last)))
+    sums = stretches.groupBy("key", "doc_id", "template", "stretch").agg(F.sum("votes").alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"))
+    enough = sums.where(F.col("votes") >= of([_least_votes(n, k, min_cover) for n in sizes]))
+    return enough.groupBy("key", "doc_id").agg(F.collect_set(F.struct("template", "low", "high")).alias("spans"))  # fewer than the document's words
 
 
-def _cover(template: list[bytes], part: list[bytes]) -> float:
-    """Share of the template's words that an order-keeping alignment with the part matches."""
-    blocks = difflib.SequenceMatcher(None, template, part, autojunk=False).get_matching_blocks()
-    return sum(b.size for b in blocks) / len(template)
+def alignment(template: list[bytes], part: list[bytes]) -> tuple[float, float, int, int]:
+    """Share of the template's words that an order-keeping alignment with the part matches, their share of the words they
+    span, and where in the part the first and last stand."""
+    blocks = [b for b in difflib.SequenceMatcher(None, template, part, autojunk=False).get_matching_blocks() if b.size]
+    if not blocks:
+        return 0.0, 0.0, 0, 0
+    n, first, last = sum(b.size for b in blocks), blocks[0].b, blocks[-1].b + blocks[-1].size - 1
+    return n / len(template), n / (last - first + 1), first, last
 
 
-def method_labels(docs: DataFrame, templates=license_texts.TEMPLATES, k: int = K, merge: int = MERGE, min_cover: float = MIN_COVER) -> DataFrame:
-    """doc_id, found: [(label, first word, last word, cover)] of verified spans."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def method_labels(docs: DataFrame, templates=license_texts.TEMPLATES, k: int = K, min_cover: float = MIN_COVER, min_density: float = MIN_DENSITY) -> DataFrame:
+    """docs (key, doc_id, text) -> key, doc_id, found: [(label, first word, last word, cover)] of verified spans."""
     sizes = [len(w) for w in _template_words(templates)]
-    spans = state.keep(_spans(_votes(docs, templates, k), sizes, k, merge, min_cover), "license-spans")
-    might = semi.might_hold(spans.select("doc_id"), spans.count())
+    spans = state.keep(_spans(_votes(docs, templates, k), sizes, k, min_cover), "license-spans")
+    might = semi.might_hold(spans.select("key"), spans.count())
     kind = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("cover", pa.float64())]))
 
     def run(batches):
         known = _template_words(templates)
         for batch in batches:
             out = []
-            for text, spans_ in zip(batch.column(1), batch.column(2), strict=True):
-                w, found = words((text.as_py() or "").encode("utf-8")), []
+            for text, spans_ in zip(batch.column(2), batch.column(3), strict=True):
+                w, found = words((text.as_py() or "").encode("utf-8")), {}
                 for x in spans_.as_py():
                     t = known[x["template"]]
-                    lo, hi = max(0, x["low"] - merge), min(len(w), x["high"] + k + merge)
-                    lo, hi = max(0, min(lo, hi - len(t))), min(len(w), max(hi, lo + len(t)))
-                    cover = _cover(t, w[lo:hi])
-                    if cover >= min_cover:
-                        found.append({"label": templates[x["template"]][0], "first": x["low"], "last": x["high"] + k - 1, "cover": min(1.0, cover)})
-                out.append(found)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["doc_id", "found"])
+                    lo = max(0, x["low"] - k)
+                    cover, density, first, last = alignment(t, w[lo : x["high"] + 2 * k])
+                    if cover >= min_cover and density >= min_density:
+                        found[templates[x["template"]][0], lo + first, lo + last] = cover
+                out.append([{"label": label, "first": a, "last": b, "cover": c} for (label, a, b), c in sorted(found.items())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], names=["key", "doc_id", "found"])
 
-    candidates = docs.where(might.column(F.col("doc_id"))).join(spans, "doc_id")
-    return candidates.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, found array<struct<label string, first long, last long, cover double>>")
+    own = spans.select(F.col("key").alias("key_"), F.col("doc_id").alias("id_"), "spans")
+    candidates = docs.where(might.column(F.col("key"))).join(own, (F.col("key") == F.col("key_")) & F.col("doc_id").eqNullSafe(F.col("id_")))
+    return candidates.select("key", "doc_id", "text", "spans").mapInArrow(run, "key long, doc_id long, found array<struct<label string, first long, last long, cover double>>")
+
+
+def with_keys(docs: DataFrame) -> DataFrame:
+    """key (of id and text), doc_id, text: what tells rows apart whose results may differ."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """Base places and the method's labels of every row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = method_labels(docs).groupBy("doc_id").agg(F.flatten(F.collect_list("found")).alias("found"))
-    both = base_places(docs).join(found, "doc_id", "left")
+    docs = with_keys(docs)
+    found = method_labels(docs).groupBy("key", "doc_id").agg(F.first("found").alias("found")).select(F.col("key").alias("key_"), F.col("doc_id").alias("id_"), "found")
+    both = base_places(docs).join(found, (F.col("key") == F.col("key_")) & F.col("doc_id").eqNullSafe(F.col("id_")), "left")
     own = F.transform(F.coalesce("found", F.expr("cast(array() as array<struct<label:string,first:bigint,last:bigint,cover:double>>)")), lambda x: x["label"])
     base = F.filter(F.split("base_labels", ","), lambda x: x != "")
     score = F.coalesce(F.array_max(F.transform("found", lambda x: x["cover"])), F.lit(0.0))

@@ -277,7 +277,78 @@ def test_base_places_against_plain(spark):
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(cases.LOWER))
         hit = [(i, x) for p, x in phrases for i in range(len(w)) if w[i : i + len(p)] == p]
         want.append((d, len(w), len(hit), min(hit)[0] if hit else None, max(hit)[0] if hit else None, ",".join(sorted({x for _, x in hit}))))
-    assert cases.table(op6_license.base_places(cases.documents(spark, docs).select("doc_id", "text"))) == sorted(want, key=repr)
+    assert cases.table(op6_license.base_places(op6_license.with_keys(cases.documents(spark, docs))).drop("key")) == sorted(want, key=repr)
+
+
+def plain_labels(text: str, k: int = 3) -> tuple[set, float]:
+    """Diagonal voting by hand: hits, stretches of diagonals, alignments."""
+    from fieldloom.llm import license_texts
+
+    find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(cases.LOWER))
+    doc, labels, score = find(text), set(), 0.0
+    for label, whole in license_texts.TEMPLATES:
+        t = find(whole)
+        n, half, hits = len(t), max(1, len(t) // 2), {}
+        for p in range(len(doc) - k + 1):
+            for q in range(n - k + 1):
+                if doc[p : p + k] == t[q : q + k]:
+                    at = (p - q) // half
+                    for j in (at - 1, at):
+                        hits.setdefault(j, []).append(p)
+        for ps in hits.values():
+            if len(ps) >= max(1, int(n * (1 - k * 0.2)) - (k - 1)):
+                part = doc[max(0, min(ps) - k) : max(ps) + 2 * k]
+                cover, density, _, _ = op6_license.alignment([w.encode() for w in t], [w.encode() for w in part])
+                if cover >= 0.8 and density >= 2 / 3:
+                    labels.add(label)
+                    score = max(score, cover)
+    return labels, score
+
+
+def test_labels_and_score_against_plain(spark):
+    from fieldloom.llm import license_texts
+
+    rnd = random.Random(8)
+    docs = []
+    for i in range(40):
+        _, text = rnd.choice(license_texts.TEMPLATES)
+        w = text.split()
+        for _ in range(rnd.randint(0, len(w) // 4)):
+            at = rnd.randrange(len(w))
+            w[at : at + rnd.randint(0, 1)] = ["zz%d" % rnd.randrange(50)] * rnd.randint(0, 2)
+        if i % 4 == 0:  # insertions in two places, as of a page's footer
+            for at in (len(w) // 3, 2 * len(w) // 3):
+                w[at:at] = ["footer%d" % j for j in range(len(w) // 5)]
+        docs.append((i % 37, " ".join(["x"] * rnd.randint(0, 20) + w + ["y"] * rnd.randint(0, 20))))
+    got = sorted((r.doc_id, tuple(sorted(set(r.labels.split(",")) - set(r.base_labels.split(",")) - {""})), r.base_labels, round(r.score, 9)) for r in op6_license.scan(cases.documents(spark, docs)).collect())
+    want = []
+    for d, t in docs:
+        labels, score = plain_labels(t)
+        base = {x for p, x in license_texts.PHRASES if p in " ".join(re.findall("[0-9a-z]+", t.lower()))}
+        want.append((d, tuple(sorted(labels - base)), ",".join(sorted(base)), round(score, 9)))
+    assert got == sorted(want)
+    assert sum(x[3] > 0 for x in want) > 15 and any(x[3] > 0 for x in want[::4])
+
+
+def test_scattered_words_are_no_licence(spark):
+    from fieldloom.llm import license_texts
+
+    w = license_texts.TEMPLATES[3][1].split()
+    scattered = " ".join(" ".join(w[i : i + 6]) + " four foreign words here" for i in range(0, len(w), 6))
+    assert [r.score for r in op6_license.scan(cases.documents(spark, [(1, scattered)])).collect()] == [0.0]
+
+
+def test_a_very_long_text_takes_linear_time(spark):
+    import time
+
+    from fieldloom.llm import license_texts
+
+    rnd = random.Random(9)
+    w = [x for _, t in license_texts.TEMPLATES for x in t.split()]
+    text = " ".join(" ".join(w[a : a + rnd.randint(3, 9)]) for a in (rnd.randrange(len(w) - 9) for _ in range(45_000)))
+    start = time.perf_counter()
+    got = op6_license.scan(cases.documents(spark, [(1, text + " " + license_texts.TEMPLATES[3][1])])).collect()
+    assert got[0].n_words > 250_000 and "mit" in got[0].labels and time.perf_counter() - start < 60
 
 
 # --- packing ----------------------------------------------------------------------------------------------------
