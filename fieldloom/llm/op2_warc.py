@@ -9,8 +9,12 @@ the index, and then single records, are read by offset.
 Archives live in a folder that executors share, under names that hold the task's attempt, and only those that the
 committed manifest names are read: a task that is run twice leaves a file that nothing refers to.
 
+Only the pages whose payload may repeat shuffle; a revisit names the record it refers to (WARC-Refers-To).  An index carries
+every record's offset and length, and readers fetch neighbouring records in one range and cut it up by them.
+
 Defined results.  A null html has an empty payload.  A null page_id or url is kept as null (header left out).  Rows that
-share the smallest page_id among equal payloads are all responses.  An empty table gives no archive and no rows.
+share the smallest page_id among equal payloads are all responses; repeated rows are records of one id.  A payload of any
+length is one record, held by one task at a time.  An empty table gives no archive and no rows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import state
+from . import semi, state
 
 MIN_REVISIT_BYTES = 100
 #: Bytes of record data after which a task begins another archive.
@@ -169,17 +173,21 @@ def _clean(value: str) -> str:
     return "".join(c if c >= " " else "%%%02X" % ord(c) for c in value)
 
 
+def record_id(page_id: int | str | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page:{page_id}:{digest}')}>"
+
+
 def warc_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     revisit = refers_to is not None
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page:{page_id}:{url}')}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id if not revisit else f'{page_id}>{refers_to}', digest)}", "WARC-Date: 1970-01-01T00:00:00Z"]
     if url is not None:
         head.append(f"WARC-Target-URI: {_clean(url)}")
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     if revisit:
-        head += [f"WARC-Profile: {_PROFILE}", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page-ID: {refers_to}"]
     head += [f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode("utf-8") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -203,12 +211,18 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def record_types(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """pages (page_id, url, html) with digest and refers_to.  Only ids, digests and lengths shuffle to find repeats."""
+    """pages (page_id, url, html) with digest and refers_to.  Ids and digests shuffle to find repeated payloads, then only
+    the pages that may have one."""
     page = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     page = page.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
-    first = page.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    joined = page.join(first.hint("shuffle_hash"), "digest", "left")
-    return joined.select("page_id", "url", "html", "digest", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"))
+    first = page.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    first = state.keep(first, "warc-repeated")
+    might = semi.might_hold(first.select(F.xxhash64("digest").alias("id")), first.count())
+    asked = page.withColumn("maybe", might.column(F.xxhash64("digest")))
+    joined = asked.where("maybe").join(first.withColumnRenamed("digest", "digest_"), F.col("digest") == F.col("digest_"), "left")
+    names = ["page_id", "url", "html", "digest"]
+    typed = joined.select(*names, F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"))
+    return asked.where("not maybe").select(*names, F.lit(None).cast("long").alias("refers_to")).unionAll(typed)
 
 
 def _filesystem(uri: str):
@@ -268,18 +282,19 @@ def write_archives(typed: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
     return state.keep(out, "warc-manifest")
 
 
-def _ranges(text: bytes, most: int) -> Iterator[tuple[int, int, int]]:
-    """Neighbouring records of an index as ranges of at most ``most`` bytes (or one record): first, offset, length."""
-    first = at = length = 0
-    for i, line in enumerate(text.decode().splitlines()):
+def _ranges(text: bytes, most: int) -> Iterator[tuple[int, list[int]]]:
+    """Neighbouring records of an index as ranges of at most ``most`` bytes (or one record): offset, the records' lengths."""
+    at, sizes, length = 0, [], 0
+    for line in text.decode().splitlines():
         offset, size = map(int, line.rsplit(" ", 2)[1:])
-        if length and length + size > most:
-            yield first, at, length
-            first, at, length = i, offset, 0
-        at = at if length else offset
+        if sizes and (length + size > most or at + length != offset):
+            yield at, sizes
+            sizes, length = [], 0
+        at = at if sizes else offset
+        sizes.append(size)
         length += size
-    if length:
-        yield first, at, length
+    if sizes:
+        yield at, sizes
 
 
 def read_archives(manifest: DataFrame, folder: str, range_bytes: int = 8 << 20) -> DataFrame:
@@ -295,23 +310,22 @@ def read_archives(manifest: DataFrame, folder: str, range_bytes: int = 8 << 20)
                 with files.open_input_file(f"{base}/{name}") as file:
                     archive = StoredZipReader(file)
                     start, _ = archive.range_of(DATA)
-                    got = [(name, start + at, length) for _, at, length in _ranges(archive.read(INDEX), range_bytes)]
-                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64())], names=["archive", "at", "length"])
+                    got = [(name, start + at, sizes) for at, sizes in _ranges(archive.read(INDEX), range_bytes)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.string(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["archive", "at", "sizes"])
 
     out = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
 
     def fetch(batches):
         files, base = _filesystem(root)
         for batch in batches:
-            for name, at, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for name, at, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with files.open_input_file(f"{base}/{name}") as file:
                     file.seek(at)
-                    raw = file.read(length)
-                rows = []
-                while raw:
-                    reader = zlib.decompressobj(31)
-                    record = reader.decompress(raw) + reader.flush()
-                    raw = reader.unused_data
+                    raw = file.read(sum(sizes))
+                rows, begin = [], 0
+                for size in sizes:
+                    record = zlib.decompress(raw[begin : begin + size], 31)
+                    begin += size
                     head, body = parse_record(record)
                     revisit = head["warc-type"] == "revisit"
                     digest = head["warc-payload-digest"].removeprefix("sha256:")
@@ -323,14 +337,18 @@ def read_archives(manifest: DataFrame, folder: str, range_bytes: int = 8 << 20)
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
     slots = max(2, spark.sparkContext.defaultParallelism)
-    ranges = manifest.select("archive").mapInArrow(plan, "archive string, at long, length long").repartition(2 * slots)
+    ranges = manifest.select("archive").mapInArrow(plan, "archive string, at long, sizes array<long>").repartition(2 * slots)
     return ranges.mapInArrow(fetch, "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = state.fresh_path(spark, "warc")
-    manifest = write_archives(record_types(spark.read.parquet(f"{sf_dir}/pages.parquet")), folder)
-    return read_archives(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """The archives go once their records have been read back."""
+    with state.steps(spark) as outlives:
+        folder = state.owned(state.fresh_path(spark, "warc"))
+        manifest = write_archives(record_types(spark.read.parquet(f"{sf_dir}/pages.parquet")), folder)
+        out = state.keep(read_archives(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "warc-records")
+        outlives(out)
+    return out
 
 
 ORACLE = """

@@ -83,6 +83,26 @@ def test_archives_round_trip(spark, archive_bytes, range_bytes, zip64):
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, None if r.payload is None else bytes(r.payload)) for r in got), key=repr) == sorted(want, key=repr)
 
 
+def test_small_records_take_linear_time(spark):
+    """A range of very many records is cut up by the index."""
+    import time
+
+    n = 60_000
+    pages = spark.range(n).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.col("id").cast("string").alias("html"))
+    folder = state.fresh_path(spark, "warc")
+    manifest = op2_warc.write_archives(op2_warc.record_types(pages).coalesce(1), folder)
+    start = time.perf_counter()
+    got = op2_warc.read_archives(manifest, folder, 1 << 30).agg(F.count(F.lit(1)), F.sum("page_id"), F.sum("payload_bytes")).first()
+    assert tuple(got) == (n, n * (n - 1) // 2, sum(len(str(i)) for i in range(n))) and time.perf_counter() - start < 60
+
+
+def test_a_revisit_names_its_record():
+    kept, again = (op2_warc.parse_record(op2_warc.warc_record(i, "u", b"x" * 200, "d", r))[0] for i, r in ((1, None), (5, 1)))
+    assert again["warc-refers-to"] == kept["warc-record-id"] != again["warc-record-id"]
+    long = "y" * 3_000_000
+    assert op2_warc.parse_record(op2_warc.warc_record(1, None, long.encode(), "d", None))[1] == long.encode()
+
+
 def test_no_pages(spark):
     folder = state.fresh_path(spark, "warc")
     manifest = op2_warc.write_archives(op2_warc.record_types(pages(spark).limit(0)), folder)
