@@ -11,29 +11,36 @@ Weak-AND with block maxima, in two steps that leave out only what can't reach th
   * for the others, the cursor search: postings in entry order, in blocks with their maximum, pivot by the terms'
     maxima, blocks skipped by theirs.
 Every retrieved passage and entry is verified: the shares of the item's question trigrams and answer bigrams in the
-document around the passage.  A document's score for an item is the best among the passages that pass.  Documents never shuffle.  The index is broadcast in groups of at most GROUP_TERMS postings each; a
-benchmark beyond that takes another scan per group, not a larger broadcast.
+document around the passage.  A document's score for an item is the best among the passages that pass.  Documents never
+shuffle.  Postings and their statistics are made by grouped aggregation over the items, dealt by item to groups of about
+GROUP_TERMS postings, and each group's index is built by a task; the driver passes on one group's at a time.  More groups
+take more scans, not larger broadcasts.
 
 Defined results.  Null or empty text: no passage.  Items without words take no part; items
 without an id do, with a null id.  Null doc_id: judged, id null.
-Repeated rows are judged each.  An empty table on either side gives no leak.  Other columns are carried by
-``decontaminate`` as they are, whatever their names.
+Repeated rows are judged each.  A text of any length is searched whole, held by one task at a time.  Items of equal text are
+items of their own.  An empty table on either side gives no leak.  Other columns are carried by ``decontaminate`` as they
+are, whatever their names.
 """
 
 from __future__ import annotations
 
 import bisect
 import math
+import pickle
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import state
 from . import textblocks as tb
 
 K1, B = 1.2, 0.75
@@ -42,7 +49,9 @@ THRESHOLD, MIN_QUESTION, MIN_ANSWER = 0.5, 0.5, 0.5
 BLOCK = 32
 #: Share of the threshold that an entry's inessential terms may sum to: less means longer bulk sums, fewer searches.
 LIGHT = 0.4
-GROUP_TERMS = 2_000_000
+GROUP_TERMS = 1_000_000
+#: Groups whose scans follow each other in one plan.
+CHAIN = 4
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
 
 
@@ -67,16 +76,28 @@ def _grams(w: list[str], n: int) -> set[tuple[str, ...]]:
 
 @dataclass
 class Index:
-    """Postings of a group of entries: for each term, entries in order, weights, and maxima over blocks of entries."""
+    """Postings of a group of entries: for each term, entries in order and weights; and those of the essential terms."""
 
-    items: list[tuple[int, str]]  # item_id, text
-    entry_item: list[int]
+    items: list[tuple[int | None, str]]  # item_id, text
+    entry_item: np.ndarray
     vocabulary: np.ndarray  # sorted hashes
-    postings: list[tuple[list[int], list[float]]]
-    maximum: list[float]
-    block_max: list[dict[int, float]]
+    starts: np.ndarray  # by term (CSR)
+    entries: np.ndarray
+    weights: np.ndarray
+    maximum: np.ndarray  # by term
     essential: tuple[np.ndarray, np.ndarray, np.ndarray]  # start by term (CSR), entry, weight
     rest: np.ndarray  # by entry: sum of its lighter terms' weights
+    lists: dict = field(default_factory=dict)  # of the terms asked for: entries, weights, maxima over blocks of entries
+
+    def of(self, term: int) -> tuple[list[int], list[float], dict[int, float]]:
+        if term not in self.lists:
+            at = slice(self.starts[term], self.starts[term + 1])
+            entries, weights = self.entries[at].tolist(), self.weights[at].tolist()
+            most: dict[int, float] = {}
+            for e, x in zip(entries, weights, strict=True):
+                most[e // BLOCK] = max(most.get(e // BLOCK, 0.0), x)
+            self.lists[term] = entries, weights, most
+        return self.lists[term]
 
 
 def _hash_words(ws: list[str]) -> np.ndarray:
@@ -85,69 +106,93 @@ def _hash_words(ws: list[str]) -> np.ndarray:
     return tb.range_hashes(np.frombuffer(b"".join(raw), np.uint8), ends - np.array([len(r) for r in raw], np.int64), ends)
 
 
-def build_indexes(items: list[tuple[int, str]], threshold: float = THRESHOLD, group_terms: int = GROUP_TERMS) -> list[Index]:
-    """Statistics over all entries; one index for each group of at most ``group_terms`` postings."""
-    entries = []
-    for i, (_, text) in enumerate(items):
-        w = words(text)
-        n = max(1, math.ceil(len(w) / ENTRY_WORDS))
-        step = math.ceil(len(w) / n) if w else 1
-        entries += [(i, Counter(w[a : a + step])) for a in range(0, len(w), step)]
-    n = len(entries)
-    df = Counter(t for _, c in entries for t in c)
-    mean = sum(sum(c.values()) for _, c in entries) / max(1, n)
-    idf = {t: math.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
-    out, group, size = [], [], 0
-    for k, entry in enumerate(entries):
-        group.append(entry)
-        size += len(entry[1])
-        if size >= group_terms or k == n - 1:
-            out.append(_index(items, group, idf, mean, threshold))
-            group, size = [], 0
-    return out
-
-
-def _index(items, entries, idf, mean, threshold) -> Index:
-    by_term: dict[str, list[tuple[int, float]]] = defaultdict(list)
-    rest, essential = np.zeros(len(entries)), defaultdict(list)
-    for e, (_, c) in enumerate(entries):
-        length = sum(c.values())
-        w = {t: idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * length / mean)) for t, f in c.items()}
-        own = sum(w.values())
-        light = 0.0
-        for t, x in sorted(((t, x / own) for t, x in w.items()), key=lambda tx: (tx[1], tx[0])):
-            by_term[t].append((e, x))
-            if light + x < threshold * LIGHT:
-                light += x
-            else:
-                essential[t].append((e, x))
-        rest[e] = light
-    terms = list(by_term)
-    h = _hash_words(terms)
-    order = np.argsort(h)
-    terms = [terms[i] for i in order]
-    starts, ee, ew = [0], [], []
-    for t in terms:
-        for e, x in essential.get(t, ()):
-            ee.append(e)
-            ew.append(x)
-        starts.append(len(ee))
-    postings = [([e for e, _ in by_term[t]], [x for _, x in by_term[t]]) for t in terms]
-    maxima = []
-    for es, xs in postings:
-        m: dict[int, float] = {}
-        for e, x in zip(es, xs, strict=True):
-            m[e // BLOCK] = max(m.get(e // BLOCK, 0.0), x)
-        maxima.append(m)
-    used = sorted({i for i, _ in entries})
-    at = {i: k for k, i in enumerate(used)}
-    return Index([items[i] for i in used], [at[i] for i, _ in entries], h[order], postings, [max(x) for _, x in postings], maxima, (np.array(starts), np.array(ee, np.int64), np.array(ew)), rest)
+def _entry_batches(batches) -> Iterator[pa.RecordBatch]:
+    """item, item_id, text -> item, entry, length, terms, counts: parts of at most ENTRY_WORDS words."""
+    for batch in batches:
+        out = []
+        for item, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            w = words(text)
+            n = max(1, math.ceil(len(w) / ENTRY_WORDS))
+            step = math.ceil(len(w) / n) if w else 1
+            for k, a in enumerate(range(0, len(w), step)):
+                held = Counter(w[a : a + step])
+                out.append((item, k, sum(held.values()), tb.as_long(_hash_words(list(held))).tolist(), list(held.values())))
+        if out:
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["item", "entry", "length", "terms", "counts"])
+
+
+def make_index(items: list[tuple[int | None, str]], entry_item: np.ndarray, entry: np.ndarray, term: np.ndarray, weight: np.ndarray, threshold: float) -> Index:
+    """The index of postings (entry number, term hash, BM25 weight)."""
+    own = np.bincount(entry, weights=weight, minlength=len(entry_item))
+    x = weight / own[entry]
+    order = np.lexsort((term, x, entry))  # each entry's lightest first
+    entry, term, x = entry[order], term[order], x[order]
+    sums = np.cumsum(x)
+    begin = np.searchsorted(entry, np.arange(len(entry_item)))
+    sums -= (sums - x)[begin][entry]
+    light = sums < threshold * LIGHT
+    rest = np.zeros(len(entry_item))
+    np.maximum.at(rest, entry[light], sums[light])
+    order = np.lexsort((entry, term))
+    entry, term, x, light = entry[order], term[order], x[order], light[order]
+    vocabulary, starts = np.unique(term, return_index=True)
+    place = np.searchsorted(vocabulary, term)
+    heavy = ~light
+    essential = (np.concatenate(([0], np.cumsum(np.bincount(place[heavy], minlength=len(vocabulary))))), entry[heavy], x[heavy])
+    return Index(items, entry_item, vocabulary, np.append(starts, len(term)), entry, x, np.maximum.reduceat(x, starts) if len(x) else x, essential, rest)
+
+
+def build_indexes(benchmark: DataFrame, threshold: float = THRESHOLD) -> Iterator[Index]:
+    """Statistics over all entries of benchmark (item_id, text); one index for each group of items."""
+    spark, kept = benchmark.sparkSession, []
+
+    def keep(df, name):
+        kept.append(state.keep(df, name))
+        return kept[-1]
+
+    try:
+        items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+        items = keep(items.select(F.monotonically_increasing_id().alias("item"), "item_id", "text"), "items")  # numbered once
+        entries = keep(items.mapInArrow(_entry_batches, "item long, entry int, length int, terms array<long>, counts array<int>"), "entries")
+        n, mean, total = entries.agg(F.count(F.lit(1)), F.avg("length"), F.sum(F.size("terms"))).first()
+        if not n:
+            return
+        groups = -(-int(total) // GROUP_TERMS)
+        group = F.pmod(F.xxhash64("item"), F.lit(groups)).cast("int").alias("group")
+        postings = entries.select("item", "entry", "length", F.explode(F.arrays_zip("terms", "counts")).alias("p")).select("item", "entry", "length", F.col("p.terms").alias("term"), F.col("p.counts").alias("f"))
+        df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        idf = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        weight = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.lit(mean)))
+        none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+        rows = postings.join(df, "term").select(group, "item", "entry", "term", weight.alias("weight"), none("long", "item_id"), none("string", "text"))
+        rows = rows.unionAll(items.select(group, "item", none("int", "entry"), none("long", "term"), none("double", "weight"), "item_id", "text"))
+
+        def make(table: pa.Table) -> pa.Table:
+            texts = table.filter(pc.is_null(table.column("entry")))
+            numbers = texts.column("item").to_numpy()
+            at = np.argsort(numbers)
+            held = list(zip(texts.column("item_id").to_pylist(), texts.column("text").to_pylist(), strict=True))
+            posted = table.filter(pc.is_valid(table.column("entry")))
+            item = np.searchsorted(numbers[at], posted.column("item").to_numpy())
+            both = item * np.int64(1 << 31) + posted.column("entry").to_numpy()
+            names, entry = np.unique(both, return_inverse=True)
+            index = make_index([held[i] for i in at], names >> 31, entry, posted.column("term").to_numpy().view(np.uint64), posted.column("weight").to_numpy(), threshold)
+            return pa.table({"group": pa.array([table.column("group")[0].as_py()], pa.int32()), "index": pa.array([pickle.dumps(index)], pa.binary())})
+
+        made = keep(rows.groupBy("group").applyInArrow(make, "group int, index binary"), "item-indexes")
+        for g in range(groups):
+            for row in made.where(F.col("group") == g).collect():  # one, of about GROUP_TERMS postings
+                yield pickle.loads(row["index"])
+    finally:
+        state.release(spark, *kept)
 
 
 def block_max_wand(index: Index, terms: list[int], threshold: float) -> list[tuple[int, float]]:
     """All entries whose weights for ``terms`` (distinct) sum to the threshold or more, in entry order."""
     least = threshold - 1e-9
-    cursors = [[index.postings[t][0][0], 0, t] for t in terms]  # current entry, place, term
+    held = {t: index.of(t) for t in terms}
+    cursors = [[held[t][0][0], 0, t] for t in terms]  # current entry, place, term
     found = []
     while cursors:
         cursors.sort(key=lambda c: c[0])
@@ -163,14 +208,14 @@ def block_max_wand(index: Index, terms: list[int], threshold: float) -> list[tup
         while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == entry:
             pivot += 1
         block = entry // BLOCK
-        bound = sum(index.block_max[c[2]].get(block, 0.0) for c in cursors[: pivot + 1])
+        bound = sum(held[c[2]][2].get(block, 0.0) for c in cursors[: pivot + 1])
         if bound < least:  # nothing in this block can qualify before another list joins in
             to = (block + 1) * BLOCK
             if pivot + 1 < len(cursors):
                 to = min(to, cursors[pivot + 1][0])
             to = max(to, entry + 1)
         elif cursors[0][0] == entry:
-            score = sum(index.postings[c[2]][1][c[1]] for c in cursors[: pivot + 1])
+            score = sum(held[c[2]][1][c[1]] for c in cursors[: pivot + 1])
             if score >= least:
                 found.append((entry, score))
             to = entry + 1
@@ -179,7 +224,7 @@ def block_max_wand(index: Index, terms: list[int], threshold: float) -> list[tup
         alive = []
         for k, c in enumerate(cursors):
             if k <= pivot and c[0] < to:
-                es = index.postings[c[2]][0]
+                es = held[c[2]][0]
                 c[1] = bisect.bisect_left(es, to, c[1])
                 if c[1] == len(es):
                     continue
@@ -200,14 +245,16 @@ def _passages(first: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray,
     return row, lo, np.minimum(lo + passage, first[1:][row])
 
 
-def find_in_block(index: Index, buf: np.ndarray, offs: np.ndarray, threshold: float, min_question: float, min_answer: float, passage: int = PASSAGE, verify: bool = True) -> Iterator[tuple[int, int, float, float, float, int]]:
-    """Leaks of a block: row, item_id, score, question and answer overlap, first word; of each, the best passage that passes."""
-    if not len(index.vocabulary):
-        return
-    lower = tb.LOWER[buf]
-    s, e, first = tb.tokens(lower, offs, tb.ALNUM_BYTE)
-    if not len(s):
-        return
+Found = dict[tuple[int, int], dict[tuple[int, int], float]]
+
+
+def retrieve(index: Index, lower: np.ndarray, tokens: tuple[np.ndarray, np.ndarray, np.ndarray], threshold: float, passage: int = PASSAGE) -> Found:
+    """Row and item -> the passages (first and last token, exclusive) whose score for one of its entries is the threshold or
+    more, and the best such score."""
+    found: Found = defaultdict(dict)
+    s, e, first = tokens
+    if not len(index.vocabulary) or not len(s):
+        return found
     h = tb.range_hashes(lower, s, e)
     term = np.searchsorted(index.vocabulary, h)
     term[term == len(index.vocabulary)] = 0
@@ -218,7 +265,7 @@ def find_in_block(index: Index, buf: np.ndarray, offs: np.ndarray, threshold: fl
     # bulk: sums over essential postings
     at = np.flatnonzero(heavy)
     if not len(at):
-        return
+        return found
     a, b = np.searchsorted(at, lo), np.searchsorted(at, hi)
     n = b - a
     p = np.repeat(np.arange(len(lo)), n)
@@ -231,13 +278,20 @@ def find_in_block(index: Index, buf: np.ndarray, offs: np.ndarray, threshold: fl
     keys, inverse = np.unique(key, return_inverse=True)
     total = np.bincount(inverse, weights=weights[where], minlength=len(keys)) + index.rest[keys % len(index.rest)]
     alive = np.unique(keys[total >= threshold - 1e-9] // len(index.rest))
-    found: dict[tuple[int, int], dict[tuple[int, int], float]] = defaultdict(dict)  # row and item -> passages and their score
     for q in alive.tolist():
         terms = np.unique(term[lo[q] : hi[q]][known[lo[q] : hi[q]]]).tolist()
         for entry, score in block_max_wand(index, terms, threshold):
-            at = found[int(row[q]), index.entry_item[entry]]
+            at = found[int(row[q]), int(index.entry_item[entry])]
             where = (int(lo[q]), int(hi[q]))
             at[where] = max(at.get(where, 0.0), score)
+    return found
+
+
+def find_in_block(index: Index, buf: np.ndarray, offs: np.ndarray, threshold: float, min_question: float, min_answer: float, passage: int = PASSAGE) -> Iterator[tuple[int, int | None, float, float, float, int]]:
+    """Leaks of a block: row, item_id, score, question and answer overlap, first word; of each, the best passage that passes."""
+    lower = tb.LOWER[buf]
+    s, e, first = tb.tokens(lower, offs, tb.ALNUM_BYTE)
+    found = retrieve(index, lower, (s, e, first), threshold, passage)
     raw = lower.tobytes() if found else b""
     for (r, i), places in sorted(found.items()):
         item_id, text = index.items[i]
@@ -248,59 +302,40 @@ def find_in_block(index: Index, buf: np.ndarray, offs: np.ndarray, threshold: fl
             x0, y0 = max(int(first[r]), x - reach), min(int(first[r + 1]), y + reach)
             near = [raw[s[j] : e[j]].decode("utf-8") for j in range(x0, y0)]
             q_share, a_share = share(question, 3, near), share(answer, 2, near)
-            if not verify or q_share >= min_question and a_share >= min_answer:
+            if q_share >= min_question and a_share >= min_answer:
                 yield r, item_id, score, q_share, a_share, x - int(first[r])
                 break
 
 
-def _items(benchmark: DataFrame) -> list[tuple[int, str]]:
-    """The items on the driver: test sets are written by people; their size is checked."""
-    size = benchmark.select(F.count(F.lit(1)), F.sum(F.length(F.col("text").cast("string")))).first()
-    if (size[1] or 0) > 1 << 30:
-        raise ValueError("more than 1 GB of benchmark text: give it in parts")
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").orderBy("item_id", "text").collect()
-    return [(r.item_id, r.text) for r in rows]
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, min_question: float = MIN_QUESTION, min_answer: float = MIN_ANSWER) -> DataFrame:
     """One row a document and item that it holds: see SCHEMA."""
     spark = docs.sparkSession
-    items = _items(benchmark)
-    ids = spark.sparkContext.broadcast([i for i, _ in items])
-    indexes = [spark.sparkContext.broadcast(i) for i in build_indexes([(n, text) for n, (_, text) in enumerate(items)], threshold)]
-    numbered = SCHEMA + ", item long"  # an item's number, as ids may be null
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
 
     def run(held):
         def scan(batches):
             for batch in batches:
                 out = []
                 for block in tb.blocks(batch.column(1)):
-                    out += [(batch.column(0)[block.lo + r].as_py(), ids.value[item], *more, item) for r, item, *more in find_in_block(held.value, block.buf, block.offs, threshold, min_question, min_answer)]
+                    out += [(batch.column(0)[block.lo + r].as_py(), *more) for r, *more in find_in_block(held.value, block.buf, block.offs, threshold, min_question, min_answer)]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in numbered.split(", ")])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-        return docs.mapInArrow(scan, numbered)
+        return docs.mapInArrow(scan, SCHEMA)
 
-    if not indexes:
-        return spark.createDataFrame([], SCHEMA)
-    found = run(indexes[0])
-    for held in indexes[1:]:
-        found = found.unionAll(run(held))
-    if len(indexes) > 1:  # an item whose entries are in two groups
-        best = F.max_by(F.struct(*[F.col(c.split()[0]) for c in SCHEMA.split(", ")]), F.struct("score", -F.col("first_word")))
-        found = found.groupBy("doc_id", "item").agg(best.alias("b")).select("b.*")
-    return found.select(*[c.split()[0] for c in SCHEMA.split(", ")])
+    found = [run(spark.sparkContext.broadcast(index)) for index in build_indexes(benchmark, threshold)]  # an item is in one group
+    return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], SCHEMA)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, min_question: float = MIN_QUESTION, min_answer: float = MIN_ANSWER) -> DataFrame:
     """``docs`` without the documents that hold a test item; no shuffle, columns as they are."""
-    spark = docs.sparkSession
-    for index in build_indexes(_items(benchmark), threshold):
-        held, text_at = spark.sparkContext.broadcast(index), docs.columns.index("text")
+    spark, text_at = docs.sparkSession, docs.columns.index("text")
+    for n, index in enumerate(build_indexes(benchmark, threshold)):
+        if n and n % CHAIN == 0:  # each scan of a plan has a worker of its own
+            docs = state.keep(docs, "decontaminated")
 
-        def scan(batches, held=held):
+        def scan(batches, held=spark.sparkContext.broadcast(index)):
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 for block in tb.blocks(batch.column(text_at)):
