@@ -9,13 +9,14 @@ Both substring operators ask which windows of a fixed length occur at another pl
 3. A recurring anchor's owner is the smallest document that holds it, so what copies share goes to one group: groups are
    dealt to shards by owner.  An owner with more than SHARD_ANCHORS of them is split further by anchor; equal pieces of
    text are counted before they meet, so one passage in a third of all documents is one piece with a count.
-4. An anchor that stands in more than HOT_PLACES places between many different texts would still bring as many different
-   pieces to one shard.  Its windows are dealt out one by one: those that recur, by the hash of the window, are pieces of
-   their own, and what surrounds them stays behind.  A shard's different pieces are then as many as its windows.
+4. An anchor that stands in more than HOT_PLACES places amid many different texts would still bring as many different
+   pieces to one shard.  Another pair of filters, over the windows of such anchors, leaves those windows that may recur; a
+   run of them is a piece, and what surrounds it stays behind, so that a passage is one piece whatever stands around it.
+   Where an anchor's runs still differ much, each of their windows is a piece of its own, dealt out by its hash.
 5. Documents send to each shard the pieces around their recurring anchors, wide enough for all windows that have them.
    What a shard says of a piece goes back to the documents that hold the piece.  A task writes a piece's text once.
 
-A window meets all its equals, since they have the same anchor and it belongs to one shard, or has a piece of its own.
+A window meets all its equals, since they have the same anchor and it belongs to one shard, or goes by its own hash.
 """
 
 from __future__ import annotations
@@ -34,12 +35,14 @@ from . import textblocks as tb
 
 #: Anchors (of about a dozen items of text) of one owner in a shard; an owner with more is split.
 SHARD_ANCHORS = 8_000
-#: Anchors, or windows dealt one by one, in a shard on average.
+#: Anchors, or runs, in a shard on average.
 SHARD_MEAN = 2_000
-#: An anchor at more places than this, of more than HOT_KINDS of 64 kinds of surroundings, is dealt out by window.
+#: An anchor is hot at more places than this, amid HOT_KINDS of 64 kinds of surroundings or more.
 HOT_PLACES, HOT_KINDS = 1_000, 60
-#: Shards from this number on hold windows dealt one by one.
-WINDOW_SHARDS = 1 << 41
+#: Bits for each window of a hot anchor, as multiples of the filters' usual: false suspects make runs differ.
+WINDOW_BITS = 4
+#: Shards from this number on hold runs of windows.
+RUN_SHARDS = 1 << 41
 #: Digests of pieces whose text a task remembers to have written.
 REMEMBERED = 100_000
 
@@ -89,50 +92,102 @@ def surroundings(h: np.ndarray, first: np.ndarray, row: np.ndarray, at: np.ndarr
 Grams = Callable[[pa.Array], Iterator[tuple[tb.Block, np.ndarray, np.ndarray, Callable[[np.ndarray], np.ndarray]]]]
 
 
+def _lists(ids: pa.Array, block: tb.Block, rows: np.ndarray, **columns: pa.Array) -> pa.RecordBatch:
+    """A row for each document of the block that has any: doc and lists of the columns' values (rows: theirs, ascending)."""
+    n = np.bincount(rows, minlength=block.rows)
+    some = np.flatnonzero(n)
+    offsets = pa.array(np.concatenate(([0], np.cumsum(n[some]))).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, c) for c in columns.values()]
+    return pa.RecordBatch.from_arrays([ids.slice(block.lo, block.rows).take(pa.array(some)), *lists], names=["doc", *columns])
+
+
+def _runs(docs: DataFrame, grams: Grams, k: int, window: int, hot: DataFrame, places: int, across: bool) -> DataFrame:
+    """docs (doc, text), hot (h): -> doc, pos, n, shard of the runs of n windows from pos on that may recur, of hot anchors."""
+    spark = docs.sparkSession
+    might = semi.might_hold(hot, hot.count())
+
+    def windows(column):
+        """Blocks with first windows' items, rows, least hashes and keys of the windows whose anchor may be hot."""
+        for block, first, h, keys_at in grams(column):
+            least = least_hashes(h, first, k, window)
+            at = np.flatnonzero(least > 0)
+            at = at[might.test_keys(least[at])]
+            if len(at):
+                yield block, first, np.searchsorted(first, at, side="right") - 1, at, least[at], keys_at(at)
+
+    def keys(batch):
+        for _, _, rows, _, _, key in windows(batch.column(0)):
+            yield tb.distinct_in_rows(rows, key)[1] if across else key
+
+    def runs(filter_):
+        def run(batches):
+            for batch in batches:
+                for block, first, rows, at, least, key in windows(batch.column(1)):
+                    hit = np.flatnonzero(filter_.value.test(key))
+                    if not len(hit):
+                        continue
+                    rows, at, least, key = rows[hit], at[hit], least[hit], key[hit]
+                    new = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]) | (at[1:] != at[:-1] + 1) | (least[1:] != least[:-1]))))
+                    n = np.diff(np.append(new, len(at)))
+                    kind = np.left_shift(np.uint64(1), np.add.reduceat(tb.mix(key), new) >> np.uint64(58))
+                    columns = {"h": pa.array(tb.as_long(least[new])), "pos": pa.array(at[new] - first[rows[new]], pa.int32()), "kind": pa.array(tb.as_long(kind)), "keys": tb.list_array(n, tb.as_long(key), pa.int64())}
+                    yield _lists(batch.column(0), block, rows[new], **columns)
+
+        return docs.select("doc", "text").mapInArrow(run, "doc long, h array<long>, pos array<int>, kind array<long>, keys array<array<long>>")
+
+    expected = places * (window - k + 1) * WINDOW_BITS
+    filters = (twice.build(docs.select("text"), keys, expected, share) for share in twice.shares(expected))
+    found = reduce(DataFrame.unionAll, [state.keep(runs(spark.sparkContext.broadcast(f)), "runs") for f in filters])
+    found = found.select("doc", F.explode(F.arrays_zip("h", "pos", "kind", "keys")).alias("r")).select("doc", "r.*")
+    by_anchor = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.bit_or("kind").alias("kinds"))
+    differ = state.keep(by_anchor.select("h", "n", ((F.col("n") > HOT_PLACES) & (F.bit_count("kinds") >= HOT_KINDS)).alias("differ")), "run-anchors")
+    calm, wild = (state.keep(differ.where(c).select("h", "n"), "run-anchors") for c in ("not differ", "differ"))
+    shards = max(1, -(-int(calm.agg(F.sum("n")).first()[0] or 0) // SHARD_MEAN))
+    whole = found.join(calm.select("h"), "h").select("doc", "pos", F.size("keys").alias("n"), (F.lit(RUN_SHARDS) + F.pmod(F.xxhash64("h"), F.lit(shards))).alias("shard"))
+    n_wild = wild.agg(F.sum("n")).first()[0]
+    if not n_wild:
+        return whole
+    shards = max(1, -(-int(n_wild) * (window - k + 1) // SHARD_MEAN))
+    single = found.join(wild.select("h"), "h").select("doc", "pos", F.posexplode("keys").alias("i", "key"))
+    return whole.unionAll(single.select("doc", F.col("pos") + F.col("i"), F.lit(1), F.lit(RUN_SHARDS << 1) + F.pmod(F.xxhash64("key"), F.lit(shards))))
+
+
 def recurring(docs: DataFrame, grams: Grams, k: int, window: int, expected: int, across: bool) -> DataFrame:
-    """docs (doc, text) -> doc, at: [(pos, shard)] of its recurring anchors, and of the windows that are dealt one by one.
+    """docs (doc, text) -> doc, at: [(pos, n, shard)] of its recurring anchors (n is 0), and of the runs of n windows that
+    are pieces of their own.
 
     across: only anchors of two or more documents recur; else also those of one document that occur twice in it."""
     spark = docs.sparkSession
 
     def anchors(column):
-        for block, first, h, keys_at in grams(column):
+        for block, first, h, _ in grams(column):
             at = minimizers(h, first, k, window)
-            yield block, first, np.searchsorted(first, at, side="right") - 1, at, h, keys_at
+            yield block, first, np.searchsorted(first, at, side="right") - 1, at, h
 
     def keys(batch):
-        for _, _, rows, at, h, _ in anchors(batch.column(0)):
+        for _, _, rows, at, h in anchors(batch.column(0)):
             yield tb.distinct_in_rows(rows, h[at])[1] if across else h[at]
 
-    listed = "doc long, h array<long>, pos array<int>, kind array<long>"
-
-    def lists_of(ids, block, rows, columns) -> pa.RecordBatch:
-        n = np.bincount(rows, minlength=block.rows)
-        some = np.flatnonzero(n)
-        lists = [tb.list_array(n[some], x, t) for x, t in columns]
-        return pa.RecordBatch.from_arrays([ids.slice(block.lo, block.rows).take(pa.array(some)), *lists], names=["doc", "h", "pos", "kind"][: 1 + len(lists)])
-
     def suspects(filter_):
         def run(batches):
             for batch in batches:
-                for block, first, rows, at, h, _ in anchors(batch.column(1)):
+                for block, first, rows, at, h in anchors(batch.column(1)):
                     hit = np.flatnonzero(filter_.value.test(h[at]))
                     rows, at = rows[hit], at[hit]
                     kind = surroundings(h, first, rows, at, k, window)
-                    yield lists_of(batch.column(0), block, rows, [(tb.as_long(h[at]), pa.int64()), (at - first[rows], pa.int32()), (tb.as_long(kind), pa.int64())])
+                    yield _lists(batch.column(0), block, rows, h=pa.array(tb.as_long(h[at])), pos=pa.array(at - first[rows], pa.int32()), kind=pa.array(tb.as_long(kind)))
 
-        return docs.select("doc", "text").mapInArrow(run, listed)
+        return docs.select("doc", "text").mapInArrow(run, "doc long, h array<long>, pos array<int>, kind array<long>")
 
-    again = "owner < top" if across else "n > 1"
     with state.steps(spark) as outlives:
         filters = (twice.build(docs.select("text"), keys, expected, share) for share in twice.shares(expected))
         lists = reduce(DataFrame.unionAll, [state.keep(suspects(spark.sparkContext.broadcast(f)), "anchors") for f in filters])
         rows = lists.select("doc", F.explode(F.arrays_zip("h", "pos", "kind")).alias("a")).select("doc", "a.h", "a.pos", "a.kind")
         seen = rows.groupBy("h").agg(F.min("doc").alias("owner"), F.max("doc").alias("top"), F.count(F.lit(1)).alias("n"), F.bit_or("kind").alias("kinds"))
         hot = (F.col("n") > HOT_PLACES) & (F.bit_count("kinds") >= HOT_KINDS)
-        seen = state.keep(seen.where(again).select("h", "owner", "n", hot.alias("hot")), "recurring")
-        total, n_hot = seen.agg(F.sum(F.when(~F.col("hot"), F.col("n"))), F.count_if("hot")).first()
-        calm = seen.where(~F.col("hot"))
+        seen = state.keep(seen.where("owner < top" if across else "n > 1").select("h", "owner", "n", hot.alias("hot")), "recurring")
+        calm = seen.where("not hot")
+        total, hot_places = seen.agg(F.sum(F.when(~F.col("hot"), F.col("n"))), F.sum(F.when(F.col("hot"), F.col("n")))).first()
         shards = max(1, -(-int(total or 0) // SHARD_MEAN))
         heavy = calm.groupBy("owner").agg(F.sum("n").alias("load")).where(F.col("load") > SHARD_ANCHORS)
         parts = F.ceil(F.col("load") / SHARD_ANCHORS)
@@ -140,42 +195,26 @@ def recurring(docs: DataFrame, grams: Grams, k: int, window: int, expected: int,
         shard = F.when(F.col("load").isNull(), F.pmod(F.xxhash64("owner"), F.lit(shards))).otherwise(
             F.lit(1 << 40) + F.pmod(F.xxhash64("owner", F.pmod(F.col("h"), parts)), F.lit(1 << 40))
         )
-        places = rows.select("doc", "h", "pos").join(calm.join(heavy, "owner", "left").select("h", shard.alias("shard")), "h").select("doc", "pos", "shard")
-        if n_hot:
-            might = semi.might_hold(seen.where("hot").select("h"), n_hot)
-
-            def windows(batches):
-                for batch in batches:
-                    for block, first, h, keys_at in grams(batch.column(1)):
-                        least = least_hashes(h, first, k, window)
-                        at = np.flatnonzero(least > 0)
-                        at = at[might.test_keys(least[at])]
-                        rows = np.searchsorted(first, at, side="right") - 1
-                        yield lists_of(batch.column(0), block, rows, [(tb.as_long(keys_at(at)), pa.int64()), (at - first[rows], pa.int32())])
-
-            own = state.keep(docs.select("doc", "text").mapInArrow(windows, "doc long, h array<long>, pos array<int>"), "windows")
-            own = own.select("doc", F.explode(F.arrays_zip("h", "pos")).alias("a")).select("doc", "a.h", "a.pos")
-            found = own.groupBy("h").agg(F.min("doc").alias("owner"), F.max("doc").alias("top"), F.count(F.lit(1)).alias("n")).where(again).select("h")
-            found = state.keep(found, "window-keys")
-            shard = F.lit(WINDOW_SHARDS) + F.pmod(F.xxhash64("h"), F.lit(max(1, -(-found.count() // SHARD_MEAN))))
-            places = places.unionAll(own.join(found.select("h", shard.alias("shard")), "h").select("doc", "pos", "shard"))
-        at = state.keep(places.groupBy("doc").agg(F.collect_list(F.struct("pos", "shard")).alias("at")), "anchor-lists")
+        places = rows.select("doc", "h", "pos").join(calm.join(heavy, "owner", "left").select("h", shard.alias("shard")), "h").select("doc", "pos", F.lit(0).alias("n"), "shard")
+        if hot_places:
+            places = places.unionAll(_runs(docs, grams, k, window, seen.where("hot").select("h"), int(hot_places), across))
+        at = state.keep(places.groupBy("doc").agg(F.collect_list(F.struct("pos", "n", "shard")).alias("at")), "anchor-lists")
         outlives(at)
     return at
 
 
-def spans(row: np.ndarray, pos: np.ndarray, shard: np.ndarray, k: int, window: int, length: np.ndarray) -> tuple[np.ndarray, ...]:
+def spans(row: np.ndarray, pos: np.ndarray, n: np.ndarray, shard: np.ndarray, k: int, window: int, length: np.ndarray) -> tuple[np.ndarray, ...]:
     """Pieces (row, shard, begin, end) that hold all windows around the anchors (row, pos, shard) of rows of ``length``
-    items, merged within a row and shard; of a window that is dealt by itself, the window."""
-    alone = shard >= WINDOW_SHARDS
-    lo, hi = np.where(alone, pos, np.maximum(0, pos + k - window)), np.minimum(pos, length[row] - window)
+    items, merged within a row and shard; of a run of n windows, its own."""
+    run = n > 0
+    lo, hi = np.where(run, pos, np.maximum(0, pos + k - window)), np.where(run, pos + n - 1, np.minimum(pos, length[row] - window))
     fits = hi >= lo
     row, shard, lo, hi = row[fits], shard[fits], lo[fits], hi[fits]
     order = np.lexsort((hi, lo, shard, row))
     row, shard, lo, hi = row[order], shard[order], lo[order], hi[order]
     if not len(row):
         return row, shard, lo, hi
-    new = np.concatenate(([True], (row[1:] != row[:-1]) | (shard[1:] != shard[:-1]) | (lo[1:] > hi[:-1] + 1))) | (shard >= WINDOW_SHARDS)
+    new = np.concatenate(([True], (row[1:] != row[:-1]) | (shard[1:] != shard[:-1]) | (lo[1:] > hi[:-1] + 1) | (shard[1:] >= RUN_SHARDS)))
     start = np.flatnonzero(new)
     last = np.concatenate((start[1:], [len(row)])) - 1  # hi grows with lo within a row
     return row[start], shard[start], lo[start], hi[last] + window
@@ -185,11 +224,11 @@ def fingerprint(text: bytes) -> int:
     return int.from_bytes(blake2b(text, digest_size=8).digest(), "little", signed=True)
 
 
-def pieces(docs: DataFrame, at: DataFrame, cut: Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[int, int, int, bytes, bytes]]]) -> DataFrame:
+def pieces(docs: DataFrame, at: DataFrame, cut: Callable[..., Iterator[tuple[int, int, int, bytes, bytes]]]) -> DataFrame:
     """shard, piece (digest of its content), doc, mark (of the text), begin, content, note; kept in the shared folder, ``at``
     is removed.  Content and note are null where the task has lately written the same piece.
 
-    ``cut`` gives for some texts and their anchors (row, pos, shard): row, shard, begin, content, note (a function of the
+    ``cut`` gives for some texts and their anchors (row, pos, n, shard): row, shard, begin, content, note (a function of the
     content)."""
     might = semi.might_hold(at.select("doc"), at.count())
     schema = pa.schema([("shard", pa.int64()), ("piece", pa.binary()), ("doc", pa.int64()), ("mark", pa.int64()), ("begin", pa.int32()), ("content", pa.binary()), ("note", pa.binary())])
@@ -211,14 +250,14 @@ def pieces(docs: DataFrame, at: DataFrame, cut: Callable[[list[bytes], np.ndarra
                 batch = whole.slice(first, 256)
                 texts = [(t.as_py() or "").encode("utf-8") for t in batch.column(1)]
                 docs_, marks = batch.column(0).to_pylist(), [fingerprint(t) for t in texts]
-                pos, shard = batch.column(2), batch.column(3)
+                pos, n, shard = (batch.column(i) for i in (2, 3, 4))
                 row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(pos.offsets)))
-                cuts = cut(texts, row, np.asarray(pos.flatten()).astype(np.int64), np.asarray(shard.flatten()))
+                cuts = cut(texts, row, np.asarray(pos.flatten()).astype(np.int64), np.asarray(n.flatten()).astype(np.int64), np.asarray(shard.flatten()))
                 out = [(s, digest, docs_[r], marks[r], begin, text, more) for r, s, begin, content, note in cuts for digest, text, more in [piece(s, content, note)]]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    joined = docs.select("doc", "text").where(might.column(F.col("doc"))).join(at, "doc").select("doc", "text", F.col("at.pos").alias("pos"), F.col("at.shard").alias("shard"))
+    joined = docs.select("doc", "text").where(might.column(F.col("doc"))).join(at, "doc").select("doc", "text", *[F.col(f"at.{c}").alias(c) for c in ("pos", "n", "shard")])
     cut_up = state.keep(joined.mapInArrow(run, "shard long, piece binary, doc long, mark long, begin int, content binary, note binary"), "pieces")
     state.release(docs.sparkSession, at)
     return cut_up

@@ -37,20 +37,21 @@ def _grams(column: pa.Array):
         yield block, first, tb.gram_hashes(words, PHRASE), lambda at, words=words: tb.gram_hashes(words, WINDOW)[at]
 
 
-def _cut(texts: list[bytes], row: np.ndarray, pos: np.ndarray, shard: np.ndarray) -> Iterator[tuple[int, int, int, bytes, bytes]]:
+def _cut(texts: list[bytes], row: np.ndarray, pos: np.ndarray, n: np.ndarray, shard: np.ndarray) -> Iterator[tuple[int, int, int, bytes, bytes]]:
     """Pieces as words joined by single spaces; the note holds where in the piece phrases stand."""
     split = [t.split() for t in texts]
     length = np.array([len(w) for w in split])
     order = np.lexsort((pos, row))
-    row, pos, shard = row[order], pos[order], shard[order]
-    phrase = np.flatnonzero(shard < anchors.WINDOW_SHARDS)
+    row, pos, n, shard = row[order], pos[order], n[order], shard[order]
+    phrase = np.flatnonzero(n == 0)
     places, begin_of = pos[phrase], np.searchsorted(row[phrase], np.arange(len(texts) + 1))
-    alone = np.zeros(1, "<u4").tobytes()  # a window by itself: its first phrase
-    for r, s, begin, end in zip(*(x.tolist() for x in anchors.spans(row, pos, shard, PHRASE, WINDOW, length)), strict=True):
+    for r, s, begin, end in zip(*(x.tolist() for x in anchors.spans(row, pos, n, shard, PHRASE, WINDOW, length)), strict=True):
         # phrases whose windows are in the piece: the same for equal pieces, as windows choose them
         own = places[begin_of[r] : begin_of[r + 1]]
-        note = alone if s >= anchors.WINDOW_SHARDS else (own[np.searchsorted(own, begin) : np.searchsorted(own, end - PHRASE, side="right")] - begin).astype("<u4").tobytes()
-        yield r, s, begin, b" ".join(split[r][begin:end]), note
+        inside = own[np.searchsorted(own, begin) : np.searchsorted(own, end - PHRASE, side="right")] - begin
+        if s >= anchors.RUN_SHARDS:  # of a run: the first phrase of each window
+            inside = np.arange(end - begin - WINDOW + 1)
+        yield r, s, begin, b" ".join(split[r][begin:end]), inside.astype("<u4").tobytes()
 
 
 def _ranks(ids: np.ndarray, ends: np.ndarray, window: int) -> np.ndarray:
