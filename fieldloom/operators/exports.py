@@ -123,9 +123,9 @@ def write_sequence(table: DataFrame, path: str) -> None:
     table.repartition("round").sortWithinPartitions("round", "y", "x").write.mode("overwrite").partitionBy("round").csv(path, header=True)
 
 
-def keyed(table: DataFrame, row: str, column: str, value: str, columns: list) -> DataFrame:
+def keyed(table: DataFrame, rows: list[str], column: str, value: str, columns: list) -> DataFrame:
     """A two-level table for a quoted CSV: a row a key, a column a second key."""
-    return table.groupBy(row).pivot(column, columns).agg(F.first(value))
+    return table.groupBy(*rows).pivot(column, columns).agg(F.first(value))
 
 
 def output_name(parts: list[Column], extension: str) -> Column:

@@ -6,8 +6,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import deformation
@@ -87,32 +88,79 @@ def cascade(available: DataFrame, start: int, end: int) -> list[tuple[int, int]]
     return path
 
 
+def cascades(available: DataFrame, keys: list[str], start: int, end: int) -> DataFrame:
+    """``cascade`` for many sequences at once: available (keys, round_from, round_to) -> keys, round_from, round_to of each
+    path, as far as it gets.  What is gathered for a key is a step a round."""
+    inside = available.where(F.col("round_from").between(start, end) & F.col("round_to").between(start, end) & (F.col("round_to") > F.col("round_from")))
+    steps = inside.groupBy(*keys, "round_from").agg(F.max("round_to").cast("long").alias("to")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col("round_from").cast("long").alias("at"), "to"))).alias("next"))
+    first = F.array(F.lit(start).cast("long"))
+
+    def follow(path: Column, _: Column) -> Column:
+        to = F.try_element_at("next", F.element_at(path, -1))
+        return F.when(to.isNotNull(), F.array_append(path, to)).otherwise(path)
+
+    path = steps.select(*keys, F.aggregate(F.sequence(F.lit(start), F.lit(end)), first, follow).alias("path"))
+    pairs = F.arrays_zip(F.slice("path", 1, F.size("path") - 1).alias("round_from"), F.slice("path", 2, F.size("path")).alias("round_to"))
+    return path.where(F.size("path") > 1).select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.*")
+
+
 def _reach(mm: float, ratio: float) -> int:
     import math
 
     return math.ceil(math.ceil(mm * ratio) / 2)
 
 
+#: Cells along a side of a tile of window sums.
+TILE = 256
+
+
+def window_sums(field: DataFrame, keys: list[str], reach: int, values: dict[str, Column], offsets: bool = False) -> DataFrame:
+    """keys, x, y and the sums of ``values`` over the cells at most ``reach`` away on both axes, for each cell of ``field``.
+
+    Cells are dealt to tiles, those near a border to their neighbours too (some (1 + 2 reach / tile)^2 of them in all), and a
+    tile's windows are differences of its running sums: one shuffle, whatever the reach.  offsets: adds n, sx, sy, xx, yy, xy,
+    the moments of the places about the tile's corner, and for each value v xv and yv."""
+    side = max(TILE, 4 * reach)
+    names = list(values)
+    x, y = F.col("x").cast("long"), F.col("y").cast("long")
+    span = lambda c: F.explode(F.sequence(F.floor((c - reach) / side), F.floor((c + reach) / side)))
+    cells = field.select(*keys, x.alias("x"), y.alias("y"), *[v.cast("double").alias(k) for k, v in values.items()])
+    dealt = cells.withColumn("tx_", span(F.col("x"))).withColumn("ty_", span(F.col("y")))
+    more = ["n", "sx", "sy", "xx", "yy", "xy", *[f"{a}{v}" for v in names for a in "xy"]] if offsets else []
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.select(*keys, "x", "y").schema)
+    out_names = [*keys, "x", "y", *names, *more]
+    width = side + 2 * reach
+
+    def run(tile: pa.Table) -> pa.Table:
+        gx, gy = (tile.column(c).to_numpy() for c in ("x", "y"))
+        x0, y0 = (tile.column(c)[0].as_py() * side for c in ("tx_", "ty_"))
+        lx, ly = gx - x0, gy - y0  # -reach .. side + reach - 1
+        own = np.flatnonzero((lx >= 0) & (lx < side) & (ly >= 0) & (ly < side))
+        held = {v: tile.column(v).to_numpy() for v in names}
+        if offsets:
+            fx, fy = lx.astype(float), ly.astype(float)
+            held |= {"n": np.ones(len(fx)), "sx": fx, "sy": fy, "xx": fx * fx, "yy": fy * fy, "xy": fx * fy}
+            held |= {f"{a}{v}": c * held[v] for v in names for a, c in (("x", fx), ("y", fy))}
+        columns = []
+        for v in (*names, *more):
+            grid = np.zeros((width + 1, width + 1))
+            np.add.at(grid, (lx + reach + 1, ly + reach + 1), held[v])
+            grid = grid.cumsum(axis=0).cumsum(axis=1)
+            a, b = lx[own], ly[own]
+            c, d = a + 2 * reach + 1, b + 2 * reach + 1
+            columns.append(pa.array(grid[c, d] - grid[a, d] - grid[c, b] + grid[a, b]))
+        at = pa.array(own)
+        return pa.Table.from_arrays([*(tile.column(k).combine_chunks().take(at) for k in (*keys, "x", "y")), *columns], names=out_names)
+
+    schema = kinds + "".join(f", {v} double" for v in (*names, *more))
+    return dealt.groupBy(*keys, "tx_", "ty_").applyInArrow(run, schema)
+
+
 def strain(field: DataFrame, keys: list[str], mm: float = 20.0, ratio: float = 1.0) -> DataFrame:
     """Least-squares planes of dx and dy in a square window around each pixel: exx, eyy, exy in per cent, and the residual
-    standard errors.  Windows with three points or fewer have null strain and error 1; collinear ones null strain, error 0.
-
-    Two passes of one-dimensional window sums instead of a join of neighbours.  The second pass only visits cells that exist,
-    so columns are filled up with empty cells over the field's own rows first."""
-    reach = _reach(mm, ratio)
-    value = {"n": F.lit(1.0), "u": F.col("dx"), "v": F.col("dy"), "xx": F.col("x") * F.col("x"), "yy": F.col("y") * F.col("y"), "xy": F.col("x") * F.col("y"), "sx": F.col("x"), "sy": F.col("y"),
-             "xu": F.col("x") * F.col("dx"), "yu": F.col("y") * F.col("dx"), "xv": F.col("x") * F.col("dy"), "yv": F.col("y") * F.col("dy"), "uu": F.col("dx") * F.col("dx"), "vv": F.col("dy") * F.col("dy")}
-    cells = field.select(*keys, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.lit(True).alias("own"), *[v.cast("double").alias(k) for k, v in value.items()])
-    # cells to fill in: every x of each row's window neighbourhood, as sums of a row reach at most that far
-    shift = F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("k")
-    near = cells.select(*keys, "x", "y", shift).select(*keys, (F.col("x") + F.col("k")).alias("x"), "y").distinct() if reach else cells.select(*keys, "x", "y")
-    wanted = near.join(cells.select(*keys, "x").distinct(), [*keys, "x"], "left_semi")
-    dense = wanted.join(cells, [*keys, "x", "y"], "left").select(*keys, "x", "y", F.coalesce("own", F.lit(False)).alias("own"), *[F.coalesce(k, F.lit(0.0)).alias(k) for k in value])
-    across = W.partitionBy(*keys, "y").orderBy("x").rangeBetween(-reach, reach)
-    rows = dense.select(*keys, "x", "y", "own", *[F.sum(k).over(across).alias(k) for k in value])
-    down = W.partitionBy(*keys, "x").orderBy("y").rangeBetween(-reach, reach)
-    sums = rows.select(*keys, "x", "y", "own", *[F.sum(k).over(down).alias(k) for k in value]).where("own")
-    return plane_strain(sums, keys)
+    standard errors.  Windows with three points or fewer have null strain and error 1; collinear ones null strain, error 0."""
+    u, v = F.col("dx"), F.col("dy")
+    return plane_strain(window_sums(field, keys, _reach(mm, ratio), {"u": u, "v": v, "uu": u * u, "vv": v * v}, offsets=True), keys)
 
 
 def plane_strain(sums: DataFrame, keys: list[str]) -> DataFrame:

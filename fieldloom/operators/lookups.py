@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+STRETCH = 4096
+
 
 def carried(sparse: DataFrame, rounds: DataFrame, keys: list[str], value: str) -> DataFrame:
     """For each (keys, round) of ``rounds``: the value of the last round at or before it that has one (sparse: keys, round,
@@ -23,8 +25,22 @@ def overridden(rows: DataFrame, own: DataFrame, keys: list[str], defaults: dict[
 
 
 def round_pairs(frames: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
-    """frames (frame_no) -> round_from, round_to of consecutive frames, within limits if given."""
-    f = frames if first is None else frames.where(F.col("frame_no") >= first)
+    """frames (frame_no) -> round_from, round_to of consecutive frames, within limits if given.  Frames are dealt by stretches
+    of STRETCH numbers, each with the first of the next, so that ``lead`` needs no order over all of them."""
+    f = frames.select("frame_no").distinct()
+    f = f if first is None else f.where(F.col("frame_no") >= first)
     f = f if last is None else f.where(F.col("frame_no") <= last)
-    nxt = f.select((F.col("frame_no") - 1).alias("round_from"), F.col("frame_no").alias("round_to"))
-    return f.select(F.col("frame_no").alias("round_from")).join(nxt, "round_from").select("round_from", "round_to")
+    part = F.floor(F.col("frame_no") / STRETCH)
+    both = f.select("frame_no", F.explode(F.array_distinct(F.array(part, F.floor((F.col("frame_no") - 1) / STRETCH)))).alias("part"))
+    nxt = both.withColumn("round_to", F.lead("frame_no").over(W.partitionBy("part").orderBy("frame_no")))
+    return nxt.where((part == F.col("part")) & (F.col("round_to") == F.col("frame_no") + 1)).select(F.col("frame_no").alias("round_from"), "round_to")
+
+
+def zipped(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """What belongs to the same region and patch, side by side."""
+    return left.join(right, keys)
+
+
+def edited(rows: DataFrame, edits: DataFrame, keys: list[str]) -> DataFrame:
+    """Edits replace what their key had; an edit without values leaves nulls."""
+    return rows.join(edits, keys, "left_anti").unionByName(edits)

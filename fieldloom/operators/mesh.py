@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import deformation, regions
+from ..functions import deformation, regions, seeded
 
 
 def axis_count(width: Column, half: Column, spacing: Column) -> Column:
@@ -14,7 +14,7 @@ def axis_count(width: Column, half: Column, spacing: Column) -> Column:
     return F.when(room <= 0, 0).when(room < spacing, 1).otherwise(F.floor(room / spacing)).cast("int")
 
 
-def equal(rois: DataFrame, spacing: int, width: int, height: int) -> DataFrame:
+def equal(rois: DataFrame, spacing: int, width: int, height: int | Column) -> DataFrame:
     """rois (roi_id, kind, x1, y1, x2, y2, cx, cy, r, s) -> roi_id, subset_id, cx, cy, s: a grid of patches that lie in the
     frame and in the region, numbered row by row."""
     if spacing <= 0:
@@ -33,17 +33,19 @@ def equal(rois: DataFrame, spacing: int, width: int, height: int) -> DataFrame:
     return kept.select("roi_id", (F.col("j").cast("long") * F.col("nx") + F.col("i")).alias("subset_id"), F.col("px").cast("double").alias("cx"), F.col("py").cast("double").alias("cy"), F.col("s"))
 
 
-def random(rois: DataFrame, count: int, width: int, height: int, seed: int = 7, attempts: int = 20) -> DataFrame:
+def random(rois: DataFrame, count: int, width: int, height: int | Column, seed: int = 7, attempts: int = 20, attempt: bool = False) -> DataFrame:
     """Up to ``count`` patches a region at seeded random centres, at most as many as there are centres."""
     tried = rois.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(count * attempts - 1))))
-    u, v = (F.pmod(F.xxhash64("roi_id", "a", F.lit(seed + k)), F.lit(1 << 30)) / float(1 << 30) for k in (0, 1))
+    u, v = (seeded.unit([F.col("roi_id"), F.col("a")], seed + k) for k in (0, 1))
+    high = height if isinstance(height, Column) else F.lit(height)
     px, py = F.floor(F.col("x1") + u * (F.col("x2") - F.col("x1") + 1)), F.floor(F.col("y1") + v * (F.col("y2") - F.col("y1") + 1))
-    at = tried.select("roi_id", "a", "s", "x1", "y1", "x2", "y2", px.alias("cx"), py.alias("cy"))
+    at = tried.select("roi_id", "a", "s", "x1", "y1", "x2", "y2", (high - 1).alias("last"), px.alias("cx"), py.alias("cy"))
     s = F.col("s")
-    ok = at.where((F.col("cx") - s >= F.greatest(F.lit(0), "x1")) & (F.col("cy") - s >= F.greatest(F.lit(0), "y1")) & (F.col("cx") + s <= F.least(F.lit(width - 1), "x2")) & (F.col("cy") + s <= F.least(F.lit(height - 1), "y2")))
+    ok = at.where((F.col("cx") - s >= F.greatest(F.lit(0), "x1")) & (F.col("cy") - s >= F.greatest(F.lit(0), "y1")) & (F.col("cx") + s <= F.least(F.lit(width - 1), "x2")) & (F.col("cy") + s <= F.least("last", "y2")))
     first = ok.groupBy("roi_id", "s", "cx", "cy").agg(F.min("a").alias("a"))
-    picked = first.groupBy("roi_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("a", "cx", "cy", "s"))), 1, count).alias("p"))
-    return picked.select("roi_id", F.posexplode("p").alias("subset_id", "p")).select("roi_id", "subset_id", F.col("p.cx").cast("double").alias("cx"), F.col("p.cy").cast("double").alias("cy"), "p.s")
+    picked = first.groupBy("roi_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("a", "cx", "cy", "s"))), 1, count).alias("p"))  # at most all attempts
+    out = picked.select("roi_id", F.posexplode("p").alias("subset_id", "p")).select("roi_id", "subset_id", F.col("p.cx").cast("double").alias("cx"), F.col("p.cy").cast("double").alias("cy"), "p.s", F.col("p.a").alias("attempt"))
+    return out if attempt else out.drop("attempt")
 
 
 def patch_pixels(subsets: DataFrame) -> DataFrame:
@@ -84,6 +86,6 @@ def stencil_table(points: DataFrame, kind: str, coefficients: int, step: float)
 
 def spgd_stencil(points: DataFrame, keys: list[str], coefficients: int, amplitude: list[float], seed: int = 11) -> DataFrame:
     """points (keys, deformation) -> keys, probe, deformation: itself, and both sides of one seeded random direction."""
-    p = [(F.pmod(F.xxhash64(*keys, F.lit(seed), F.lit(k)), F.lit(1 << 30)) / float(1 << 29) - 1.0) * amplitude[k] for k in range(coefficients)]
+    p = [(seeded.unit([*map(F.col, keys), F.lit(k)], seed) * 2 - 1) * amplitude[k] for k in range(coefficients)]
     probes = [F.array(*[F.get("deformation", F.lit(k)) + sign * p[k] for k in range(coefficients)]) for sign in (0.0, -1.0, 1.0)]
     return points.select(*keys, F.posexplode(F.array(*probes)).alias("probe", "deformation"))

@@ -67,12 +67,27 @@ def refined(points: list[tuple[float, float]], columns: int, value) -> list[tupl
     return out
 
 
-def refine(rois: DataFrame, previous: DataFrame | None, spacing: int, width: int, height: int) -> DataFrame:
-    """rois (roi_id, x1, y1, x2, y2, s), previous (x, y, dx, dy) -> roi_id, subset_id, cx, cy, s."""
-    schema = "roi_id int, subset_id int, cx double, cy double, s int"
-    # each region with the cells that its mesh can ask about
-    inside = F.col("x").between(F.col("x1"), F.col("x2") + 1) & F.col("y").between(F.col("y1"), F.col("y2") + 1) if previous is not None else None
-    both = rois.join(previous, inside, "left") if previous is not None else rois.withColumns({c: F.lit(None).cast("double") for c in ("x", "y", "dx", "dy")})
+TILE = 64
+
+
+def refine(rois: DataFrame, previous: DataFrame | None, spacing: int, width: int | None, height: int | None, keys: list[str] | None = None) -> DataFrame:
+    """rois (keys, roi_id, x1, y1, x2, y2, s), previous (keys, x, y, dx, dy) -> keys, roi_id, subset_id, cx, cy, s.
+
+    Regions meet the field by the tiles of TILE x TILE cells that they touch, an equi-join.  width, height: of the frame;
+    None leaves only the region as bound."""
+    keys = keys or []
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rois.select(*keys).schema) + (", " if keys else "") + "roi_id int, subset_id int, cx double, cy double, s int"
+    if previous is None:
+        both = rois.withColumns({c: F.lit(None).cast("double") for c in ("x", "y", "dx", "dy")})
+    else:
+        tiles = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / TILE), F.floor((F.col(hi) + 1) / TILE)))
+        touched = rois.withColumn("tx_", tiles("x1", "x2")).withColumn("ty_", tiles("y1", "y2"))
+        cells = previous.select(*keys, "x", "y", "dx", "dy", F.floor(F.col("x") / TILE).alias("tx_"), F.floor(F.col("y") / TILE).alias("ty_"))
+        both = touched.join(cells, [*keys, "tx_", "ty_"], "left").drop("tx_", "ty_")
+        # each region with the cells that its mesh can ask about, and once without any
+        inside = F.col("x").between(F.col("x1"), F.col("x2") + 1) & F.col("y").between(F.col("y1"), F.col("y2") + 1)
+        both = both.where(inside | F.col("x").isNull())
+        both = both.unionByName(rois.withColumns({c: F.lit(None).cast(both.schema[c].dataType) for c in ("x", "y", "dx", "dy")}))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         r = pdf.iloc[0]
@@ -86,7 +101,8 @@ def refine(rois: DataFrame, previous: DataFrame | None, spacing: int, width: int
         grid = [(x1 + s + i * spacing, y1 + s + j * spacing) for j in range(ny) for i in range(nx)]
         known = {(int(a), int(b)): (c, d) for a, b, c, d in pdf[["x", "y", "dx", "dy"]].dropna().itertuples(index=False)}
         points = refined(grid, nx, known.get) if known else grid
-        ok = [p for p in points if p[0] - s >= max(0, x1) and p[1] - s >= max(0, y1) and p[0] + s <= min(width - 1, x2) and p[1] + s <= min(height - 1, y2)]
-        return pd.DataFrame({"roi_id": int(r.roi_id), "subset_id": range(len(ok)), "cx": [float(p[0]) for p in ok], "cy": [float(p[1]) for p in ok], "s": s})
+        right, bottom = (x2 if width is None else min(width - 1, x2)), (y2 if height is None else min(height - 1, y2))
+        ok = [p for p in points if p[0] - s >= max(0, x1) and p[1] - s >= max(0, y1) and p[0] + s <= right and p[1] + s <= bottom]
+        return pd.DataFrame({**{k: r[k] for k in keys}, "roi_id": int(r.roi_id), "subset_id": range(len(ok)), "cx": [float(p[0]) for p in ok], "cy": [float(p[1]) for p in ok], "s": s})
 
-    return both.groupBy("roi_id").applyInPandas(run, schema)
+    return both.groupBy(*keys, "roi_id").applyInPandas(run, schema)

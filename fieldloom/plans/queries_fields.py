@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import deformation, measures
+from ..functions import deformation, measures, seeded
 from ..operators import correlate, exports, fields, lookups, mesh, statistics
-from ..sources.tables import field, frame_a, frame_b, r6, table, votes
-from . import solvers
+from ..sources.tables import field, frame_a, frame_b, r6, rois_of, table, votes
+from . import generators, solvers
 from .catalog import query
-from .queries_scalar import _blur_sql, _rois
+from .queries_scalar import _blur_sql
 
 # --- the mesh of the whole frame: half size 3, spacing 8 ---------------------------------------------------------
 
@@ -26,6 +26,11 @@ _Q = "CASE WHEN n * sff - sf * sf <= 0 OR n * sgg - sg * sg <= 0 THEN 0.0::DOUBL
 _BASE = _MESH + _CANDS + _OFFS + _PIX + _MOM
 
 
+_RANDOM = f""", tried AS (SELECT a, floor(0 + {seeded.unit_sql(["1", "a"], 7)} * 64)::BIGINT AS cx, floor(0 + {seeded.unit_sql(["1", "a"], 8)} * h)::BIGINT AS cy, h
+  FROM (SELECT unnest(generate_series(0, 999)) AS a), dim), fit AS (SELECT cx, cy, min(a) AS a FROM tried WHERE cx - 3 >= 0 AND cy - 3 >= 0 AND cx + 3 <= 63 AND cy + 3 <= h - 1 GROUP BY cx, cy),
+picked AS (SELECT a, row_number() OVER (ORDER BY a) - 1 AS subset_id, cx, cy FROM fit QUALIFY row_number() OVER (ORDER BY a) <= 50)"""
+
+
 def _whole(spark, sf_dir):
     """One region a frame: all of it."""
     last = table(spark, sf_dir, "embeddings").agg(F.max("vec_id").cast("double").alias("y2"))
@@ -46,16 +51,20 @@ def gen_equal(spark, sf_dir):
     return _mesh(spark, sf_dir).select("subset_id", "cx", "cy")
 
 
-@query("gen_select", _MESH + " SELECT 'EQUAL' AS method, count(*) AS n FROM subs", "a")
+@query("gen_select", "WITH u AS (SELECT DISTINCT label FROM embeddings) SELECT label, CASE label % 5 WHEN 0 THEN 'EQUAL' WHEN 1 THEN 'RANDOM' WHEN 2 THEN 'DYNAMIC' ELSE 'EQUAL' END AS method FROM u")
 def gen_select(spark, sf_dir):
-    """By name, the equal spacing if the name is unknown."""
-    method = {"EQUAL": mesh.equal}.get("UNKNOWN", mesh.equal)
-    return method(_whole(spark, sf_dir), 8, 64, F.col("y2") + 1).agg(F.count(F.lit(1)).alias("n")).select(F.lit("EQUAL").alias("method"), "n")
+    """By name, the equal spacing if the name is unknown; each label's generator is run on the frame."""
+    names = ["EQUAL", "RANDOM", "DYNAMIC", "no such", ""]
+    labels = [r.label for r in table(spark, sf_dir, "embeddings").select("label").distinct().collect()]  # the ten labels
+    used = {names[k % 5]: generators.select(names[k % 5]) for k in labels}
+    whole = _whole(spark, sf_dir)
+    good = {name for name, g in used.items() if not g.mesh(whole, 8, 64, F.col("y2") + 1).isEmpty()}
+    return spark.createDataFrame([(k, used[names[k % 5]].name) for k in labels if names[k % 5] in good], "label int, method string")
 
 
-@query("gen_random")
+@query("gen_random", _MESH + _RANDOM + " SELECT 1 AS roi_id, subset_id, cx::DOUBLE AS cx, cy::DOUBLE AS cy, 3 AS s FROM picked", "a")
 def gen_random(spark, sf_dir):
-    return mesh.random(_whole(spark, sf_dir), 50, 64, 1 << 30)
+    return mesh.random(_whole(spark, sf_dir), 50, 64, F.col("y2") + 1).withColumn("subset_id", F.col("subset_id").cast("long"))
 
 
 @query("gen_candidates", "WITH r AS (SELECT DISTINCT label, label % 3 + 1 AS k FROM embeddings), c AS (SELECT label, k, unnest(generate_series(0, (2 * k + 1) * 3 - 1)) AS cand_id FROM r) SELECT label, cand_id, (-k + cand_id % (2 * k + 1))::DOUBLE AS u, (-0.5 + (cand_id // (2 * k + 1)) * 0.5)::DOUBLE AS v FROM c")
@@ -92,10 +101,10 @@ def gen_stencil_nrf(spark, sf_dir):
     return _stencil(spark, sf_dir, "forward")
 
 
-@query("gen_stencil_spgd")
+@query("gen_stencil_spgd", f"WITH p AS (SELECT vec_id, 0.1 * (2 * {seeded.unit_sql(['vec_id', '0'], 11)} - 1) AS a, 0.1 * (2 * {seeded.unit_sql(['vec_id', '1'], 11)} - 1) AS b FROM embeddings), s(probe, sign) AS (VALUES (0, 0), (1, -1), (2, 1)) SELECT vec_id, probe, round(1 + sign * a, 6) + 0 AS u, round(-1 + sign * b, 6) + 0 AS v FROM p, s")
 def gen_stencil_spgd(spark, sf_dir):
     points = table(spark, sf_dir, "embeddings").select("vec_id", F.array(F.lit(1.0), F.lit(-1.0)).alias("deformation"))
-    return mesh.spgd_stencil(points, ["vec_id"], 2, solvers.AMPLITUDE)
+    return mesh.spgd_stencil(points, ["vec_id"], 2, solvers.AMPLITUDE).select("vec_id", "probe", r6(F.get("deformation", F.lit(0))).alias("u"), r6(F.get("deformation", F.lit(1))).alias("v"))
 
 
 # --- joins ------------------------------------------------------------------------------------------------------
@@ -119,51 +128,47 @@ def join_pixel_frame(spark, sf_dir):
 
 @query("join_roi_subset", "WITH s AS (SELECT label AS roi_id, vec_id AS subset_id FROM embeddings), r AS (SELECT event_id AS subset_id, user_id % 10 AS roi_id, value FROM events) SELECT s.roi_id, s.subset_id, r.value FROM s JOIN r ON s.roi_id = r.roi_id AND s.subset_id = r.subset_id")
 def join_roi_subset(spark, sf_dir):
-    s = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("roi_id"), F.col("vec_id").alias("subset_id"))
-    r = table(spark, sf_dir, "events").select(F.col("event_id").alias("subset_id"), (F.col("user_id") % 10).alias("roi_id"), "value")
-    return s.join(r, ["roi_id", "subset_id"]).select(F.col("roi_id").cast("int").alias("roi_id"), "subset_id", "value")
+    s = table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("subset_id")).withColumnRenamed("label", "roi_id")
+    r = table(spark, sf_dir, "events").select(F.col("event_id").alias("subset_id"), (F.col("user_id") % 10).cast("int").alias("roi_id"), "value")
+    return lookups.zipped(s, r, ["roi_id", "subset_id"]).select("roi_id", "subset_id", "value")
 
 
-_ROI_S = "rois(roi_id, kind, x1, y1, x2, y2, cx, cy, r) AS (VALUES (1, 'rect', 0.0, 0.0, 20.0, 30.0, NULL, NULL, NULL), (2, 'rect', 15.0, 25.0, 40.0, 60.0, NULL, NULL, NULL), (3, 'circle', NULL, NULL, NULL, NULL, 30.0, 80.0, 12.0))"
-_CONTAIN = """WITH """ + _ROI_S + """, base AS (
-  SELECT *, CASE kind WHEN 'circle' THEN cx - r ELSE x1 END AS bx, CASE kind WHEN 'circle' THEN cy - r ELSE y1 END AS bj,
-    CASE kind WHEN 'circle' THEN 2 * r ELSE x2 - x1 + 1 END - 4 AS rw, CASE kind WHEN 'circle' THEN 2 * r ELSE y2 - y1 + 1 END - 4 AS rh FROM rois
+_CONTAIN = """, n0 AS (SELECT max(y) + 1 AS height FROM a), rois AS (SELECT * FROM regions), base AS (
+  SELECT rois.*, height, CASE kind WHEN 'circle' THEN cx - r ELSE x1 END AS bx, CASE kind WHEN 'circle' THEN cy - r ELSE y1 END AS bj,
+    CASE kind WHEN 'circle' THEN 2 * r ELSE x2 - x1 + 1 END - 4 AS rw, CASE kind WHEN 'circle' THEN 2 * r ELSE y2 - y1 + 1 END - 4 AS rh FROM rois, n0
 ), n AS (SELECT *, CASE WHEN rw <= 0 THEN 0 WHEN rw < 3 THEN 1 ELSE floor(rw / 3) END::BIGINT AS nx, CASE WHEN rh <= 0 THEN 0 WHEN rh < 3 THEN 1 ELSE floor(rh / 3) END::BIGINT AS ny FROM base
 ), g AS (SELECT *, unnest(generate_series(0, nx - 1)) AS i FROM n), h AS (SELECT *, unnest(generate_series(0, ny - 1)) AS j FROM g
-), p AS (SELECT roi_id, kind, x1, y1, x2, y2, cx AS ox, cy AS oy, r, j * nx + i AS subset_id, bx + 2 + 3 * i AS cx, bj + 2 + 3 * j AS cy FROM h)
+), p AS (SELECT roi_id, height, kind, x1, y1, x2, y2, cx AS ox, cy AS oy, r, j * nx + i AS subset_id, bx + 2 + 3 * i AS cx, bj + 2 + 3 * j AS cy FROM h)
 SELECT roi_id, subset_id, cx::DOUBLE AS cx, cy::DOUBLE AS cy FROM p
-WHERE cx - 2 >= 0 AND cy - 2 >= 0 AND cx + 2 < 64 AND cy + 2 < 100
+WHERE cx - 2 >= 0 AND cy - 2 >= 0 AND cx + 2 < 64 AND cy + 2 < height
   AND CASE kind WHEN 'rect' THEN cx - 2 >= x1 AND cy - 2 >= y1 AND cx + 2 <= x2 AND cy + 2 <= y2
       ELSE pow(abs(cx - ox) + 2, 2) + pow(abs(cy - oy) + 2, 2) <= r * r END"""
 
 
-@query("join_containment", _CONTAIN)
+@query("join_containment", _CONTAIN, "a regions")
 def join_containment(spark, sf_dir):
-    return mesh.equal(_rois(spark).withColumn("s", F.lit(2)), 3, 64, 100).select("roi_id", "subset_id", "cx", "cy")
-
-
-_SPARSE = ", s AS (SELECT x AS roi_id, y AS round, max(dx) AS v FROM field WHERE round = 0 AND (x + y) % 3 = 0 GROUP BY x, y), r AS (SELECT roi_id, t AS round FROM (SELECT unnest(generate_series(0, 11)) AS roi_id), (SELECT unnest(generate_series(0, 23)) AS t))"
-_ASOF = _SPARSE + ", l AS (SELECT r.roi_id, r.round, s.v FROM r ASOF LEFT JOIN s ON r.roi_id = s.roi_id AND r.round >= s.round)"
+    """Patches of every region of a table that lie in it and in the frame."""
+    rois = rois_of(spark, sf_dir).join(F.broadcast(frame_a(spark, sf_dir).agg((F.max("y") + 1).alias("height"))))  # one row
+    return mesh.equal(rois.withColumn("s", F.lit(2)), 3, 64, F.col("height")).select("roi_id", "subset_id", "cx", "cy")
 
 
-def _sparse(spark, sf_dir):
-    f = field(spark, sf_dir).where("round = 0 and (x + y) % 3 = 0")
-    return f.groupBy(F.col("x").alias("roi_id"), F.col("y").alias("round")).agg(F.max("dx").alias("v"))
+_ASOF = ", l AS (SELECT f.round, f.x, f.y, s.dx AS v FROM field f ASOF LEFT JOIN (SELECT * FROM field WHERE q >= 0.6) s ON f.x = s.x AND f.y = s.y AND f.round >= s.round)"
 
 
-def _asked(spark):
-    return spark.range(12 * 24).select((F.col("id") % 12).alias("roi_id"), F.floor(F.col("id") / 12).alias("round"))
+def _asof(spark, sf_dir):
+    """Each cell's last value of good quality, at or before each of its rounds."""
+    f = field(spark, sf_dir)
+    return lookups.carried(f.where("q >= 0.6").select("x", "y", "round", F.col("dx").alias("v")), f.select("x", "y", "round"), ["x", "y"], "v")
 
 
-@query("join_asof_round", _ASOF + " SELECT roi_id, round, v FROM l", "votes field")
+@query("join_asof_round", _ASOF + " SELECT round, x, y, v FROM l", "votes field")
 def join_asof_round(spark, sf_dir):
-    return lookups.carried(_sparse(spark, sf_dir), _asked(spark), ["roi_id"], "v")
+    return _asof(spark, sf_dir)
 
 
-@query("win_locf", _ASOF + " SELECT roi_id, count(v) AS known, round(sum(v), 6) + 0 AS total FROM l GROUP BY roi_id", "votes field")
+@query("win_locf", _ASOF + " SELECT x, y, count(v) AS known, round(sum(v), 6) + 0 AS total FROM l GROUP BY x, y", "votes field")
 def win_locf(spark, sf_dir):
-    out = lookups.carried(_sparse(spark, sf_dir), _asked(spark), ["roi_id"], "v")
-    return out.groupBy("roi_id").agg(F.count("v").alias("known"), r6(F.sum("v")).alias("total"))
+    return _asof(spark, sf_dir).groupBy("x", "y").agg(F.count("v").alias("known"), r6(F.sum("v")).alias("total"))
 
 
 @query("join_lookup_override", "WITH o AS (SELECT DISTINCT label, label + 4 AS size FROM embeddings WHERE label % 3 = 0) SELECT e.vec_id, coalesce(o.size, 10) AS size FROM embeddings e LEFT JOIN o ON o.label = e.label")
@@ -173,20 +178,15 @@ def join_lookup_override(spark, sf_dir):
     return lookups.overridden(e, own, ["label"], {"size": 10}).select("vec_id", "size")
 
 
-@query("win_round_pairs", "SELECT vec_id AS round_from, vec_id + 1 AS round_to FROM embeddings WHERE vec_id BETWEEN 13 AND 18 AND vec_id + 1 IN (SELECT vec_id FROM embeddings)")
+@query("win_round_pairs", "SELECT vec_id AS round_from, vec_id + 1 AS round_to FROM embeddings WHERE vec_id + 1 IN (SELECT vec_id FROM embeddings)")
 def win_round_pairs(spark, sf_dir):
-    return lookups.round_pairs(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_no")), 13, 19)
+    return lookups.round_pairs(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_no")))
 
 
 @query("join_neighbor_window", " SELECT f.round, f.x, f.y, count(*) AS n, round(sum(g.dx), 6) + 0 AS su FROM field f JOIN field g ON g.round = f.round AND abs(g.x - f.x) <= 2 AND abs(g.y - f.y) <= 2 GROUP BY f.round, f.x, f.y", "votes field")
 def join_neighbor_window(spark, sf_dir):
-    f = field(spark, sf_dir).select("round", "x", "y", F.lit(True).alias("own"), F.lit(1).alias("n"), "dx")
-    near = f.select("round", "y", F.explode(F.sequence(F.col("x") - 2, F.col("x") + 2)).alias("x")).distinct()
-    dense = near.join(f, ["round", "x", "y"], "left").na.fill({"n": 0, "dx": 0.0})
-    across, down = W.partitionBy("round", "y").orderBy("x").rangeBetween(-2, 2), W.partitionBy("round", "x").orderBy("y").rangeBetween(-2, 2)
-    rows = dense.select("round", "x", "y", "own", F.sum("n").over(across).alias("n"), F.sum("dx").over(across).alias("su"))
-    out = rows.select("round", "x", "y", "own", F.sum("n").over(down).alias("n"), F.sum("su").over(down).alias("su"))
-    return out.where("own").select("round", "x", "y", "n", r6(F.col("su")).alias("su"))
+    out = fields.window_sums(field(spark, sf_dir), ["round"], 2, {"n": F.lit(1), "su": F.col("dx")})
+    return out.select("round", "x", "y", F.col("n").cast("long").alias("n"), r6(F.col("su")).alias("su"))
 
 
 def _step(spark, sf_dir, k):
@@ -214,9 +214,10 @@ def join_compose(spark, sf_dir):
     return _composed(spark, sf_dir, 2)
 
 
-@query("fld_compose", _steps_sql(4), "votes field")
+@query("fld_compose", _steps_sql(6), "votes field")
 def fld_compose(spark, sf_dir):
-    return _composed(spark, sf_dir, 4)
+    """Over all rounds that there are."""
+    return _composed(spark, sf_dir, 6)
 
 
 @query("win_cumulative", _steps_sql(3), "votes field")
@@ -229,10 +230,13 @@ def agg_cumulative_quality(spark, sf_dir):
     return _composed(spark, sf_dir, 3).select("x", "y", "quality", "n")
 
 
-@query("fld_cascade", "SELECT * FROM (VALUES (0, 3), (3, 4), (4, 5)) t(round_from, round_to)")
+@query("fld_cascade", "WITH RECURSIVE h AS (SELECT DISTINCT label AS chain, vec_id % 7 AS round_from, vec_id % 7 + 1 + (vec_id * 5) % 3 AS round_to FROM embeddings UNION SELECT DISTINCT label, k, k + 1 FROM embeddings, (SELECT unnest(generate_series(0, 9)) AS k)), p AS (SELECT chain, 0::BIGINT AS src, (SELECT max(round_to) FROM h WHERE h.chain = c.chain AND round_from = 0 AND round_to <= 9) AS step FROM (SELECT DISTINCT chain FROM h) c UNION ALL SELECT p.chain, p.step, (SELECT max(round_to) FROM h WHERE h.chain = p.chain AND round_from = p.step AND round_to <= 9) FROM p WHERE p.step < 9) SELECT chain, src AS round_from, step AS round_to FROM p WHERE step IS NOT NULL")
 def fld_cascade(spark, sf_dir):
-    have = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (0, 2), (0, 3)], "round_from int, round_to int")
-    return spark.createDataFrame(fields.cascade(have, 0, 5), "round_from int, round_to int")
+    """In each chain of results, the path from round 0 to 9 by the longest result available next."""
+    e = table(spark, sf_dir, "embeddings")
+    have = e.select(F.col("label").alias("chain"), (F.col("vec_id") % 7).alias("round_from"), (F.col("vec_id") % 7 + 1 + (F.col("vec_id") * 5) % 3).alias("round_to"))
+    steps = e.select(F.col("label").alias("chain")).distinct().select("chain", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("round_from"))
+    return fields.cascades(have.unionByName(steps.withColumn("round_to", F.col("round_from") + 1)), ["chain"], 0, 9)
 
 
 @query("join_point_pair", " SELECT p.round, p.y, q.dx - p.dx AS du, q.dy - p.dy AS dv FROM field p JOIN field q ON p.round = q.round AND p.y = q.y AND p.x = 2 AND q.x = 9", "votes field")
@@ -583,9 +587,9 @@ def exp_csv_sequence(spark, sf_dir):
     return f.groupBy("file").agg(F.count(F.lit(1)).alias("cells"))
 
 
-@query("exp_csv_keyed", " SELECT y, " + ", ".join(f'max(dx) FILTER (round = {k}) AS "{k}"' for k in range(6)) + " FROM field WHERE x = 4 GROUP BY y", "votes field")
+@query("exp_csv_keyed", " SELECT x, y, " + ", ".join(f'max(dx) FILTER (round = {k}) AS "{k}"' for k in range(6)) + " FROM field GROUP BY x, y", "votes field")
 def exp_csv_keyed(spark, sf_dir):
-    return exports.keyed(field(spark, sf_dir).where("x = 4"), "y", "round", "dx", list(range(6)))
+    return exports.keyed(field(spark, sf_dir), ["x", "y"], "round", "dx", list(range(6)))
 
 
 @query("exp_csv_shifts", ", s AS (SELECT round, max(dy) AS s FROM field GROUP BY round) SELECT printf('%.2f', (round + 1) * 0.2) AS time, round(s / 4.0, 6) + 0 AS shift_mm FROM s", "votes field")
@@ -597,9 +601,10 @@ def exp_csv_shifts(spark, sf_dir):
 # --- diagnostics ------------------------------------------------------------------------------------------------
 
 
-@query("dbg_raw_dump", _BASE + f" SELECT subset_id, cand_id, u, v, round({_Q}, 6) + 0 AS q FROM mom WHERE subset_id < 20", "a b")
+@query("dbg_raw_dump", _BASE + f" SELECT subset_id, cand_id, u, v, round({_Q}, 6) + 0 AS q FROM mom", "a b")
 def dbg_raw_dump(spark, sf_dir):
-    return _scores(spark, sf_dir).where("subset_id < 20").select("subset_id", "cand_id", "u", "v", r6(correlate.zncc()).alias("q"))
+    """Every candidate's value of every patch."""
+    return _scores(spark, sf_dir).select("subset_id", "cand_id", "u", "v", r6(correlate.zncc()).alias("q"))
 
 
 @query("dbg_subset_quality", _RES + " SELECT cx AS x, cy AS y, quality FROM res", "a b")
@@ -620,35 +625,49 @@ def dbg_votes_dump(spark, sf_dir):
 
 # --- tracked fixtures -------------------------------------------------------------------------------------------
 
-_JAWS = "j(roi_id, cx, cy, r) AS (VALUES (1, 125.0, 14.0, 19.0), (2, 46.0, 16.0, 19.0), (3, 124.0, 88.0, 19.0), (4, 46.0, 88.0, 19.0))"
+_JAWS = """WITH c AS (SELECT c_custkey AS specimen FROM customer), j AS (
+  SELECT specimen, (i + specimen) % 4 + 1 AS roi_id, (46 + 79 * (i % 2) + specimen % 7)::DOUBLE AS cx, (16 + 72 * (i // 2) + (specimen * 3 + i) % 5)::DOUBLE AS cy, 19.0::DOUBLE AS r
+  FROM c, (SELECT unnest(generate_series(0, 3)) AS i) WHERE NOT (specimen % 5 = 0 AND i = 3)), ok AS (SELECT * FROM j WHERE specimen % 5 <> 0)"""
+
 
+def _jaws(spark, sf_dir):
+    """Four circles a specimen, in any order; every fifth specimen lacks one."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("specimen"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i")).where("not (specimen % 5 = 0 and i = 3)")
+    s, i = F.col("specimen"), F.col("i")
+    return c.select("specimen", ((i + s) % 4 + 1).alias("roi_id"), (46 + 79 * (i % 2) + s % 7).cast("double").alias("cx"), (16 + 72 * F.floor(i / 2) + (s * 3 + i) % 5).cast("double").alias("cy"), F.lit(19.0).alias("r"))
 
-def _jaws(spark):
-    return spark.createDataFrame([(1, 125.0, 14.0, 19.0), (2, 46.0, 16.0, 19.0), (3, 124.0, 88.0, 19.0), (4, 46.0, 88.0, 19.0)], "roi_id int, cx double, cy double, r double")
 
+def _whole_jaws(spark, sf_dir):
+    from . import tracking
 
-@query("orc_roi_sort", f"WITH {_JAWS}, b AS (SELECT *, EXISTS (SELECT 1 FROM j o WHERE o.roi_id <> j.roi_id AND o.cy < j.cy AND o.cy + o.r < j.cy - j.r) AS low FROM j) SELECT roi_id, row_number() OVER (ORDER BY low, cx) AS place FROM b")
+    jaws = _jaws(spark, sf_dir)
+    return jaws.join(tracking.valid(jaws, ["specimen"]).where("valid"), "specimen", "left_semi")
+
+
+@query("orc_roi_sort", f"{_JAWS}, b AS (SELECT *, EXISTS (SELECT 1 FROM ok o WHERE o.specimen = ok.specimen AND o.roi_id <> ok.roi_id AND o.cy < ok.cy AND o.cy + o.r < ok.cy - ok.r) AS low FROM ok) SELECT specimen, roi_id, row_number() OVER (PARTITION BY specimen ORDER BY low, cx) AS place FROM b")
 def orc_roi_sort(spark, sf_dir):
     from . import tracking
 
-    return tracking.sorted_jaws(_jaws(spark)).select("roi_id", "place")
+    return tracking.sorted_jaws(_whole_jaws(spark, sf_dir), ["specimen"]).select("specimen", "roi_id", "place")
 
 
-@query("srt_roi", f"WITH {_JAWS} SELECT roi_id, cx::DOUBLE AS cx FROM j ORDER BY cx")
+@query("srt_roi", f"{_JAWS} SELECT specimen, roi_id, cx FROM j ORDER BY specimen, cx, roi_id")
 def srt_roi(spark, sf_dir):
-    return _jaws(spark).select("roi_id", "cx").orderBy("cx")
+    return _jaws(spark, sf_dir).select("specimen", "roi_id", "cx").orderBy("specimen", "cx", "roi_id")
 
 
-@query("orc_rect_default", f"WITH {_JAWS} SELECT (max(cx + r) FILTER (cx < 85) + 5)::DOUBLE AS x1, (min(cx - r) FILTER (cx > 85) - 5)::DOUBLE AS x2, min(cy)::DOUBLE AS y1, max(cy)::DOUBLE AS y2 FROM j")
+@query("orc_rect_default", f"{_JAWS}, b AS (SELECT *, cy > 50 AS low, cx > 80 AS rightmost FROM ok) SELECT specimen, min(cx + r) FILTER (NOT rightmost) + 5 AS x1, min(cx - r) FILTER (rightmost) - 5 AS x2, min(cy - r) FILTER (NOT low) AS y1, min(cy + r) FILTER (low) AS y2 FROM b GROUP BY specimen")
 def orc_rect_default(spark, sf_dir):
     from . import tracking
 
-    return tracking.default_rectangle(_jaws(spark))
+    return tracking.default_rectangle(_whole_jaws(spark, sf_dir), ["specimen"])
 
 
-@query("orc_validate", f"WITH {_JAWS} SELECT count(*) = 4 AS valid FROM j")
+@query("orc_validate", f"{_JAWS} SELECT specimen, count(*) = 4 AS valid FROM j GROUP BY specimen")
 def orc_validate(spark, sf_dir):
-    return _jaws(spark).agg((F.count(F.lit(1)) == 4).alias("valid"))
+    from . import tracking
+
+    return tracking.valid(_jaws(spark, sf_dir), ["specimen"])
 
 
 @query("orc_increase", "SELECT DISTINCT l_linenumber, -l_linenumber - (((2 * l_linenumber) / 0.5 + 1)::BIGINT // 4) * 0.5::DOUBLE AS lo, l_linenumber + (((2 * l_linenumber) / 0.5 + 1)::BIGINT // 4) * 0.5::DOUBLE AS hi FROM lineitem")
@@ -668,24 +687,31 @@ def orc_scenario(spark, sf_dir):
     return spark.createDataFrame(list(SCENARIOS.items()), "scenario string, spacing int")
 
 
-@query("eng_kernel_enum", "WITH t AS (SELECT * FROM (VALUES ('CL1D'), ('CL2D'), ('CL15D'), ('JAVA')) t(type)), i AS (SELECT * FROM (VALUES ('ARRAY'), ('IMAGE')) t(input)), c AS (SELECT * FROM (VALUES ('ZNCC'), ('ZNSSD'), ('WZNSSD')) t(criterion)) SELECT type || ';' || input || ';' || criterion AS kernel FROM t, i, c WHERE NOT (type = 'JAVA' AND (input = 'IMAGE' OR criterion <> 'ZNCC'))")
+@query("eng_kernel_enum", "WITH t AS (SELECT * FROM (VALUES ('CL1D'), ('CL2D'), ('CL15D'), ('JAVA')) t(type)), i AS (SELECT * FROM (VALUES ('ARRAY'), ('IMAGE')) t(input)), c AS (SELECT * FROM (VALUES ('ZNCC'), ('ZNSSD'), ('WZNSSD')) t(criterion)), w AS (SELECT DISTINCT label AS spec, CASE label % 3 WHEN 0 THEN 'ANY' WHEN 1 THEN 'JAVA' ELSE 'CL2D' END AS wt, CASE label % 2 WHEN 0 THEN 'ANY' ELSE 'ZNCC' END AS wc FROM embeddings) SELECT spec, type || ';' || input || ';' || criterion AS kernel FROM w, t, i, c WHERE (wt = 'ANY' OR wt = type) AND (wc = 'ANY' OR wc = criterion) AND NOT (type = 'JAVA' AND (input = 'IMAGE' OR criterion <> 'ZNCC'))")
 def eng_kernel_enum(spark, sf_dir):
-    one = lambda name, values: spark.createDataFrame([(v,) for v in values], f"{name} string")
-    every = one("type", ("CL1D", "CL2D", "CL15D", "JAVA")).crossJoin(one("input", ("ARRAY", "IMAGE"))).crossJoin(one("criterion", ("ZNCC", "ZNSSD", "WZNSSD")))  # fixed option lists
-    unsupported = every.where("type = 'JAVA' and (input = 'IMAGE' or criterion != 'ZNCC')")
-    return every.join(unsupported, ["type", "input", "criterion"], "left_anti").select(F.concat_ws(";", "type", "input", "criterion").alias("kernel"))
+    """What specifications with wildcards stand for."""
+    from . import kernels
+
+    label = F.col("label")
+    spec = F.concat_ws(";", F.when(label % 3 == 0, "ANY").when(label % 3 == 1, "JAVA").otherwise("CL2D"), F.lit("ANY"), F.when(label % 2 == 0, "ANY").otherwise("ZNCC"))
+    specs = table(spark, sf_dir, "embeddings").select(label.alias("spec"), spec.alias("text")).distinct()
+    return kernels.expanded(specs, "text").select("spec", kernels.text().alias("kernel"))
 
 
-@query("eng_kernel_text", "SELECT DISTINCT event_type || ';ARRAY;ZNCC;YES;NO' AS text, upper(event_type) AS type, 'ZNCC' AS criterion FROM events")
+@query("eng_kernel_text", "SELECT DISTINCT event_type || ';ARRAY;ZNCC;YES;NO' AS text, event_type AS type, 'ARRAY' AS input, 'ZNCC' AS criterion, 'YES' AS limits, 'NO' AS weighted FROM events")
 def eng_kernel_text(spark, sf_dir):
-    t = table(spark, sf_dir, "events").select(F.concat_ws(";", "event_type", F.lit("ARRAY"), F.lit("ZNCC"), F.lit("YES"), F.lit("NO")).alias("text")).distinct()
-    p = F.split("text", ";")
-    return t.select("text", F.upper(F.get(p, F.lit(0))).alias("type"), F.get(p, F.lit(2)).alias("criterion"))
+    """To text and back."""
+    from . import kernels
+
+    fields_ = table(spark, sf_dir, "events").select(F.col("event_type").alias("type"), F.lit("ARRAY").alias("input"), F.lit("ZNCC").alias("criterion"), F.lit("YES").alias("limits"), F.lit("NO").alias("weighted")).distinct()
+    text = fields_.select(kernels.text(kernels.FIELDS).alias("text"))
+    return text.select("text", *kernels.parsed(F.col("text")))
 
 
-@query("lim_random", "SELECT 1 AS roi_id, 50::BIGINT AS n")
+@query("lim_random", _MESH + _RANDOM + " SELECT 1 AS roi_id, count(*) AS n, max(a) + 1 AS attempts FROM picked", "a")
 def lim_random(spark, sf_dir):
-    return mesh.random(_whole(spark, sf_dir), 50, 64, 1 << 30).groupBy("roi_id").agg(F.count(F.lit(1)).alias("n"))
+    """How many attempts it took to find as many patches as are wanted."""
+    return mesh.random(_whole(spark, sf_dir), 50, 64, F.col("y2") + 1, attempt=True).groupBy("roi_id").agg(F.count(F.lit(1)).alias("n"), (F.max("attempt") + 1).cast("long").alias("attempts"))
 
 
 # --- sources ----------------------------------------------------------------------------------------------------
@@ -770,11 +796,11 @@ def src_dispatch(spark, sf_dir):
     return spark.createDataFrame([(p, frames.loader_name(p)) for p in ("a.bmp", "b.avi", "c.config", "d.task")], "path string, loader string")
 
 
-@query("snk_config", ", z AS (SELECT round, y AS roi_id, max(x) AS size FROM field WHERE y < 3 GROUP BY round, y), t AS (SELECT round, string_agg('0;0;9;9--NONE--' || size, ';;' ORDER BY roi_id) AS value FROM z GROUP BY round), l AS (SELECT *, lag(value) OVER (ORDER BY round) AS b FROM t) SELECT 'ROI_' || round AS key, value FROM l WHERE b IS DISTINCT FROM value", "votes field")
+@query("snk_config", ", z AS (SELECT round, y AS roi_id, max(x) AS size FROM field GROUP BY round, y), t AS (SELECT round, string_agg('0;0;9;9--NONE--' || size, ';;' ORDER BY roi_id) AS value FROM z GROUP BY round), l AS (SELECT *, lag(value) OVER (ORDER BY round) AS b FROM t) SELECT 'ROI_' || round AS key, value FROM l WHERE b IS DISTINCT FROM value", "votes field")
 def snk_config(spark, sf_dir):
     from ..sources import config
 
-    z = field(spark, sf_dir).where("y < 3").groupBy("round", F.col("y").alias("roi_id")).agg(F.max("x").alias("size"))
+    z = field(spark, sf_dir).groupBy("round", F.col("y").alias("roi_id")).agg(F.max("x").alias("size"))
     return config.config_lines(z.withColumn("region", F.lit("0;0;9;9")))
 
 

@@ -15,22 +15,30 @@ from . import solvers
 GAP, GOOD, MAX_BAD, TRIES, MOVED = 5.0, 0.5, 0.5, 10, 0.5
 
 
-def sorted_jaws(circles: DataFrame) -> DataFrame:
-    """place 1..: the upper row by x, then the lower; a row is what overlaps vertically with nothing wholly above it."""
+def valid(circles: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, valid: whether there are exactly four circles."""
+    return circles.groupBy(*keys).agg((F.count(F.lit(1)) == 4).alias("valid"))
+
+
+def sorted_jaws(circles: DataFrame, keys: list[str]) -> DataFrame:
+    """circles (keys, roi_id, cx, cy, r) with place 1..: the upper row by x, then the lower; a row is what overlaps vertically
+    with nothing wholly above it."""
     from pyspark.sql import Window as W
 
-    o = circles.select(F.col("roi_id").alias("o"), (F.col("cy") + F.col("r")).alias("bottom"), F.col("cy").alias("ocy"))
-    above = circles.join(F.broadcast(o), (F.col("o") != F.col("roi_id")) & (F.col("ocy") < F.col("cy")) & (F.col("bottom") < F.col("cy") - F.col("r")), "left_semi").select("roi_id", F.lit(True).alias("low"))
-    rows = circles.join(above, "roi_id", "left").withColumn("low", F.coalesce("low", F.lit(False)))
-    return rows.withColumn("place", F.row_number().over(W.orderBy("low", "cx")).cast("long"))  # four circles
+    above = circles.select(*keys, F.col("roi_id").alias("o"), (F.col("cy") + F.col("r")).alias("bottom"), F.col("cy").alias("ocy"))
+    pairs = circles.crossJoin(above) if not keys else circles.join(above, keys)  # four by four of each key
+    low = pairs.where((F.col("o") != F.col("roi_id")) & (F.col("ocy") < F.col("cy")) & (F.col("bottom") < F.col("cy") - F.col("r"))).select(*keys, "roi_id").distinct().withColumn("low", F.lit(True))
+    rows = circles.join(low, [*keys, "roi_id"], "left").withColumn("low", F.coalesce("low", F.lit(False)))
+    return rows.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy("low", "cx")).cast("long"))
 
 
-def default_rectangle(circles: DataFrame) -> DataFrame:
-    """Between the jaws, GAP off them."""
-    mid = circles.agg(F.avg("cx").alias("mid"))
-    c = circles.join(F.broadcast(mid))
-    left, right = F.col("cx") < F.col("mid"), F.col("cx") > F.col("mid")
-    return c.agg((F.max(F.when(left, F.col("cx") + F.col("r"))) + GAP).alias("x1"), (F.min(F.when(right, F.col("cx") - F.col("r"))) - GAP).alias("x2"), F.min("cy").alias("y1"), F.max("cy").alias("y2"))
+def default_rectangle(circles: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, x1, x2, y1, y2: the specimen between the jaws, GAP off them, from the top of the upper to the bottom of the lower."""
+    c = sorted_jaws(circles, keys)
+    left, low = F.col("place") % 2 == 1, F.col("place") > 2
+    least = lambda where, value: F.min(F.when(where, value))
+    cx, cy, r = F.col("cx"), F.col("cy"), F.col("r")
+    return c.groupBy(*keys).agg((least(left, cx + r) + GAP).alias("x1"), (least(~left, cx - r) - GAP).alias("x2"), least(~low, cy - r).alias("y1"), least(low, cy + r).alias("y2"))
 
 
 def widened(limits: Column) -> Column:
