@@ -4,6 +4,7 @@ Tables: votes and fields are sparse, (keys, x, y, dx, dy, quality); no row is no
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import deformation
+from ..shared import kept
 from . import mesh
 
 
@@ -60,19 +62,34 @@ def sampled(points: DataFrame, field: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, *[F.when(~F.col("hole"), F.col(c)).alias(c) for c in ("sx", "sy", "sq")])
 
 
+#: Rounds of a composition that are one plan; after that many, the walk is written down.
+PLAN_ROUNDS = 4
+
+
+def compositions(steps: Iterable[DataFrame]) -> Iterator[DataFrame]:
+    """Cumulative fields over consecutive fields (x, y, dx, dy, quality), one after each step: each pixel walks through them
+    and stops at the first hole; its displacement so far, the mean quality of its steps and their number.  A pixel that the
+    first field lacks has no row."""
+    walk = None
+    for k, step in enumerate(steps):
+        if walk is None:
+            walk = step.select("x", "y", (F.col("x") + F.col("dx")).alias("px"), (F.col("y") + F.col("dy")).alias("py"), F.col("quality").alias("q"), F.lit(1).alias("n"), F.lit(True).alias("going"))
+        else:
+            seen = sampled(walk.where("going").select("x", "y", "px", "py"), step, ["x", "y"])
+            walk = walk.join(seen, ["x", "y"], "left")
+            found = F.col("sx").isNotNull()
+            walk = walk.select(
+                "x", "y", F.when(found, F.col("px") + F.col("sx")).otherwise(F.col("px")).alias("px"), F.when(found, F.col("py") + F.col("sy")).otherwise(F.col("py")).alias("py"),
+                F.when(found, F.col("q") + F.col("sq")).otherwise(F.col("q")).alias("q"), (F.col("n") + F.when(found, 1).otherwise(0)).alias("n"), (F.col("going") & found).alias("going"),
+            )
+            if k % PLAN_ROUNDS == 0:
+                walk = kept(walk, "walk")
+        yield walk.select("x", "y", (F.col("px") - F.col("x")).alias("dx"), (F.col("py") - F.col("y")).alias("dy"), (F.col("q") / F.col("n")).alias("quality"), "n")
+
+
 def compose(steps: list[DataFrame]) -> DataFrame:
-    """Cumulative field over consecutive fields (x, y, dx, dy, quality): each pixel walks through them and stops at the first
-    hole; its displacement so far and the mean quality of its steps.  A pixel that the first field lacks has no row."""
-    walk = steps[0].select("x", "y", (F.col("x") + F.col("dx")).alias("px"), (F.col("y") + F.col("dy")).alias("py"), F.col("quality").alias("q"), F.lit(1).alias("n"), F.lit(True).alias("going"))
-    for step in steps[1:]:
-        seen = sampled(walk.where("going").select("x", "y", "px", "py"), step, ["x", "y"])
-        walk = walk.join(seen, ["x", "y"], "left")
-        found = F.col("sx").isNotNull()
-        walk = walk.select(
-            "x", "y", F.when(found, F.col("px") + F.col("sx")).otherwise(F.col("px")).alias("px"), F.when(found, F.col("py") + F.col("sy")).otherwise(F.col("py")).alias("py"),
-            F.when(found, F.col("q") + F.col("sq")).otherwise(F.col("q")).alias("q"), (F.col("n") + F.when(found, 1).otherwise(0)).alias("n"), (F.col("going") & found).alias("going"),
-        )
-    return walk.select("x", "y", (F.col("px") - F.col("x")).alias("dx"), (F.col("py") - F.col("y")).alias("dy"), (F.col("q") / F.col("n")).alias("quality"), "n")
+    """The cumulative field over all steps."""
+    return list(compositions(steps))[-1]
 
 
 def cascade(available: DataFrame, start: int, end: int) -> list[tuple[int, int]]:

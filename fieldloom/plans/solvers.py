@@ -1,6 +1,6 @@
 """From patches to their best deformation.
 
-Exhaustive and coarse-to-fine search are plans of joins and grouped moments.  The iterative ones (Newton-Raphson in four
+Exhaustive search is done tile by tile (``correlate``), coarse-to-fine search starts from it.  The iterative ones (Newton-Raphson in four
 variants, stochastic gradient) optimise each patch by itself, in Arrow batches: a row carries the patch and the part of the
 second frame that it can reach, so no frame is broadcast and memory follows the batch."""
 
@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from ..functions import sampling
 from ..operators import correlate, mesh
 
-#: Rows that an exhaustive plan may multiply out: subsets x candidates x pixels.
-MAX_ROWS = 500_000_000
 #: Solver -> (knows higher orders, knows weights).
 SOLVERS = {
     "BRUTE_FORCE": (True, False), "COARSE_FINE": (False, False), "NEWTON_RHAPSON_CENTRAL": (True, False), "NEWTON_RHAPSON_FORWARD": (True, False),
@@ -34,16 +32,9 @@ def integer_candidates(spark, lo: int, hi: int, ylo: int | None = None, yhi: int
     return spark.range(n * (yhi - ylo + 1)).select(F.col("id").alias("cand_id"), (F.col("id") % n + lo).alias("u"), (F.floor(F.col("id") / n) + ylo).alias("v"))
 
 
-def guarded(subsets: int, candidates: int, pixels: int) -> None:
-    if subsets * candidates * pixels > MAX_ROWS:
-        raise ValueError(f"{subsets} x {candidates} x {pixels} rows: use an iterative solver or narrower limits")
-
-
-def brute_force(subsets: DataFrame, cands: DataFrame, frame_a: DataFrame, frame_b: DataFrame, keys: list[str]) -> DataFrame:
+def brute_force(subsets: DataFrame, cands: DataFrame, frame_a: DataFrame, frame_b: DataFrame, keys: list[str], frame_keys: list[str] | None = None) -> DataFrame:
     """keys, cand_id, u, v, quality of each patch's best whole-pixel move."""
-    scores = correlate.integer_scores(subsets, cands, frame_a, frame_b, keys).withColumn("q", correlate.zncc())
-    rank = F.struct(F.round("q", 9).alias("q"), (-F.col("cand_id")).alias("i"))
-    return scores.groupBy(*keys).agg(F.max_by(F.struct("cand_id", "u", "v"), rank).alias("b"), F.max(F.round("q", 9)).alias("quality")).select(*keys, "b.*", "quality")
+    return correlate.best_moves(subsets, cands, frame_a, frame_b, keys, frame_keys)
 
 
 def refine(start: DataFrame, subsets: DataFrame, frame_a: DataFrame, frame_b: DataFrame, keys: list[str], step: float, reach: int) -> DataFrame:
@@ -84,19 +75,7 @@ def coarse_fine(subsets: DataFrame, frame_a: DataFrame, frame_b: DataFrame, keys
 # --- iterative solvers ------------------------------------------------------------------------------------------
 
 
-def patch_windows(subsets: DataFrame, frame_a: DataFrame, frame_b: DataFrame, keys: list[str], reach: int) -> DataFrame:
-    """keys, cx, cy, s, f: the patch's levels, w: the second frame's around it, ``reach`` pixels further; both column by
-    column, without patches that the first frame cuts; -1 where the second frame ends."""
-
-    def gathered(half, frame, name):
-        span = F.sequence(-half, half)
-        pix = subsets.withColumn("ox", F.explode(span)).withColumn("oy", F.explode(span))
-        pix = pix.select(*keys, "ox", "oy", (F.floor(F.col("cx") + 0.5) + F.col("ox")).alias("x"), (F.floor(F.col("cy") + 0.5) + F.col("oy")).alias("y"))
-        hit = pix.join(frame.select("x", "y", "g"), ["x", "y"], "left")
-        return hit.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("ox", "oy", F.coalesce(F.col("g").cast("float"), F.lit(-1.0).cast("float")).alias("g")))), lambda e: e["g"]).alias(name))
-
-    f, w = gathered(F.col("s"), frame_a, "f"), gathered(F.col("s") + reach, frame_b, "w")
-    return subsets.join(f, keys).join(w, keys).where(F.array_min("f") >= 0)
+patch_windows = correlate.windows
 
 
 def _cubic(t: np.ndarray) -> np.ndarray:
@@ -310,7 +289,7 @@ def solve_patches(windows: DataFrame, keys: list[str], solver: str, order: int =
                 patch = Patch(r.f, r.w, half, reach, None if weight is None else max(1.0, np.floor(half * weight * 3.2 + 0.5)))
                 start = np.concatenate((patch.coarse(coarse_reach), np.zeros(length - 2)))
                 if solver == "SPGD":
-                    seed = abs(hash(tuple(int(getattr(r, k)) for k in keys))) % (1 << 32)
+                    seed = sum((int(getattr(r, k)) + 1) * 1_000_003**i for i, k in enumerate(keys)) % (1 << 32)
                     got = spgd(patch, start, seed)
                 else:
                     got = newton(patch, start, "forward" if "FORWARD" in solver else "central", solver.endswith("_HE"))
