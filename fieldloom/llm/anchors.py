@@ -34,13 +34,13 @@ from . import semi, state, twice
 from . import textblocks as tb
 
 #: Anchors (of about a dozen items of text) of one owner in a shard; an owner with more is split.
-SHARD_ANCHORS = 8_000
+SHARD_ANCHORS = 4_000
 #: Anchors, or runs, in a shard on average.
 SHARD_MEAN = 2_000
 #: An anchor is hot at more places than this, amid HOT_KINDS of 64 kinds of surroundings or more.
 HOT_PLACES, HOT_KINDS = 1_000, 60
 #: Bits for each window of a hot anchor, as multiples of the filters' usual: false suspects make runs differ.
-WINDOW_BITS = 4
+WINDOW_BITS = 2
 #: Shards from this number on hold runs of windows.
 RUN_SHARDS = 1 << 41
 #: Digests of pieces whose text a task remembers to have written.
@@ -101,11 +101,22 @@ def _lists(ids: pa.Array, block: tb.Block, rows: np.ndarray, **columns: pa.Array
     return pa.RecordBatch.from_arrays([ids.slice(block.lo, block.rows).take(pa.array(some)), *lists], names=["doc", *columns])
 
 
-def _runs(docs: DataFrame, grams: Grams, k: int, window: int, hot: DataFrame, places: int, across: bool) -> DataFrame:
-    """docs (doc, text), hot (h): -> doc, pos, n, shard of the runs of n windows from pos on that may recur, of hot anchors."""
+def _runs(docs: DataFrame, lists: DataFrame, grams: Grams, k: int, window: int, hot: DataFrame, places: int, across: bool) -> DataFrame:
+    """docs (doc, text), lists (doc, h: its suspected anchors), hot (h): -> doc, pos, n, shard of the runs of n windows from
+    pos on that may recur, of hot anchors."""
     spark = docs.sparkSession
     might = semi.might_hold(hot, hot.count())
 
+    def with_hot(batches):
+        for batch in batches:
+            keys = batch.column(1)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(keys.offsets)))
+            hit = might.test_keys(np.asarray(keys.flatten()).astype(np.int64).view(np.uint64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.unique(row[hit])))], names=["doc"])
+
+    holders = state.keep(lists.select("doc", "h").mapInArrow(with_hot, "doc long"), "hot-docs")
+    holds = semi.might_hold(holders, holders.count())
+
     def windows(column):
         """Blocks with first windows' items, rows, least hashes and keys of the windows whose anchor may be hot."""
         for block, first, h, keys_at in grams(column):
@@ -116,12 +127,12 @@ def _runs(docs: DataFrame, grams: Grams, k: int, window: int, hot: DataFrame, pl
                 yield block, first, np.searchsorted(first, at, side="right") - 1, at, least[at], keys_at(at)
 
     def keys(batch):
-        for _, _, rows, _, _, key in windows(batch.column(0)):
+        for _, _, rows, _, _, key in windows(batch.filter(pa.array(holds.test(batch.column(0)))).column(1)):
             yield tb.distinct_in_rows(rows, key)[1] if across else key
 
     def runs(filter_):
         def run(batches):
-            for batch in batches:
+            for batch in (b.filter(pa.array(holds.test(b.column(0)))) for b in batches):
                 for block, first, rows, at, least, key in windows(batch.column(1)):
                     hit = np.flatnonzero(filter_.value.test(key))
                     if not len(hit):
@@ -129,19 +140,20 @@ def _runs(docs: DataFrame, grams: Grams, k: int, window: int, hot: DataFrame, pl
                     rows, at, least, key = rows[hit], at[hit], least[hit], key[hit]
                     new = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]) | (at[1:] != at[:-1] + 1) | (least[1:] != least[:-1]))))
                     n = np.diff(np.append(new, len(at)))
-                    kind = np.left_shift(np.uint64(1), np.add.reduceat(tb.mix(key), new) >> np.uint64(58))
+                    kind = np.add.reduceat(tb.mix(key), new)
                     columns = {"h": pa.array(tb.as_long(least[new])), "pos": pa.array(at[new] - first[rows[new]], pa.int32()), "kind": pa.array(tb.as_long(kind)), "keys": tb.list_array(n, tb.as_long(key), pa.int64())}
                     yield _lists(batch.column(0), block, rows[new], **columns)
 
         return docs.select("doc", "text").mapInArrow(run, "doc long, h array<long>, pos array<int>, kind array<long>, keys array<array<long>>")
 
-    expected = places * (window - k + 1) * WINDOW_BITS
-    filters = (twice.build(docs.select("text"), keys, expected, share) for share in twice.shares(expected))
+    expected = places * (window - k + 1) * WINDOW_BITS // 2  # a window has one anchor: on average, half of those it could have
+    filters = (twice.build(docs.select("doc", "text"), keys, expected, share) for share in twice.shares(expected))
     found = reduce(DataFrame.unionAll, [state.keep(runs(spark.sparkContext.broadcast(f)), "runs") for f in filters])
     found = found.select("doc", F.explode(F.arrays_zip("h", "pos", "kind", "keys")).alias("r")).select("doc", "r.*")
-    by_anchor = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.bit_or("kind").alias("kinds"))
-    differ = state.keep(by_anchor.select("h", "n", ((F.col("n") > HOT_PLACES) & (F.bit_count("kinds") >= HOT_KINDS)).alias("differ")), "run-anchors")
-    calm, wild = (state.keep(differ.where(c).select("h", "n"), "run-anchors") for c in ("not differ", "differ"))
+    # different runs of an anchor: near copies of one passage make some (window - k)^2 / 2 at most
+    by_anchor = found.groupBy("h", "kind").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
+    by_anchor = state.keep(by_anchor, "run-anchors")
+    calm, wild = by_anchor.where(F.col("kinds") <= HOT_PLACES), by_anchor.where(F.col("kinds") > HOT_PLACES)
     shards = max(1, -(-int(calm.agg(F.sum("n")).first()[0] or 0) // SHARD_MEAN))
     whole = found.join(calm.select("h"), "h").select("doc", "pos", F.size("keys").alias("n"), (F.lit(RUN_SHARDS) + F.pmod(F.xxhash64("h"), F.lit(shards))).alias("shard"))
     n_wild = wild.agg(F.sum("n")).first()[0]
@@ -197,7 +209,7 @@ def recurring(docs: DataFrame, grams: Grams, k: int, window: int, expected: int,
         )
         places = rows.select("doc", "h", "pos").join(calm.join(heavy, "owner", "left").select("h", shard.alias("shard")), "h").select("doc", "pos", F.lit(0).alias("n"), "shard")
         if hot_places:
-            places = places.unionAll(_runs(docs, grams, k, window, seen.where("hot").select("h"), int(hot_places), across))
+            places = places.unionAll(_runs(docs, lists, grams, k, window, seen.where("hot").select("h"), int(hot_places), across))
         at = state.keep(places.groupBy("doc").agg(F.collect_list(F.struct("pos", "n", "shard")).alias("at")), "anchor-lists")
         outlives(at)
     return at

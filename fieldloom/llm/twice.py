@@ -130,7 +130,7 @@ def merged(df: DataFrame, scan: Callable, n_bytes: int, merge: Callable[[np.ndar
         for k, part in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_packed(part[-1])], pa.binary())], names=["segment", "data"])
 
-    parts = df.coalesce(max(64, BUILDERS * spark.sparkContext.defaultParallelism)).mapInArrow(scan, "segment int, data binary")
+    parts = df.coalesce(max(16, BUILDERS * spark.sparkContext.defaultParallelism)).mapInArrow(scan, "segment int, data binary")
     whole = np.zeros(n_bytes, np.uint8)
     for row in parts.repartition(max(1, min(64, n_bytes // step)), F.col("segment")).mapInArrow(together, "segment int, data binary").toLocalIterator():  # n_bytes in all
         whole[row.segment * step : (row.segment + 1) * step] = np.frombuffer(_unpacked(row.data), np.uint8)

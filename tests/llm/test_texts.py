@@ -82,12 +82,12 @@ def _around_one_passage(n: int) -> list[tuple[int, str]]:
     return [(i, f"{say()} {passage} {rnd.choice(more) if rnd.random() < 0.2 else ''} {say()}") for i in range(n)]
 
 
-@pytest.mark.parametrize("kinds", [2, 1])
-def test_hot_anchors_are_dealt_by_run_or_window(spark, monkeypatch, kinds):
+@pytest.mark.parametrize("places", [3, 1])
+def test_hot_anchors_are_dealt_by_run_or_window(spark, monkeypatch, places):
     from fieldloom.llm import anchors
 
-    monkeypatch.setattr(anchors, "HOT_PLACES", 3)
-    monkeypatch.setattr(anchors, "HOT_KINDS", kinds)
+    monkeypatch.setattr(anchors, "HOT_PLACES", places)
+    monkeypatch.setattr(anchors, "HOT_KINDS", 2)
     monkeypatch.setattr(anchors, "SHARD_MEAN", 40)
     for rows in (cases.noisy(12, 40), _around_one_passage(80)):
         for operator, plain in ((op5_phrases.phrase_digest, cases.phrases_result), (op10_suffix.suffix_digest, cases.suffix_result)):
