@@ -386,8 +386,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             component = components.connected(more.unionAll(component.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
         linked = component.join(classes.select("cls", "rep"), F.col("node") == F.col("cls")).select("component", "cls", "rep")
-        least = linked.groupBy("component").agg(F.min("rep").alias("least"))
-        # a sort-merge join: Spark can split a component of very many classes
+        least = state.keep(linked.groupBy("component").agg(F.min("rep").alias("least")), "near-least")
+        # kept and sort-merged, so that both sides are dealt out and Spark can split a component of very many classes
         named = linked.select("component", "cls").join(least.hint("merge"), "component").select("cls", "least")
         labels = classes.select("cls", "print", "rep").join(named, "cls", "left").select("print", F.coalesce("least", "rep").alias("component"))
         labels = state.keep(labels, "near-labels")
