@@ -42,3 +42,8 @@ def point_in(x: Column, y: Column, roi: str = "") -> Column:
     """A point in a region row (kind, x1 .. r), as predicate of a join."""
     c = lambda n: F.col(roi + n)
     return ((c("kind") == "rect") & rect_point(x, y, c("x1"), c("y1"), c("x2"), c("y2"))) | ((c("kind") == "circle") & circle_point(x, y, c("cx"), c("cy"), c("r")))
+
+
+def in_frame(x1, y1, x2, y2, width, height) -> Column:
+    """Whether a box of pixels lies in a frame."""
+    return (x1 >= 0) & (y1 >= 0) & (x2 < width) & (y2 < height)

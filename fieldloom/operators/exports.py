@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import filesystem, kept
+
 #: Direction -> (table, measure, unit, whether its map is stretched).  c: cumulative, i: incremental.
 DIRECTIONS = {
     "DX": ("c", "dx", "mm", True), "DY": ("c", "dy", "mm", True), "DABS": ("c", "dabs", "mm", True),
@@ -70,10 +73,11 @@ def extensometer(field: DataFrame, p1: tuple[int, int], p2: tuple[int, int]) ->
     return out.withColumn("eabs", F.sqrt(F.coalesce(F.col("exx") * F.col("exx"), F.lit(0.0)) + F.coalesce(F.col("eyy") * F.col("eyy"), F.lit(0.0)) + F.coalesce(F.col("exy") * F.col("exy"), F.lit(0.0))))
 
 
-def stretch_factor(incremental: DataFrame, cumulative: DataFrame) -> Column | float:
-    """Last row with data of the incremental field over that of the cumulative one, 1 if either has none."""
-    i, c = incremental.agg(F.max("y")).first()[0], cumulative.agg(F.max("y")).first()[0]
-    return float(i) / float(c) if i is not None and c else 1.0
+def stretch_factor(incremental: DataFrame, cumulative: DataFrame) -> DataFrame:
+    """factor: last row with data of the incremental field over that of the cumulative one, 1 if either has none."""
+    last = lambda df, name: df.agg(F.max("y").cast("double").alias(name))
+    both = last(incremental, "i").crossJoin(last(cumulative, "c"))  # one row each
+    return both.select(F.coalesce(F.col("i") / F.nullif("c", F.lit(0.0)), F.lit(1.0)).alias("factor"))
 
 
 def stretched(table: DataFrame, factor: float, height: int, keys: list[str]) -> DataFrame:
@@ -118,9 +122,52 @@ def write_map(table: DataFrame, path: str, width: int) -> None:
     csv_rows(table, width, []).repartition(1).sortWithinPartitions("y").select("line").write.mode("overwrite").text(path)
 
 
-def write_sequence(table: DataFrame, path: str) -> None:
-    """One folder of CSV a round."""
-    table.repartition("round").sortWithinPartitions("round", "y", "x").write.mode("overwrite").partitionBy("round").csv(path, header=True)
+def write_sequence(table: DataFrame, folder: str, width: int, prefix: str = "map") -> DataFrame:
+    """round, file, lines: one CSV map a round, written to ``folder`` as <prefix>-<round, two digits at least>.csv.  A round's
+    lines go to one task, in order; a task that runs twice writes the same files."""
+    lines = csv_rows(table, width, ["round"])
+
+    def run(batches):
+        files, base = filesystem(folder)
+        files.create_dir(base, recursive=True)
+        current, out, n = None, None, 0
+        done = []
+        for batch in batches:
+            for r, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if r != current:
+                    if out is not None:
+                        out.close()
+                        done.append((current, n))
+                    current, n = r, 0
+                    out = files.open_output_stream(f"{base}/{prefix}-{r:02d}.csv")
+                out.write(line.encode("utf-8") + b"\n")
+                n += 1
+        if out is not None:
+            out.close()
+            done.append((current, n))
+        yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in done], pa.int64()), pa.array([f"{prefix}-{r:02d}.csv" for r, _ in done], pa.string()), pa.array([k for _, k in done], pa.int64())], names=["round", "file", "lines"])
+
+    dealt = lines.select(F.col("round").cast("long").alias("round"), "y", "line").repartition("round").sortWithinPartitions("round", "y")
+    return kept(dealt.select("round", "line").mapInArrow(run, "round long, file string, lines long"), "csv-manifest")
+
+
+class Viewer:
+    """A field that a viewer asks for map after map and series after series: cached as long as it is open."""
+
+    def __init__(self, field: DataFrame):
+        self.field = field.cache()
+
+    def map(self, round_: int) -> DataFrame:
+        return self.field.where(F.col("round") == round_)
+
+    def series(self, x: int, y: int) -> DataFrame:
+        return self.field.where((F.col("x") == x) & (F.col("y") == y))
+
+    def __enter__(self) -> Viewer:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.field.unpersist()
 
 
 def keyed(table: DataFrame, rows: list[str], column: str, value: str, columns: list) -> DataFrame:

@@ -73,7 +73,7 @@ def compositions(steps: Iterable[DataFrame]) -> Iterator[DataFrame]:
     walk = None
     for k, step in enumerate(steps):
         if walk is None:
-            walk = step.select("x", "y", (F.col("x") + F.col("dx")).alias("px"), (F.col("y") + F.col("dy")).alias("py"), F.col("quality").alias("q"), F.lit(1).alias("n"), F.lit(True).alias("going"))
+            walk = step.select("x", "y", (F.col("x") + F.col("dx")).alias("px"), (F.col("y") + F.col("dy")).alias("py"), F.coalesce("quality", F.lit(0.0)).alias("q"), F.lit(1).alias("n"), F.lit(True).alias("going"))
         else:
             seen = sampled(walk.where("going").select("x", "y", "px", "py"), step, ["x", "y"])
             walk = walk.join(seen, ["x", "y"], "left")

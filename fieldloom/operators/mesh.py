@@ -55,9 +55,11 @@ def patch_pixels(subsets: DataFrame) -> DataFrame:
     return out.withColumn("x", F.floor(F.col("cx") + 0.5) + F.col("ox")).withColumn("y", F.floor(F.col("cy") + 0.5) + F.col("oy"))
 
 
-def candidates(limits: DataFrame) -> DataFrame:
-    """limits (.., limits ARRAY) -> .., cand_id, deformation: all combinations, the first axis fastest."""
+def candidates(limits: DataFrame, total: str | None = None) -> DataFrame:
+    """limits (.., limits ARRAY) -> .., cand_id, deformation: all combinations, the first axis fastest; with their number in
+    a column ``total``, if it is named."""
     out = limits.withColumn("counts", deformation.axis_counts(F.col("limits")))
+    out = out.withColumn(total, deformation.total(F.col("counts"))) if total else out
     out = out.withColumn("cand_id", F.explode(F.sequence(F.lit(0).cast("long"), deformation.total(F.col("counts")) - 1)))
     return out.withColumn("deformation", deformation.decode(F.col("cand_id"), F.col("limits"), F.col("counts"))).drop("counts", "limits")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,3 +32,15 @@ def fastest(times: DataFrame) -> DataFrame:
 def combined_shift(left, right):
     """A pair of jaws moves by the smaller shift if either is negative, else by the larger."""
     return F.when((left < 0) | (right < 0), F.least(left, right)).otherwise(F.greatest(left, right))
+
+
+def report(results: DataFrame, field: DataFrame, switches: list[str], min_quality: float) -> DataFrame:
+    """statistic, key, n of all switched-on statistics: results (deformation, quality), field (round, q)."""
+    n = F.count(F.lit(1)).alias("n")
+    known = {
+        "DEF_USAGE": results.groupBy(F.col("deformation").alias("key")).agg(n),
+        "DEF_QUALITY": results.groupBy(F.floor(F.col("quality") * 10).cast("string").alias("key")).agg(n),
+        "POINT_QUALITY": field.where(F.col("q") >= min_quality).groupBy(F.col("round").cast("string").alias("key")).agg(n),
+    }
+    parts = [known[name].select(F.lit(name).alias("statistic"), "key", "n") for name in switches]
+    return reduce(DataFrame.unionByName, parts)

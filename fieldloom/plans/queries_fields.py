@@ -553,15 +553,6 @@ def exp_sequence(spark, sf_dir):
     return exports.values(f, f, ["DX"], 4.0).select(*_KEYS, r6(F.col("value")).alias("value"))
 
 
-_FACTOR = ", fa AS (SELECT (SELECT max(y) FROM field WHERE round = 1)::DOUBLE / (SELECT max(y) FROM field WHERE y <= 20)::DOUBLE AS f)"
-
-
-@query("exp_stretch_factor", _FACTOR + " SELECT round(f, 6) + 0 AS factor FROM fa", "votes field")
-def exp_stretch_factor(spark, sf_dir):
-    f = field(spark, sf_dir)
-    return spark.createDataFrame([(round(exports.stretch_factor(f.where("round = 1"), f.where("y <= 20")), 6),)], "factor double")
-
-
 @query("exp_stretch", ", d AS (SELECT y, y / 1.25::DOUBLE AS p FROM (SELECT unnest(generate_series(0, 23)) AS y)), r AS (SELECT y, floor(p)::BIGINT AS lo, ceil(p)::BIGINT AS hi, p - floor(p) AS t FROM d WHERE ceil(p) <= 23) SELECT l.round, l.x, r.y, round(l.dx * (1 - t) + h.dx * t, 6) + 0 AS value FROM r JOIN field l ON l.y = r.lo JOIN field h ON h.y = r.hi AND h.x = l.x AND h.round = l.round", "votes field")
 def exp_stretch(spark, sf_dir):
     f = field(spark, sf_dir).select(*_KEYS, F.col("dx").alias("value"))
@@ -581,12 +572,6 @@ def exp_csv_point(spark, sf_dir):
     return at.select(measures.number_text(measures.time_ms(F.col("round") + 1, F.lit(4000))).alias("time"), *[F.format_string("%.3f", F.floor(F.col(c) * 1000 + 0.5) / 1000.0).alias(c) for c in ("dx", "dy")])
 
 
-@query("exp_csv_sequence", " SELECT 'map-' || lpad(round::VARCHAR, 2, '0') || '.csv' AS file, count(*) AS cells FROM field GROUP BY round", "votes field")
-def exp_csv_sequence(spark, sf_dir):
-    f = field(spark, sf_dir).select(exports.output_name([F.lit("map"), measures.int_text(F.col("round"))], "csv").alias("file"))
-    return f.groupBy("file").agg(F.count(F.lit(1)).alias("cells"))
-
-
 @query("exp_csv_keyed", " SELECT x, y, " + ", ".join(f'max(dx) FILTER (round = {k}) AS "{k}"' for k in range(6)) + " FROM field GROUP BY x, y", "votes field")
 def exp_csv_keyed(spark, sf_dir):
     return exports.keyed(field(spark, sf_dir), ["x", "y"], "round", "dx", list(range(6)))
@@ -743,15 +728,6 @@ def src_config_rois(spark, sf_dir):
     return config.regions(config.properties(_conf(spark, sf_dir))).select(F.col("round").cast("long").alias("round"), "region", F.col("size").cast("long").alias("size")).distinct()
 
 
-@query("src_sequence_config", "SELECT count(*) AS n, sum(event_id)::BIGINT AS bytes FROM events")
-def src_sequence_config(spark, sf_dir):
-    from ..sources import config
-
-    lines = table(spark, sf_dir, "events").select(F.concat(F.lit("SIZE_"), F.col("event_id").cast("string"), F.lit(".bmp :: "), F.col("event_id").cast("string")).alias("value"))
-    p = config.properties(lines).where(F.col("key").startswith("SIZE_"))
-    return p.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("long")).alias("bytes"))
-
-
 @query("src_cache_check", "SELECT event_id AS file FROM events WHERE event_id % 50 = 0")
 def src_cache_check(spark, sf_dir):
     from ..sources import config
@@ -761,39 +737,14 @@ def src_cache_check(spark, sf_dir):
     return config.stale_frames(manifest, live).select("file")
 
 
-@query("srt_manifest", "SELECT event_id AS file FROM events WHERE event_id % 100 = 0 ORDER BY 1")
-def srt_manifest(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("event_id % 100 = 0").select(F.col("event_id").alias("file")).orderBy("file")
-
-
-@query("src_uda_fps", "WITH l AS (SELECT user_id, event_id FROM events WHERE event_type = 'view') SELECT user_id, (arg_min(event_id, event_id) % 9000)::INTEGER AS fps FROM l GROUP BY user_id")
-def src_uda_fps(spark, sf_dir):
-    lines = table(spark, sf_dir, "events").where("event_type = 'view'").select("user_id", "event_id", F.concat(F.lit("Speed = ["), (F.col("event_id") % 9000).cast("string"), F.lit("] fps")).alias("value"))
-    first = lines.where(F.col("value").contains("Speed")).groupBy("user_id").agg(F.min_by("value", "event_id").alias("t"))
-    return first.select("user_id", F.coalesce(F.regexp_extract("t", r"(\d+)", 1).try_cast("int"), F.lit(5000)).alias("fps"))
-
-
-@query("src_images", "SELECT vec_id AS frame_no, 8 AS width, 8 AS height, len(embedding) AS pixels FROM embeddings")
-def src_images(spark, sf_dir):
-    from ..sources import frames
-
-    raw = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_no"), F.transform("embedding", lambda e: F.floor((e.cast("double") + 0.6) * 200)).alias("g"))
-    return frames.from_arrays(raw, 8, 8).select("frame_no", "width", "height", F.size("g").alias("pixels"))
-
-
-@query("src_decode", "WITH e AS (SELECT vec_id, embedding, unnest(generate_series(0, 63)) AS k FROM embeddings) SELECT vec_id AS frame_no, k % 8 AS x, k // 8 AS y, floor((embedding[k + 1]::DOUBLE + 0.6) * 200)::BIGINT AS g FROM e")
-def src_decode(spark, sf_dir):
-    from ..sources import frames
-
-    raw = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_no"), F.transform("embedding", lambda e: F.floor((e.cast("double") + 0.6) * 200)).alias("g"))
-    return frames.pixels(frames.from_arrays(raw, 8, 8))
-
-
-@query("src_dispatch", "SELECT * FROM (VALUES ('a.bmp', 'images'), ('b.avi', 'video'), ('c.config', 'config'), ('d.task', 'snapshot')) t(path, loader)")
+@query("src_dispatch", "SELECT DISTINCT event_type || '.' || CASE user_id % 6 WHEN 0 THEN 'BMP' WHEN 1 THEN 'avi' WHEN 2 THEN 'config' WHEN 3 THEN 'task' WHEN 4 THEN 'scr' ELSE 'pdf' END AS path, CASE user_id % 6 WHEN 0 THEN 'images' WHEN 1 THEN 'video' WHEN 2 THEN 'config' WHEN 3 THEN 'snapshot' WHEN 4 THEN 'script' END AS loader FROM events")
 def src_dispatch(spark, sf_dir):
+    """Paths and what reads them; null for what nothing reads."""
     from ..sources import frames
 
-    return spark.createDataFrame([(p, frames.loader_name(p)) for p in ("a.bmp", "b.avi", "c.config", "d.task")], "path string, loader string")
+    ends = F.array(*map(F.lit, ("BMP", "avi", "config", "task", "scr", "pdf")))
+    paths = table(spark, sf_dir, "events").select(F.concat_ws(".", "event_type", F.get(ends, (F.col("user_id") % 6).cast("int"))).alias("path")).distinct()
+    return paths.select("path", frames.loader("path").alias("loader"))
 
 
 @query("snk_config", ", z AS (SELECT round, y AS roi_id, max(x) AS size FROM field GROUP BY round, y), t AS (SELECT round, string_agg('0;0;9;9--NONE--' || size, ';;' ORDER BY roi_id) AS value FROM z GROUP BY round), l AS (SELECT *, lag(value) OVER (ORDER BY round) AS b FROM t) SELECT 'ROI_' || round AS key, value FROM l WHERE b IS DISTINCT FROM value", "votes field")
@@ -847,31 +798,71 @@ def slv_history(spark, sf_dir):
     return out.groupBy("ended").agg(F.count(F.lit(1)).alias("n"), F.max("iterations").alias("most"))
 
 
-@query("orc_task")
+_TASK = (
+    _MESH + _CANDS + _OFFS + """, fr AS MATERIALIZED (SELECT 0 AS no, x, y, g FROM a UNION ALL SELECT 1, x + 1, y, g FROM a UNION ALL SELECT 2, x + 2, y - 1, g FROM a),
+spot AS MATERIALIZED (SELECT subset_id, cx, cy, cx + ox AS x, cy + oy AS y FROM subs, offs), pix AS MATERIALIZED (SELECT no AS round, p.subset_id, p.x, p.y, fr.g AS f FROM spot p JOIN fr ON fr.x = p.x AND fr.y = p.y WHERE no < 2),
+moved AS MATERIALIZED (SELECT round, subset_id, cand_id, u, v, f, x + u AS mx, y + v AS my FROM pix, cands),
+mom AS MATERIALIZED (SELECT round, subset_id, cand_id, u, v, count(*) AS n, sum(f)::BIGINT AS sf, sum(g)::BIGINT AS sg, sum(f * f)::BIGINT AS sff, sum(g * g)::BIGINT AS sgg, sum(f * g)::BIGINT AS sfg FROM moved JOIN fr ON fr.x = mx AND fr.y = my AND fr.no = round + 1 GROUP BY ALL HAVING count(*) = 49),
+best AS (SELECT *, round(""" + _Q + """, 9) AS quality FROM mom QUALIFY row_number() OVER (PARTITION BY round, subset_id ORDER BY quality DESC, cand_id) = 1),
+votes AS MATERIALIZED (SELECT round, cx + ox AS x, cy + oy AS y, u::DOUBLE AS dx, v::DOUBLE AS dy, quality AS q FROM best b JOIN subs s ON s.subset_id = b.subset_id, offs WHERE quality >= 0.25)"""
+    + _DISP + ", steps AS MATERIALIZED (SELECT round, x, y, dx, dy, quality / 100 AS q FROM disp)" + _steps_sql(2).rsplit(" SELECT x, y,", 1)[0].replace("FROM field", "FROM steps")
+    + ", field AS MATERIALIZED (SELECT round * 10 + round + 1 AS round, x, y, dx, dy, q * 100 AS quality FROM steps UNION ALL SELECT 2, x, y, px - x, py - y, q / n FROM w1)" + _STRAIN.format(r=2)
+    + " SELECT (f.round // 10)::BIGINT AS round_from, (f.round % 10)::BIGINT AS round_to, f.x, f.y, round(dx, 6) + 0 AS dx, round(dy, 6) + 0 AS dy, round(quality + 1e-8, 5) + 0 AS quality, round(exx + 1e-8, 5) + 0 AS exx, round(eyy + 1e-8, 5) + 0 AS eyy, round(exy + 1e-8, 5) + 0 AS exy, round(err_u + 1e-8, 5) + 0 AS err_u, round(err_v + 1e-8, 5) + 0 AS err_v FROM field f JOIN st ON st.round = f.round AND st.x = f.x AND st.y = f.y"
+)
+
+
+def _three_frames(spark, sf_dir):
+    a = frame_a(spark, sf_dir)
+    return a.withColumn("frame_no", F.lit(0)).unionByName(frame_b(spark, sf_dir, 1, 0).withColumn("frame_no", F.lit(1))).unionByName(frame_b(spark, sf_dir, 2, -1).withColumn("frame_no", F.lit(2)))
+
+
+@query("orc_task", _TASK, "a")
 def orc_task(spark, sf_dir):
-    """All rounds of a three-frame sequence at once: solver, displacement and strain."""
+    """All rounds of a three-frame sequence, and the first frame with the last: solver, displacement, composition, strain."""
     from . import tasks
 
+    out = tasks.compute(_three_frames(spark, sf_dir), _mesh(spark, sf_dir), reach=2, strain_mm=4.0)
+    return out.select("round_from", "round_to", "x", "y", r6(F.col("dx")).alias("dx"), r6(F.col("dy")).alias("dy"), *[_r5(F.col(c)).alias(c) for c in ("quality", "exx", "eyy", "exy", "err_u", "err_v")])
+
+
+def _moving(spark, sf_dir):
+    """The first frame, still, then moving down by one pixel and another."""
     a = frame_a(spark, sf_dir)
-    frames = a.withColumn("frame_no", F.lit(0)).unionByName(frame_b(spark, sf_dir, 1, 0).withColumn("frame_no", F.lit(1))).unionByName(frame_b(spark, sf_dir, 2, -1).withColumn("frame_no", F.lit(2)))
-    return tasks.compute(frames, _mesh(spark, sf_dir), reach=2, strain_mm=4.0)
+    return [a, a, *(a.select("x", (F.col("y") + k).alias("y"), "g") for k in (1, 2))]
+
+
+_FOUR = [(1, 14.0, 20.0, 5.0), (2, 46.0, 20.0, 5.0), (3, 14.0, 90.0, 5.0), (4, 46.0, 90.0, 5.0)]
+_JAW_MOVES = ", r AS (SELECT unnest([0, 1, 2]) AS round), j AS (SELECT * FROM (VALUES (1, 14, 20), (2, 46, 20), (3, 14, 90), (4, 46, 90)) t(roi_id, cx, cy))"
+
+
+@query("orc_jaws", _JAW_MOVES.replace(", r AS", "WITH r AS", 1) + " SELECT round::INTEGER AS round, roi_id, cx::DOUBLE AS cx, (cy + round)::DOUBLE AS cy, least(round, 1)::DOUBLE AS shift, least(round, 1)::DOUBLE AS bottom_shift, 0.0::DOUBLE AS bad_ratio, round > 0 AS moved FROM r, j")
+def orc_jaws(spark, sf_dir):
+    """Four circles followed through four frames: where they are after each round."""
+    from . import tracking
+
+    return tracking.track(_moving(spark, sf_dir), _FOUR)
 
 
-@query("orc_complex")
+@query("orc_complex", """, r0 AS (SELECT x, y FROM a WHERE x BETWEEN 24 AND 36 AND y BETWEEN 15 AND 95), c AS (SELECT x, y, x <= 34 AND y <= 90 AS solved FROM r0)
+SELECT 0::BIGINT AS round_from, 1::BIGINT AS round_to, x, y, 0.0::DOUBLE AS dx, 0.0::DOUBLE AS dy, NULL::DOUBLE AS quality FROM r0
+UNION ALL SELECT 1, 2, x, y, 0.0, 1.0, 100.0 FROM c WHERE solved
+UNION ALL SELECT 2, 3, x, y + 1, 0.0, 1.0, 100.0 FROM c WHERE solved
+UNION ALL SELECT 0, 2, x, y, 0.0, CASE WHEN solved THEN 1 ELSE 0 END, CASE WHEN solved THEN 50 ELSE 0 END FROM c
+UNION ALL SELECT 0, 3, x, y, 0.0, CASE WHEN solved THEN 2 ELSE 0 END, CASE WHEN solved THEN round(200 / 3.0::DOUBLE, 6) ELSE 0 END FROM c""", "a")
 def orc_complex(spark, sf_dir):
+    """The specimen between four jaws: a round in which nothing moves, two in which all move down by one, and the sums since
+    the first.  The SQL is the known motion."""
     from . import tracking
 
-    a = frame_a(spark, sf_dir).where("y < 120")
-    shifts = [(0, 0), (0, 1), (0, 2)]
-    frames = [a if s == (0, 0) else a.select((F.col("x") + s[0]).alias("x"), (F.col("y") + s[1]).alias("y"), "g") for s in shifts]
-    jaws = [(1, 14.0, 20.0, 9.0), (2, 46.0, 20.0, 9.0), (3, 14.0, 90.0, 9.0), (4, 46.0, 90.0, 9.0)]
-    return tracking.track(frames, jaws)
+    out = tracking.specimen(_moving(spark, sf_dir), _FOUR, strain_mm=4.0)
+    return out.select("round_from", "round_to", "x", "y", *[r6(F.col(c)).alias(c) for c in ("dx", "dy", "quality")])
 
 
 @query("gen_dynamic")
 def gen_dynamic(spark, sf_dir):
+    """Of every round, the mesh that its field asks for."""
     from . import adaptive
 
-    previous = field(spark, sf_dir).where("round = 0").select("x", "y", "dx", "dy")
-    rois = spark.createDataFrame([(1, 0, 0, 11, 23, 1)], "roi_id int, x1 int, y1 int, x2 int, y2 int, s int")
-    return adaptive.refine(rois, previous, 3, 12, 24)
+    previous = field(spark, sf_dir).select("round", "x", "y", "dx", "dy")
+    rois = previous.groupBy("round").agg(F.lit(0).alias("x1"), F.lit(0).alias("y1"), F.max("x").cast("int").alias("x2"), F.max("y").cast("int").alias("y2"))
+    return adaptive.refine(rois.select("round", F.lit(1).alias("roi_id"), "x1", "y1", "x2", "y2", F.lit(1).alias("s")), previous, 3, 12, 24, ["round"])

@@ -247,10 +247,12 @@ def flt_circle_area(spark, sf_dir):
     return frame_a(spark, sf_dir).where(regions.circle_area(x - 2, y - 2, x + 2, y + 2, *_CIRC)).select("x", "y")
 
 
-@query("flt_image_bounds", " SELECT x, y FROM a, (SELECT max(x) + 1 AS w FROM a) WHERE x - 3 >= 0 AND y - 3 >= 0 AND x + 3 < w AND y + 3 < 100", "a")
+@query("flt_image_bounds", ", size AS (SELECT max(x) + 1 AS w, max(y) + 1 AS h FROM a) SELECT x, y FROM a, size WHERE x - 3 >= 0 AND y - 3 >= 0 AND x + 3 < w AND y + 3 < h", "a")
 def flt_image_bounds(spark, sf_dir):
     x, y = F.col("x"), F.col("y")
-    return frame_a(spark, sf_dir).where((x - 3 >= 0) & (y - 3 >= 0) & (x + 3 < 64) & (y + 3 < 100)).select("x", "y")
+    a = frame_a(spark, sf_dir)
+    size = a.agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    return a.join(F.broadcast(size)).where(regions.in_frame(x - 3, y - 3, x + 3, y + 3, F.col("w"), F.col("h"))).select("x", "y")  # one row
 
 
 _ROIS = "rois(roi_id, kind, x1, y1, x2, y2, cx, cy, r) AS (VALUES (1, 'rect', 0, 0, 20, 30, NULL, NULL, NULL), (2, 'rect', 15, 25, 40, 60, NULL, NULL, NULL), (3, 'circle', NULL, NULL, NULL, NULL, 30.0, 80.0, 12.0))"
@@ -289,10 +291,13 @@ def flt_quality(spark, sf_dir):
     return votes(spark, sf_dir).where("q is not null and q >= 0.75").select("round", "x", "y", "q")
 
 
-@query("flt_valid_neighbor", ", n AS (SELECT f.round, f.x, f.y, f.x + 1 AS nx FROM field f) SELECT n.round, n.x, n.y FROM n JOIN field g ON g.round = n.round AND g.x = n.nx AND g.y = n.y WHERE n.nx < 12", "votes field")
+@query("flt_valid_neighbor", ", size AS (SELECT max(x) AS w, max(y) AS h FROM field), o AS (SELECT i AS ox, j AS oy FROM (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j) WHERE i <> 0 OR j <> 0) SELECT f.round, f.x, f.y, count(*) AS neighbours FROM field f, o, size JOIN field g ON g.round = f.round AND g.x = f.x + ox AND g.y = f.y + oy WHERE f.x + ox BETWEEN 0 AND w AND f.y + oy BETWEEN 0 AND h GROUP BY f.round, f.x, f.y", "votes field")
 def flt_valid_neighbor(spark, sf_dir):
-    f = field(spark, sf_dir).select("round", "x", "y")
-    return f.withColumn("nx", F.col("x") + 1).where("nx < 12").join(f.withColumnRenamed("x", "nx"), ["round", "nx", "y"], "left_semi").select("round", "x", "y")
+    """How many of a cell's eight neighbours are in the frame and have data."""
+    from ..operators import fields
+
+    out = fields.window_sums(field(spark, sf_dir), ["round"], 1, {"n": F.lit(1)})
+    return out.select("round", "x", "y", (F.col("n") - 1).cast("long").alias("neighbours")).where("neighbours > 0")
 
 
 @query("flt_moved", " SELECT round, y, max(dx) AS bottom_left, min(dx) AS bottom_right FROM field GROUP BY round, y HAVING abs(max(dx)) > 0.5 OR abs(min(dx)) > 0.5", "votes field")

@@ -99,10 +99,38 @@ def config_lines(rois: DataFrame) -> DataFrame:
     return text.withColumn("before", before).where(~F.col("value").eqNullSafe(F.col("before"))).select(F.concat(F.lit("ROI_"), F.col("round").cast("string")).alias("key"), "value")
 
 
-def sidecar_fps(lines: DataFrame, column: str = "value", default: int = 5000) -> DataFrame:
-    """One row, fps: from the first line that holds "Speed"."""
-    found = lines.where(F.col(column).contains("Speed")).agg(F.min_by(column, "line_no").alias("t") if "line_no" in lines.columns else F.first(column).alias("t"))
-    return found.select(F.coalesce(F.regexp_extract("t", r"(\d+)", 1).try_cast("int"), F.lit(default)).alias("fps"))
+def sidecar_fps(lines: DataFrame, column: str = "value", default: int = 5000, keys: list[str] | None = None) -> DataFrame:
+    """keys, fps: from each file's first line (by line_no, if it is there) that holds "Speed", else the default."""
+    keys = keys or []
+    speed = F.when(F.col(column).contains("Speed"), F.col(column))
+    found = F.min_by(speed, F.when(speed.isNotNull(), F.col("line_no"))) if "line_no" in lines.columns else F.first(speed, ignorenulls=True)
+    out = lines.groupBy(*keys).agg(found.alias("t"))
+    return out.select(*keys, F.coalesce(F.regexp_extract("t", r"(\d+)", 1).try_cast("int"), F.lit(default)).alias("fps"))
+
+
+def read_script(spark: SparkSession, path: str) -> DataFrame:
+    """config: the task files that a batch list names, one a line; blank lines are left out."""
+    return spark.read.text(path).select(F.trim("value").alias("config")).where("config != ''")
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """file, size, mtime of a cached sequence, from its SIZE_<file> and MOD_<file> lines, sorted by file."""
+    lines = read_config(spark, path)
+    kind = F.regexp_extract("key", r"^(SIZE|MOD)_", 1)
+    entries = lines.select(kind.alias("kind"), F.regexp_replace("key", r"^(SIZE|MOD)_", "").alias("file"), F.col("value").try_cast("long").alias("v")).where("kind != ''")
+    pick = lambda k, name: F.max(F.when(F.col("kind") == k, F.col("v"))).alias(name)
+    return entries.groupBy("file").agg(pick("SIZE", "size"), pick("MOD", "mtime")).orderBy("file")
+
+
+#: Statistics that can be switched on.
+SWITCHES = ("GPU_RESULTS", "DEF_USAGE", "DEF_QUALITY", "SUBSET_QUALITY", "POINT_QUALITY", "POINT_STATS", "REGRESSION_QUALITY")
+
+
+def switches(lines: DataFrame) -> DataFrame:
+    """key, value of a properties file -> name, value of every switch: false unless its line says true."""
+    names = lines.sparkSession.createDataFrame([(x,) for x in SWITCHES], "name string")
+    own = lines.where(F.col("key").isin(*SWITCHES)).groupBy(F.col("key").alias("name")).agg(F.max(F.lower("value") == "true").alias("value"))
+    return names.join(own, "name", "left").select("name", F.coalesce("value", F.lit(False)).alias("value"))
 
 
 def stale_frames(manifest: DataFrame, files: DataFrame) -> DataFrame:

@@ -12,8 +12,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..shared import filesystem, kept
+
 #: Extension -> loader.
 LOADERS = {"bmp": "images", "jpg": "images", "jpeg": "images", "png": "images", "gif": "images", "avi": "video", "config": "config", "task": "snapshot", "scr": "script", "uda": "sidecar"}
 
@@ -25,6 +28,12 @@ def loader_name(path: str) -> str:
     return LOADERS[ext]
 
 
+def loader(path: str):
+    """The same of a column of paths; null where nothing reads them."""
+    end = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in LOADERS.items() for x in pair]), end)
+
+
 def decode_bmp(data: bytes) -> np.ndarray:
     """Rows x columns of grey levels (the mean of the three channels) of an uncompressed 24-bit BMP."""
     if data[:2] != b"BM":
@@ -47,15 +56,17 @@ def encode_bmp(grey: np.ndarray) -> bytes:
     return struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + rows.size, 0, 0, 54, 40, width, height, 1, 24, 0, rows.size, 2835, 2835, 0, 0) + rows.tobytes()
 
 
-def read_images(spark: SparkSession, paths: list[str] | str, decode: Callable[[bytes], np.ndarray] = decode_bmp) -> DataFrame:
-    """frame_no, name, width, height, g of image files; frames are numbered in the order of the list, or of the names."""
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    order = None if isinstance(paths, str) else {os.path.basename(p): i for i, p in enumerate(paths)}
-    name = F.element_at(F.split("path", "/"), -1)
-    if order is None:
-        names = sorted(r.name for r in files.select(name.alias("name")).collect())
-        order = {n: i for i, n in enumerate(names)}
-    numbered = files.select(F.element_at(F.create_map(*[F.lit(v) for kv in order.items() for v in kv]), name).alias("frame_no"), name.alias("name"), "content")
+def numbered(names: DataFrame) -> DataFrame:
+    """name -> name, frame_no: its place among the sorted names.  Sorted in ranges; only the ranges' sizes come together."""
+    dealt = names.select("name").distinct().repartitionByRange("name").sortWithinPartitions("name").withColumn("mark", F.monotonically_increasing_id())
+    dealt = kept(dealt.select("name", F.shiftright("mark", 33).alias("part"), F.col("mark").bitwiseAND(F.lit((1 << 33) - 1)).alias("place")), "frame-names")
+    sizes = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))  # one row a range
+    return dealt.join(F.broadcast(before), "part").select("name", (F.col("before") + F.col("place")).cast("int").alias("frame_no"))
+
+
+def _decoded(files: DataFrame, decode: Callable[[bytes], np.ndarray]) -> DataFrame:
+    """frame_no, name, content -> frame_no, name, width, height, g."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,7 +74,52 @@ def read_images(spark: SparkSession, paths: list[str] | str, decode: Callable[[b
                 grey = decode(batch.column(2)[i].as_py())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([grey.shape[1]], pa.int32()), pa.array([grey.shape[0]], pa.int32()), pa.array([grey.ravel().tolist()], pa.list_(pa.int64()))], names=["frame_no", "name", "width", "height", "g"])
 
-    return numbered.mapInArrow(run, "frame_no int, name string, width int, height int, g array<long>")
+    return files.select("frame_no", "name", "content").mapInArrow(run, "frame_no int, name string, width int, height int, g array<long>")
+
+
+def _files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    return spark.read.format("binaryFile").load(paths).withColumn("name", F.element_at(F.split("path", "/"), -1))
+
+
+def read_images(spark: SparkSession, paths: list[str] | str, decode: Callable[[bytes], np.ndarray] = decode_bmp) -> DataFrame:
+    """frame_no, name, width, height, g of image files; frames are numbered in the order of the list, or of the names."""
+    files = _files(spark, paths)
+    if isinstance(paths, str):
+        order = numbered(files.select("name"))  # reads no content
+    else:
+        order = F.broadcast(spark.createDataFrame([(os.path.basename(p), i) for i, p in enumerate(paths)], "name string, frame_no int"))  # the caller's list
+    return _decoded(files.join(order, "name"), decode)
+
+
+def read_split_video(spark: SparkSession, folder: str, video: str, decode: Callable[[bytes], np.ndarray] = decode_bmp) -> DataFrame:
+    """The frames that a splitter left beside a video, named after it with a number: frame_no, name, width, height, g."""
+    stem = os.path.splitext(os.path.basename(video))[0]
+    files = _files(spark, f"{folder.rstrip('/')}/{stem}*.bmp").withColumn("frame_no", F.regexp_extract("name", r"(\d+)\.bmp$", 1).try_cast("int"))
+    return _decoded(files.where(F.col("frame_no").isNotNull()), decode)
+
+
+def write_images(frames: DataFrame, folder: str, encode: Callable[[np.ndarray], bytes] = encode_bmp) -> DataFrame:
+    """frames (name, width, height, g) -> name, bytes of the files written.  A task that runs twice writes the same files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = filesystem(folder)
+        files.create_dir(base, recursive=True)
+        for batch in batches:
+            sizes = []
+            for name, width, height, g in zip(*batch.columns, strict=True):
+                data = encode(np.array(g.as_py()).reshape(height.as_py(), width.as_py()))
+                with files.open_output_stream(f"{base}/{name.as_py()}") as out:
+                    out.write(data)
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["name", "bytes"])
+
+    return kept(frames.select("name", "width", "height", "g").mapInArrow(run, "name string, bytes long"), "frame-manifest")
+
+
+def navigation(count, frame, typed) -> tuple:
+    """Columns of a viewer's moves from ``frame`` among ``count``: next and previous, around the ends, and a typed number,
+    held within them."""
+    return F.pmod(frame + 1, count), F.pmod(frame - 1, count), F.greatest(F.lit(0), F.least(typed, count - 1))
 
 
 def from_arrays(raw: DataFrame, width: int, height: int) -> DataFrame:

@@ -236,8 +236,8 @@ def test_task_validation():
 
 def test_export_sinks(spark, tmp_path):
     t = spark.createDataFrame([(0, 0, 0, 1.5), (0, 2, 0, -2.0), (1, 1, 1, 4.0)], "round int, x long, y long, value double")
-    exports.write_sequence(t, str(tmp_path / "seq"))
-    assert sorted(p.name for p in (tmp_path / "seq").glob("round=*")) == ["round=0", "round=1"]
+    exports.write_sequence(t, str(tmp_path / "seq"), 3)
+    assert {p.name: p.read_text() for p in (tmp_path / "seq").glob("*.csv")} == {"map-00.csv": "1.500000,NaN,-2.000000,\n", "map-01.csv": "NaN,4.000000,NaN,\n"}
     exports.write_map(t.where("round = 0").drop("round"), str(tmp_path / "map"), 3)
     assert spark.read.text(str(tmp_path / "map")).first()[0] == "1.500000,NaN,-2.000000,"
 
