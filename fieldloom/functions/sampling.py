@@ -55,14 +55,14 @@ def gauss_kernel(size: int) -> list[float]:
 
 
 def blur(pixels: DataFrame, size: int, keys: list[str] | None = None) -> DataFrame:
-    """Separable Gaussian blur of a dense frame (keys, x, y, g) that starts at 0, borders reflected without the edge.
+    """Separable Gaussian blur of a dense frame (keys, x, y, g), borders reflected without the edge.
 
     Each pass gathers one line of the frame as an array (bounded by the frame's width or height) and sums its taps."""
     kernel, keys = gauss_kernel(size), keys or []
 
     def one(df: DataFrame, along: str, across: str) -> DataFrame:
         line = F.transform(F.sort_array(F.collect_list(F.struct(F.col(along).alias("p"), F.col("g").cast("double").alias("g")))), lambda e: e["g"])
-        lines = df.groupBy(*keys, across).agg(line.alias("line"))
+        lines = df.groupBy(*keys, across).agg(line.alias("line"), F.min(along).cast("long").alias("start"))
         n = F.size("line")
         reach = len(kernel) // 2
 
@@ -71,6 +71,6 @@ def blur(pixels: DataFrame, size: int, keys: list[str] | None = None) -> DataFra
             return F.get("line", F.when(n == 1, F.lit(0)).otherwise(F.when(p >= n, 2 * (n - 1) - p).otherwise(p)))
 
         summed = F.transform(F.sequence(F.lit(0), n - 1), lambda i: sum((at(i, t - reach) * w for t, w in enumerate(kernel)), F.lit(0.0)))
-        return lines.select(*keys, across, F.posexplode(summed).alias(along, "g")).withColumn(along, F.col(along).cast("long"))
+        return lines.select(*keys, across, "start", F.posexplode(summed).alias(along, "g")).withColumn(along, F.col(along) + F.col("start")).drop("start")
 
     return one(one(pixels, "x", "y"), "y", "x").select(*keys, "x", "y", "g")

@@ -1,4 +1,4 @@
-"""Numbers that look random and are the same on every engine: a linear congruential generator over integer keys.
+"""Numbers that look random and are the same on every engine: multiplied and squared by a prime modulus, key by key.
 
 Products stay below 2^62, so neither Spark nor SQL overflows.  Fixed values: the modulus 2^31 - 1 and two multipliers that
 have full period for it."""
@@ -15,12 +15,20 @@ MODULUS, FIRST, SECOND = (1 << 31) - 1, 48271, 69621
 
 def unit(keys: list[Column], seed: int) -> Column:
     """A number in [0, 1) for whole, non-negative keys."""
-    start = F.lit(seed % MODULUS).cast("long")
-    state = reduce(lambda h, key: F.pmod((h + F.pmod(key.cast("long"), F.lit(MODULUS)) + 1) * FIRST, F.lit(MODULUS)) * SECOND % MODULUS, keys, start)
-    return (state * FIRST % MODULUS) / float(MODULUS)
+    m = F.lit(MODULUS)
+
+    def step(h: Column, key: Column) -> Column:
+        h = F.pmod((h + F.pmod(key.cast("long"), m) + 1) * FIRST, m)
+        return (h * h + SECOND) % m
+
+    return (reduce(step, keys, F.lit(seed % MODULUS).cast("long")) * FIRST % m) / float(MODULUS)
 
 
 def unit_sql(keys: list[str], seed: int) -> str:
     """The same in SQL, for oracles."""
-    state = reduce(lambda h, key: f"((({h} + ({key}) % {MODULUS} + 1) * {FIRST} % {MODULUS}) * {SECOND} % {MODULUS})", keys, f"{seed % MODULUS}::BIGINT")
-    return f"(({state} * {FIRST} % {MODULUS}) / {MODULUS}::DOUBLE)"
+
+    def step(h: str, key: str) -> str:
+        h = f"(({h} + ({key}) % {MODULUS} + 1) * {FIRST} % {MODULUS})"
+        return f"(({h} * {h} + {SECOND}) % {MODULUS})"
+
+    return f"(({reduce(step, keys, f'{seed % MODULUS}::BIGINT')} * {FIRST} % {MODULUS}) / {MODULUS}::DOUBLE)"

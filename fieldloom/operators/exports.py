@@ -110,6 +110,40 @@ def colour_index(value: Column, low: Column, high: Column, entries: int = 1000,
     return F.when((t >= 0) & (t <= 1), F.floor(t * entries))
 
 
+#: Share of the colour over the frame's grey; sizes of the colour bar beside and below.
+ALPHA, BAR_RIGHT, BAR_BOTTOM = 0.75, 30, 15
+
+
+def palette(t: Column) -> list[Column]:
+    """Blue, green, red (0..255) of a place 0..1 in the palette: blue, cyan, yellow, red, by straight ramps."""
+    ramp = lambda middle: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.5 - F.abs(t * 4 - middle))) * 255 + 0.5)
+    return [ramp(1), ramp(2), ramp(3)]
+
+
+def overlay(frame: DataFrame, table: DataFrame, keys: list[str], width: int, height: int, right: bool = True) -> DataFrame:
+    """keys, x, y, b, g, r: a picture for each map of ``table`` (keys, x, y, value): the frame (x, y, g) in grey, the values'
+    colours over it by ALPHA, between the least and largest finite one, and a colour bar beside or below it."""
+    span = finite_range(table, keys)
+    grey = frame.where((F.col("x") < width) & (F.col("y") < height)).select("x", "y", F.greatest(F.lit(0), F.least(F.lit(255), F.col("g"))).cast("long").alias("grey"))
+    pictures = grey.join(F.broadcast(span), how="cross")  # the frame once a map, as asked for
+    both = pictures.join(table, [*keys, "x", "y"], "left")
+    t = F.when(F.col("value").isNotNull(), F.when(F.col("high") > F.col("low"), (F.col("value") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0))).otherwise(F.lit(0.5)))
+    mixed = [F.when(t.isNull(), F.col("grey")).otherwise(F.floor(c * ALPHA + F.col("grey") * (1 - ALPHA) + 0.5)) for c in palette(t)]
+    names = ("b", "g", "r")
+    picture = both.select(*keys, "x", "y", *[c.cast("long").alias(n) for c, n in zip(mixed, names, strict=True)])
+    long_, short = (height, BAR_RIGHT) if right else (width, BAR_BOTTOM)
+    bar = span.select(*keys).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(long_ - 1).cast("long")))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(short - 1).cast("long"))))
+    place = 1 - F.col("i") / max(1, long_ - 1) if right else F.col("i") / max(1, long_ - 1)
+    x, y = (F.col("j") + width, F.col("i")) if right else (F.col("i"), F.col("j") + height)
+    return picture.unionByName(bar.select(*keys, x.alias("x"), y.alias("y"), *[c.cast("long").alias(n) for c, n in zip(palette(place), names, strict=True)]))
+
+
+def pictures(coloured: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, width, height, g: the pixels of each picture (keys, x, y, b, g, r), row by row, three levels each."""
+    rows = coloured.groupBy(*keys).agg((F.max("x") + 1).cast("int").alias("width"), (F.max("y") + 1).cast("int").alias("height"), F.sort_array(F.collect_list(F.struct("y", "x", "b", "g", "r"))).alias("p"))
+    return rows.select(*keys, "width", "height", F.flatten(F.transform("p", lambda p: F.array(p["b"], p["g"], p["r"]))).alias("g"))
+
+
 def csv_rows(table: DataFrame, width: int, keys: list[str]) -> DataFrame:
     """A map as text lines: keys, y, line; a comma after every value, NaN for no data."""
     cells = table.groupBy(*keys, "y").agg(F.map_from_entries(F.collect_list(F.struct(F.col("x").cast("int").alias("x"), F.col("value")))).alias("m"))

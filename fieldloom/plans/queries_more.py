@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import exports, lookups, mesh, statistics
 from ..shared import fresh_path, kept
 from ..sources import config, frames, settings
-from ..sources.tables import field, r6, table, votes
+from ..sources.tables import field, frame_a, r6, table, votes
 from . import batches, session, tracking
 from .catalog import query
 
@@ -138,6 +139,50 @@ def exp_gui(spark, sf_dir):
         return kept(asked, "viewed")
 
 
+_JET = "floor(greatest(0, least(1, 1.5 - abs({t} * 4 - {m}))) * 255 + 0.5)"
+_OVER = ", rg AS (SELECT round, min(dx) AS lo, max(dx) AS hi FROM field GROUP BY round), gr AS (SELECT round, lo, hi, x, y, greatest(0, least(255, g)) AS grey FROM a, rg WHERE x < 12 AND y < 24), t AS (SELECT gr.round, gr.x, gr.y, grey, CASE WHEN hi > lo THEN (dx - lo) / (hi - lo) WHEN dx IS NOT NULL THEN 0.5 END AS t FROM gr LEFT JOIN field f ON f.round = gr.round AND f.x = gr.x AND f.y = gr.y)"
+
+
+@query(
+    "exp_bmp",
+    _OVER + " SELECT 'map-' || lpad(round::VARCHAR, 2, '0') || '.bmp' AS file, x, y, " + ", ".join(f"(CASE WHEN t IS NULL THEN grey ELSE floor({_JET.format(t='t', m=m)} * 0.75 + grey * 0.25 + 0.5) END)::BIGINT AS {c}" for m, c in ((1, "b"), (2, "g"), (3, "r")))
+    + " FROM t UNION ALL SELECT 'map-' || lpad(round::VARCHAR, 2, '0') || '.bmp', 12 + j, i, " + ", ".join(f"{_JET.format(t='(1 - i / 23::DOUBLE)', m=m)}::BIGINT" for m in (1, 2, 3))
+    + " FROM rg, (SELECT unnest(generate_series(0, 23)) AS i), (SELECT unnest(generate_series(0, 29)) AS j)",
+    "a votes field",
+)
+def exp_bmp(spark, sf_dir):
+    """Each round's map over the frame, with its colour bar, as a picture file; the pictures' pixels, read back."""
+    maps = field(spark, sf_dir).select("round", "x", "y", F.col("dx").alias("value"))
+    name = F.concat(F.lit("map-"), F.lpad(F.col("round").cast("string"), 2, "0"), F.lit(".bmp")).alias("name")
+    path = fresh_path(spark, "overlay")
+    drawn = exports.pictures(exports.overlay(frame_a(spark, sf_dir), maps, ["round"], 12, 24), ["round"])
+    frames.write_images(drawn.select(name, "width", "height", "g"), path, colours=True)
+    found = frames.read_images(spark, path, lambda data: frames.decode_colours(data).reshape(-1, 3 * (12 + exports.BAR_RIGHT)))
+    k = F.col("k")
+    levels = found.select(F.col("name").alias("file"), F.posexplode(F.col("g")).alias("k", "v")).select("file", F.floor(k / 3).alias("p"), (k % 3).alias("c"), "v")
+    pixels = levels.groupBy("file", "p").agg(*[F.max(F.when(F.col("c") == i, F.col("v"))).alias(n) for i, n in enumerate("bgr")])
+    return pixels.select("file", (F.col("p") % 42).cast("long").alias("x"), F.floor(F.col("p") / 42).alias("y"), "b", "g", "r")
+
+
+@query("exp_avi", _PIXELS + " SELECT 'label' || label AS video, (row_number() OVER (PARTITION BY label ORDER BY p.vec_id) - 1)::INTEGER AS frame_no, total FROM (SELECT vec_id, sum(g)::BIGINT AS total FROM p GROUP BY vec_id) p JOIN embeddings e ON e.vec_id = p.vec_id")
+def exp_avi(spark, sf_dir):
+    """The images of each label as a video; its frames' sums, read back."""
+    grey = F.transform("embedding", lambda e: F.pmod(F.floor((e.cast("double") + 0.6) * 200), F.lit(256)))
+    raw = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("label"), F.col("label").cast("string")).alias("video"), F.col("vec_id").alias("frame_no"), F.lit(8).alias("width"), F.lit(8).alias("height"), grey.alias("g"))
+    path = fresh_path(spark, "video")
+    frames.write_video(raw, path, 25)
+    return frames.read_videos(spark, path).select("video", "frame_no", F.aggregate("g", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query("fn_lang", "WITH b(language, key, pattern) AS (VALUES ('en', 'click', 'user {0} clicked at {1}'), ('de', 'click', '{1}: Klick von {0}'), ('en', 'view', 'seen by {0}'), ('de', 'error', 'Fehler')), e AS (SELECT event_id, event_type, user_id, CASE user_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'de' ELSE 'fr' END AS lang FROM events) SELECT event_id, replace(replace(coalesce(o.pattern, d.pattern, event_type), '{0}', user_id::VARCHAR), '{1}', event_id::VARCHAR) AS text FROM e LEFT JOIN b o ON o.language = e.lang AND o.key = event_type LEFT JOIN b d ON d.language = 'en' AND d.key = event_type")
+def fn_lang(spark, sf_dir):
+    """Texts in each user's language, with arguments."""
+    bundle = spark.createDataFrame([("en", "click", "user {0} clicked at {1}"), ("de", "click", "{1}: Klick von {0}"), ("en", "view", "seen by {0}"), ("de", "error", "Fehler")], "language string, key string, pattern string")
+    u = F.col("user_id") % 3
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", F.when(u == 0, "en").when(u == 1, "de").otherwise("fr").alias("lang"))
+    return text.localized(rows, bundle, "event_type", "lang", [F.col("user_id"), F.col("event_id")]).select("event_id", "text")
+
+
 # --- sessions -------------------------------------------------------------------------------------------------------
 
 

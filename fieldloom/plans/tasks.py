@@ -23,7 +23,7 @@ def _solved(subsets: DataFrame, first: DataFrame, second: DataFrame, rounds: lis
         return correlate.best_moves(subsets, solvers.integer_candidates(spark, -reach, reach), first, second, keys, ["round"]).select(*keys, vector, "quality")
     if solver == "COARSE_FINE":
         one = lambda df, r: df.where(F.col("round") == r)
-        parts = [solvers.coarse_fine(one(subsets, r), one(first, r), one(second, r), keys, -reach, reach) for r in rounds]
+        parts = [solvers.coarse_fine(one(subsets, r), one(first, r).drop("round"), one(second, r).drop("round"), keys, -reach, reach) for r in rounds]
         return fields.union(parts).select(*keys, vector, "quality")
     windows = correlate.windows(subsets, first, second, keys, reach + 2, ["round"])
     return solvers.solve_patches(windows, keys, solver, order, reach + 2, reach).select(*keys, "deformation", "quality")

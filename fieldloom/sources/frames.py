@@ -34,8 +34,8 @@ def loader(path: str):
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in LOADERS.items() for x in pair]), end)
 
 
-def decode_bmp(data: bytes) -> np.ndarray:
-    """Rows x columns of grey levels (the mean of the three channels) of an uncompressed 24-bit BMP."""
+def decode_colours(data: bytes) -> np.ndarray:
+    """Height x width x 3 levels, as stored (blue, green, red), of an uncompressed 24-bit BMP."""
     if data[:2] != b"BM":
         raise ValueError("not a BMP")
     offset, = struct.unpack_from("<I", data, 10)
@@ -44,16 +44,27 @@ def decode_bmp(data: bytes) -> np.ndarray:
         raise ValueError("only uncompressed 24-bit BMP")
     stride = (width * 3 + 3) // 4 * 4
     rows = np.frombuffer(data, np.uint8, stride * abs(height), offset).reshape(abs(height), stride)[:, : width * 3].reshape(abs(height), width, 3)
-    grey = rows.astype(np.int64).sum(axis=2) // 3
-    return grey if height < 0 else grey[::-1]
+    return rows if height < 0 else rows[::-1]
 
 
-def encode_bmp(grey: np.ndarray) -> bytes:
-    height, width = grey.shape
-    stride = (width * 3 + 3) // 4 * 4
-    rows = np.zeros((height, stride), np.uint8)
-    rows[:, : width * 3] = np.repeat(grey[::-1].astype(np.uint8), 3, axis=1)
-    return struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + rows.size, 0, 0, 54, 40, width, height, 1, 24, 0, rows.size, 2835, 2835, 0, 0) + rows.tobytes()
+def decode_bmp(data: bytes) -> np.ndarray:
+    """Rows x columns of grey levels (the mean of the three channels) of an uncompressed 24-bit BMP."""
+    return decode_colours(data).astype(np.int64).sum(axis=2) // 3
+
+
+def bmp_rows(picture: np.ndarray) -> bytes:
+    """The rows of a picture (height x width, or x 3 as blue, green, red), last first, padded to four bytes."""
+    height, width = picture.shape[:2]
+    rows = np.zeros((height, (width * 3 + 3) // 4 * 4), np.uint8)
+    colours = picture if picture.ndim == 3 else np.repeat(picture[:, :, None], 3, axis=2)
+    rows[:, : width * 3] = colours[::-1].astype(np.uint8).reshape(height, width * 3)
+    return rows.tobytes()
+
+
+def encode_bmp(picture: np.ndarray) -> bytes:
+    height, width = picture.shape[:2]
+    rows = bmp_rows(picture)
+    return struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + len(rows), 0, 0, 54, 40, width, height, 1, 24, 0, len(rows), 2835, 2835, 0, 0) + rows
 
 
 def numbered(names: DataFrame) -> DataFrame:
@@ -98,8 +109,9 @@ def read_split_video(spark: SparkSession, folder: str, video: str, decode: Calla
     return _decoded(files.where(F.col("frame_no").isNotNull()), decode)
 
 
-def write_images(frames: DataFrame, folder: str, encode: Callable[[np.ndarray], bytes] = encode_bmp) -> DataFrame:
-    """frames (name, width, height, g) -> name, bytes of the files written.  A task that runs twice writes the same files."""
+def write_images(frames: DataFrame, folder: str, encode: Callable[[np.ndarray], bytes] = encode_bmp, colours: bool = False) -> DataFrame:
+    """frames (name, width, height, g) -> name, bytes of the files written; with colours, g holds three levels a pixel.  A task
+    that runs twice writes the same files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = filesystem(folder)
@@ -107,7 +119,8 @@ def write_images(frames: DataFrame, folder: str, encode: Callable[[np.ndarray],
         for batch in batches:
             sizes = []
             for name, width, height, g in zip(*batch.columns, strict=True):
-                data = encode(np.array(g.as_py()).reshape(height.as_py(), width.as_py()))
+                shape = (height.as_py(), width.as_py(), 3) if colours else (height.as_py(), width.as_py())
+                data = encode(np.array(g.as_py()).reshape(shape))
                 with files.open_output_stream(f"{base}/{name.as_py()}") as out:
                     out.write(data)
                 sizes.append(len(data))
@@ -116,6 +129,38 @@ def write_images(frames: DataFrame, folder: str, encode: Callable[[np.ndarray],
     return kept(frames.select("name", "width", "height", "g").mapInArrow(run, "name string, bytes long"), "frame-manifest")
 
 
+def write_video(frames: DataFrame, folder: str, fps: int) -> DataFrame:
+    """frames (video, frame_no, width, height, g) -> video, frames, bytes: one uncompressed AVI a video, <video>.avi.  A video is
+    one file, so one task writes it."""
+    from . import avi
+
+    def run(table: pa.Table) -> pa.Table:
+        files, base = filesystem(folder)
+        files.create_dir(base, recursive=True)
+        rows = sorted(table.select(["frame_no", "width", "height", "g"]).to_pylist(), key=lambda r: r["frame_no"])
+        data = avi.encode([np.array(r["g"]).reshape(r["height"], r["width"]) for r in rows], fps)
+        video = table.column("video")[0].as_py()
+        with files.open_output_stream(f"{base}/{video}.avi") as out:
+            out.write(data)
+        return pa.table({"video": pa.array([video]), "frames": pa.array([len(rows)], pa.int64()), "bytes": pa.array([len(data)], pa.int64())})
+
+    return kept(frames.groupBy("video").applyInArrow(run, "video string, frames long, bytes long"), "video-manifest")
+
+
+def read_videos(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """video, frame_no, width, height, g (grey) of uncompressed AVI files."""
+    from . import avi
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(*batch.columns, strict=True):
+                for k, picture in enumerate(avi.decode(content.as_py())):
+                    grey = picture.astype(np.int64).sum(axis=2) // 3
+                    yield pa.RecordBatch.from_arrays([pa.array([os.path.splitext(name.as_py())[0]]), pa.array([k], pa.int32()), pa.array([grey.shape[1]], pa.int32()), pa.array([grey.shape[0]], pa.int32()), pa.array([grey.ravel().tolist()], pa.list_(pa.int64()))], names=["video", "frame_no", "width", "height", "g"])
+
+    return _files(spark, paths).select("name", "content").mapInArrow(run, "video string, frame_no int, width int, height int, g array<long>")
+
+
 def navigation(count, frame, typed) -> tuple:
     """Columns of a viewer's moves from ``frame`` among ``count``: next and previous, around the ends, and a typed number,
     held within them."""
