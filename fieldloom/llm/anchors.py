@@ -7,8 +7,8 @@ Both substring operators ask which windows of a fixed length occur at another pl
 2. A once-seen and a twice-seen Bloom filter over all anchors (``twice``) leaves those that may recur; only they shuffle
    (hash, document, position) and are confirmed to recur.
 3. A recurring anchor's owner is the smallest document that holds it, so what copies share goes to one group: groups are
-   dealt to shards by owner.  An owner with more than SHARD_ANCHORS of them is split further by anchor; equal pieces of
-   text are counted before they meet, so one passage in a third of all documents is one piece with a count.
+   dealt to shards by owner.  Equal pieces of text are counted before they meet, so one passage in a third of all documents
+   is one piece with a count; an owner with more than SHARD_ANCHORS places amid different texts is split into stretches.
 4. An anchor that stands in more than HOT_PLACES places amid many different texts would still bring as many different
    pieces to one shard.  Another pair of filters, over the windows of such anchors, leaves those windows that may recur; a
    run of them is a piece, and what surrounds it stays behind, so that a passage is one piece whatever stands around it.
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from . import semi, state, twice
 from . import textblocks as tb
 
-#: Anchors (of about a dozen items of text) of one owner in a shard; an owner with more is split.
-SHARD_ANCHORS = 4_000
+#: Places of one owner's anchors, amid different texts, in a shard; an owner with more is split.
+SHARD_ANCHORS = 8_000
 #: Anchors, or runs, in a shard on average.
 SHARD_MEAN = 2_000
 #: An anchor is hot at more places than this, amid HOT_KINDS of 64 kinds of surroundings or more.
@@ -79,12 +79,12 @@ def minimizers(h: np.ndarray, first: np.ndarray, k: int, window: int) -> np.ndar
 
 
 def surroundings(h: np.ndarray, first: np.ndarray, row: np.ndarray, at: np.ndarray, k: int, window: int) -> np.ndarray:
-    """One of 64 bits for each anchor: the same for equal text around it, as far as its windows reach."""
+    """One of 64 kinds for each anchor: the same for equal text around it, as far as its windows reach."""
     lo, hi, reach = first[row], first[row + 1] - k, window - k
     kind = np.zeros(len(at), np.uint64)
     for step in (-reach, -(reach // 2), reach // 2, reach):
         kind = tb.mix(kind + h[np.clip(at + step, lo, hi)])
-    return np.left_shift(np.uint64(1), kind & np.uint64(63))
+    return (kind & np.uint64(63)).astype(np.int8)
 
 
 #: A column of texts -> blocks, each with its rows' first items, the k-gram hashes, and a function that hashes the windows
@@ -187,26 +187,26 @@ def recurring(docs: DataFrame, grams: Grams, k: int, window: int, expected: int,
                     hit = np.flatnonzero(filter_.value.test(h[at]))
                     rows, at = rows[hit], at[hit]
                     kind = surroundings(h, first, rows, at, k, window)
-                    yield _lists(batch.column(0), block, rows, h=pa.array(tb.as_long(h[at])), pos=pa.array(at - first[rows], pa.int32()), kind=pa.array(tb.as_long(kind)))
+                    yield _lists(batch.column(0), block, rows, h=pa.array(tb.as_long(h[at])), pos=pa.array(at - first[rows], pa.int32()), kind=pa.array(kind))
 
-        return docs.select("doc", "text").mapInArrow(run, "doc long, h array<long>, pos array<int>, kind array<long>")
+        return docs.select("doc", "text").mapInArrow(run, "doc long, h array<long>, pos array<int>, kind array<tinyint>")
 
     with state.steps(spark) as outlives:
         filters = (twice.build(docs.select("text"), keys, expected, share) for share in twice.shares(expected))
         lists = reduce(DataFrame.unionAll, [state.keep(suspects(spark.sparkContext.broadcast(f)), "anchors") for f in filters])
         rows = lists.select("doc", F.explode(F.arrays_zip("h", "pos", "kind")).alias("a")).select("doc", "a.h", "a.pos", "a.kind")
-        seen = rows.groupBy("h").agg(F.min("doc").alias("owner"), F.max("doc").alias("top"), F.count(F.lit(1)).alias("n"), F.bit_or("kind").alias("kinds"))
-        hot = (F.col("n") > HOT_PLACES) & (F.bit_count("kinds") >= HOT_KINDS)
-        seen = state.keep(seen.where("owner < top" if across else "n > 1").select("h", "owner", "n", hot.alias("hot")), "recurring")
+        seen = rows.groupBy("h").agg(F.min("doc").alias("owner"), F.max("doc").alias("top"), F.count(F.lit(1)).alias("n"), F.expr("bit_count(bit_or(shiftleft(1L, int(kind))))").alias("kinds"), F.min_by("pos", "doc").alias("place"))
+        # how many different texts stand around it: by linear counting, until all kinds are there
+        texts = F.when(F.col("kinds") < HOT_KINDS, F.least(F.col("n"), F.ceil(F.log(64 / (64 - F.col("kinds"))) * 64))).otherwise(F.col("n"))
+        hot = (F.col("n") > HOT_PLACES) & (F.col("kinds") >= HOT_KINDS)
+        seen = state.keep(seen.where("owner < top" if across else "n > 1").select("h", "owner", "n", "place", texts.alias("texts"), hot.alias("hot")), "recurring")
         calm = seen.where("not hot")
-        total, hot_places = seen.agg(F.sum(F.when(~F.col("hot"), F.col("n"))), F.sum(F.when(F.col("hot"), F.col("n")))).first()
+        total, hot_places = seen.agg(F.sum(F.when(~F.col("hot"), F.col("texts"))), F.sum(F.when(F.col("hot"), F.col("n")))).first()
         shards = max(1, -(-int(total or 0) // SHARD_MEAN))
-        heavy = calm.groupBy("owner").agg(F.sum("n").alias("load")).where(F.col("load") > SHARD_ANCHORS)
-        parts = F.ceil(F.col("load") / SHARD_ANCHORS)
-        # owners of many: shards of their own, numbered beyond the others
-        shard = F.when(F.col("load").isNull(), F.pmod(F.xxhash64("owner"), F.lit(shards))).otherwise(
-            F.lit(1 << 40) + F.pmod(F.xxhash64("owner", F.pmod(F.col("h"), parts)), F.lit(1 << 40))
-        )
+        heavy = calm.groupBy("owner").agg(F.sum("texts").alias("load"), F.max("place").alias("last")).where(F.col("load") > SHARD_ANCHORS)
+        # owners of many: each stretch of their text a shard, numbered beyond the others
+        stretch = F.floor(F.col("place") * F.ceil(F.col("load") / SHARD_ANCHORS) / (F.col("last") + 1))
+        shard = F.when(F.col("load").isNull(), F.pmod(F.xxhash64("owner"), F.lit(shards))).otherwise(F.lit(1 << 40) + F.pmod(F.xxhash64("owner", stretch), F.lit(1 << 40)))
         places = rows.select("doc", "h", "pos").join(calm.join(heavy, "owner", "left").select("h", shard.alias("shard")), "h").select("doc", "pos", F.lit(0).alias("n"), "shard")
         if hot_places:
             places = places.unionAll(_runs(docs, lists, grams, k, window, seen.where("hot").select("h"), int(hot_places), across))

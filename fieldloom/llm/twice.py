@@ -132,7 +132,8 @@ def merged(df: DataFrame, scan: Callable, n_bytes: int, merge: Callable[[np.ndar
 
     parts = df.coalesce(max(16, BUILDERS * spark.sparkContext.defaultParallelism)).mapInArrow(scan, "segment int, data binary")
     whole = np.zeros(n_bytes, np.uint8)
-    for row in parts.repartition(max(1, min(64, n_bytes // step)), F.col("segment")).mapInArrow(together, "segment int, data binary").toLocalIterator():  # n_bytes in all
+    dealt = parts.repartition(max(1, min(64, n_bytes // step)), F.col("segment"))
+    for row in dealt.mapInArrow(together, "segment int, data binary").collect():  # n_bytes in all
         whole[row.segment * step : (row.segment + 1) * step] = np.frombuffer(_unpacked(row.data), np.uint8)
     return whole
 
