@@ -6,7 +6,9 @@
    the others' keys are gathered by document and joined to the texts, from which those lines are dropped.
 
 Defined results.  Null or empty text: one empty line.  A null doc_id: the row keeps all its lines and isn't a
-holder.  Repeated rows (one doc_id) are one holder; each row is returned.  An empty table gives an empty table.
+holder.  Repeated rows, and rows that share a doc_id, are one holder; each row is returned.  A text of any length is held
+by one task at a time, a line of any length is one key.  An empty table gives an empty table.  More lines than one pair of
+filters serves take more scans, with the same result.
 Other columns are carried by ``dedup_lines`` as they are, whatever their names.
 """
 
@@ -134,17 +136,20 @@ def line_digest(docs: DataFrame, min_code_points: int = MIN_CODE_POINTS) -> Data
     return joined.mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
-def dedup_lines(docs: DataFrame, min_code_points: int = MIN_CODE_POINTS) -> DataFrame:
-    """``docs`` with the dropped lines gone from ``text``; the other columns as they are (a null text stays null)."""
+def dedup_lines(docs: DataFrame, min_code_points: int = MIN_CODE_POINTS, keep_emptied: bool = True) -> DataFrame:
+    """``docs`` with the dropped lines gone from ``text``; the other columns as they are (a null text stays null).
+
+    keep_emptied: whether rows stay that lost lines and have nothing but white space left, copies throughout."""
     names = docs.columns
     joined = _with_drops(docs, min_code_points)
     text_at = names.index("text")
 
     def rewrite(batches):
         for batch in batches:
-            texts = [t.decode("utf-8") for t, _, _ in _kept(batch, text_at, len(names), min_code_points)]
-            text = pa.array(texts, pa.string(), mask=np.asarray(batch.column(text_at).is_null()))
-            yield pa.RecordBatch.from_arrays([text if i == text_at else batch.column(i) for i in range(len(names))], names=names)
+            kept = list(_kept(batch, text_at, len(names), min_code_points))
+            text = pa.array([t.decode("utf-8") for t, _, _ in kept], pa.string(), mask=np.asarray(batch.column(text_at).is_null()))
+            out = pa.RecordBatch.from_arrays([text if i == text_at else batch.column(i) for i in range(len(names))], names=names)
+            yield out if keep_emptied else out.filter(pa.array([not n or bool(t.strip()) for t, _, n in kept], pa.bool_()))
 
     return joined.mapInArrow(rewrite, docs.schema)
 

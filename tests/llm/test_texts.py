@@ -64,6 +64,23 @@ def test_keeping_and_dropping_rows(spark):
     assert got == sorted(((d, None if t is None else x[3]) for (d, t), x in zip(rows, cases.lines_result(rows), strict=True)), key=repr)
 
 
+def test_emptied_rows(spark):
+    rows = [(1, "a line of some length\nand another line"), (2, "a line of some length \n\n AND another line"), (3, "a line of some length\nx"), (4, ""), (5, None), (6, " "), (None, "a line of some length")]
+    got = op8_lines.dedup_lines(cases.documents(spark, rows), keep_emptied=False).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted([rows[0], (3, "x"), rows[3], rows[4], rows[5], rows[6]], key=repr)
+
+
+def test_very_long_texts(spark):
+    """One text of megabytes, one line of it, one word of it."""
+    rnd = random.Random(2)
+    long = "\n".join(" ".join("%05x" % rnd.randrange(1 << 20) for _ in range(30)) for _ in range(4000))
+    rows = [(1, long), (2, "x" * 600_000), (3, "y " * 300_000), (4, long[200_000:400_000]), (5, "z\n" * 100_000), (6, "x" * 600_000)]
+    for operator, plain in ((op8_lines.line_digest, cases.lines_result), (op5_phrases.phrase_digest, cases.phrases_result), (op1_minhash.near_duplicates, cases.near_result)):
+        assert cases.table(operator(cases.documents(spark, rows))) == sorted(plain(rows), key=repr)
+    short = [(d, t[:150_000]) for d, t in rows]
+    assert cases.table(op10_suffix.suffix_digest(cases.documents(spark, short))) == sorted(cases.suffix_result(short), key=repr)
+
+
 def test_hot_owner_is_split_by_anchor(spark, monkeypatch):
     from fieldloom.llm import anchors
 
