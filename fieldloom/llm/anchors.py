@@ -38,7 +38,7 @@ SHARD_ANCHORS = 8_000
 #: Anchors, or runs, in a shard on average.
 SHARD_MEAN = 2_000
 #: An anchor is hot at more places than this, amid HOT_KINDS of 64 kinds of surroundings or more.
-HOT_PLACES, HOT_KINDS = 1_000, 60
+HOT_PLACES, HOT_KINDS = 4_000, 60
 #: Bits for each window of a hot anchor, as multiples of the filters' usual: false suspects make runs differ.
 WINDOW_BITS = 2
 #: Shards from this number on hold runs of windows.

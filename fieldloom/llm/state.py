@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..shared import fresh_path, remove
 
-__all__ = ["free_name", "fresh_path", "keep", "release", "steps"]
+__all__ = ["free_name", "fresh_path", "keep", "owned", "release", "shuffles_removed", "steps"]
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _open: list[list[str]] = []
@@ -30,8 +30,8 @@ def free_name(name: str, taken: list[str]) -> str:
 
 
 @contextmanager
-def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """While a table is written: its plan is run once, so nothing will ask for its shuffle files again."""
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """While a plan is run that runs but once: nothing will ask for its shuffle files again."""
     before = spark.conf.get(_CLEANUP, None)
     if before is None:  # a Spark that doesn't know the setting removes them with its own garbage
         yield
@@ -48,7 +48,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     owned(path)
-    with _shuffles_removed(spark):
+    with shuffles_removed(spark):
         df.write.parquet(path, compression="zstd")
     kept = spark.read.schema(df.schema).parquet(path)
     kept._kept_at = path

@@ -22,6 +22,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import state
+
 #: Bits of each filter: MIN_BITS .. MAX_BITS, about BITS_PER_KEY for each expected key.
 MIN_BITS, MAX_BITS, BITS_PER_KEY = 1 << 20, 1 << 29, 8
 _SEGMENT_BYTES = 1 << 20
@@ -133,7 +135,9 @@ def merged(df: DataFrame, scan: Callable, n_bytes: int, merge: Callable[[np.ndar
     parts = df.coalesce(max(16, BUILDERS * spark.sparkContext.defaultParallelism)).mapInArrow(scan, "segment int, data binary")
     whole = np.zeros(n_bytes, np.uint8)
     dealt = parts.repartition(max(1, min(64, n_bytes // step)), F.col("segment"))
-    for row in dealt.mapInArrow(together, "segment int, data binary").collect():  # n_bytes in all
+    with state.shuffles_removed(spark):
+        rows = dealt.mapInArrow(together, "segment int, data binary").collect()  # n_bytes in all
+    for row in rows:
         whole[row.segment * step : (row.segment + 1) * step] = np.frombuffer(_unpacked(row.data), np.uint8)
     return whole
 

@@ -123,6 +123,7 @@ def test_one_passage_in_all_texts_is_no_large_shard(spark, monkeypatch):
 
     monkeypatch.setattr(anchors, "by_shard", counted)
     monkeypatch.setattr(anchors, "SHARD_MEAN", 100)
+    monkeypatch.setattr(anchors, "HOT_PLACES", 1000)
     rows = _around_one_passage(1500)
     for operator, plain in ((op5_phrases.phrase_digest, cases.phrases_result), (op10_suffix.suffix_digest, cases.suffix_result)):
         assert cases.table(operator(cases.documents(spark, rows).repartition(4))) == sorted(plain(rows), key=repr)
