@@ -1,17 +1,25 @@
 """Intensities between pixels, and the pre-filter.
 
-Samples are equi-joins of a position's taps with the pixels, then one grouped sum; positions whose taps aren't all inside
-the frame have no sample."""
+Positions and pixels are dealt to square tiles, pixels near a border to each tile whose positions may ask for them, and a
+tile's positions are sampled together.  Positions whose neighbours with weight aren't all inside the frame have no sample."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+#: Pixels along a side of a tile.
+TILE = 256
 
-def cubic_weights(t: Column) -> list[Column]:
+
+def cubic_weights(t: np.ndarray) -> list[np.ndarray]:
     """Weights of the four neighbours of a Catmull-Rom segment at fraction t."""
     return [
         ((t * -0.5 + 1.0) * t - 0.5) * t,
@@ -21,27 +29,47 @@ def cubic_weights(t: Column) -> list[Column]:
     ]
 
 
-def linear_weights(t: Column) -> list[Column]:
-    return [F.lit(1.0) - t, t]
+def linear_weights(t: np.ndarray) -> list[np.ndarray]:
+    return [1.0 - t, t]
 
 
-def sample(points: DataFrame, pixels: DataFrame, weights, first: int, keys: list[str]) -> DataFrame:
-    """points (keys, px, py), pixels (x, y, g) -> keys, px, py, s.  ``first``: offset of the first neighbour."""
+def sample(points: DataFrame, pixels: DataFrame, weights: Callable[[np.ndarray], list[np.ndarray]], first: int, taps: int, keys: list[str]) -> DataFrame:
+    """points (keys, px, py), pixels (x, y, g) -> keys, px, py, s.  ``first``: offset of the first of ``taps`` neighbours."""
+    after = first + taps - 1
     fx, fy = F.floor("px"), F.floor("py")
-    wx, wy = weights(F.col("px") - fx), weights(F.col("py") - fy)
-    taps = F.explode(F.array(*[F.struct((fx + first + i).alias("x"), (fy + first + j).alias("y"), (a * b).alias("w")) for i, a in enumerate(wx) for j, b in enumerate(wy)]))
-    # a tap without weight needs no pixel
-    hit = points.select(*keys, "px", "py", taps.alias("t")).select(*keys, "px", "py", "t.*").where("w != 0").join(pixels, ["x", "y"], "left")
-    out = hit.groupBy(*keys, "px", "py").agg(F.sum(F.col("w") * F.col("g")).alias("s"), F.max(F.col("g").isNull()).alias("hole"))
-    return out.where("not hole").drop("hole")
+    asked = points.select(*keys, F.col("px").cast("double").alias("px"), F.col("py").cast("double").alias("py"), F.floor(fx / TILE).alias("tx_"), F.floor(fy / TILE).alias("ty_"))
+    span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - after) / TILE), F.floor((F.col(c) - first) / TILE)))
+    cells = pixels.select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col("g").cast("double").alias("g")).withColumn("tx_", span("x")).withColumn("ty_", span("y"))
+    names = [*keys, "px", "py"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in asked.select(*names).schema) + ", s double"
+    empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
+
+    def run(mine: pa.Table, held: pa.Table) -> pa.Table:
+        if not mine.num_rows or not held.num_rows:
+            return empty
+        x0, y0 = (mine.column(c)[0].as_py() * TILE + first for c in ("tx_", "ty_"))
+        grid = np.full((TILE + taps, TILE + taps), np.nan)
+        grid[held.column("x").to_numpy() - x0, held.column("y").to_numpy() - y0] = held.column("g").to_numpy()
+        px, py = (mine.column(c).to_numpy() for c in ("px", "py"))
+        ix, iy = np.floor(px).astype(np.int64), np.floor(py).astype(np.int64)
+        total = np.zeros(len(px))
+        for i, a in enumerate(weights(px - ix)):
+            for j, b in enumerate(weights(py - iy)):
+                w = a * b
+                total += np.where(w != 0, w * grid[ix + first + i - x0, iy + first + j - y0], 0.0)  # a tap without weight needs no pixel
+        whole = np.flatnonzero(~np.isnan(total))
+        own = mine.select(names).take(pa.array(whole))
+        return pa.Table.from_arrays([*(own.column(c).combine_chunks() for c in names), pa.array(total[whole])], names=[*names, "s"])
+
+    return asked.groupBy("tx_", "ty_").cogroup(cells.groupBy("tx_", "ty_")).applyInArrow(run, schema)
 
 
 def bilinear(points: DataFrame, pixels: DataFrame, keys: list[str]) -> DataFrame:
-    return sample(points, pixels, linear_weights, 0, keys)
+    return sample(points, pixels, linear_weights, 0, 2, keys)
 
 
 def bicubic(points: DataFrame, pixels: DataFrame, keys: list[str]) -> DataFrame:
-    return sample(points, pixels, cubic_weights, -1, keys)
+    return sample(points, pixels, cubic_weights, -1, 4, keys)
 
 
 def gauss_kernel(size: int) -> list[float]:
