@@ -786,9 +786,28 @@ def slv_registry(spark, sf_dir):
     return spark.createDataFrame([(k, *v) for k, v in solvers.SOLVERS.items()], "solver string, higher_order boolean, weighted boolean")
 
 
-@query("slv_coarse_fine")
+def _half_frame(spark, sf_dir):
+    """The first frame moved by one and a half pixels: the mean of its moves by one and by two."""
+    two = frame_b(spark, sf_dir, 2, 0).withColumnRenamed("g", "h")
+    return frame_b(spark, sf_dir, 1, 0).join(two, ["x", "y"]).select("x", "y", ((F.col("g") + F.col("h")) / 2).alias("g"))
+
+
+_FINE = (
+    ", bh AS MATERIALIZED (SELECT p.x + 1 AS x, p.y, (p.g + o.g) / 2::DOUBLE AS g FROM a p JOIN a o ON o.x = p.x - 1 AND o.y = p.y)" + _BEST.replace("JOIN b ON b.x = mx AND b.y = my", "JOIN bh b ON b.x = mx AND b.y = my").replace("::BIGINT AS s", "::DOUBLE AS s")
+    + """, fine AS (SELECT subset_id, k AS c, u + (k % 3 - 1) * 0.5::DOUBLE AS fu, v + (k // 3 - 1) * 0.5::DOUBLE AS fv FROM best, (SELECT unnest(generate_series(0, 8)) AS k)),
+pt AS (SELECT p.subset_id, c, fu, fv, p.x, p.y, f, p.x + fu AS px, p.y + fv AS py FROM pix p JOIN fine ON fine.subset_id = p.subset_id),
+tap AS (SELECT subset_id, c, fu, fv, x, y, f, floor(px)::BIGINT + i AS bx, floor(py)::BIGINT + j AS bj, (CASE i WHEN 1 THEN px - floor(px) ELSE 1 - (px - floor(px)) END) * (CASE j WHEN 1 THEN py - floor(py) ELSE 1 - (py - floor(py)) END) AS w FROM pt, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(i, j)),
+lv AS (SELECT subset_id, c, fu, fv, f, round(sum(w * g), 6) AS g FROM tap LEFT JOIN bh ON bh.x = bx AND bh.y = bj WHERE w <> 0 GROUP BY subset_id, c, fu, fv, tap.x, tap.y, f HAVING bool_and(g IS NOT NULL)),
+fm AS (SELECT subset_id, c, fu, fv, count(*) AS n, sum(f) AS sf, sum(g) AS sg, sum(f * f) AS sff, sum(g * g) AS sgg, sum(f * g) AS sfg FROM lv GROUP BY subset_id, c, fu, fv HAVING count(*) = 49),
+fq AS (SELECT subset_id, c, fu, fv, round(CASE WHEN n * sff - sf * sf <= 0 OR n * sgg - sg * sg <= 1e-6 THEN 0 ELSE (n * sfg - sf * sg) / sqrt(greatest((n * sff - sf * sf) * (n * sgg - sg * sg), 1e-12)) END, 6) AS q FROM fm)
+SELECT subset_id, fu AS u, fv AS v, q + 0 AS quality FROM fq QUALIFY row_number() OVER (PARTITION BY subset_id ORDER BY q DESC, c) = 1"""
+)
+
+
+@query("slv_coarse_fine", _FINE, "a")
 def slv_coarse_fine(spark, sf_dir):
-    out = solvers.coarse_fine(_mesh(spark, sf_dir), frame_a(spark, sf_dir), frame_b(spark, sf_dir), ["subset_id"], -2, 2, (0.25,), 1)
+    """Whole pixels, then halves around the best, against a frame that is moved by one and a half."""
+    out = solvers.coarse_fine(_mesh(spark, sf_dir), frame_a(spark, sf_dir), _half_frame(spark, sf_dir), ["subset_id"], -2, 2, (0.5,), 1)
     return out.select("subset_id", r6(F.col("u")).alias("u"), r6(F.col("v")).alias("v"), r6(F.col("quality")).alias("quality"))
 
 

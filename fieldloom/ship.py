@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import os
+import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable
@@ -19,12 +21,14 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.applicationId in _done:
         return
-    path = os.path.join(tempfile.mkdtemp(prefix="fieldloom-"), "fieldloom_src.zip")
+    folder = tempfile.mkdtemp(prefix="fieldloom-")  # on the driver; addPyFile hands the file out
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "fieldloom_src.zip")
     with zipfile.ZipFile(path, "w") as out:
-        for folder, _, names in os.walk(_ROOT):
+        for at, _, names in os.walk(_ROOT):
             for name in names:
                 if name.endswith(".py"):
-                    full = os.path.join(folder, name)
+                    full = os.path.join(at, name)
                     out.write(full, os.path.relpath(full, os.path.dirname(_ROOT)))
     sc.addPyFile(path)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default: whole texts in 10,000s are too much for a worker

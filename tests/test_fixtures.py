@@ -170,12 +170,13 @@ CASES = [[0, 0], [0.72, 0], [-0.25, 0.85], [0.5, -0.25, 0.05, 0, 0, -0.04], [1.0
 
 @pytest.mark.parametrize("solver", [s for s in solvers.SOLVERS if s.startswith("NEWTON")] + ["SPGD"])
 def test_solvers_find_known_warps(spark, solver):
+    near, rate = (0.2, 0.05) if solver == "SPGD" else (0.05, 0.02)  # the stochastic one ends at a correlation of 0.999
     for d in CASES:
         subsets, a, b = speckle(spark, d)
         got = solvers.solve_patches(solvers.patch_windows(subsets, a, b, ["subset_id"], 6), ["subset_id"], solver).first()
         want = d + [0] * (6 - len(d))
-        close = all(abs(x - y) <= max(0.1 * abs(y), 0.02) for x, y in zip(got.deformation, want, strict=True))
-        assert close or got.quality >= 0.99, (solver, d, got)
+        close = all(abs(x - y) <= max(0.1 * abs(y), near if k < 2 else rate) for k, (x, y) in enumerate(zip(got.deformation, want, strict=True)))
+        assert close, (solver, d, got)
 
 
 def test_weighted_criterion_and_its_solver(spark):
