@@ -2,13 +2,14 @@
 
 A task keeps two bitmaps: a bit of the first is set by a key's first hit, a bit of the second by a second hit.
 Merging two pairs is associative: once = a|b, twice = ta|tb|(a&b).  A key that two documents hold thus has all
-its bits in the twice filter, wherever the documents are read; other keys get there only by collisions: with two probes and
-BITS_PER_KEY bits a key, at most 5 % of those that are held once.
-
-A filter has MAX_BITS bits at most, which bounds what a task holds, sends and gets.  More keys than that serves are dealt to
-``shares`` of the key space, each with filters and a scan of its own, so the rate of false suspects stays the same at every
-size; a cluster with more memory a core raises MAX_BITS and scans less often.  Bitmaps are built in BUILDERS tasks a core at
-most, as each sends its own.
+its bits in the twice filter, wherever the documents are read; other keys get there only by collisions: of those held once,
+less than 0.1 % at eight bits a key, 7 % at two, 35 % at one.
+
+A filter has MAX_BITS bits at most, which bounds what a task holds, sends and gets.  Where that would be less than LEAST_BITS
+a key, the key space is dealt to ``shares``, each with filters and a scan of its own, up to MAX_SHARES; a scan costs about as
+much as sending a third of all keys on, so more of them would not pay.  Keys beyond that (some eight thousand million with
+these limits; a cluster with more memory a core raises MAX_BITS) let the filters fill up: more suspects shuffle, a few bytes
+each, and are told apart exactly as ever.  Bitmaps are built in BUILDERS tasks a core at most, as each sends its own.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from . import state
 
 #: Bits of each filter: MIN_BITS .. MAX_BITS, about BITS_PER_KEY for each expected key.
-MIN_BITS, MAX_BITS, BITS_PER_KEY = 1 << 20, 1 << 29, 8
+MIN_BITS, MAX_BITS, BITS_PER_KEY = 1 << 20, 1 << 30, 8
+LEAST_BITS, MAX_SHARES = 1, 8
 _SEGMENT_BYTES = 1 << 20
 BUILDERS = 4
 U = np.uint64
@@ -56,8 +58,8 @@ class Share:
 
 
 def shares(expected_keys: int) -> list[Share]:
-    """As many as it takes for each to fit its filter."""
-    n = max(1, -(-int(expected_keys) * BITS_PER_KEY // MAX_BITS))
+    """As many as leave LEAST_BITS for each key."""
+    n = min(MAX_SHARES, max(1, -(-int(expected_keys) * LEAST_BITS // MAX_BITS)))
     return [Share(k, n) for k in range(n)]
 
 

@@ -205,9 +205,9 @@ def test_twice_filter_misses_nothing():
 
 def test_shares_of_the_key_space(spark, monkeypatch):
     """More keys than a filter serves: several filters, the same results."""
-    monkeypatch.setattr(twice, "MIN_BITS", 1 << 12)
-    monkeypatch.setattr(twice, "MAX_BITS", 1 << 12)
-    assert len(twice.shares(3 << 9)) == 3 and len(twice.shares(1)) == 1
+    monkeypatch.setattr(twice, "MIN_BITS", 1 << 8)
+    monkeypatch.setattr(twice, "MAX_BITS", 1 << 8)
+    assert len(twice.shares(3 << 8)) == 3 and len(twice.shares(1)) == 1 and len(twice.shares(1 << 60)) == twice.MAX_SHARES
     rows = cases.noisy(14, 40)
     for operator, plain in DIGESTS[:3]:
         assert cases.table(operator(cases.documents(spark, rows).repartition(3))) == sorted(plain(rows), key=repr)
