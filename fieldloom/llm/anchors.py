@@ -8,8 +8,8 @@ Both substring operators ask which windows of a fixed length occur at another pl
    (hash, document, position) and are confirmed to recur.
 3. A recurring anchor's owner is the smallest document that holds it, so what copies share goes to one group: groups are
    dealt to shards by owner.  Equal pieces of text are counted before they meet, so one passage in a third of all documents
-   is one piece with a count; an owner with more than SHARD_ANCHORS places amid different texts is split into stretches.
-4. An anchor that stands in more than HOT_PLACES places amid many different texts would still bring as many different
+   is one piece with a count; an owner with more than ``Sizes.owner`` places amid different texts is split into stretches.
+4. An anchor that stands in more than ``Sizes.hot`` places amid many different texts would still bring as many different
    pieces to one shard.  Another pair of filters, over the windows of such anchors, leaves those windows that may recur; a
    run of them is a piece, and what surrounds it stays behind, so that a passage is one piece whatever stands around it.
    Where an anchor's runs still differ much, each of their windows is a piece of its own, dealt out by its hash.
@@ -22,6 +22,7 @@ A window meets all its equals, since they have the same anchor and it belongs to
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 from hashlib import blake2b
 
@@ -33,12 +34,19 @@ from pyspark.sql import functions as F
 from . import semi, state, twice
 from . import textblocks as tb
 
-#: Places of one owner's anchors, amid different texts, in a shard; an owner with more is split.
-SHARD_ANCHORS = 8_000
-#: Anchors, or runs, in a shard on average.
-SHARD_MEAN = 2_000
-#: An anchor is hot at more places than this, amid HOT_KINDS of 64 kinds of surroundings or more.
-HOT_PLACES, HOT_KINDS = 4_000, 60
+@dataclass(frozen=True)
+class Sizes:
+    """What goes to a shard.  Smaller numbers deal work more evenly, larger ones cost less."""
+
+    #: Anchors, or runs, amid different texts, on average.
+    mean: int = 2_000
+    #: Places of one owner's anchors, amid different texts; an owner with more is split.
+    owner: int = 8_000
+    #: An anchor is hot at more places than this, amid HOT_KINDS of 64 kinds of surroundings or more.
+    hot: int = 4_000
+
+
+HOT_KINDS = 60
 #: Bits for each window of a hot anchor, as multiples of the filters' usual: false suspects make runs differ.
 WINDOW_BITS = 2
 #: Shards from this number on hold runs of windows.
@@ -101,7 +109,7 @@ def _lists(ids: pa.Array, block: tb.Block, rows: np.ndarray, **columns: pa.Array
     return pa.RecordBatch.from_arrays([ids.slice(block.lo, block.rows).take(pa.array(some)), *lists], names=["doc", *columns])
 
 
-def _runs(docs: DataFrame, lists: DataFrame, grams: Grams, k: int, window: int, hot: DataFrame, places: int, across: bool) -> DataFrame:
+def _runs(docs: DataFrame, lists: DataFrame, grams: Grams, k: int, window: int, hot: DataFrame, places: int, across: bool, sizes: Sizes) -> DataFrame:
     """docs (doc, text), lists (doc, h: its suspected anchors), hot (h): -> doc, pos, n, shard of the runs of n windows from
     pos on that may recur, of hot anchors."""
     spark = docs.sparkSession
@@ -153,18 +161,18 @@ def _runs(docs: DataFrame, lists: DataFrame, grams: Grams, k: int, window: int,
     # different runs of an anchor: near copies of one passage make some (window - k)^2 / 2 at most
     by_anchor = found.groupBy("h", "kind").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
     by_anchor = state.keep(by_anchor, "run-anchors")
-    calm, wild = by_anchor.where(F.col("kinds") <= HOT_PLACES), by_anchor.where(F.col("kinds") > HOT_PLACES)
-    shards = max(1, -(-int(calm.agg(F.sum("n")).first()[0] or 0) // SHARD_MEAN))
+    calm, wild = by_anchor.where(F.col("kinds") <= sizes.hot), by_anchor.where(F.col("kinds") > sizes.hot)
+    shards = max(1, -(-int(calm.agg(F.sum("n")).first()[0] or 0) // sizes.mean))
     whole = found.join(calm.select("h"), "h").select("doc", "pos", F.size("keys").alias("n"), (F.lit(RUN_SHARDS) + F.pmod(F.xxhash64("h"), F.lit(shards))).alias("shard"))
     n_wild = wild.agg(F.sum("n")).first()[0]
     if not n_wild:
         return whole
-    shards = max(1, -(-int(n_wild) * (window - k + 1) // SHARD_MEAN))
+    shards = max(1, -(-int(n_wild) * (window - k + 1) // sizes.mean))
     single = found.join(wild.select("h"), "h").select("doc", "pos", F.posexplode("keys").alias("i", "key"))
     return whole.unionAll(single.select("doc", F.col("pos") + F.col("i"), F.lit(1), F.lit(RUN_SHARDS << 1) + F.pmod(F.xxhash64("key"), F.lit(shards))))
 
 
-def recurring(docs: DataFrame, grams: Grams, k: int, window: int, expected: int, across: bool) -> DataFrame:
+def recurring(docs: DataFrame, grams: Grams, k: int, window: int, expected: int, across: bool, sizes: Sizes) -> DataFrame:
     """docs (doc, text) -> doc, at: [(pos, n, shard)] of its recurring anchors (n is 0), and of the runs of n windows that
     are pieces of their own.
 
@@ -198,18 +206,18 @@ def recurring(docs: DataFrame, grams: Grams, k: int, window: int, expected: int,
         seen = rows.groupBy("h").agg(F.min("doc").alias("owner"), F.max("doc").alias("top"), F.count(F.lit(1)).alias("n"), F.expr("bit_count(bit_or(shiftleft(1L, int(kind))))").alias("kinds"), F.min_by("pos", "doc").alias("place"))
         # how many different texts stand around it: by linear counting, until all kinds are there
         texts = F.when(F.col("kinds") < HOT_KINDS, F.least(F.col("n"), F.ceil(F.log(64 / (64 - F.col("kinds"))) * 64))).otherwise(F.col("n"))
-        hot = (F.col("n") > HOT_PLACES) & (F.col("kinds") >= HOT_KINDS)
+        hot = (F.col("n") > sizes.hot) & (F.col("kinds") >= HOT_KINDS)
         seen = state.keep(seen.where("owner < top" if across else "n > 1").select("h", "owner", "n", "place", texts.alias("texts"), hot.alias("hot")), "recurring")
         calm = seen.where("not hot")
         total, hot_places = seen.agg(F.sum(F.when(~F.col("hot"), F.col("texts"))), F.sum(F.when(F.col("hot"), F.col("n")))).first()
-        shards = max(1, -(-int(total or 0) // SHARD_MEAN))
-        heavy = calm.groupBy("owner").agg(F.sum("texts").alias("load"), F.max("place").alias("last")).where(F.col("load") > SHARD_ANCHORS)
+        shards = max(1, -(-int(total or 0) // sizes.mean))
+        heavy = calm.groupBy("owner").agg(F.sum("texts").alias("load"), F.max("place").alias("last")).where(F.col("load") > sizes.owner)
         # owners of many: each stretch of their text a shard, numbered beyond the others
-        stretch = F.floor(F.col("place") * F.ceil(F.col("load") / SHARD_ANCHORS) / (F.col("last") + 1))
+        stretch = F.floor(F.col("place") * F.ceil(F.col("load") / sizes.owner) / (F.col("last") + 1))
         shard = F.when(F.col("load").isNull(), F.pmod(F.xxhash64("owner"), F.lit(shards))).otherwise(F.lit(1 << 40) + F.pmod(F.xxhash64("owner", stretch), F.lit(1 << 40)))
         places = rows.select("doc", "h", "pos").join(calm.join(heavy, "owner", "left").select("h", shard.alias("shard")), "h").select("doc", "pos", F.lit(0).alias("n"), "shard")
         if hot_places:
-            places = places.unionAll(_runs(docs, lists, grams, k, window, seen.where("hot").select("h"), int(hot_places), across))
+            places = places.unionAll(_runs(docs, lists, grams, k, window, seen.where("hot").select("h"), int(hot_places), across, sizes))
         at = state.keep(places.groupBy("doc").agg(F.collect_list(F.struct("pos", "n", "shard")).alias("at")), "anchor-lists")
         outlives(at)
     return at

@@ -28,6 +28,7 @@ from . import anchors
 from . import textblocks as tb
 
 WINDOW, PHRASE = 35, 8
+SIZES = anchors.Sizes(mean=800, owner=800, hot=800)
 
 
 def _grams(column: pa.Array):
@@ -129,7 +130,7 @@ def _prepared(docs: DataFrame) -> DataFrame:
 def removable(docs: DataFrame) -> DataFrame:
     """docs (doc, doc_id, text) -> doc, ranges: [(mark, lo, hi)], words of recurring windows."""
     size = docs.select(F.sum(F.length("text"))).first()[0] or 0
-    at = anchors.recurring(docs, _grams, PHRASE, WINDOW, size // 80 + 1, across=False)
+    at = anchors.recurring(docs, _grams, PHRASE, WINDOW, size // 80 + 1, across=False, sizes=SIZES)
     return anchors.by_shard(anchors.pieces(docs, at, _cut), solve, "value = 1")
 
 

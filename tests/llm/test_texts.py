@@ -81,10 +81,15 @@ def test_very_long_texts(spark):
     assert cases.table(op10_suffix.suffix_digest(cases.documents(spark, short))) == sorted(cases.suffix_result(short), key=repr)
 
 
-def test_hot_owner_is_split_by_anchor(spark, monkeypatch):
+def _sized(monkeypatch, **sizes):
     from fieldloom.llm import anchors
 
-    monkeypatch.setattr(anchors, "SHARD_ANCHORS", 20)
+    for operator in (op5_phrases, op10_suffix):
+        monkeypatch.setattr(operator, "SIZES", anchors.Sizes(**sizes))
+
+
+def test_hot_owner_is_split(spark, monkeypatch):
+    _sized(monkeypatch, owner=20)
     rows = cases.noisy(9, 40)
     for operator, plain in ((op5_phrases.phrase_digest, cases.phrases_result), (op10_suffix.suffix_digest, cases.suffix_result)):
         assert cases.table(operator(cases.documents(spark, rows))) == sorted(plain(rows), key=repr)
@@ -103,9 +108,8 @@ def _around_one_passage(n: int) -> list[tuple[int, str]]:
 def test_hot_anchors_are_dealt_by_run_or_window(spark, monkeypatch, places):
     from fieldloom.llm import anchors
 
-    monkeypatch.setattr(anchors, "HOT_PLACES", places)
+    _sized(monkeypatch, hot=places, mean=40)
     monkeypatch.setattr(anchors, "HOT_KINDS", 2)
-    monkeypatch.setattr(anchors, "SHARD_MEAN", 40)
     for rows in (cases.noisy(12, 40), _around_one_passage(80)):
         for operator, plain in ((op5_phrases.phrase_digest, cases.phrases_result), (op10_suffix.suffix_digest, cases.suffix_result)):
             assert cases.table(operator(cases.documents(spark, rows).repartition(4))) == sorted(plain(rows), key=repr)
@@ -122,12 +126,11 @@ def test_one_passage_in_all_texts_is_no_large_shard(spark, monkeypatch):
         return by_shard(found, solve, least)
 
     monkeypatch.setattr(anchors, "by_shard", counted)
-    monkeypatch.setattr(anchors, "SHARD_MEAN", 100)
-    monkeypatch.setattr(anchors, "HOT_PLACES", 1000)
+    _sized(monkeypatch, mean=100, hot=1000)
     rows = _around_one_passage(1500)
     for operator, plain in ((op5_phrases.phrase_digest, cases.phrases_result), (op10_suffix.suffix_digest, cases.suffix_result)):
         assert cases.table(operator(cases.documents(spark, rows).repartition(4))) == sorted(plain(rows), key=repr)
-    assert max(shards) <= anchors.HOT_PLACES, shards
+    assert max(shards) <= 1000, shards
 
 
 def test_search_in_cells(spark, monkeypatch):
