@@ -109,6 +109,14 @@ def _lists(ids: pa.Array, block: tb.Block, rows: np.ndarray, **columns: pa.Array
     return pa.RecordBatch.from_arrays([ids.slice(block.lo, block.rows).take(pa.array(some)), *lists], names=["doc", *columns])
 
 
+def _kept(scan: Callable, filter_: twice.Twice, name: str, spark) -> DataFrame:
+    """What a scan with a filter gives; the filter is on the executors meanwhile."""
+    held = spark.sparkContext.broadcast(filter_)
+    out = state.keep(scan(held), name)
+    held.unpersist()
+    return out
+
+
 def _runs(docs: DataFrame, lists: DataFrame, grams: Grams, k: int, window: int, hot: DataFrame, places: int, across: bool, sizes: Sizes) -> DataFrame:
     """docs (doc, text), lists (doc, h: its suspected anchors), hot (h): -> doc, pos, n, shard of the runs of n windows from
     pos on that may recur, of hot anchors."""
@@ -156,7 +164,9 @@ def _runs(docs: DataFrame, lists: DataFrame, grams: Grams, k: int, window: int,
 
     expected = places * (window - k + 1) * WINDOW_BITS // 2  # a window has one anchor: on average, half of those it could have
     filters = (twice.build(docs.select("doc", "text"), keys, expected, share) for share in twice.shares(expected))
-    found = reduce(DataFrame.unionAll, [state.keep(runs(spark.sparkContext.broadcast(f)), "runs") for f in filters])
+    found = reduce(DataFrame.unionAll, [_kept(runs, f, "runs", spark) for f in filters])
+    holds.done()
+    might.done()
     found = found.select("doc", F.explode(F.arrays_zip("h", "pos", "kind", "keys")).alias("r")).select("doc", "r.*")
     # different runs of an anchor: near copies of one passage make some (window - k)^2 / 2 at most
     by_anchor = found.groupBy("h", "kind").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
@@ -201,7 +211,7 @@ def recurring(docs: DataFrame, grams: Grams, k: int, window: int, expected: int,
 
     with state.steps(spark) as outlives:
         filters = (twice.build(docs.select("text"), keys, expected, share) for share in twice.shares(expected))
-        lists = reduce(DataFrame.unionAll, [state.keep(suspects(spark.sparkContext.broadcast(f)), "anchors") for f in filters])
+        lists = reduce(DataFrame.unionAll, [_kept(suspects, f, "anchors", spark) for f in filters])
         rows = lists.select("doc", F.explode(F.arrays_zip("h", "pos", "kind")).alias("a")).select("doc", "a.h", "a.pos", "a.kind")
         seen = rows.groupBy("h").agg(F.min("doc").alias("owner"), F.max("doc").alias("top"), F.count(F.lit(1)).alias("n"), F.expr("bit_count(bit_or(shiftleft(1L, int(kind))))").alias("kinds"), F.min_by("pos", "doc").alias("place"))
         # how many different texts stand around it: by linear counting, until all kinds are there
@@ -279,6 +289,7 @@ def pieces(docs: DataFrame, at: DataFrame, cut: Callable[..., Iterator[tuple[int
 
     joined = docs.select("doc", "text").where(might.column(F.col("doc"))).join(at, "doc").select("doc", "text", *[F.col(f"at.{c}").alias(c) for c in ("pos", "n", "shard")])
     cut_up = state.keep(joined.mapInArrow(run, "shard long, piece binary, doc long, mark long, begin int, content binary, note binary"), "pieces")
+    might.done()
     state.release(docs.sparkSession, at)
     return cut_up
 

@@ -290,6 +290,7 @@ def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
 
     found = docs.mapInArrow(asked, "print binary, members binary").join(wanted.select("cls", "print"), "print")
     found = state.keep(found.dropDuplicates(["cls"]).select("cls", "members"), "near-sets")
+    might.done()
     state.release(docs.sparkSession, wanted)
     return found
 

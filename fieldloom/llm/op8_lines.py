@@ -89,7 +89,12 @@ def first_holders(docs: DataFrame, min_code_points: int = MIN_CODE_POINTS) -> Da
 
     spark = held.sparkSession
     filters = (twice.build(held.select("text"), distinct_keys, n_lines or 1, share) for share in twice.shares(n_lines or 1))
-    rows = reduce(DataFrame.unionAll, [state.keep(suspects(spark.sparkContext.broadcast(f)), "line-suspects") for f in filters])  # read twice
+    parts = []
+    for f in filters:
+        held_filter = spark.sparkContext.broadcast(f)
+        parts.append(state.keep(suspects(held_filter), "line-suspects"))  # read twice
+        held_filter.unpersist()
+    rows = reduce(DataFrame.unionAll, parts)
     firsts = rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     firsts = state.keep(firsts.select("key", "first"), "line-firsts")  # so that the join deals out both sides, and a hot key can be split
     return rows.join(firsts, "key").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("key").alias("drop"))

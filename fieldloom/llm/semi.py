@@ -30,6 +30,10 @@ class Maybe:
         keys = tb.mix(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
         return known & twice.Twice(self.held.value, self.bits).test(keys)
 
+    def done(self) -> None:
+        """Takes the filter off the executors."""
+        self.held.unpersist()
+
     def test_keys(self, keys: np.ndarray) -> np.ndarray:
         """Of unsigned keys: the ids' bits."""
         return twice.Twice(self.held.value, self.bits).test(tb.mix(keys))

@@ -15,9 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..shared import fresh_path, remove
 
-__all__ = ["free_name", "fresh_path", "keep", "owned", "release", "shuffles_removed", "steps"]
-
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+__all__ = ["free_name", "fresh_path", "keep", "leaving_nothing", "owned", "release", "steps"]
+
+#: While a step is written: its shuffle files go with it, and joins broadcast nothing unless a plan says so, as broadcast
+#: tables stay on executors until the driver collects garbage.
+_WHILE_WRITTEN = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+}
 _open: list[list[str]] = []
 
 
@@ -30,17 +36,16 @@ def free_name(name: str, taken: list[str]) -> str:
 
 
 @contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """While a plan is run that runs but once: nothing will ask for its shuffle files again."""
-    before = spark.conf.get(_CLEANUP, None)
-    if before is None:  # a Spark that doesn't know the setting removes them with its own garbage
-        yield
-        return
-    spark.conf.set(_CLEANUP, "true")
+def leaving_nothing(spark: SparkSession) -> Iterator[None]:
+    """For a plan that runs but once."""
+    before = {k: spark.conf.get(k, None) for k in _WHILE_WRITTEN}
+    for k, value in _WHILE_WRITTEN.items():
+        spark.conf.set(k, value)
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, value in before.items():
+            spark.conf.unset(k) if value is None else spark.conf.set(k, value)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
@@ -48,7 +53,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     owned(path)
-    with shuffles_removed(spark):
+    with leaving_nothing(spark):
         df.write.parquet(path, compression="zstd")
     kept = spark.read.schema(df.schema).parquet(path)
     kept._kept_at = path

@@ -137,7 +137,7 @@ def merged(df: DataFrame, scan: Callable, n_bytes: int, merge: Callable[[np.ndar
     parts = df.coalesce(max(16, BUILDERS * spark.sparkContext.defaultParallelism)).mapInArrow(scan, "segment int, data binary")
     whole = np.zeros(n_bytes, np.uint8)
     dealt = parts.repartition(max(1, min(64, n_bytes // step)), F.col("segment"))
-    with state.shuffles_removed(spark):
+    with state.leaving_nothing(spark):
         rows = dealt.mapInArrow(together, "segment int, data binary").collect()  # n_bytes in all
     for row in rows:
         whole[row.segment * step : (row.segment + 1) * step] = np.frombuffer(_unpacked(row.data), np.uint8)
