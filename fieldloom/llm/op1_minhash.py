@@ -43,7 +43,7 @@ ROWS = 4
 #: Half the squared standard deviations by which a similarity of PERCENT must be off for a pair to be dropped.
 DROP = 12.5
 #: Rows, least and most, on the left and right of a cell of a bucket that is searched in full, and shingles on each side.
-LEFT, RIGHT, BLOCK_SHINGLES = (256, 1024), (512, 2048), 1_000_000
+LEFT, RIGHT, BLOCK_SHINGLES = (128, 1024), (256, 2048), 1_000_000
 PAIRS = 20_000  # judged at a time
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(7))
