@@ -3,8 +3,8 @@
 Alternating large-star and small-star steps: every node's neighbours are linked to the smallest of them, until the
 edges no longer change; then each node is linked straight to its component's smallest node.  Each round shortens a path
 to a fraction, and edges always get smaller or fewer, so it ends however long the paths are.  Minima are aggregated
-before they shuffle, and the join that spreads them is one that Spark can split where a node has very many edges.  A
-round's table is removed when the next is written."""
+before they shuffle and written down, so that the join that spreads them has two plain inputs and Spark can split a node of
+very many edges.  A round's tables are removed when the next is written."""
 
 from __future__ import annotations
 
@@ -19,16 +19,18 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges: u > v.  Large: each node's larger neighbours, small: its smaller ones and itself, go to its minimum."""
+    """edges: u > v.  Large: each node's larger neighbours, small: its smaller ones and itself, go to its minimum.  Kept."""
     if large:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(F.col("u").alias("n")).agg(F.least(F.min("v"), F.col("n")).alias("m"))
-        out = both.where("v > u").join(least, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = state.keep(both.groupBy(F.col("u").alias("n")).agg(F.least(F.min("v"), F.col("n")).alias("m")), "least")
+        out = both.where("v > u").join(least.hint("merge"), F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = edges.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
-        out = edges.join(least, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = state.keep(edges.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m")), "least")
+        out = edges.join(least.hint("merge"), F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         out = out.unionAll(least.select(F.col("n").alias("u"), F.col("m").alias("v")))
-    return out.where("u != v").distinct()
+    out = state.keep(out.where("u != v").distinct(), "edges")
+    state.release(edges.sparkSession, edges, least)
+    return out
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -38,9 +40,8 @@ def connected(links: DataFrame) -> DataFrame:
         edges = state.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
         before = _mark(edges)
         while before[0]:
-            following = state.keep(_star(_star(edges, True), False), "edges")
-            state.release(spark, edges)
-            edges, after = following, _mark(following)
+            edges = _star(_star(edges, True), False)
+            after = _mark(edges)
             if after == before:
                 break
             before = after
