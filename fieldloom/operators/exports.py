@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -144,12 +146,24 @@ def pictures(coloured: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "width", "height", F.flatten(F.transform("p", lambda p: F.array(p["b"], p["g"], p["r"]))).alias("g"))
 
 
+def six_decimals(value: float | None) -> str:
+    """A finite value rounded from its exact binary value, ties to even, as printf does; Java's formatter rounds the shortest
+    decimal, ties up.  NaN for no data."""
+    if value is None or math.isnan(value):
+        return "NaN"
+    return "%.6f" % value if math.isfinite(value) else "Infinity" if value > 0 else "-Infinity"
+
+
 def csv_rows(table: DataFrame, width: int, keys: list[str]) -> DataFrame:
     """A map as text lines: keys, y, line; a comma after every value, NaN for no data."""
-    cells = table.groupBy(*keys, "y").agg(F.map_from_entries(F.collect_list(F.struct(F.col("x").cast("int").alias("x"), F.col("value")))).alias("m"))
-    value = lambda x: F.element_at("m", x)
-    text = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda x: F.when(value(x).isNotNull(), F.format_string("%.6f", value(x))).otherwise(F.lit("NaN")))
-    return cells.select(*keys, "y", F.concat(F.concat_ws(",", text), F.lit(",")).alias("line"))
+    cells = table.groupBy(*keys, "y").agg(F.map_from_entries(F.collect_list(F.struct(F.col("x").cast("int").alias("x"), F.col("value").cast("double").alias("value")))).alias("m"))
+
+    @F.arrow_udf("string")
+    def line(rows: pa.Array) -> pa.Array:
+        return pa.array(["".join(six_decimals(v) + "," for v in row) for row in rows.to_pylist()], pa.string())
+
+    values = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda x: F.element_at("m", x))
+    return cells.select(*keys, "y", line(values).alias("line"))
 
 
 def write_map(table: DataFrame, path: str, width: int) -> None:
