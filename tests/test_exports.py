@@ -16,3 +16,9 @@ def _maps(spark):
 def test_map_lines_round_the_exact_value(spark):
     got = exports.csv_rows(_maps(spark), len(HALVES) + 1, ["round"]).orderBy("round").collect()
     assert [(r.round, r.y, r.line) for r in got] == [(k, k, ",".join([*TEXTS, "NaN"]) + ",") for k in (0, 1)]
+
+
+def test_files_of_a_sequence_round_the_exact_value(spark, tmp_path):
+    exports.write_sequence(_maps(spark), str(tmp_path / "seq"), len(HALVES))
+    line = ",".join(TEXTS) + ",\n"
+    assert {p.name: p.read_text() for p in (tmp_path / "seq").glob("*.csv")} == {"map-00.csv": line, "map-01.csv": line}
