@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -67,9 +67,18 @@ def encode_bmp(picture: np.ndarray) -> bytes:
     return struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + len(rows), 0, 0, 54, 40, width, height, 1, 24, 0, len(rows), 2835, 2835, 0, 0) + rows
 
 
+def natural(name: Column) -> Column:
+    """A key that sorts names by their runs of digits as numbers, of any length: f99999 before f100000."""
+    digits = lambda r: F.regexp_replace(r, "^0+", "")
+    number = lambda r: F.concat(F.lit("0"), F.lpad(F.length(digits(r)).cast("string"), 9, "0"), digits(r))
+    return F.concat_ws("", F.transform(F.regexp_extract_all(name, F.lit("([0-9]+|[^0-9]+)"), F.lit(1)), lambda r: F.when(r.rlike("^[0-9]"), number(r)).otherwise(r)))
+
+
 def numbered(names: DataFrame) -> DataFrame:
-    """name -> name, frame_no: its place among the sorted names.  Sorted in ranges; only the ranges' sizes come together."""
-    dealt = names.select("name").distinct().repartitionByRange("name").sortWithinPartitions("name").withColumn("mark", F.monotonically_increasing_id())
+    """name -> name, frame_no: its place among the names, sorted by their text and their numbers.  Sorted in ranges; only the
+    ranges' sizes come together."""
+    keyed = names.select("name").distinct().withColumn("key", natural(F.col("name")))
+    dealt = keyed.repartitionByRange("key", "name").sortWithinPartitions("key", "name").withColumn("mark", F.monotonically_increasing_id())
     dealt = kept(dealt.select("name", F.shiftright("mark", 33).alias("part"), F.col("mark").bitwiseAND(F.lit((1 << 33) - 1)).alias("place")), "frame-names")
     sizes = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))  # one row a range
