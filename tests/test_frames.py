@@ -11,3 +11,13 @@ def test_numbers_in_names_sort_as_numbers(spark):
     names = spark.createDataFrame([(n,) for n in reversed(ORDERED)], "name string")
     got = {r.name: r.frame_no for r in frames.numbered(names).collect()}
     assert got == {n: k for k, n in enumerate(ORDERED)}
+
+
+def test_images_are_numbered_beyond_five_digits(spark, tmp_path):
+    import numpy as np
+
+    ids = [2, 10001, 99999, 100000, 1000000]
+    for k in ids:
+        (tmp_path / f"f{k:05d}.bmp").write_bytes(frames.encode_bmp(np.full((2, 3), k % 256)))
+    got = frames.read_images(spark, str(tmp_path)).collect()
+    assert {(r.frame_no, r.name, r.width, r.height, tuple(r.g)) for r in got} == {(i, f"f{k:05d}.bmp", 3, 2, (k % 256,) * 6) for i, k in enumerate(ids)}
